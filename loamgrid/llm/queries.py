@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from loamgrid.llm.simhash import op3_simhash
 from loamgrid.llm.substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
