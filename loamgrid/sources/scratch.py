@@ -32,3 +32,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` returned and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
