@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.sources.scratch import saved, scratch_dir
+from loamgrid.sources.scratch import discard, saved, scratch_dir
 
-__all__ = ["clip_long", "held_out", "saved", "scratch_dir", "table"]
+__all__ = ["clip_long", "discard", "held_out", "saved", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
