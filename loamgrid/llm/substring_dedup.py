@@ -9,8 +9,9 @@ Whether two neighbours merge depends on their own names alone; hence inside a
 repeated passage, more than ``_MARGIN`` words from its ends, every occurrence is cut
 into the same symbols.
 
-Revealing.  Each 50-word window picks the highest-level symbol of its inner
-part (the longest, ties by name): equal windows pick equal symbols.  A
+Revealing.  Each 50-word window picks, of the symbol pairs in its inner part,
+the highest-level one (the longest, ties by name): equal windows pick equal
+pairs, which this module then calls the window's symbol.  A
 *stretch* is a run of consecutive windows with one symbol.  Spark groups the
 symbols over the corpus; only symbols that lie in two documents go on.
 
@@ -35,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import saved, table
+from loamgrid.llm.shared import discard, saved, table
 from loamgrid.llm.words import Words, mix, slices, windows
 
 _U64 = np.uint64
 _RUN = 3
 _PAIR_CAPS = (4, 8)
+#: Symbols in a row that make one key.
+_GRAM = 2
 #: Words at either end of a repeat whose symbols may depend on the surroundings:
 #: one more than a run, then the longest symbol of each level below.
 _MARGIN = _RUN + 1 + _RUN + _PAIR_CAPS[0]
@@ -85,14 +88,29 @@ def recompress(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
     return name, start, length
 
 
-def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive items."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        a = np.minimum(a[:-step], a[step:])
-        have += step
-    return a
+def _grams(name: np.ndarray, start: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank (longest first, then by name) and end of each ``k`` consecutive symbols; they may cross rows."""
+    n = max(0, len(name) - k + 1)
+    key = name[:n]
+    for j in range(1, k):
+        key = mix(mix(key + _U64(j)) + name[j : n + j])
+    end = start[k - 1 :] + length[k - 1 :]
+    span = (end - start[:n]).astype(_U64)
+    return ((_U64(31) - span) << _U64(59)) | (mix(key) >> _U64(5)), end
+
+
+def _range_min(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum of ``a[low:high]`` for each pair; all ones where the range is empty."""
+    size = np.maximum(high - low, 0)
+    out = np.full(len(low), ~_U64(0))
+    level, table = 0, a
+    while True:
+        now = np.flatnonzero((size >> level) == 1)
+        out[now] = np.minimum(table[low[now]], table[high[now] - (1 << level)])
+        level += 1
+        if not (size >> level).any():
+            return out
+        table = np.minimum(table[: -(1 << level - 1)], table[1 << level - 1 :])
 
 
 class Stretches:
@@ -109,10 +127,9 @@ class Stretches:
         if not len(at):
             return
         name, start, length = recompress(hashes, words.row)
-        rank = np.full(len(hashes), ~_U64(0))
-        rank[start] = ((_U64(_PAIR_CAPS[-1]) - length.astype(_U64)) << _U64(60)) | (mix(name) >> _U64(4))
-        inner = _sliding_min(rank[_MARGIN:], wide - 2 * _MARGIN - _PAIR_CAPS[-1] + 1)
-        chosen = inner[at]
+        low = np.searchsorted(start, at + _MARGIN)
+        rank, end = _grams(name, start, length, _GRAM)
+        chosen = _range_min(rank, low, np.searchsorted(end, at + wide - _MARGIN, "right"))
         new = np.ones(len(at), bool)
         new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1) | (words.row[at[1:]] != words.row[at[:-1]])
         head = np.flatnonzero(new)
@@ -230,20 +247,22 @@ def remove_repeats(docs: DataFrame, wide: int = 50) -> DataFrame:
     only, and texts under ``wide`` words, stay.  Rows that share a doc_id count
     as one document: a window in several of them stays.  Rows without doc_id
     keep all words and remove none from others.  An empty table gives an empty
-    one.  ``wide`` must exceed twice the margin plus the longest symbol (38).
+    one.  ``wide`` must be 46 or more.
     """
-    if wide < 2 * _MARGIN + 2 * _PAIR_CAPS[-1]:
-        raise ValueError(f"wide must be {2 * _MARGIN + 2 * _PAIR_CAPS[-1]} or more")
+    if wide < (least := 2 * _MARGIN + (_GRAM + 1) * _PAIR_CAPS[-1]):
+        raise ValueError(f"wide must be {least} or more, so that every window's inner part holds {_GRAM} whole symbols")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_symbols = saved(docs.where("doc_id is not null").mapInArrow(_symbols(wide), "symbol long, stretch long, doc_id long"), "symbols")
-    shared = all_symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("stretch") != F.max("stretch")).alias("varied")).where("low < high")
-    here = saved(all_symbols.join(shared.select("symbol", "low", "varied"), "symbol"), "shared")
+    shared = all_symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    here = saved(all_symbols.join(shared.select("symbol"), "symbol"), "shared")
     least = here.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("least"))
-    here = here.join(least, ["symbol", "stretch"])
-    gone = here.where("doc_id > least").groupBy("doc_id").agg(F.collect_list("stretch").alias("gone"))
-    listed = here.where("doc_id = least and varied").groupBy("doc_id").agg(F.collect_list("stretch").alias("listed"))
+    varied = least.groupBy("symbol").agg((F.count("*") > 1).alias("varied"))
+    open_ = saved(here.join(least, ["symbol", "stretch"]).join(varied, "symbol").where("varied or doc_id > least"), "stretches")
+    discard(all_symbols, here)
+    gone = open_.where("doc_id > least").groupBy("doc_id").agg(F.collect_list("stretch").alias("gone"))
+    listed = open_.where("doc_id = least").groupBy("doc_id").agg(F.collect_list("stretch").alias("listed"))
     single = docs.join(listed, "doc_id").select("doc_id", "text", "listed").mapInArrow(_windows(wide), "symbol long, window long, doc_id long")
-    first = single.groupBy("symbol", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    first = single.groupBy("symbol", "window").agg(F.min("doc_id").alias("least"))
     partly = single.join(first, ["symbol", "window"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("window").alias("gone_windows"))
     removed = gone.join(partly, "doc_id", "full")
     return docs.join(removed, "doc_id", "left").select("doc_id", "text", "gone", "gone_windows").mapInArrow(
