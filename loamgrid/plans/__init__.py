@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("probability", "runs", "raster", "spatial")
+MODULES: tuple[str, ...] = ("probability", "runs", "raster", "spatial", "store")
 
 
 def load() -> None:
