@@ -80,19 +80,19 @@ def mix_sources(docs: DataFrame, quotas: DataFrame | None = None, block_docs: in
     else:
         given = quotas.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), F.col("quota").cast("long").alias("quota"))
         quotas = totals.join(given, "source", "left").select("source", F.coalesce("quota", F.lit(1)).alias("quota"))
-    plan = schedule(quotas).select(F.col("source").alias("__source"), "quota", "period", "slots")
+    plan = schedule(quotas).select(F.col("source").alias("__source"), F.col("quota").alias("__quota"), F.col("period").alias("__period"), F.col("slots").alias("__slots"))
     within = F.row_number().over(W.partitionBy("__source", "__part").orderBy("__order", "doc_id"))
     placed = rows.withColumn("__rank", within).join(offsets, ["__source", "__part"]).join(F.broadcast(plan), "__source")  # at most resolution + sources numbers
-    rank = F.col("__before") + F.col("__rank") - 1
+    rank, quota, period = F.col("__before") + F.col("__rank") - 1, F.col("__quota"), F.col("__period")
     placed = placed.withColumn("block", F.floor(rank / block_docs) + 1).withColumn("place", rank % block_docs)
-    turn = F.floor((F.col("block") - 1) / F.col("quota"))
+    done = F.col("block") - 1
     return placed.select(
         *docs.columns,
         "block",
         "place",
-        F.floor((F.col("block") - 1) * F.col("period") / F.col("quota")).alias("release"),
-        F.ceil(F.col("block") * F.col("period") / F.col("quota")).alias("deadline"),
-        (turn * F.col("period") + F.get("slots", ((F.col("block") - 1) % F.col("quota")).cast("int"))).alias("slot"),
+        F.floor(done * period / quota).alias("release"),
+        F.ceil(F.col("block") * period / quota).alias("deadline"),
+        (F.floor(done / quota) * period + F.get("__slots", (done % quota).cast("int"))).alias("slot"),
     )
 
 
