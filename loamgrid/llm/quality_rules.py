@@ -9,8 +9,11 @@ trusted documents' own scores as that lies below their median; both come from an
 exact histogram, so that the same corpus always gives the same verdicts.  Log ratios are fixed-point integers: sums
 don't depend on the order of rows.
 
-The counts table is bounded by ``buckets`` rows and the histogram by the range
-of the scores; only these reach the driver.
+The raw counts and the threshold cover all documents.  The trusted multinomial is
+fitted on the ``trusted_docs`` trusted documents first by hash of their id (all,
+if there are fewer): their ids are broadcast, so that no text is shuffled.  The
+counts table is bounded by ``buckets`` rows and the histogram by the range of
+the scores; only these and the sampled ids reach the driver.
 """
 
 from __future__ import annotations
@@ -130,6 +133,7 @@ def quality_rules(
     buckets: int = 1 << 16,
     smoothing: float = 1.0,
     quantile: float = 0.002,
+    trusted_docs: int = 100_000,
     min_words: int = 20,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
@@ -143,7 +147,8 @@ def quality_rules(
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     trusted = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    flagged = docs.join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    sample = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs)
+    flagged = docs.join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counted = flagged.mapInArrow(_count(orders, buckets), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     counts = counted.toPandas()
     raw, good = np.full(buckets, smoothing), np.full(buckets, smoothing)
