@@ -53,3 +53,53 @@ def apply(pixels: DataFrame, ends: DataFrame, parts: DataFrame) -> DataFrame:
     """Pixels with the class of the component that absorbs theirs."""
     new = ends.join(parts.select(F.col("component_id").alias("root_id"), F.col("class_index").alias("new_class")), "root_id").select("component_id", "new_class")
     return pixels.join(new, "component_id", "left").withColumn("class_index", F.coalesce("new_class", "class_index")).drop("new_class")
+
+
+def _within_budgets(loss: float, gain: float):
+    """Decisions of one owner partition in ascending size; one that breaks a budget is skipped, later smaller ones are not."""
+
+    def run(rows):
+        rows = rows.sort_values(["pixel_count", "class_index", "component_id"])
+        lost: dict[int, int] = {}
+        won: dict[int, int] = {}
+        reasons = []
+        for r in rows.itertuples(index=False):
+            out, into = lost.get(r.class_index, 0) + r.pixel_count, won.get(r.target_class, 0) + r.pixel_count
+            if out > loss * r.source_total:
+                reasons.append("source_class_loss_budget")
+            elif into > gain * r.target_total:
+                reasons.append("target_class_gain_budget")
+            else:
+                reasons.append("accepted")
+                lost[r.class_index], won[r.target_class] = out, into
+        return rows[["owner", "component_id"]].assign(outcome=reasons)
+
+    return run
+
+
+def budgeted(decisions: DataFrame, totals: DataFrame, loss: float, gain: float) -> DataFrame:
+    """owner, component_id, outcome of decisions (with ``owner``) under the class budgets of their owner partition.
+
+    ``totals``: owner, class_index, pixels. A partition's decisions meet in one group; a partition is a window of fixed size.
+    """
+    source = totals.select("owner", "class_index", F.col("pixels").alias("source_total"))
+    target = totals.select("owner", F.col("class_index").alias("target_class"), F.col("pixels").alias("target_total"))
+    rows = decisions.join(source, ["owner", "class_index"], "left").join(target, ["owner", "target_class"], "left").fillna(0, ["source_total", "target_total"])
+    return rows.groupBy("owner").applyInPandas(_within_budgets(loss, gain), "owner long, component_id long, outcome string")
+
+
+def boundary_delta(chosen: DataFrame, contacts: DataFrame) -> DataFrame:
+    """component_id, delta: sides of boundary that go when a component takes its target's class (4-neighbour contacts)."""
+    met = contacts.select("component_id", F.col("other_class_index").alias("target_class"), "contact")
+    gone = chosen.join(met, ["component_id", "target_class"], "left").groupBy("component_id").agg(F.coalesce(F.sum("contact"), F.lit(0)).alias("gone"))
+    return gone.select("component_id", (-F.col("gone")).alias("delta"))
+
+
+def explain(judged: DataFrame, chosen: DataFrame) -> DataFrame:
+    """component_id, place, gate, passed: every gate of a component in order; a gate after a failed one isn't asked."""
+    gates = ("outside_threshold", "protected_class", "touches_processing_border", "elongated_component", "no_larger_neighbor")
+    rows = judged.select("component_id", "reason").join(chosen.select("component_id", F.lit(True).alias("chosen")), "component_id", "left")
+    failed = F.coalesce("reason", F.when(F.col("chosen").isNull(), gates[-1]))
+    stop = F.coalesce(F.array_position(F.array(*map(F.lit, gates)), failed), F.lit(len(gates)))
+    asked = F.transform(F.slice(F.array(*map(F.lit, gates)), F.lit(1), stop.cast("int")), lambda g, i: F.struct((i + 1).alias("place"), g.alias("gate"), (~g.eqNullSafe(failed)).alias("passed")))
+    return rows.select("component_id", F.explode(asked).alias("g")).select("component_id", "g.place", "g.gate", "g.passed")

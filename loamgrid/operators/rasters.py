@@ -152,3 +152,56 @@ def cell_mixture(labels: DataFrame, side: int) -> DataFrame:
     whole = W.partitionBy("cell_x", "cell_y")
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(whole))
     return share.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("pixels"), F.count("*").alias("classes"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
+
+
+def boundary_cells(labels: DataFrame) -> DataFrame:
+    """x, y of pixels with a 4-neighbour of another class."""
+    return neighbours(labels.select("x", "y", "class_index"), ["class_index"]).where("class_index <> other_class_index").select("x", "y").distinct()
+
+
+def nearest(cells: DataFrame, others: DataFrame, radius: int = 2) -> DataFrame:
+    """x, y, distance to the nearest of ``others``; cells meet on a grid as wide as the radius, which doubles for what is left."""
+    from loamgrid.sources.scratch import saved
+
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left, found = cells, None
+    if not others.head(1):
+        return cells.withColumn("distance", F.lit(None).cast("double"))
+    while True:
+        at = lambda c, r=radius: F.floor(F.col(c) / r)
+        grid = others.select(F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("gx"), at("y").alias("gy"))
+        asked = left.withColumn("s", F.explode(around)).select("x", "y", (at("x") + F.col("s.a")).alias("gx"), (at("y") + F.col("s.b")).alias("gy"))
+        gap = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
+        near = saved(asked.join(grid, ["gx", "gy"]).groupBy("x", "y").agg(F.min(gap).alias("distance")).where(F.col("distance") <= radius), "nearest")
+        found = near if found is None else found.unionByName(near)
+        left = saved(left.join(near, ["x", "y"], "left_anti"), "left")
+        if not left.head(1):
+            return found
+        radius *= 2
+
+
+def sample_cells(cells: DataFrame, run: str, size: int, apart: int) -> DataFrame:
+    """Cells of each run: the best under each of three rankings, then by entropy, at least ``apart`` cells from each other.
+
+    ``cells``: run, cell_x, cell_y, classes, pixels, entropy. Only the short list of the best 20 * size meets in a group.
+    """
+    import pandas as pd
+    from pyspark.sql import Window
+
+    order = {"entropy": F.desc("entropy"), "classes": F.desc("classes"), "pixels": F.asc("pixels")}
+    ranked = cells
+    for name, by in order.items():
+        ranked = ranked.withColumn(f"by_{name}", F.row_number().over(Window.partitionBy(run).orderBy(by, "cell_y", "cell_x")))
+    columns = [f"by_{n}" for n in order]
+    short = ranked.where((F.col("by_entropy") <= 20 * size) | (F.col("by_classes") == 1) | (F.col("by_pixels") == 1))
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: list[tuple[int, int]] = []
+        firsts = [rows.loc[rows[c].idxmin()] for c in columns]
+        for r in [*firsts, *(r for _, r in rows.sort_values("by_entropy").iterrows())]:
+            at = (int(r["cell_x"]), int(r["cell_y"]))
+            if len(taken) < size and all(max(abs(at[0] - x), abs(at[1] - y)) >= apart for x, y in taken):
+                taken.append(at)
+        return pd.DataFrame({run: [rows[run].iloc[0]] * len(taken), "place": range(1, len(taken) + 1), "cell_x": [x for x, _ in taken], "cell_y": [y for _, y in taken]})
+
+    return short.groupBy(run).applyInPandas(pick, f"{run} long, place int, cell_x long, cell_y long")

@@ -117,3 +117,25 @@ def test_escaped_search_takes_wildcards_literally(spark):
 def test_bounded_text_keeps_whole_characters(spark, size, want):
     row = spark.createDataFrame([("aé€\U00010348",)], "t string")
     assert row.select(relational.bounded_utf8(F.col("t"), size)).first()[0] == want
+
+
+def test_budgets_skip_what_breaks_them_and_go_on(spark):
+    decisions = spark.createDataFrame([(1, 10, 0, 2, 5), (1, 11, 0, 2, 4), (1, 12, 0, 2, 1), (1, 13, 1, 2, 6), (2, 20, 0, 2, 3)], "owner long, component_id long, class_index long, target_class long, pixel_count long")
+    totals = spark.createDataFrame([(1, 0, 10), (1, 1, 10), (1, 2, 100), (2, 0, 10), (2, 2, 2)], "owner long, class_index long, pixels long")
+    found = {r.component_id: r.outcome for r in cleanup.budgeted(decisions, totals, 0.7, 0.1).collect()}
+    # in ascending size: 1 and 4 fit, 5 would lose ten of seven allowed, 6 would win eleven of ten allowed
+    assert found == {12: "accepted", 11: "accepted", 10: "source_class_loss_budget", 13: "target_class_gain_budget", 20: "target_class_gain_budget"}
+
+
+def test_nearest_looks_as_far_as_it_must(spark):
+    cells = spark.createDataFrame([(0, 0), (3, 0), (90, 0)], "x long, y long")
+    found = rows(rasters.nearest(cells, spark.createDataFrame([(0, 1), (7, 3)], "x long, y long")))
+    assert [(x, round(d, 6)) for x, _, d in found] == [(0, 1.0), (3, round(10**0.5, 6)), (90, round((83**2 + 9) ** 0.5, 6))]
+
+
+def test_sampled_cells_keep_their_distance(spark):
+    cells = [(1, x, y, (x * 7 + y * 3) % 5, 10 + (x + y) % 3, float((x * 13 + y * 29) % 17)) for x in range(20) for y in range(20)]
+    found = rasters.sample_cells(spark.createDataFrame(cells, "run_id long, cell_x long, cell_y long, classes long, pixels long, entropy double"), "run_id", 8, 3).collect()
+    at = [(r.cell_x, r.cell_y) for r in sorted(found, key=lambda r: r.place)]
+    assert len(at) == 8 and all(max(abs(a - c), abs(b - d)) >= 3 for i, (a, b) in enumerate(at) for c, d in at[:i])
+    assert at[0] == min(((c[1], c[2]) for c in cells if c[5] == 16.0), key=lambda p: (p[1], p[0]))
