@@ -37,8 +37,8 @@ from loamgrid.llm.words import slices
 WINDOW = 2048
 END = 1
 #: Rounds in one part of the stream.
-_PART_ROUNDS = 8192
-_SLICE = 8 << 20
+_PART_ROUNDS = 1024
+_SLICE = 4 << 20
 #: White space before a space: there pieces of the tokenizer may run over a space.
 _ODD = re.compile(r"\s ")
 
