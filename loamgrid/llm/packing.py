@@ -36,8 +36,9 @@ from loamgrid.llm.words import slices
 
 WINDOW = 2048
 END = 1
-#: Rounds in one part of the stream.
+#: Rounds in one part of the stream; bits of the row numbers in one part of an ordered queue.
 _PART_ROUNDS = 1024
+_PART_BITS = 11
 _SLICE = 4 << 20
 #: White space before a space: there pieces of the tokenizer may run over a space.
 _ODD = re.compile(r"\s ")
@@ -122,7 +123,7 @@ def _tokenize(vocabulary: str, ranks: str, end: int):
         for batch in batches:
             for part in slices(batch, limit=_SLICE):
                 ids = [np.append(x, end) for x in tokens([t or "" for t in part.column("text").to_pylist()])]
-                rows = pa.array(np.arange(number, number + len(ids)))
+                rows = part.column("row") if "row" in part.schema.names else pa.array(np.arange(number, number + len(ids)))
                 number += len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [rows, part.column("doc_id"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.large_binary())], schema=_TOKENS
@@ -150,13 +151,15 @@ def _before(value: str, by: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
-def places(tokens: DataFrame, shares: DataFrame | None = None, window: int = WINDOW) -> DataFrame:
+def places(tokens: DataFrame, shares: DataFrame | None = None, window: int = WINDOW, ordered: bool = False) -> DataFrame:
     """row and at (tokens before the document in the whole stream) from row, source, n.
 
     ``shares`` (source, share): target token proportions, any positive scale; by default the corpus' own, with which all
-    queues last to the end.  A source that it misses gets the least quantum, one token a round.
+    queues last to the end.  A source that it misses gets the least quantum, one token a round.  Queues are in an order
+    by hash, or, if ``ordered``, in that of row.
     """
-    tokens = tokens.select("row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "n").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(4096)))
+    tokens = tokens.select("row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "n")
+    tokens = tokens.withColumn("part", F.shiftright("row", _PART_BITS) if ordered else F.pmod(F.xxhash64("row"), F.lit(4096)))
     sizes = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum("n").alias("share"))
     if shares is not None:
@@ -171,20 +174,22 @@ def places(tokens: DataFrame, shares: DataFrame | None = None, window: int = WIN
     return sent.withColumn("within", _before("n", ["part"], ["round", "source", "upto"])).join(parts, "part").select("row", (F.col("ahead") + F.col("within")).alias("at"))
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, shares: DataFrame | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, shares: DataFrame | None = None, window: int = WINDOW, end: int = END, order: str | None = None) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs`` needs doc_id, text and source; other columns are ignored.  Each document's ids are followed by ``end``; a null or
     empty text is that id alone.  Every row is packed, repeated rows each on their own; null sources form one queue.
+    ``order`` names a column of longs, another one in each row, by which queues are served.
     ``vocabulary`` and ``ranks`` are file paths that every executor can open, by default those of the public 50k byte-level BPE.
     """
     if not (vocabulary and ranks):
         import public_tokenizers
 
         vocabulary, ranks = vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    row = [F.col(order).cast("long").alias("row")] if order else []
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *row)
     tokens = saved(docs.mapInArrow(_tokenize(str(vocabulary), str(ranks), end), "row long, doc_id long, source string, n long, ids binary"), "tokens")
-    return tokens.select("row", "doc_id", "n", "ids").join(places(tokens, shares, window), "row").select("doc_id", "n", "at", "ids").mapInArrow(
+    return tokens.select("row", "doc_id", "n", "ids").join(places(tokens, shares, window, bool(order)), "row").select("doc_id", "n", "at", "ids").mapInArrow(
         _cut(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
+from loamgrid.llm import source_mixing
 from loamgrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import database, differences
+from tests.llm.conftest import SCHEMA, prose
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -34,3 +36,23 @@ def test_pipeline_stages(spark, sf_dir):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).cache()
     assert pieces.select("doc_id").distinct().count() == before
     assert pieces.groupBy("sequence_id").sum("length").where("`sum(length)` < 2048").count() <= 1
+
+
+@pytest.mark.parametrize("split", ["128m", "16k"])
+def test_sequences_follow_the_mix(spark, tmp_path, split):
+    rows = [(i, prose(i % 50, 40 + i % 7), "en", "hot" if i % 10 else "rare", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mixed = source_mixing.mix_sources(docs.select("doc_id", "source")).toPandas().sort_values(["slot", "place"])
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        pieces = corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / "mixed")), "").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert pieces.length.sum() == pieces[pieces.start == 0].doc_tokens.sum() and pieces.doc_id.nunique() == 4000
+    pieces = pieces.merge(mixed[["doc_id", "source"]], "left").sort_values(["sequence_id", "offset"])
+    for source in ("hot", "rare"):
+        assert pieces[(pieces.source == source) & (pieces.start == 0)].doc_id.tolist() == mixed[mixed.source == source].doc_id.tolist()
+    weight = {"hot": int(3600**0.5), "rare": int(400**0.5)}
+    first = pieces[pieces.sequence_id < 20].groupby("source").length.sum()
+    assert abs(first["rare"] / first.sum() - weight["rare"] / sum(weight.values())) < 0.03
