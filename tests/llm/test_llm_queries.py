@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loamgrid.llm import source_mixing
+from loamgrid.llm import near_copies, source_mixing
 from loamgrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import database, differences
 from tests.llm.conftest import SCHEMA, prose
@@ -56,3 +57,42 @@ def test_sequences_follow_the_mix(spark, tmp_path, split):
     weight = {"hot": int(3600**0.5), "rare": int(400**0.5)}
     first = pieces[pieces.sequence_id < 20].groupby("source").length.sum()
     assert abs(first["rare"] / first.sum() - weight["rare"] / sum(weight.values())) < 0.03
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    """Copies with edits here and there, of similarities on both sides of 0.8, against all pairs."""
+    texts = {}
+    for g in range(8):
+        base = [f"w{g}x{k}" for k in range(200)]
+        for c in range(9):
+            words = list(base)
+            for k in range(c):
+                words[7 + 23 * k] = f"e{g}x{c}x{k}"
+            texts[100 * g + c] = " ".join(words)
+    texts |= {900: "a B c", 901: "A  b c", 902: "a b", 903: "", 904: None}
+    grams = {}
+    for i, t in texts.items():
+        words = (t or "").lower().split()
+        grams[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    near = lambda i, j: len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+    root = {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            root[i] = min(root[j] for j in texts if near(i, j))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(root.values())
+    assert len(kept) < len(texts) - 30
+
+
+def test_near_dedup_of_no_rows(spark):
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_shingles_of_slices():
+    texts = pa.array(["A b c d e f g", None, "x Y", "", "a b c d e f", *[prose(i, 9).upper() for i in range(5)]])
+    each = [near_copies.shingles(texts.slice(i, 1))[0].tolist() for i in range(len(texts))]
+    for at, n in ((0, 10), (1, 3), (4, 6), (1, 1)):
+        grams, edge = near_copies.shingles(texts.slice(at, n))
+        assert [grams[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == each[at : at + n]
+    assert [len(x) for x in each[:5]] == [3, 0, 1, 0, 2] and set(each[4]) < set(each[0])
