@@ -1,19 +1,18 @@
 """Op 1: quality rules by a hashed n-gram log-likelihood ratio.
 
 Word n-grams are hashed into a fixed number of buckets.  Two multinomials over
-the buckets are counted in one pass over all documents: the raw corpus and its
-trusted part.  A document's score is its mean log ratio of the two over its
+the buckets are counted: the raw corpus and its trusted part.  A document's score is its mean log ratio of the two over its
 n-grams, so its length doesn't matter.  Every document whose score lies under
 a threshold is rejected.  The threshold lies as far below the ``quantile`` of the
 trusted documents' own scores as that lies below their median; both come from an
 exact histogram, so that the same corpus always gives the same verdicts.  Log ratios are fixed-point integers: sums
 don't depend on the order of rows.
 
-The raw counts and the threshold cover all documents.  The trusted multinomial is
-fitted on the ``trusted_docs`` trusted documents first by hash of their id (all,
-if there are fewer): their ids are broadcast, so that no text is shuffled.  The
-counts table is bounded by ``buckets`` rows and the histogram by the range of
-the scores; only these and the sampled ids reach the driver.
+Both counts and the threshold cover all documents.  Raw counts need no shuffle of texts; the trusted ones are
+taken in a second pass over the documents that meet a trusted id, so that at most
+the texts are shuffled, and none where Spark finds the ids small enough to broadcast.  The
+counts tables are bounded by ``buckets`` rows and the histogram by the range of
+the scores; only these reach the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ _BINS = 1000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _REPEAT = 8
-_COUNTED = pa.schema([("bucket", pa.int64()), ("raw", pa.int64()), ("trusted", pa.int64())])
+_COUNTED = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
 _SCORED = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log_ratio")])
 
 
@@ -52,15 +51,13 @@ def _grams(words: Words, orders: tuple[int, ...], buckets: int) -> list[tuple[np
 
 def _count(orders: tuple[int, ...], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for part in slices(batch):
-                good = part.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-                for bucket, row in _grams(Words(part.column("text")), orders, buckets):
-                    raw += np.bincount(bucket, minlength=buckets)
-                    trusted += np.bincount(bucket[good[row]], minlength=buckets)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(trusted[seen])], schema=_COUNTED)
+                for bucket, _ in _grams(Words(part.column("text")), orders, buckets):
+                    total += np.bincount(bucket, minlength=buckets)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=_COUNTED)
 
     return run
 
@@ -133,7 +130,6 @@ def quality_rules(
     buckets: int = 1 << 16,
     smoothing: float = 1.0,
     quantile: float = 0.002,
-    trusted_docs: int = 100_000,
     min_words: int = 20,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
@@ -146,14 +142,15 @@ def quality_rules(
     the base rules there is no threshold and the base rules decide alone.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    trusted = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    sample = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs)
-    flagged = docs.join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = flagged.mapInArrow(_count(orders, buckets), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    counts = counted.toPandas()
-    raw, good = np.full(buckets, smoothing), np.full(buckets, smoothing)
-    raw[counts["bucket"]] += counts["raw"]
-    good[counts["bucket"]] += counts["trusted"]
+    trusted = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+
+    def counts(texts: DataFrame) -> np.ndarray:
+        found = texts.select("text").mapInArrow(_count(orders, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        total = np.full(buckets, smoothing)
+        total[found["bucket"]] += found["n"]
+        return total
+
+    raw, good = counts(docs), counts(docs.join(trusted, "doc_id", "left_semi"))
     ratio = np.rint((np.log(good / good.sum()) - np.log(raw / raw.sum())) * _SCALE).astype(np.int64)
     scored = saved(docs.mapInArrow(_score(orders, ratio), ", ".join(f"{n} long" for n in _SCORED.names)), "scores")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -83,6 +83,12 @@ def test_quality_verdicts_do_not_depend_on_partitions(spark):
     assert a == b
 
 
+def test_quality_counts_every_trusted_document(spark):
+    """Where all documents are trusted, both multinomials are one and every log ratio is zero, with many documents too."""
+    docs = spark.range(0, 100_400, numPartitions=4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20), k -> concat('w', id * k % 9973))) AS text")
+    assert quality_rules.quality_rules(docs, docs).where("llr <> 0").count() == 0
+
+
 # ---- op 2 ----
 
 
