@@ -1,18 +1,21 @@
 """Op 9: packing token sequences to target proportions by deficit round robin.
 
-Every source is a queue of documents.  A round gives each queue a quantum of
-tokens, its target share of one window; a queue sends documents while
-its deficit covers them and carries the rest over.  With full queues a
-document leaves in the round in which the running total of its queue's quanta reaches the
-running total of its tokens.  So a document's round follows from a prefix sum over its queue, and
-deficits pass over windows and partitions without any sequential pass.
-Ordered by round, then source, the documents form one stream that is cut every
-``window`` tokens: each window holds its sources' shares up to the documents that
-cross its edges, and only the last window of the corpus is padded.
-
-Both prefix sums have two levels (within a part; over the parts' totals), so that
-no queue and no stream meets in one task.  Tokens are computed once, saved, and
-met again by row number to take the pieces' checksums.
+Every source is a queue of documents.  A round adds to each queue's deficit its quantum, the
+target share of one window, and the queue sends as many whole tokens as the deficit
+holds; what is left of it, a fraction of a token, is carried into the next round.  Documents are cut where a
+round ends.  So a round sends one window's worth of every queue, and each
+window holds the target proportions, however long the documents are, until a queue has run out; then
+the others share what it leaves.
+
+Quanta are fractions of one denominator: a queue gets ``amount`` tokens in ``period`` rounds, and after r rounds
+it has sent floor(r * amount / period) tokens, or all it has.  Hence the place of every token in the stream follows from its
+place in its queue: deficits pass over windows and partitions without any sequential pass, and
+no stream of all documents is ever sorted.  Only the documents' places in their queues are summed up, in
+three levels (within a part; over the parts of a block; over the blocks), so that no
+queue meets in one task.  The stream is cut every ``window`` tokens; only the corpus' last window is padded.
+
+Tokens are computed once, saved, and met again by row number to take the pieces' checksums.  What a
+task holds of the plan is ``period`` numbers for each source.
 """
 
 from __future__ import annotations
@@ -36,9 +39,12 @@ from loamgrid.llm.words import slices
 
 WINDOW = 2048
 END = 1
-#: Rounds in one part of the stream; bits of the row numbers in one part of an ordered queue.
-_PART_ROUNDS = 1024
-_PART_BITS = 11
+#: Rounds in which amounts of tokens are whole numbers, at least.
+_PERIOD = 64
+#: Low bits of a document's place in its queue that don't tell its part, and its block of parts: by hash (63 bits), or by
+#: row number (a file's number, then 33 bits within the file).
+_HASH_BITS = (43, 53)
+_ORDERED_BITS = (11, 43)
 _SLICE = 4 << 20
 #: White space before a space: there pieces of the tokenizer may run over a space.
 _ODD = re.compile(r"\s ")
@@ -132,16 +138,104 @@ def _tokenize(vocabulary: str, ranks: str, end: int):
     return run
 
 
-def _cut(window: int):
+class Rounds:
+    """Places in the stream of deficit round robin.
+
+    ``size``: tokens of each queue; ``share``: its target, any positive scale.  ``amount`` tokens of each are
+    sent in ``period`` rounds; the amounts add up to ``period`` windows (largest remainders, one token at least).
+    """
+
+    def __init__(self, size: np.ndarray, share: np.ndarray, window: int) -> None:
+        self.size, self.window = size.astype(np.int64), window
+        self.period = max(_PERIOD, -(-8 * len(size) // window))
+        ideal = share / share.sum() * (self.period * window) if len(size) else share
+        amount = np.maximum(1, np.floor(ideal)).astype(np.int64)
+        spare = self.period * window - int(amount.sum())
+        if spare > 0:
+            amount[np.argsort(amount - ideal, kind="stable")[:spare]] += 1
+        self.amount = amount
+        #: A queue runs out within cycle ``size // amount`` (a cycle is ``period`` rounds) and is empty from ``ends`` on.
+        self.ends = -(-self.size // amount)
+        order = np.argsort(self.ends, kind="stable")
+        self.sorted_ends = self.ends[order]
+        self.out = np.concatenate([[0], np.cumsum(self.size[order])])
+        self.left = amount.sum() - np.concatenate([[0], np.cumsum(amount[order])])
+        self.broken = np.unique((self.size // amount)[self.size % amount > 0])
+        self.tables: dict[tuple[bool, int], np.ndarray] = {}
+
+    def round_of(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The round (from 0) that sends token ``at`` of a queue."""
+        return ((at + 1) * self.period - 1) // self.amount[queue]
+
+    def sent(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Tokens that a queue has sent after so many rounds, if it hasn't run out."""
+        return rounds * self.amount[queue] // self.period
+
+    def _table(self, cycle: int) -> np.ndarray:
+        """For each round of a cycle and queue the tokens sent in the cycle before that queue's turn; equal for cycles between two ends."""
+        broken = bool(np.isin(cycle, self.broken))
+        key = (broken, cycle if broken else int(np.searchsorted(self.sorted_ends, cycle, "right")))
+        if key not in self.tables:
+            if len(self.tables) >= 16:
+                self.tables.clear()
+            has = np.clip(self.size - cycle * self.amount, 0, self.amount)
+            upto = np.minimum(has, np.arange(self.period + 1)[:, None] * self.amount // self.period)
+            turn = np.diff(upto, axis=0)
+            self.tables[key] = upto[:-1].sum(1, keepdims=True) + np.cumsum(turn, axis=1) - turn
+        return self.tables[key]
+
+    def turn(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of the whole stream before a queue's turn in a round."""
+        cycle, place = np.divmod(rounds, self.period)
+        cycles, back = np.unique(cycle, return_inverse=True)
+        gone = np.searchsorted(self.sorted_ends, cycles, "right")
+        before = (self.out[gone] + cycles * self.left[gone])[back]
+        kind = np.where(np.isin(cycles, self.broken), -1 - cycles, gone)
+        for k in np.unique(kind):
+            here = np.flatnonzero((kind == k)[back])
+            before[here] += self._table(int(cycles[kind == k][0]))[place[here], queue[here]]
+        return before
+
+    def pieces(self, queue: np.ndarray, ahead: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, start in it, length and place in the stream of each piece of documents of ``n`` tokens that stand behind ``ahead`` tokens of their queue."""
+        first, last = self.round_of(queue, ahead), self.round_of(queue, ahead + n - 1)
+        slow = self.amount[queue] < self.period  # at most one token a round: go by tokens
+        count = np.where(slow, n, last - first + 1)
+        doc = np.repeat(np.arange(len(n)), count)
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        q = queue[doc]
+        rounds = np.where(slow[doc], self.round_of(q, ahead[doc] + step), first[doc] + step)
+        opens = self.sent(q, rounds)
+        a = np.maximum(ahead[doc], opens)
+        length = np.minimum(ahead[doc] + n[doc], self.sent(q, rounds + 1)) - a
+        at = self.turn(q, rounds) + a - opens
+        start = a - ahead[doc]
+        # turns of one document that follow each other in the stream are one piece
+        head = np.ones(len(doc), bool)
+        head[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + length[:-1])
+        head = np.flatnonzero(head)
+        doc, start, at = doc[head], start[head], at[head]
+        length = np.add.reduceat(length, head) if len(head) else length
+        cuts = (at + length - 1) // self.window - at // self.window + 1
+        part = np.repeat(np.arange(len(doc)), cuts)
+        edge = (at[part] // self.window + np.arange(len(part)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * self.window
+        begin, end = np.maximum(at[part], edge), np.minimum(at[part] + length[part], edge + self.window)
+        return doc[part], start[part] + begin - at[part], end - begin, begin
+
+
+def _cut(rounds: Rounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, n, at, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "at", "ids")), strict=True):
-                data = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
-                for sequence in range(at // window, (at + n - 1) // window + 1):
-                    a, b = max(at, sequence * window), min(at + n, (sequence + 1) * window)
-                    rows.append((doc_id, a - at, b - a, zlib.crc32(data[4 * (a - at) : 4 * (b - at)]), n, sequence, a - sequence * window))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES, strict=True)] if rows else [pa.array([], f.type) for f in _PIECES], schema=_PIECES)
+            for part in slices(batch, "ids", _SLICE):
+                n, queue, ahead = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "queue", "ahead"))
+                doc, start, length, at = rounds.pieces(queue, ahead, n)
+                sums, of = np.empty(len(doc), np.int64), np.searchsorted(doc, np.arange(part.num_rows + 1))
+                for i, ids in enumerate(part.column("ids").to_pylist()):
+                    data = memoryview(np.frombuffer(ids, f"<u{len(ids) // n[i]}").astype("<u4").tobytes())
+                    a, b = (4 * start[of[i] : of[i + 1]]).tolist(), (4 * (start + length)[of[i] : of[i + 1]]).tolist()
+                    sums[of[i] : of[i + 1]] = [zlib.crc32(data[x:y]) for x, y in zip(a, b, strict=True)]
+                made = (start, length, sums, n[doc], at // rounds.window, at % rounds.window)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), *map(pa.array, made)], schema=_PIECES)
 
     return run
 
@@ -151,27 +245,22 @@ def _before(value: str, by: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
-def places(tokens: DataFrame, shares: DataFrame | None = None, window: int = WINDOW, ordered: bool = False) -> DataFrame:
-    """row and at (tokens before the document in the whole stream) from row, source, n.
+def queue_places(tokens: DataFrame, ordered: bool = False) -> DataFrame:
+    """row, source and ahead (tokens before the document in its source's queue) from row, source, n.
 
-    ``shares`` (source, share): target token proportions, any positive scale; by default the corpus' own, with which all
-    queues last to the end.  A source that it misses gets the least quantum, one token a round.  Queues are in an order
-    by hash, or, if ``ordered``, in that of row.
+    Queues are in an order by hash, or, if ``ordered``, in that of row.  Sums go by parts, blocks of parts, and blocks.
     """
-    tokens = tokens.select("row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "n")
-    tokens = tokens.withColumn("part", F.shiftright("row", _PART_BITS) if ordered else F.pmod(F.xxhash64("row"), F.lit(4096)))
-    sizes = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    totals = sizes.groupBy("source").agg(F.sum("n").alias("share"))
-    if shares is not None:
-        given = shares.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), F.col("share").cast("double").alias("given"))
-        totals = totals.join(given, "source", "left").select("source", F.coalesce("given", F.lit(0.0)).alias("share"))
-    quanta = totals.select("source", F.greatest(F.lit(1), F.floor(F.col("share") * window / F.sum("share").over(W.partitionBy()))).alias("quantum"))
-    offsets = sizes.select("source", "part", _before("n", ["source"], ["part"]).alias("ahead")).join(quanta, "source")
-    queued = tokens.withColumn("upto", _before("n", ["source", "part"], ["row"]) + F.col("n")).join(offsets, ["source", "part"])
-    upto = F.col("ahead") + F.col("upto")
-    sent = queued.select("row", "source", "n", upto.alias("upto"), F.ceil(upto / F.col("quantum")).alias("round")).withColumn("part", F.floor(F.col("round") / _PART_ROUNDS))
-    parts = sent.groupBy("part").agg(F.sum("n").alias("n")).select("part", _before("n", [], ["part"]).alias("ahead"))
-    return sent.withColumn("within", _before("n", ["part"], ["round", "source", "upto"])).join(parts, "part").select("row", (F.col("ahead") + F.col("within")).alias("at"))
+    place = F.col("row") if ordered else F.shiftrightunsigned(F.xxhash64("row"), 1)
+    small, large = _ORDERED_BITS if ordered else _HASH_BITS
+    tokens = tokens.select("row", "source", "n", place.alias("place"))
+    tokens = tokens.withColumn("part", F.shiftright("place", small)).withColumn("block", F.shiftright("place", large))
+    parts = tokens.groupBy("source", "block", "part").agg(F.sum("n").alias("n"))
+    blocks = parts.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("source", "block", _before("n", ["source"], ["block"]).alias("far"))
+    parts = parts.select("source", "block", "part", _before("n", ["source", "block"], ["part"]).alias("near"))
+    offsets = parts.join(blocks, ["source", "block"]).select("source", "part", (F.col("near") + F.col("far")).alias("offset"))
+    within = tokens.withColumn("within", _before("n", ["source", "part"], ["place", "row"]))
+    return within.join(offsets, ["source", "part"]).select("row", "source", (F.col("offset") + F.col("within")).alias("ahead"))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, shares: DataFrame | None = None, window: int = WINDOW, end: int = END, order: str | None = None) -> DataFrame:
@@ -179,7 +268,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
 
     ``docs`` needs doc_id, text and source; other columns are ignored.  Each document's ids are followed by ``end``; a null or
     empty text is that id alone.  Every row is packed, repeated rows each on their own; null sources form one queue.
-    ``order`` names a column of longs, another one in each row, by which queues are served.
+    ``shares`` (source, share): target token proportions, any positive scale; by default the corpus' own, with which all queues last
+    to the end.  A source that it misses, or gives no positive share, gets the least share given.  ``order`` names a
+    column of longs, another one in each row, by which queues are served (by default a hash).
     ``vocabulary`` and ``ranks`` are file paths that every executor can open, by default those of the public 50k byte-level BPE.
     """
     if not (vocabulary and ranks):
@@ -187,10 +278,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
 
         vocabulary, ranks = vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     row = [F.col(order).cast("long").alias("row")] if order else []
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *row)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), F.col("text").cast("string"), *row)
     tokens = saved(docs.mapInArrow(_tokenize(str(vocabulary), str(ranks), end), "row long, doc_id long, source string, n long, ids binary"), "tokens")
-    return tokens.select("row", "doc_id", "n", "ids").join(places(tokens, shares, window, bool(order)), "row").select("doc_id", "n", "at", "ids").mapInArrow(
-        _cut(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    queues = tokens.groupBy("source").agg(F.sum("n").alias("size")).withColumn("share", F.col("size").cast("double"))
+    if shares is not None:
+        given = shares.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), F.col("share").cast("double").alias("given")).where("given > 0")
+        queues = queues.drop("share").join(given, "source", "left").select("source", "size", F.coalesce("given", F.min("given").over(W.partitionBy()), F.lit(1.0)).alias("share"))
+    plan = queues.toPandas().sort_values("source", ignore_index=True)  # one row a source
+    rounds = Rounds(plan["size"].to_numpy(np.int64), plan["share"].to_numpy(float), window)
+    numbers = tokens.sparkSession.createDataFrame([(s, i) for i, s in enumerate(plan["source"])], "source string, queue int")
+    placed = queue_places(tokens, bool(order)).join(numbers, "source").select("row", "queue", "ahead")
+    return tokens.select("row", "doc_id", "n", "ids").join(placed, "row").select("doc_id", "n", "queue", "ahead", "ids").mapInArrow(
+        _cut(rounds), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
 

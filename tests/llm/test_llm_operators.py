@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -335,15 +336,73 @@ def test_pieces_hold_every_id_once(spark, odd):
     assert all(n == 2048 for s, n in end.items() if s < max(end))
 
 
-def test_windows_follow_the_target_shares(spark):
-    rows = [(i, "ab"[i % 4 == 0], 10 + i % 7) for i in range(8000)]
-    tokens = spark.createDataFrame(rows, "row long, source string, n long")
-    shares = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double")
-    at = packing.places(tokens, shares, window=256).join(tokens, "row").toPandas().sort_values("at")
-    assert (at["at"].to_numpy() == np.concatenate([[0], np.cumsum(at["n"])[:-1]])).all()
-    half = at[at["at"] < at["n"].sum() // 2]
-    for _, part in half.groupby(half["at"] // 2048):
-        assert abs(part[part.source == "b"]["n"].sum() / part["n"].sum() - 0.25) < 0.03
+def deficit_round_robin(size, amount, period):
+    """The loop: (queue, place in it) of every token in order."""
+    deficit, sent, out = [0] * len(size), [0] * len(size), []
+    while sum(sent) < sum(size):
+        for q in range(len(size)):
+            deficit[q] += amount[q]
+            send = min(deficit[q] // period, size[q] - sent[q])
+            deficit[q] -= period * (deficit[q] // period)
+            out += [(q, sent[q] + k) for k in range(send)]
+            sent[q] += send
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_places_equal_the_loop(seed):
+    r = np.random.default_rng(seed)
+    lengths = [r.integers(1, 900, r.integers(1, 12)) for _ in range(r.integers(1, 30 if seed == 3 else 6))]
+    size = np.array([x.sum() for x in lengths])
+    share = size.astype(float) if seed % 2 else r.integers(1, 50, len(size)).astype(float)
+    rounds = packing.Rounds(size, share, 16 if seed == 3 else 64)
+    assert rounds.amount.sum() == rounds.period * rounds.window
+    at = {t: i for i, t in enumerate(deficit_round_robin(size.tolist(), rounds.amount.tolist(), rounds.period))}
+    queue = np.repeat(np.arange(len(size)), [len(x) for x in lengths])
+    n = np.concatenate(lengths)
+    ahead = np.concatenate([np.cumsum(x) - x for x in lengths])
+    shuffled = r.permutation(len(n))
+    seen = set()
+    for d, start, length, place in zip(*rounds.pieces(queue[shuffled], ahead[shuffled], n[shuffled]), strict=True):
+        i = shuffled[d]
+        assert place // rounds.window == (place + length - 1) // rounds.window
+        for k in range(length):
+            assert at[queue[i], ahead[i] + start + k] == place + k
+            seen.add(place + k)
+    assert seen == set(range(size.sum()))
+
+
+def test_every_window_holds_its_target_shares(spark):
+    """Documents of many windows each; every full window within one quantum of each target while all queues last."""
+    rows = [(i, " ".join(f"{c}{i % 7}{k % 10}" for k in range((300, 40, 2500)[i % 3])), "en", "abc"[i % 3], 0) for i, c in enumerate("xyz" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {"a": 0.5, "b": 0.1, "c": 0.4}
+    got = packing.pack(docs, shares=spark.createDataFrame(list(want.items()), "source string, share double"), window=256).toPandas()
+    got["source"] = ["abc"[i % 3] for i in got.doc_id]
+    last = got.groupby("source").sequence_id.max().min()
+    assert last > 10 and got.groupby("doc_id").length.sum().max() > 10 * 256
+    for sequence, part in got[got.sequence_id < last].groupby("sequence_id"):
+        assert part.length.sum() == 256
+        for source, share in want.items():
+            assert abs(part[part.source == source].length.sum() - share * 256) <= max(1, share * 256), (sequence, source)
+
+
+def test_ten_thousand_queues():
+    size = np.arange(10_000) % 97 + 1
+    rounds = packing.Rounds(size, np.ones(len(size)), 2048)
+    doc, start, length, at = rounds.pieces(np.arange(len(size)), np.zeros(len(size), np.int64), size)
+    order = np.argsort(at)
+    assert (at[order] == np.cumsum(length[order]) - length[order]).all() and length.sum() == size.sum()
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_queue_places_are_prefix_sums(spark, ordered):
+    rows = [((i % 5 << 40) + i, f"s{i % 3 and 1}", 1 + i % 7) for i in range(3000)]
+    got = packing.queue_places(spark.createDataFrame(rows, "row long, source string, n long"), ordered).toPandas().merge(pd.DataFrame(rows, columns=["row", "source", "n"]), on=["row", "source"])
+    for _, part in got.groupby("source"):
+        part = part.sort_values("ahead")
+        assert (part.ahead.to_numpy() == np.cumsum(part.n) - part.n).all()
+        assert not ordered or part.row.is_monotonic_increasing
 
 
 # ---- op 10 ----
