@@ -12,9 +12,11 @@ but what stands inside the medium at byte 0 is listed.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -28,142 +30,197 @@ UNIT = 64
 RATE = 8000
 
 
-def _riff(data: bytes, at: int) -> int | None:
-    """RIFF: chunks that fill the stated length exactly; WAVE needs a format before its data."""
-    if len(data) < at + 12:
+class Content:
+    """Bytes, with what several walks over them share: places of marks, and where chains of parts lead.
+
+    A chain's parts depend on where they stand, not on the medium that they are reached from, so a place
+    that a walk has passed is not walked again: all walks together take time in proportion to the bytes.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.marks: dict[bytes, list[int]] = {}
+        self.ends: dict[tuple, int | None] = {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on where the expression ``mark`` matches, or the end."""
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(mark, self.data, re.DOTALL)]
+        i = bisect_left(self.marks[mark], at)
+        return self.marks[mark][i] if i < len(self.marks[mark]) else len(self.data)
+
+    def chain(self, kind: str, at: int, part: Callable[[bytes, int], tuple[int, bool] | None]) -> int | None:
+        """The end of the chain of parts at ``at``; ``part`` gives a part's end and whether it is the last, or None if it is broken."""
+        passed, end = [], None
+        while (kind, at) not in self.ends:
+            passed.append((kind, at))
+            found = part(self.data, at)
+            if found is None:
+                break
+            at, last = found
+            if last:
+                end = at
+                break
+        else:
+            end = self.ends[kind, at]
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+
+def _riff(c: Content, at: int) -> int | None:
+    """RIFF: chunks that fill the stated length exactly; WAVE needs a format before its data, WEBP an image."""
+    data = c.data
+    if len(data) < at + 20 or data[at : at + 4] != b"RIFF":
         return None
-    size = struct.unpack_from("<I", data, at + 4)[0]
-    end, seen, i = at + 8 + size, [], at + 12
-    if size < 4 or end > len(data):
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    first = b"fmt " if data[at + 8 : at + 12] == b"WAVE" else b"VP8"
+    if end > len(data) or end < at + 12:
         return None
-    while i < end:
+
+    def chunk(data: bytes, i: int) -> tuple[int, bool] | None:
         if i + 8 > end:
             return None
-        seen.append(data[i : i + 4])
-        i += 8 + struct.unpack_from("<I", data, i + 4)[0]
-        i += i - at & 1
-    first = b"fmt " if data[at + 8 : at + 12] == b"WAVE" else b"VP8"
-    return end - at if i == end and any(s.startswith(first) for s in seen) else None
+        after = i + 8 + struct.unpack_from("<I", data, i + 4)[0]
+        after += after - at & 1
+        return (after, after == end) if after <= end else None
 
+    # the chunks before the first wanted one are few in real files: a format or extended header leads
+    lead = data[at + 12 : at + 16]
+    return end - at if lead.startswith(first) and c.chain(f"riff{at & 1}:{end}", at + 12, chunk) == end else None
 
-def _png(data: bytes, at: int) -> int | None:
-    """PNG: IHDR first, every chunk with its CRC, IEND last."""
-    i, first = at + 8, True
-    while i + 12 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, i)
-        if (kind != b"IHDR" and first) or i + 12 + size > len(data) or zlib.crc32(data[i + 4 : i + 8 + size]) != struct.unpack_from(">I", data, i + 8 + size)[0]:
-            return None
-        i, first = i + 12 + size, False
-        if kind == b"IEND":
-            return i - at
-    return None
+
+def _png_chunk(data: bytes, i: int) -> tuple[int, bool] | None:
+    if i + 12 > len(data):
+        return None
+    size, kind = struct.unpack_from(">I4s", data, i)
+    end = i + 12 + size
+    if not kind.isalpha() or end > len(data) or zlib.crc32(memoryview(data)[i + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+        return None
+    return end, kind == b"IEND"
+
+
+def _png(c: Content, at: int) -> int | None:
+    """PNG: IHDR of 13 bytes first, every chunk with its CRC, IEND last."""
+    end = c.chain("png", at + 8, _png_chunk) if c.data[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else None
+    return end and end - at
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif_run(data: bytes, i: int) -> tuple[int, bool] | None:
+    """Blocks of up to 255 bytes, an empty one last."""
+    if i >= len(data):
+        return None
+    return i + 1 + data[i], not data[i]
+
+
+def _gif(c: Content, at: int) -> int | None:
     """GIF: colour tables, extension and image blocks, then the trailer."""
+    data = c.data
     if len(data) < at + 13:
         return None
-    i = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
-    images = 0
-    while i < len(data):
-        kind = data[i]
-        if kind == 0x3B:
-            return i + 1 - at if images else None
-        if kind == 0x2C:
-            if i + 10 > len(data):
-                return None
-            i += 11 + (3 << (data[i + 9] & 7) + 1 if data[i + 9] & 0x80 else 0)
-            images += 1
-        elif kind == 0x21:
-            i += 2
-        else:
+
+    def block(data: bytes, i: int) -> tuple[int, bool] | None:
+        if i >= len(data) or data[i] not in b";,!" or (data[i] == 0x2C and i + 10 > len(data)):
             return None
-        while i < len(data) and data[i]:
-            i += 1 + data[i]
-        i += 1
-    return None
+        if data[i] == 0x3B:
+            return i + 1, True
+        i += 2 if data[i] == 0x21 else 11 + (3 << (data[i + 9] & 7) + 1 if data[i + 9] & 0x80 else 0)
+        end = c.chain("gif run", i, _gif_run)
+        return end and (end, False)
 
+    start = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
+    end = c.chain("gif", start, block)
+    return end - at if end and end > start + 1 and data.find(b",", start, end) >= 0 else None
 
-def _jpeg(data: bytes, at: int) -> int | None:
+
+def _jpeg(c: Content, at: int) -> int | None:
     """JPEG: segments with lengths, one start of scan at least, then the end marker."""
-    i, scans = at + 2, 0
-    while i + 2 <= len(data):
-        if data[i] != 0xFF:
+
+    def segment(data: bytes, i: int) -> tuple[int, bool] | None:
+        if i + 2 > len(data) or data[i] != 0xFF:
             return None
         kind = data[i + 1]
         if kind == 0xD9:
-            return i + 2 - at if scans else None
+            return i + 2, True
         if kind == 0xFF:
-            i += 1
-            continue
-        if kind == 1 or 0xD0 <= kind <= 0xD8 or i + 4 > len(data):
-            return None
-        size = struct.unpack_from(">H", data, i + 2)[0]
-        if size < 2:
+            return i + 1, False
+        size = struct.unpack_from(">H", data, i + 2)[0] if i + 4 <= len(data) else 0
+        if kind == 1 or 0xD0 <= kind <= 0xD8 or size < 2:
             return None
         i += 2 + size
-        if kind == 0xDA:
-            scans += 1
-            while (i := data.find(b"\xff", i)) >= 0 and i + 1 < len(data) and (data[i + 1] == 0 or 0xD0 <= data[i + 1] <= 0xD7):
-                i += 2
-            if i < 0:
-                return None
-    return None
+        return (c.after(rb"\xff[^\x00\xd0-\xd7]", i) if kind == 0xDA else i), False
 
+    end = c.chain("jpeg", at + 2, segment)
+    return end - at if end and c.after(rb"\xff\xda", at) < end else None
 
-def _bmp(data: bytes, at: int) -> int | None:
+
+def _bmp(c: Content, at: int) -> int | None:
     """BMP: file size and pixel offset agree with the header, the known header sizes only."""
-    if len(data) < at + 26:
+    if len(c.data) < at + 26:
         return None
-    size, reserved, start, header = struct.unpack_from("<IIII", data, at + 2)
-    fits = header in (12, 40, 52, 56, 64, 108, 124) and not reserved and 14 + header <= start <= size <= len(data) - at
+    size, reserved, start, header = struct.unpack_from("<IIII", c.data, at + 2)
+    fits = header in (12, 40, 52, 56, 64, 108, 124) and not reserved and 14 + header <= start <= size <= len(c.data) - at
     return size if fits else None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
+def _ogg_page(data: bytes, i: int) -> tuple[int, bool] | None:
+    n = data[i + 26] if i + 27 <= len(data) else 0
+    if data[i : i + 5] != b"OggS\0" or i + 27 + n > len(data):
+        return None
+    end = i + 27 + n + sum(data[i + 27 : i + 27 + n])
+    return (end, bool(data[i + 5] & 4)) if end <= len(data) else None
+
+
+def _ogg(c: Content, at: int) -> int | None:
     """Ogg: consecutive pages of which the first begins and the last ends a stream."""
-    i, ended = at, False
-    while data[i : i + 5] == b"OggS\0" and i + 27 <= len(data) and not ended:
-        n = data[i + 26]
-        if i == at and not data[i + 5] & 2 or i + 27 + n > len(data):
-            return None
-        ended = bool(data[i + 5] & 4)
-        i += 27 + n + sum(data[i + 27 : i + 27 + n])
-        if i > len(data):
-            return None
-    return i - at if ended else None
+    end = c.chain("ogg", at, _ogg_page) if len(c.data) > at + 5 and c.data[at + 5] & 2 else None
+    return end and end - at
+
+
+def _flac_block(data: bytes, i: int) -> tuple[int, bool] | None:
+    if i + 4 > len(data):
+        return None
+    return i + 4 + int.from_bytes(data[i + 1 : i + 4], "big"), bool(data[i] >> 7)
 
 
-def _flac(data: bytes, at: int) -> int | None:
+def _flac(c: Content, at: int) -> int | None:
     """FLAC: the stream information and all metadata blocks, then a frame's sync code; it ends with the bytes."""
-    i, last = at + 4, False
-    while not last and i + 4 <= len(data):
-        last, kind, size = data[i] >> 7, data[i] & 127, int.from_bytes(data[i + 1 : i + 4], "big")
-        if i == at + 4 and (kind or size != 34):
-            return None
-        i += 4 + size
-    return len(data) - at if last and data[i : i + 1] == b"\xff" and data[i + 1 : i + 2] in (b"\xf8", b"\xf9") else None
+    end = c.chain("flac", at + 4, _flac_block) if c.data[at + 4 : at + 5] in (b"\0", b"\x80") and c.data[at + 5 : at + 8] == b"\0\0\x22" else None
+    return len(c.data) - at if end and c.data[end : end + 2] in (b"\xff\xf8", b"\xff\xf9") else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(c: Content, at: int) -> int | None:
     """PDF: a version, a cross-reference offset, and the end mark."""
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"." and data.find(b"startxref", at, max(end, at)) > 0 else None
+    end = c.after(b"%%EOF", at)
+    if end == len(c.data) or not (c.data[at + 5 : at + 6].isdigit() and c.data[at + 6 : at + 7] == b"."):
+        return None
+    return end + 5 - at if c.after(b"startxref", at) < end else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
-    """GZIP: the stream unpacks and its checksum holds."""
-    unpack, i = zlib.decompressobj(31), at
+def _gzip(c: Content, at: int) -> int | None:
+    """GZIP: a sound header, then the stream unpacks and its checksum and length hold."""
+    data, i = c.data, at + 10
+    flags = data[at + 3] if len(data) > i else 0xFF
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        i += 2 + int.from_bytes(data[i : i + 2], "little")
+    for bit in (8, 16):
+        i = c.after(rb"\x00", i) + 1 if flags & bit else i
+    i += 2 if flags & 2 else 0
+    if i >= len(data) or data[i] & 6 == 6:
+        return None
+    unpack, sums, size = zlib.decompressobj(-15), 0, 0
     try:
         while i < len(data) and not unpack.eof:
             rest = data[i : i + 65536]
             i += len(rest)
             while rest and not unpack.eof:
-                unpack.decompress(rest, 1 << 20)
-                rest = unpack.unconsumed_tail
+                out = unpack.decompress(rest, 1 << 20)
+                sums, size, rest = zlib.crc32(out, sums), size + len(out), unpack.unconsumed_tail
     except zlib.error:
         return None
-    return i - len(unpack.unused_data) - at if unpack.eof else None
+    i -= len(unpack.unused_data)
+    return i + 8 - at if unpack.eof and data[i : i + 8] == struct.pack("<II", sums, size & 0xFFFFFFFF) else None
 
 
 #: Magic number, its distance from the medium's start, type, validator.
@@ -182,6 +239,10 @@ FORMATS = (
 )
 
 
+#: From the last byte of a magic number back to the medium's start.
+_LEAD = [len(magic) - 1 + back for magic, back, *_ in FORMATS]
+
+
 class Sniffer:
     def __init__(self) -> None:
         self.find = ahocorasick.Automaton()
@@ -191,16 +252,14 @@ class Sniffer:
 
     def media(self, data: bytes) -> list[tuple[int, int, str]]:
         """Start, length and type of every valid medium: the one at byte 0 and the outermost behind its start."""
-        spots = set()
-        for end, number in self.find.iter(data.decode("latin-1")):
-            magic, back, *_ = FORMATS[number]
-            spots.add((end + 1 - len(magic) - back, number))
-        found, free = [], 0
-        for at, number in sorted(spots):
-            *_, kind, check = FORMATS[number]
-            if at < free or (kind in ("audio/wav", "image/webp") and data[at : at + 4] != b"RIFF"):
+        spots = [(end - _LEAD[number], number) for end, number in self.find.iter(data.decode("latin-1"))]
+        found, free, content = [], 0, Content(data)
+        spots.sort()
+        for at, number in spots:
+            if at < free:
                 continue
-            if size := check(data, at):
+            *_, kind, check = FORMATS[number]
+            if size := check(content, at):
                 found.append((at, size, kind))
                 free = at + size if at else 1
         return found

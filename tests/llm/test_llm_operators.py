@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -224,6 +225,11 @@ def test_urls(spark):
 # ---- op 6 ----
 
 
+def png() -> bytes:
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
 def test_texts_come_back_from_their_media(spark, odd):
     for r in media_sniff.store_texts(odd.where("doc_id is not null")).collect():
         text = (prose(1, 120) if r.doc_id in (100, 101) else prose(3, 4000) if r.doc_id == 102 else ODD_TEXTS[r.doc_id] or "").encode()
@@ -232,11 +238,6 @@ def test_texts_come_back_from_their_media(spark, odd):
         assert r.media_bytes == len(payload) + 44 and r.feature.startswith("audio/wav")
 
 
-def png() -> bytes:
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
-
-
 def test_types_are_corrected_and_media_carved(spark):
     import gzip
 
@@ -255,6 +256,20 @@ def test_types_are_corrected_and_media_carved(spark):
     assert (got[12].valid, got[13].valid, got[13].media_type) == (False, False, "x")
 
 
+@pytest.mark.parametrize(
+    "unit",
+    [m for m, *_ in media_sniff.FORMATS]
+    + [b"%PDF-1.4 ", b"%PDF-1.4 startxref ", b"GIF89aaaaaaaa,", b"GIF89a\x01\0\x01\0\0\0\0\x21\xff\x02aa", b"RIFF\xff\xff\x7f\0WAVEfmt \0\0\0\0", b"OggS\0\2" + bytes(20) + b"\0", b"fLaC\0\0\0\x22" + bytes(34), b"\xff\xd8\xff\xda\0\2ab", b"\x1f\x8b\x08\x08" + b"a" * 8, png()[:33], b"BM" + bytes(24)],
+)
+def test_long_repeats_of_a_beginning_take_linear_time(unit):
+    """Over 1 MB, 10 MB for what texts may well hold; walking on from every beginning would take minutes."""
+    data = unit * ((10 << 20 if unit == b"%PDF-1.4 " else 1 << 20) // len(unit))
+    began = time.process_time()
+    found = media_sniff.Sniffer().media(data)
+    assert time.process_time() - began < 10
+    assert all(check(media_sniff.Content(data), at) == n for at, n, kind in found[:3] for *_, k, check in media_sniff.FORMATS if k == kind)
+
+
 # ---- op 7 ----
 
 
@@ -307,6 +322,20 @@ def test_every_prefix_is_within_one_block_of_its_shares(spark):
         assert all(abs(ran.get(s, 0) - t * q / 17) < 1 for s, q in share.items())
 
 
+def test_ten_thousand_sources(spark):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', id % 10000) AS source")
+    began = time.perf_counter()
+    mixed = source_mixing.mix_sources(rows, block_docs=1).toPandas()
+    assert time.perf_counter() - began < 30
+    assert len(mixed) == 30_000 and mixed.slot.is_unique and (mixed.release <= mixed.slot).all() and (mixed.slot < mixed.deadline).all()
+
+
+def test_rows_that_share_an_id_have_one_order(spark):
+    rows = [(None if i % 3 else 7, "s", f"t{i % 50}") for i in range(200)]
+    a, b = (source_mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(n), block_docs=8) for n in (1, 5))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_mixing_keeps_every_row_and_column(spark, odd):
     mixed = source_mixing.mix_sources(odd)
     assert mixed.count() == odd.count() and set(odd.columns) <= set(mixed.columns)
