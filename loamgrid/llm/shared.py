@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.sources.scratch import discard, saved, scratch_dir
 
-__all__ = ["clip_long", "discard", "held_out", "saved", "scratch_dir", "table"]
+__all__ = ["clip_long", "discard", "held_out", "join_copies", "saved", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def join_copies(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``groups``, one row for each ``key``, whose column ``copies`` (dropped) counts the rows with that key.
+
+    Keys that hold over a thousandth of all rows, of which there are under 1,000, meet their rows by broadcast;
+    all others by a shuffle in which no key is hot.
+    """
+    total = groups.agg(F.sum("copies")).first()[0] or 0
+    large = F.col("copies") * 1000 > total
+    hot = F.broadcast(groups.where(large).drop("copies"))  # under 1,000 rows
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(~large).drop("copies"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def clip_long(value: int) -> int:
     """An unsigned 64-bit number as the signed long with the same bits."""
     return value - (1 << 64) if value >= 1 << 63 else value

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.llm import language_id, line_crf, media_sniff, packing, pii, quality_rules, simhash, source_mixing, substring_dedup, url_filter
 from loamgrid.llm.words import Words, windows
+from loamgrid.operators.graph import connected_components
 from tests.llm.conftest import ODD_TEXTS, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,6 +171,31 @@ def test_every_setting_of_the_ring_finds_every_link(spark, segments, chain):
     assert got == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_a_key_of_ten_thousand_fingerprints(spark, dense):
+    """All share the bits of two segments; apart elsewhere, or in two groups of near fingerprints that don't link."""
+    r = np.random.default_rng(5)
+    low = np.uint64((1 << 26) - 1)
+    fps = (r.integers(0, 1 << 63, 10_000).astype(np.uint64) & ~low) | np.uint64(12345)
+    if dense:
+        near = lambda base, n: base ^ (np.uint64(1) << r.integers(26, 60, n).astype(np.uint64)) ^ (np.uint64(1) << r.integers(26, 60, n).astype(np.uint64))
+        fps = np.concatenate([near(fps[0], 600), near(fps[0] ^ np.uint64(0x1FF << 40), 600), fps[:8800]])
+    else:
+        fps[5000:5400] = fps[:400] ^ (np.uint64(7) << r.integers(26, 60, 400).astype(np.uint64))
+    fps = np.unique(fps)
+    root, n = np.arange(len(fps)), 0
+    pairs = [(i, i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4)) for i in range(len(fps))]
+    while n != (n := int(root.sum())):
+        for i, js in pairs:
+            if len(js):
+                root[i] = root[js] = min(root[i], root[js].min())
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    found = {x.id: x.component for x in connected_components(simhash.links(df, simhash.Ring(4, 5, 2))).collect()}
+    groups = lambda of: {frozenset(np.flatnonzero(of == k).tolist()) for k in np.unique(of)}
+    assert groups(np.array([found.get(int(f), int(f)) for f in fps.view(np.int64)])) == groups(root)
+    assert len(set(root.tolist())) < len(root) - 300
+
+
 # ---- op 4 ----
 
 
