@@ -237,6 +237,11 @@ def test_urls(spark):
         "http://casinos.io/": ("casinos.io", "/", None, "allow"),
         "http://free.io/poker": ("free.io", "/poker", None, "block"),
         "http://free.io/free": ("free.io", "/free", None, "allow"),
+        "http://ads-track.io/": ("ads-track.io", "/", None, "allow"),
+        "http://casino.io/Casino": ("casino.io", "/Casino", None, "allow"),
+        "http://ads-track.io/free-bets": ("ads-track.io", "/free-bets", None, "block"),
+        "http://xads.io/FREEbets-9": ("xads.io", "/FREEbets-9", None, "allow"),
+        "http://xads-track.io/FREE-bets9": ("xads-track.io", "/FREE-bets9", None, "block"),
         "no scheme/en/7": ("", "", None, "allow"),
         "http://h?x://y/z": ("h", "", None, "allow"),
         "": ("", "", None, "allow"),
@@ -248,6 +253,16 @@ def test_urls(spark):
     assert got[None] == ("", "", None, "allow")
 
 
+def test_a_vocabulary_is_data(spark):
+    terms = spark.createDataFrame([("Alpha", "strict", None), ("b", "soft", 1), ("b-c", "soft", 5), ("c", "soft", None), ("alpha", "soft", 1), ("", "soft", 9)], "term string, kind string, weight int")
+    urls = ["x://h/alpha", "x://h/b-c", "x://h/b.c", "x://h/b-c/b", "x://h/b/b", None, "", "b c b-c " * 20_000, "alphabet"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.strict_hits, r.soft_hits, r.soft_weight, r.verdict) for r in url_filter.filter_urls(pages, terms).collect()}
+    assert got == {0: (1, 0, 0, "block"), 1: (0, 1, 5, "allow"), 2: (0, 2, 2, "block"), 3: (0, 2, 6, "block"), 4: (0, 1, 1, "allow"), 5: (0, 0, 0, "allow"), 6: (0, 0, 0, "allow"), 7: (0, 3, 7, "block"), 8: (0, 0, 0, "allow")}
+    assert url_filter.filter_urls(pages.limit(0), terms).count() == 0
+    assert url_filter.filter_urls(pages, terms.limit(0)).where("verdict = 'block'").count() == 0
+
+
 # ---- op 6 ----
 
 
