@@ -502,6 +502,42 @@ def test_spans_equal_plain_patterns(spark):
     assert [(s.kind, s.start) for s in found[len(texts) - 1].pii if s.kind == "ssn"] == [("ssn", 4)]
 
 
+CONTEXT = [
+    ("the token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" is", [("secret", 0.7)]),
+    ("commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff is", []),
+    ("an example token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", []),
+    ("bsn 111222333 of", [("bsn", 0.6)]),
+    ("bsn 111222334 of", []),
+    ("number 111222333 of", []),
+    ("DE89370400440532013000", [("iban", 0.6)]),
+    ("for example DE89370400440532013000", []),
+    ("example account DE89370400440532013000", [("iban", 0.7)]),
+    ("at 00:1b:44:11:3a:b7 now", [("mac", 0.6)]),
+    ("sample 00:1b:44:11:3a:b7 now", []),
+    ("ff:ff:ff:ff:ff:ff device", []),
+    ("123-45-6789 is the social number", [("ssn", 0.6)]),
+    ("write to a@b.cd", [("email", 0.9)]),
+    ("example mail a@b.cd", [("email", 1.0)]),
+    ("example host 1.2.3.4", [("ip", 1.0)]),
+    ("a sample: 1.2.3.4", [("ip", 0.6)]),
+]
+
+
+def test_context_decides(spark):
+    found = by_id(pii.find_pii(documents(spark, [(i, t) for i, (t, _) in enumerate(CONTEXT)])))
+    for i, (t, want) in enumerate(CONTEXT):
+        assert [(s.kind, s.score) for s in found[i].pii] == want, t
+
+
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"user{i}@mail{i % 9}.org, " for i in range(8000))
+    docs = documents(spark, [(1, text)])
+    began = time.perf_counter()
+    row = pii.find_pii(docs).collect()[0]
+    assert time.perf_counter() - began < 10
+    assert [(s.start, s.end) for s in row.pii] == [m.span() for m in re.finditer(BASE["email"], text)]
+
+
 def test_redaction_hides_every_span(spark):
     docs = documents(spark, list(enumerate([*PERSONAL, None, "clean text"])))
     out = by_id(pii.redact(pii.find_pii(docs)))
