@@ -159,7 +159,7 @@ def _forest(bits: int):
 def _met(listed: DataFrame, asked: DataFrame, ring: Ring, chain: int) -> DataFrame:
     """Links between listed and asking fingerprints of equal keys."""
     a, b = listed.alias("a"), asked.alias("b")
-    met = a.join(b, (F.col("a.first") == F.col("b.first")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _near(ring, "a.fp", "b.fp", "a.first", chain))
+    met = a.hint("merge").join(b, (F.col("a.first") == F.col("b.first")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _near(ring, "a.fp", "b.fp", "a.first", chain))
     return met.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
 
 
@@ -172,6 +172,8 @@ def links(fps: DataFrame, ring: Ring, hot: int = 256, block: int = 512) -> DataF
     own = [F.struct(F.lit(i).alias("first"), F.col("fp").bitwiseAND(_long(ring.mask(i, ring.chain))).alias("key")) for i in range(ring.segments)]
     listed = fps.select(F.explode(F.array(*own)).alias("at"), "fp").select("at.*", "fp")
     asked = fps.select(F.explode(F.concat(*[_lookups(ring, i) for i in range(ring.segments)])).alias("at"), "fp").select("at.*", "fp")
+    # Spark's estimates don't see how many rows explode gives: by them it would broadcast the lookups of up to 10 MB of fingerprints
+    listed, asked = listed.hint("merge"), asked.hint("merge")
     crowd = lambda rows: saved(rows.groupBy(*at).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where(F.col("n") >= hot), "crowded")
     crowded = crowd(listed)
     found = _met(listed.join(crowded, at, "left_anti"), asked, ring, ring.chain)
@@ -181,9 +183,9 @@ def links(fps: DataFrame, ring: Ring, hot: int = 256, block: int = 512) -> DataF
     stars = listed.join(crowded, at).select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= ring.bits))
     found = saved(found.union(stars.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v"))).distinct(), "links")
     parts = connected_components(found).withColumnRenamed("id", "fp")
-    parts = saved(fps.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "parts")
+    parts = saved(fps.join(parts.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "parts")
     for chain in range(ring.chain + 1, ring.segments + 1):
-        members = listed.select(*at, "fp").union(asked.select(*at, "fp")).join(parts, "fp")
+        members = listed.select(*at, "fp").union(asked.select(*at, "fp")).hint("merge").join(parts, "fp")
         several = saved(members.groupBy(*at).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*at), "several")
         if not several.head(1):
             break
