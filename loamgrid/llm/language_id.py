@@ -3,9 +3,10 @@
 Training counts hashed byte trigrams of lower-cased words for each language
 over all labelled documents of the training folds.  A document is then
 taken as a mixture: each word comes from one language, with the likelihood of its
-trigrams.  Expectation-maximisation estimates the languages' proportions;
-the language set is the one, among the top-k sets by proportion, with the
-best likelihood less ``penalty * k * log(words)``.  The proportions of the
+trigrams.  Expectation-maximisation, run until no proportion moves by more than a tolerance, estimates the languages'
+proportions; the language set is the one, among the top-k sets by proportion of every size k, with the
+best likelihood less ``penalty * k * log(words)``.  No set has a better likelihood than all languages together, so sets
+whose penalty outweighs even that gain are not worked out.  The proportions of the
 chosen set are the result, its largest the prediction.
 
 The model is bounded by ``buckets`` times the number of languages.
@@ -76,47 +77,58 @@ def _segment_sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, edge[:-1], axis=0)
 
 
-def mixture(like: np.ndarray, edge: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def mixture(like: np.ndarray, edge: np.ndarray, allowed: np.ndarray, tolerance: float = 1e-4, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation: proportions and log likelihood of each segment.
 
     ``like``: likelihoods of the words (rows) under the languages; ``edge``: bounds
-    of the segments; ``allowed``: languages that each segment may use.
+    of the segments; ``allowed``: languages that each segment may use.  A segment is done when none of its
+    proportions moves by more than ``tolerance`` in a round, after ``rounds`` at the latest.
     """
     n = np.diff(edge)
     share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(rounds):
-        part = like * np.repeat(share, n, axis=0)
-        total = part.sum(1)
-        share = _segment_sums(part / np.maximum(total, 1e-300)[:, None], edge) / n[:, None]
+    open_, part, bounds = np.arange(len(n)), like, edge
+    for i in range(rounds):
+        weighted = part * np.repeat(share[open_], n[open_], axis=0)
+        weighted /= np.maximum(weighted.sum(1), 1e-300)[:, None]
+        new = _segment_sums(weighted, bounds) / n[open_, None]
+        moving = np.abs(new - share[open_]).max(1) > tolerance
+        share[open_] = new
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:
+            part = part[np.repeat(moving, n[open_])]
+            open_ = open_[moving]
+            bounds = np.concatenate([[0], np.cumsum(n[open_])])
     total = (like * np.repeat(share, n, axis=0)).sum(1)
     return share, _segment_sums(np.log(np.maximum(total, 1e-300)), edge)
 
 
-def choose(logs: np.ndarray, edge: np.ndarray, penalty: float, rounds: int, least: float) -> np.ndarray:
+def choose(logs: np.ndarray, edge: np.ndarray, penalty: float, tolerance: float = 1e-4) -> np.ndarray:
     """Proportions of the languages in each segment under the set with the best penalised likelihood."""
     like = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60.0))
     n, languages = np.diff(edge), logs.shape[1]
-    full, _ = mixture(like, edge, np.ones((len(n), languages)), rounds)
+    full, most = mixture(like, edge, np.ones((len(n), languages)), tolerance)
     place = np.empty_like(full, dtype=np.int64)
     np.put_along_axis(place, np.argsort(-full, axis=1, kind="stable"), np.arange(languages)[None, :], axis=1)
     best = (place == 0).astype(float)
     cost = penalty * np.log(n + 1.0)
-    chosen = np.repeat(best, n, axis=0)
-    value = _segment_sums(np.log(np.maximum((like * chosen).sum(1), 1e-300)), edge) - cost
+    value = _segment_sums(np.log(np.maximum((like * np.repeat(best, n, axis=0)).sum(1), 1e-300)), edge) - cost
+    # what rounds after the last could still add to the likelihood of all languages is of the order of the tolerance
+    most = most + tolerance * n
     for k in range(2, languages + 1):
-        now = np.flatnonzero(((place == k - 1) * full).sum(1) >= least)
+        now = np.flatnonzero(most - k * cost > value)
         if not len(now):
             break
-        words = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in now])
+        words = np.flatnonzero(np.repeat(np.isin(np.arange(len(n)), now), n))
         own = np.concatenate([[0], np.cumsum(n[now])])
-        share, total = mixture(like[words], own, (place[now] < k).astype(float), rounds)
+        share, total = mixture(like[words], own, (place[now] < k).astype(float), tolerance)
         better = total - k * cost[now] > value[now]
         best[now[better]] = share[better]
         value[now[better]] = (total - k * cost[now])[better]
     return best
 
 
-def _predict(names: list[str], logs: np.ndarray, penalty: float, rounds: int, least: float, extra: tuple[str, ...]):
+def _predict(names: list[str], logs: np.ndarray, penalty: float, tolerance: float, extra: tuple[str, ...]):
     buckets = logs.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +141,7 @@ def _predict(names: list[str], logs: np.ndarray, penalty: float, rounds: int, le
                 if len(head) and names:
                     words = np.add.reduceat(logs[bucket], head, axis=0)
                     rows, begin = np.unique(row, return_index=True)
-                    share = choose(words, np.append(begin, len(row)), penalty, rounds, least)
+                    share = choose(words, np.append(begin, len(row)), penalty, tolerance)
                     for i, p in zip(rows.tolist(), share, strict=True):
                         order = np.argsort(-p, kind="stable")
                         if lettered[i]:
@@ -143,7 +155,7 @@ def _predict(names: list[str], logs: np.ndarray, penalty: float, rounds: int, le
     return run
 
 
-def identify_languages(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, penalty: float = 2.0, rounds: int = 12, least: float = 0.03, extra: tuple[str, ...] = ()) -> DataFrame:
+def identify_languages(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, penalty: float = 2.0, tolerance: float = 1e-3, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the languages' proportions of every row, then its ``extra`` columns.
 
     ``docs`` needs doc_id, text and lang; other columns than those in ``extra`` are ignored.  The model learns from
@@ -162,7 +174,7 @@ def identify_languages(docs: DataFrame, buckets: int = 1 << 15, smoothing: float
     logs = (np.log(table_) - np.log(table_.sum(0, keepdims=True))).astype(np.float32)
     kinds = dict(docs.dtypes)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, languages string" + "".join(f", `{c}` {kinds[c]}" for c in extra)
-    return docs.select("doc_id", "text", "held_out", *other).mapInArrow(_predict(names, logs, penalty, rounds, least, tuple(extra)), schema)
+    return docs.select("doc_id", "text", "held_out", *other).mapInArrow(_predict(names, logs, penalty, tolerance, tuple(extra)), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
