@@ -1,13 +1,17 @@
 """Op 7: document quality from a linear-chain conditional random field over lines.
 
 Every line with a word gets features of its own and of its two neighbour
-lines.  The field has two states, bad and good; it is trained by maximum
-likelihood (forward-backward gradients, Adam, L2) on documents whose lines all carry the
-document's label.  A document's score is the mean of its lines'
+lines.  The field has two states, bad and good.  A document's score is the mean of its lines'
 forward-backward marginals of good, weighted by their lengths.
 
-Training uses the ``train_docs`` labelled documents first by hash of the id,
-of at most ``train_lines`` lines each; this bound is what reaches the driver.
+Only documents are labelled; the states of their lines are latent.  Training alternates (posterior
+regularisation): the field's own posterior is tilted, document by document, as little as it takes for the
+length-weighted mean marginal to reach ``target`` on the label's side; the weights then follow the gradient from
+the field's expectations to the tilted ones (Adam, L2).  So a bad document may hold good lines and the
+chain learns when lines change from one to the other.
+
+Training uses labelled documents in the order of a hash of their ids, whole, until ``train_docs`` documents or ``train_lines``
+lines are reached; this bound is what reaches the driver, beside the last document taken.
 Scoring takes all lines of all documents, without a shuffle.
 """
 
@@ -19,9 +23,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import held_out, table
+from loamgrid.llm.shared import held_out, saved, table
 from loamgrid.llm.words import SPACE, Words, mix, slices
 
 _U64 = np.uint64
@@ -146,35 +151,43 @@ def forward_backward(unary: np.ndarray, step: np.ndarray, edge: np.ndarray, pair
     return good, moves, logs
 
 
-def train(features: np.ndarray, edge: np.ndarray, label: np.ndarray, rounds: int, l2: float) -> Field:
-    """Maximum likelihood for documents (bounded by ``edge``) whose lines all carry ``label``."""
+def train(features: np.ndarray, edge: np.ndarray, weight: np.ndarray, label: np.ndarray, rounds: int, l2: float, target: float) -> Field:
+    """Weights for documents (bounded by ``edge``) whose length-weighted mean of good is on the side of ``label``."""
     mean, scale = features.mean(0), features.std(0) + 1e-6
     mean[-3], scale[-3] = 0.0, 1.0
     x = (features - mean) / scale
     size = np.diff(edge)
-    y = np.repeat(label, size).astype(float)
-    seen = np.diag([((size - 1) * (size > 0) * (label == k)).sum() for k in (0, 1)]).astype(float)
-    observed = np.concatenate([x.T @ y, seen.ravel()])
-    at, slow, fast = np.zeros(len(observed)), np.zeros(len(observed)), np.zeros(len(observed))
+    share = weight / np.repeat(np.maximum(np.add.reduceat(weight, edge[:-1]), 1e-9), size)
+    pull = share * np.repeat(size, size)
+    wanted, sign = np.where(label == 1, target, 1 - target), np.where(label == 1, 1.0, -1.0)
+    tilt = 0.5 * sign
+    at, slow, fast = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
     for i in range(1, rounds + 1):
-        good, moves, _ = forward_backward(x @ at[:-4], at[-4:].reshape(2, 2), edge, pairs=True)
-        slope = (observed - np.concatenate([x.T @ good, moves.ravel()])) / max(1, len(label)) - l2 * at
+        unary, step = x @ at[:-4], at[-4:].reshape(2, 2)
+        good, moves, _ = forward_backward(unary, step, edge, pairs=True)
+        held, held_moves, _ = forward_backward(unary + np.repeat(tilt, size) * pull, step, edge, pairs=True)
+        short = wanted - np.add.reduceat(held * share, edge[:-1])
+        tilt = sign * np.clip(sign * (tilt + 2.0 * short), 0.0, 20.0)
+        slope = np.concatenate([x.T @ (held - good), (held_moves - moves).ravel()]) / max(1, len(label)) - l2 * at
         slow, fast = 0.9 * slow + 0.1 * slope, 0.99 * fast + 0.01 * slope**2
         at += 0.1 * (slow / (1 - 0.9**i)) / (np.sqrt(fast / (1 - 0.99**i)) + 1e-8)
     return Field(mean, scale, at[:-4], at[-4:].reshape(2, 2), float(label.mean()))
 
 
-def _collect(max_lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                lines = Lines(part.column("text"))
-                n = np.diff(lines.edge)
-                keep = np.flatnonzero((n > 0) & (n <= max_lines))
-                values = [lines.features[lines.edge[i] : lines.edge[i + 1]].ravel() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(n[keep], pa.int64()), part.column("label").take(pa.array(keep)), pa.array(values, pa.list_(pa.float32()))], names=["n", "label", "features"])
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [sum(1 for x in (t.as_py() or "").split("\n") if x.strip(" \t\n\v\f\r")) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
-    return run
+
+def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            lines = Lines(part.column("text"))
+            keep = np.flatnonzero(np.diff(lines.edge))
+            of = [slice(lines.edge[i], lines.edge[i + 1]) for i in keep]
+            made = [pa.array([lines.features[s].ravel() for s in of], pa.list_(pa.float32())), pa.array([lines.weight[s] for s in of], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(keep)), part.column("label").take(pa.array(keep)), *made], names=["doc_id", "label", "features", "weight"])
 
 
 def _score(field: Field | None):
@@ -197,26 +210,28 @@ def _score(field: Field | None):
     return run
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_lines: int = 64, rounds: int = 150, l2: float = 1e-3) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_lines: int = 60_000, rounds: int = 120, l2: float = 1e-3, target: float = 0.9) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and quality (0 or 1; where an id has both, 1 counts);
-    other columns are ignored.  Only rows outside the held-out fold teach.  Texts
-    without a word, null among them, score the share of good training documents;
+    other columns are ignored.  Only rows outside the held-out fold teach; of rows that share an id the first text in
+    order does.  Texts without a word, null among them, score the share of good training documents;
     without any label everything scores 0.5.  Repeated rows stay.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most train_docs ids
-    sample = rows.select("text", "label").mapInArrow(_collect(train_lines), "n long, label int, features array<float>").toPandas()
+    rows = saved(docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")  # at most train_docs ids
+    counts = rows.select("doc_id", "text").mapInArrow(_count_lines, "doc_id long, n long")
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = counts.select("doc_id", before.alias("before")).where(F.col("before") < train_lines)
+    sample = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "label").mapInArrow(_collect, "doc_id long, label int, features array<float>, weight array<double>").toPandas()
     field = None
     if len(sample):
-        # the order of rows must not matter to the sums below
-        sample = sample.assign(key=[np.asarray(f, np.float32).tobytes() for f in sample["features"]]).sort_values(["n", "label", "key"])
-        size = sample["n"].to_numpy()
+        sample = sample.sort_values("doc_id")  # the order of rows must not matter to sums
+        size = sample["weight"].map(len).to_numpy()
         features = np.concatenate(sample["features"].to_list()).reshape(size.sum(), -1).astype(np.float64)
-        field = train(features, np.concatenate([[0], np.cumsum(size)]), sample["label"].to_numpy(), rounds, l2)
+        field = train(features, np.concatenate([[0], np.cumsum(size)]), np.concatenate(sample["weight"].to_list()), sample["label"].to_numpy(), rounds, l2, target)
     return docs.select("doc_id", "text", "held_out").mapInArrow(_score(field), "doc_id long, held_out boolean, score double, predicted int")
 
 

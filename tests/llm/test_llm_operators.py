@@ -109,6 +109,29 @@ def test_languages_held_out(spark):
     assert (found[1001].lang_pred, found[1001].score) == ("und", 0.0)
 
 
+def test_language_sets_equal_brute_force():
+    """All sets of the nested order by proportion, with plain expectation-maximisation for each document alone."""
+    r = np.random.default_rng(4)
+    size = r.integers(1, 120, 30)
+    logs = np.concatenate([r.normal(0, 2, (n, 4)) + np.where(np.arange(4) == r.choice(4, (n, 1), p=r.dirichlet([0.5] * 4)), 4, 0) for n in size])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    found = language_id.choose(logs, edge, 2.0, 1e-6)
+
+    def run(like, allowed):
+        share = allowed / allowed.sum()
+        for _ in range(3000):
+            p = like * share
+            share = (p / p.sum(1, keepdims=True)).mean(0)
+        return share, np.log((like * share).sum(1)).sum()
+
+    for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+        like = np.exp(logs[a:b] - logs[a:b].max(1, keepdims=True))
+        order = np.argsort(-run(like, np.ones(4))[0], kind="stable")
+        sets = [run(like, np.isin(np.arange(4), order[:k]).astype(float)) for k in range(1, 5)]
+        values = [v - 2.0 * (k + 1) * np.log(b - a + 1) for k, (_, v) in enumerate(sets)]
+        assert np.allclose(found[i], sets[int(np.argmax(values))][0], atol=2e-3), i
+
+
 def test_nothing_learned_is_und(spark):
     docs = documents(spark, [(1, prose(1, 30))]).withColumn("lang", F.lit(None).cast("string"))
     assert by_id(language_id.identify_languages(docs))[1].lang_pred == "und"
@@ -340,6 +363,32 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_lines_of_one_document_differ(spark):
+    """Documents of both kinds of lines, labelled by what most of their text is: the lines' own states come out, and change within documents."""
+    good, junk = (lambda i: prose(i, 18).replace("\n", " ") + "."), (lambda i: " | ".join(f"{c}{i}" for c in "abcdefg"))
+    texts = [[(good if (k < 5) != bool(i % 2) else junk)(i * 10 + k) for k in range(10)] + [(good if i % 2 else junk)(k) for k in range(3 + i % 5)] for i in range(200)]
+    docs = documents(spark, [(i, "\n".join(t)) for i, t in enumerate(texts)])
+    field_scores = by_id(line_crf.classify_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")))
+    assert np.mean([field_scores[i].predicted == i % 2 for i in range(200)]) > 0.95
+    import pyarrow as pa
+
+    lines = line_crf.Lines(pa.array(["\n".join(t) for t in texts]))
+    label = np.arange(200) % 2
+    field = line_crf.train(lines.features.astype(float), lines.edge, lines.weight, label, 120, 1e-3, 0.7)
+    marginal, _, _ = line_crf.forward_backward(((lines.features - field.mean) / field.scale) @ field.weight, field.step, lines.edge)
+    truth = np.array(["|" not in x for t in texts for x in t])
+    assert np.mean((marginal > 0.5) == truth) > 0.9
+
+
+def test_long_documents_teach(spark):
+    """All labelled documents have hundreds of lines; the bound takes some of them, whole."""
+    junk = lambda i: "\n".join(" | ".join(f"{c}{i}" for c in "abcdefg") for _ in range(150))
+    rows = [(i, "\n".join(prose(i * 200 + k, 9).replace("\n", " ") for k in range(150)) if i % 2 else junk(i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = by_id(line_crf.classify_quality(documents(spark, rows), labels, train_lines=900))
+    assert all(found[i].predicted == i % 2 for i in range(40))
+
+
 def test_without_labels_every_score_is_a_half(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert by_id(line_crf.classify_quality(documents(spark, [(1, "a b"), (2, None)]), none))[2].score == 0.5
