@@ -1,28 +1,27 @@
 """Op 4: removal of long word sequences that an earlier document holds, by recompression.
 
-Naming.  A document's words become 64-bit names; then rounds of local
-recompression replace runs of equal names (up to three words) and pairs whose
-left name draws 0 and right name draws 1 in that round's coin (up to four,
-then up to eight words) by one name each.  A name is a hash of its parts, so
-all executors give equal strings equal names without exchanging a dictionary.
-Whether two neighbours merge depends on their own names alone; hence inside a
-repeated passage, more than ``_MARGIN`` words from its ends, every occurrence is cut
-into the same symbols.
-
-Revealing.  Each 50-word window picks, of the symbol pairs in its inner part,
-the highest-level one (the longest, ties by name): equal windows pick equal
-pairs, which this module then calls the window's symbol.  A
-*stretch* is a run of consecutive windows with one symbol.  Spark groups the
-symbols over the corpus; only symbols that lie in two documents go on.
-
-Verifying.  A stretch is verified by a hash of all its words next to the
-symbol.  Stretches with an equal twin in a smaller document go whole.  Where
-one symbol stands in different stretches, one document for each stretch lists
-the stretch's windows, and windows are compared by hash (128 bits with the
-symbol) to find the partly shared ones.
-
-Shuffles: symbols of about one word in ten; the few that are shared, once
-more; the texts once, to meet what is to be removed from them.
+Local pass.  A document's words become 64-bit names; runs of equal names (up to three words) and two rounds of
+coin-chosen pairs (up to four, then eight words) shrink the stream without any shuffle.  A local symbol depends on no word more than
+``_MARGIN`` away, so every occurrence of a passage has the same ones inside.  Each window of ``wide`` words
+picks the longest pair of symbols in its inner part; only windows whose pick stands in two documents
+can repeat.  They form *segments*, about a quarter of the words or less, and only these go on.
+
+Rounds.  In each round Spark lists the runs of equal names, or the pairs whose left name draws 0 and right name draws 1 in the
+round's coin, counts the documents of each, and gives those of two or more a new global name by
+a join; the segments take the names over.  Whether two neighbours merge depends on their two names and the corpus alone, so
+equal substrings get equal interior symbols.  Which neighbours had a say in a symbol is kept as its *context*, in words.
+Rounds go on until nothing gets a name or symbols are an eighth of a window long, beyond which
+their contexts no longer fit into a window.
+
+Verifying.  Each window takes the longest symbol whose context lies in it (else the longest local one): equal windows
+take equal symbols.  A *stretch* is a run of windows around one symbol.  Two stretches are equal if
+their symbol, its place, and the words on either side of it are: these edge words are compared by a
+64-bit hash beside the 64-bit name.  Stretches that a smaller document holds go whole.  Where one symbol stands in different
+stretches, the windows of one document for each stretch are compared in the same way.
+
+Shuffles: symbols of about one word in ten; the texts of documents with segments once, to cut these out;
+the segments' symbols once a round; all texts once, to meet what is to be removed from them.  Names that a
+thousandth of all rows hold are met by broadcast, never in one task.
 """
 
 from __future__ import annotations
@@ -33,20 +32,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import discard, saved, table
-from loamgrid.llm.words import Words, mix, slices, windows
+from loamgrid.llm.shared import discard, join_copies, saved, table
+from loamgrid.llm.words import Words, mix, powers, slices
 
 _U64 = np.uint64
+#: Words of a run, and of a pair in each round, of the local pass.
 _RUN = 3
 _PAIR_CAPS = (4, 8)
 #: Symbols in a row that make one key.
 _GRAM = 2
-#: Words at either end of a repeat whose symbols may depend on the surroundings:
+#: Words at either end of a repeat whose local symbols may depend on the surroundings:
 #: one more than a run, then the longest symbol of each level below.
 _MARGIN = _RUN + 1 + _RUN + _PAIR_CAPS[0]
+#: A context that reaches beyond its segment.
+_OPEN = 1 << 14
+_SLICE_WORDS = 1 << 19
 
 
 def _merge(name: np.ndarray, start: np.ndarray, size: np.ndarray, take: np.ndarray, new: np.ndarray, span: np.ndarray):
@@ -113,127 +117,327 @@ def _range_min(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         table = np.minimum(table[: -(1 << level - 1)], table[1 << level - 1 :])
 
 
-class Stretches:
-    """Stretches of the rows of a text column; ``wide`` words make a window."""
+def _long(a: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(a).view(np.int64), pa.int64())
 
-    def __init__(self, column: pa.Array, wide: int) -> None:
-        self.words = words = Words(column)
-        empty = np.zeros(0, np.int64)
-        self.window = self.symbol = self.hash = empty.astype(_U64)
-        self.row = self.begin = self.count = empty
-        hashes = words.hashes()
-        content = windows(hashes, wide)
-        at = np.flatnonzero(np.arange(len(content)) + wide <= words.ends()[: len(content)])
-        if not len(at):
-            return
-        name, start, length = recompress(hashes, words.row)
-        low = np.searchsorted(start, at + _MARGIN)
-        rank, end = _grams(name, start, length, _GRAM)
-        chosen = _range_min(rank, low, np.searchsorted(end, at + wide - _MARGIN, "right"))
-        new = np.ones(len(at), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1) | (words.row[at[1:]] != words.row[at[:-1]])
-        head = np.flatnonzero(new)
-        self.count = np.diff(np.append(head, len(at)))
-        self.begin, self.symbol = at[head], chosen[head]
-        self.row = words.row[self.begin]
-        place = (np.arange(len(at)) - np.repeat(head, self.count)).astype(_U64)
-        self.window = content[at]
-        self.hash = mix(np.add.reduceat(mix(self.window + place), head) + self.count.astype(_U64))
-
-    def windows_of(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the picked stretches' windows: stretch, first word, hash."""
-        head = np.cumsum(self.count) - self.count
-        n = self.count[pick]
-        stretch = np.repeat(pick, n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return stretch, self.begin[stretch] + place, self.window[head[stretch] + place]
 
+def _flat(part: pa.RecordBatch, name: str) -> np.ndarray:
+    """Items of a list column of longs or ints."""
+    items = part.column(name).flatten().to_numpy(zero_copy_only=False)
+    return items.view(_U64) if items.dtype == np.int64 else items.astype(np.int64)
 
-def _long(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64), pa.int64())
 
+def _sizes(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(part.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _symbols(wide: int):
-    schema = pa.schema([("symbol", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                s = Stretches(part.column("text"), wide)
-                _, once = np.unique(mix(s.hash + s.row.astype(_U64)), return_index=True)
-                once.sort()
-                ids = part.column("doc_id").take(pa.array(s.row[once]))
-                yield pa.RecordBatch.from_arrays([_long(s.symbol[once]), _long(s.hash[once]), ids], schema=schema)
+def _lists(sizes: np.ndarray, items: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
 
-    return run
+
+def _ints(a: np.ndarray) -> pa.Array:
+    return pa.array(a.astype(np.int32), pa.int32())
 
 
-def _listed(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Items of a list column with the row of each."""
-    lists = part.column(name)
-    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(zero_copy_only=False).view(_U64), np.repeat(np.arange(len(n)), n)
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches with about ``_SLICE_WORDS`` items in a list column."""
+    for batch in batches:
+        end, at = np.cumsum(_sizes(batch, column)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + _SLICE_WORDS, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def _among(keys: np.ndarray, rows: np.ndarray, part: pa.RecordBatch, name: str) -> np.ndarray:
-    """Which (row, key) stand in that row's list."""
-    listed, of = _listed(part, name)
-    return np.isin(mix(keys + mix(rows.astype(_U64) + _U64(1))), mix(listed + mix(of.astype(_U64) + _U64(1))))
+# ---- local pass ----
 
 
-def _windows(wide: int):
-    schema = pa.schema([("symbol", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64())])
+class Picks:
+    """Windows of the rows of a text column, by first word, and the key that each picks."""
+
+    def __init__(self, column: pa.Array, wide: int) -> None:
+        self.words = words = Words(column)
+        self.names = words.hashes()
+        n = len(self.names)
+        self.window = np.flatnonzero(np.arange(n) + wide <= words.ends())
+        self.name, self.start, self.length = recompress(self.names, words.row)
+        low = np.searchsorted(self.start, self.window + _MARGIN)
+        rank, end = _grams(self.name, self.start, self.length, _GRAM)
+        self.key = _range_min(rank, low, np.searchsorted(end, self.window + wide - _MARGIN, "right")) if len(self.window) else np.zeros(0, _U64)
+
+
+def _keys(wide: int):
+    schema = pa.schema([("symbol", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                s = Stretches(part.column("text"), wide)
-                pick = np.flatnonzero(_among(s.hash, s.row, part, "listed"))
-                stretch, _, content = s.windows_of(pick)
-                _, once = np.unique(mix(content + s.row[stretch].astype(_U64)), return_index=True)
-                ids = part.column("doc_id").take(pa.array(s.row[stretch[once]]))
-                yield pa.RecordBatch.from_arrays([_long(s.symbol[stretch[once]]), _long(content[once]), ids], schema=schema)
+                p = Picks(part.column("text"), wide)
+                row = p.words.row[p.window]
+                new = np.ones(len(row), bool)
+                new[1:] = (p.key[1:] != p.key[:-1]) | (row[1:] != row[:-1])
+                key, row = p.key[new], row[new]
+                _, once = np.unique(mix(key + mix(row.astype(_U64) + _U64(1))), return_index=True)
+                yield pa.RecordBatch.from_arrays([_long(key[once]), part.column("doc_id").take(pa.array(row[once]))], schema=schema)
 
     return run
 
 
-def _removal(wide: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string()), ("kept_sha256", pa.string())])
+_PARSE = "name array<long>, start array<int>, end array<int>, left array<int>, right array<int>"
+
+
+def _segments(wide: int):
+    """Segments with their words' names and the local symbols that lie in them; ``at``: the first word's number."""
+    names = ["seg", "doc_id", "text_key", "at", "words", "name", "start", "end", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch):
-                touched = np.zeros(part.num_rows, bool)
-                for name in ("gone", "gone_windows"):
-                    touched |= pc.fill_null(pc.list_value_length(part.column(name)), 0).to_numpy(zero_copy_only=False) > 0
-                words = [(x or "").encode().split() for x in part.column("text").to_pylist()]
-                total = [len(w) for w in words]
-                for at, cut in _cuts(part.filter(pa.array(touched)), np.flatnonzero(touched), wide):
-                    w = words[at]
-                    words[at] = [w[i] for i in np.flatnonzero(~cut[: len(w)])]
-                kept = [b" ".join(w) for w in words]
+                p = Picks(part.column("text"), wide)
+                row = p.words.row[p.window]
+                listed, of = _flat(part, "listed"), np.repeat(np.arange(part.num_rows), _sizes(part, "listed"))
+                can = np.isin(mix(p.key + mix(row.astype(_U64) + _U64(1))), mix(listed + mix(of.astype(_U64) + _U64(1))))
+                window, row = p.window[can], row[can]
+                new = np.ones(len(window), bool)
+                new[1:] = (window[1:] > window[:-1] + wide) | (row[1:] != row[:-1])
+                head = np.flatnonzero(new)
+                begin = window[head]
+                end = window[np.append(head[1:], len(window)) - 1] + wide if len(head) else begin
+                row = row[head]
+                low, high = np.searchsorted(p.start, begin), np.searchsorted(p.start + p.length, end, "right")
+                inside = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+                word = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+                shift, margin = np.repeat(begin, high - low), np.full(len(inside), _MARGIN)
+                of_row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(total, pa.int64()), pa.array([a - len(w) for a, w in zip(total, words)], pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                    schema=schema,
+                    [
+                        pa.array(np.arange(number, number + len(row))),
+                        part.column("doc_id").take(of_row),
+                        part.column("text_key").take(of_row),
+                        _ints(begin - p.words.first[row]),
+                        _lists(end - begin, _long(p.names[word])),
+                        _lists(high - low, _long(p.name[inside])),
+                        *(_lists(high - low, _ints(x)) for x in (p.start[inside] - shift, p.start[inside] + p.length[inside] - shift, margin, margin)),
+                    ],
+                    names=names,
                 )
+                number += len(row)
+
+    return run
+
+
+# ---- rounds ----
+
+
+class Parse:
+    """The symbols of some segments in one row after another."""
+
+    def __init__(self, part: pa.RecordBatch) -> None:
+        self.size = _sizes(part, "name")
+        self.row = np.repeat(np.arange(part.num_rows), self.size)
+        self.name, self.start, self.end, self.left, self.right = (_flat(part, c) for c in ("name", "start", "end", "left", "right"))
+        #: whether a symbol's right neighbour stands next to it in the segment
+        self.joined = np.zeros(len(self.name), bool)
+        self.joined[:-1] = (self.row[1:] == self.row[:-1]) & (self.start[1:] == self.end[:-1])
+
+    def coins(self, number: int) -> np.ndarray:
+        return (mix(self.name + _U64(number + 1)) & _U64(1)).astype(bool)
+
+    def groups(self, number: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols that may merge in this round: first symbol, count, and what stands beside its name in the dictionary."""
+        n = len(self.name)
+        if not number:
+            new = np.ones(n, bool)
+            new[1:] = ~(self.joined[:-1] & (self.name[1:] == self.name[:-1]))
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, n))
+            keep = (count > 1) & (self.end[head + count - 1] - self.start[head] <= wide)
+            return head[keep], count[keep], count[keep].astype(_U64)
+        coin = self.coins(number)
+        head = np.flatnonzero(self.joined[:-1] & ~coin[:-1] & coin[1:] & (self.end[1:] - self.start[:-1] <= wide)) if n > 1 else np.zeros(0, np.int64)
+        return head, np.full(len(head), 2), self.name[head + 1]
+
+    def merge(self, number: int, head: np.ndarray, count: np.ndarray, name: np.ndarray) -> None:
+        """Symbols after ``count`` from each ``head`` have become one of ``name``; contexts take in the neighbours that decided."""
+        n = len(self.name)
+        begin, end = self.start - self.left, self.end + self.right
+        before, after = np.full(n, -_OPEN), np.full(n, 2 * _OPEN + self.end.max(initial=0))
+        at = np.flatnonzero(self.joined)
+        before[at + 1], after[at] = begin[at], end[at + 1]
+        # a run's ends, and that a symbol stands in no run, depend on both neighbours; a symbol without its pair on the one its coin looks to
+        looks_left, looks_right = (np.ones(n, bool), np.ones(n, bool)) if not number else (self.coins(number), ~self.coins(number))
+        taken = np.zeros(n, bool)
+        taken[np.repeat(head, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = True
+        low, high = begin.copy(), end.copy()
+        alone = ~taken | (number == 0)
+        low[alone & looks_left] = np.minimum(begin, before)[alone & looks_left]
+        high[alone & looks_right] = np.maximum(end, after)[alone & looks_right]
+        keep = ~taken
+        keep[head] = True
+        last = np.arange(n)
+        last[head] = head + count - 1
+        made = self.name.copy()
+        made[head] = name
+        if len(head):
+            bounds = np.stack([head, head + count], 1).ravel()
+            grown = np.append(low, 0), np.append(high, 0)
+            low[head], high[head] = np.minimum.reduceat(grown[0], bounds)[::2], np.maximum.reduceat(grown[1], bounds)[::2]
+        stop = self.end[last[keep]]
+        self.size = np.bincount(self.row[keep], minlength=len(self.size))
+        self.name, self.row = made[keep], self.row[keep]
+        self.left, self.right = np.minimum(self.start[keep] - low[keep], _OPEN), np.minimum(high[keep] - stop, _OPEN)
+        self.start, self.end = self.start[keep], stop
+
+
+def _occurring(number: int, wide: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, "name"):
+            p = Parse(part)
+            head, _, b = p.groups(number, wide)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[p.row[head]]
+            _, once = np.unique(mix(mix(mix(p.name[head]) + b) + ids.astype(_U64)), return_index=True)
+            yield pa.RecordBatch.from_arrays([_long(p.name[head][once]), _long(b[once]), pa.array(ids[once])], schema=schema)
+
+    return run
+
+
+def _renamed(number: int, wide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, "name"):
+            p = Parse(part)
+            head, count, b = p.groups(number, wide)
+            of = np.repeat(np.arange(part.num_rows), _sizes(part, "a")).astype(_U64)
+            key = lambda a, b, row: mix(mix(mix(a) + b) + mix(row + _U64(1)))
+            known, new = key(_flat(part, "a"), _flat(part, "b"), of), _flat(part, "new")
+            order = np.argsort(known)
+            wanted = key(p.name[head], b, p.row[head].astype(_U64))
+            at = np.minimum(np.searchsorted(known[order], wanted), max(0, len(known) - 1))
+            found = known[order][at] == wanted if len(known) else np.zeros(len(head), bool)
+            p.merge(number, head[found], count[found], new[order][at[found]] if len(known) else np.zeros(0, _U64))
+            made = [_lists(p.size, x) for x in (_long(p.name), _ints(p.start), _ints(p.end), _ints(p.left), _ints(p.right))]
+            yield pa.RecordBatch.from_arrays([part.column("seg"), part.column("doc_id"), *made], names=["seg", "doc_id", "name", "start", "end", "left", "right"])
 
     return run
 
 
-def _cuts(part: pa.RecordBatch, at: np.ndarray, wide: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``part`` (number ``at`` of its batch) the mask of its removed words."""
-    if not part.num_rows:
-        return
-    s = Stretches(part.column("text"), wide)
-    whole = _among(s.hash, s.row, part, "gone")
-    stretch, first, content = s.windows_of(np.flatnonzero(~whole))
-    single = _among(content, s.row[stretch], part, "gone_windows")
-    n = len(s.words.start) + 1
-    edge = np.bincount(np.append(s.begin[whole], first[single]), minlength=n)
-    edge -= np.bincount(np.append(s.begin[whole] + s.count[whole] - 1, first[single]) + wide, minlength=n)
-    covered = np.cumsum(edge) > 0
-    for i, number in enumerate(at):
-        yield number, covered[s.words.first[i] : s.words.first[i + 1]]
+def rename(parse: DataFrame, wide: int) -> DataFrame:
+    """Segments' symbols after all rounds: seg, doc_id, name, start, end, left, right."""
+    number, given = 0, parse
+    while True:
+        found = saved(parse.mapInArrow(_occurring(number, wide), "a long, b long, doc_id long"), "pairs")
+        held = found.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies")).where("low < high")
+        new = F.shiftleft(F.lit(number + 1).cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
+        names = saved(held.select("a", "b", "copies", new.alias("new")), "names")
+        some = bool(names.head(1))
+        if some:
+            lists = join_copies(found, names, ["a", "b"]).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("a", "b", "new")))
+            old, parse = parse, saved(parse.join(lists, "doc_id", "left").mapInArrow(_renamed(number, wide), f"seg long, doc_id long, {_PARSE}"), "parse")
+            if old is not given:
+                discard(old)
+        discard(found, names)
+        long = parse.agg(F.sum(F.get("end", F.size("end") - 1) - F.get("start", F.lit(0))), F.sum(F.size("name"))).first()
+        if number and (not some or 8 * long[0] >= wide * long[1]):
+            return parse
+        number += 1
+
+
+# ---- verifying ----
+
+
+def _paint(n: int, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each of n places the least value of the intervals (ends included) that hold it."""
+    level = np.zeros(len(low), np.int64)
+    while (more := (high - low + 1) >> (level + 1) > 0).any():
+        level += more
+    none = np.iinfo(np.int64).max
+    best = [np.full(n, none) for _ in range(int(level.max(initial=0)) + 1)]
+    for k, b in enumerate(best):
+        here = level == k
+        np.minimum.at(b, low[here], value[here])
+        np.minimum.at(b, high[here] - (1 << k) + 1, value[here])
+    for k in range(len(best) - 1, 0, -1):
+        half = 1 << k - 1
+        np.minimum(best[k - 1], best[k], out=best[k - 1])
+        best[k - 1][half:] = np.minimum(best[k - 1][half:], best[k][:-half])
+    return best[0]
+
+
+class Edges:
+    """Hashes of ranges of words."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.down = powers(len(names) + 1)[1]
+        self.sums = np.zeros(len(names) + 1, _U64)
+        np.cumsum(mix(names + _U64(7)) * powers(len(names) + 1)[0][:-1], out=self.sums[1:])
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (self.sums[high] - self.sums[low]) * self.down[low]
+
+
+def _stretches(wide: int):
+    schema = pa.schema([("symbol", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("windows", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, "words"):
+            size = _sizes(part, "words")
+            first = np.cumsum(size) - size
+            edges = Edges(_flat(part, "words"))
+            # symbols of the last round, then local ones, which every window holds
+            name, start, end, left, right, row, level = ([] for _ in range(7))
+            for k, prefix in enumerate(("top_", "")):
+                for into, c in ((name, "name"), (start, "start"), (end, "end"), (left, "left"), (right, "right")):
+                    into.append(_flat(part, prefix + c))
+                n = _sizes(part, prefix + "name")
+                row.append(np.repeat(np.arange(part.num_rows), n))
+                level.append(np.full(n.sum(), k))
+            name, start, end, left, right, row, level = map(np.concatenate, (name, start, end, left, right, row, level))
+            low, high = np.maximum(end + right - wide, 0), np.minimum(start - left, size[row] - wide)
+            fits = np.flatnonzero(low <= high)
+            order = fits[np.lexsort((start[fits], name[fits], start[fits] - end[fits], level[fits]))]
+            chosen = _paint(int(size.sum()), first[row[order]] + low[order], first[row[order]] + high[order], np.arange(len(order)))
+            at = np.concatenate([np.arange(f, f + n - wide + 1) for f, n in zip(first, size, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+            if not len(at):
+                continue
+            symbol = order[chosen[at]]
+            new = np.ones(len(at), bool)
+            new[1:] = (symbol[1:] != symbol[:-1]) | (at[1:] != at[:-1] + 1)
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, len(at)))
+            opens, closes = (first[row[symbol]] + x[symbol] for x in (start, end))
+
+            def content(i: np.ndarray, last: np.ndarray) -> np.ndarray:
+                place = mix((opens[i] - at[i]).astype(_U64) + ((last - at[i]).astype(_U64) << _U64(32)))
+                return mix(mix(edges(at[i], opens[i]) + place) + edges(closes[i], last + wide))
+
+            stretch, window = content(head, at[head + count - 1]), content(np.arange(len(at)), at)
+            of = row[symbol[head]]
+            begin = at[head] - first[of] + part.column("at").to_numpy(zero_copy_only=False)[of]
+            ids = [part.column(c).take(pa.array(of)) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([_long(name[symbol[head]]), _long(stretch), *ids, _ints(begin), _lists(count, _long(window))], schema=schema)
+
+    return run
+
+
+def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string()), ("kept_sha256", pa.string())])
+    for batch in batches:
+        for part in slices(batch):
+            total, kept = [], []
+            for text, begin, end in zip(part.column("text").to_pylist(), part.column("begin").to_pylist(), part.column("end").to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                total.append(len(words))
+                if begin:
+                    edge = np.bincount(begin, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[: len(words)]) == 0)]
+                kept.append(words)
+            text = [b" ".join(w) for w in kept]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(total, pa.int64()), pa.array([n - len(w) for n, w in zip(total, kept, strict=True)], pa.int64()), pa.array(text, pa.large_binary()).cast(pa.large_string()), pa.array([hashlib.sha256(k).hexdigest() for k in text])],
+                schema=schema,
+            )
 
 
 def remove_repeats(docs: DataFrame, wide: int = 50) -> DataFrame:
@@ -251,22 +455,30 @@ def remove_repeats(docs: DataFrame, wide: int = 50) -> DataFrame:
     """
     if wide < (least := 2 * _MARGIN + (_GRAM + 1) * _PAIR_CAPS[-1]):
         raise ValueError(f"wide must be {least} or more, so that every window's inner part holds {_GRAM} whole symbols")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    all_symbols = saved(docs.where("doc_id is not null").mapInArrow(_symbols(wide), "symbol long, stretch long, doc_id long"), "symbols")
-    shared = all_symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    here = saved(all_symbols.join(shared.select("symbol"), "symbol"), "shared")
-    least = here.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("least"))
-    varied = least.groupBy("symbol").agg((F.count("*") > 1).alias("varied"))
-    open_ = saved(here.join(least, ["symbol", "stretch"]).join(varied, "symbol").where("varied or doc_id > least"), "stretches")
-    discard(all_symbols, here)
-    gone = open_.where("doc_id > least").groupBy("doc_id").agg(F.collect_list("stretch").alias("gone"))
-    listed = open_.where("doc_id = least").groupBy("doc_id").agg(F.collect_list("stretch").alias("listed"))
-    single = docs.join(listed, "doc_id").select("doc_id", "text", "listed").mapInArrow(_windows(wide), "symbol long, window long, doc_id long")
-    first = single.groupBy("symbol", "window").agg(F.min("doc_id").alias("least"))
-    partly = single.join(first, ["symbol", "window"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("window").alias("gone_windows"))
-    removed = gone.join(partly, "doc_id", "full")
-    return docs.join(removed, "doc_id", "left").select("doc_id", "text", "gone", "gone_windows").mapInArrow(
-        _removal(wide), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
+    keys = saved(docs.where("doc_id is not null").mapInArrow(_keys(wide), "symbol long, doc_id long"), "keys")
+    shared = saved(keys.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies")).where("low < high").select("symbol", "copies"), "shared")
+    listed = saved(join_copies(keys, shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("listed")), "listed")
+    discard(keys, shared)
+    local = saved(docs.join(listed, "doc_id").mapInArrow(_segments(wide), f"seg long, doc_id long, text_key long, at int, words array<long>, {_PARSE}"), "segments")
+    parse = ["name", "start", "end", "left", "right"]
+    last = rename(local.select("seg", "doc_id", *parse), wide)
+    both = local.join(last.select("seg", *(F.col(c).alias("top_" + c) for c in parse)), "seg")
+    found = saved(both.mapInArrow(_stretches(wide), "symbol long, stretch long, doc_id long, text_key long, begin int, windows array<long>"), "stretches")
+    discard(listed, local)
+
+    least = saved(found.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "least")
+    varied = saved(least.groupBy("symbol").agg((F.count("*") > 1).alias("varied"), F.count("*").alias("copies")), "varied")
+    kinds = saved(join_copies(least, varied, "symbol"), "kinds")
+    open_ = saved(join_copies(found, kinds, ["symbol", "stretch"]).where("doc_id > least or varied"), "open")
+    discard(found, least, varied, kinds)
+    gone = open_.where("doc_id > least").select("doc_id", "text_key", "begin", (F.col("begin") + F.size("windows") - 1 + wide).alias("end"))
+    single = open_.where("doc_id = least").select("symbol", "doc_id", "text_key", "begin", F.posexplode("windows").alias("i", "window"))
+    first = saved(single.groupBy("symbol", "window").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "windows")
+    partly = join_copies(single, first, ["symbol", "window"]).where("doc_id > first").select("doc_id", "text_key", (F.col("begin") + F.col("i")).alias("begin"), (F.col("begin") + F.col("i") + wide).alias("end"))
+    removed = gone.union(partly).groupBy("doc_id", "text_key").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
+    return docs.join(removed, ["doc_id", "text_key"], "left").select("doc_id", "text", "begin", "end").mapInArrow(
+        _removal, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     )
 
 

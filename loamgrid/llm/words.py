@@ -52,7 +52,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_powers = _Powers()
+powers = _Powers()
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ class Words:
             base = self.start[i]
             j = max(i + 1, int(np.searchsorted(self.end, base + _BLOCK, "right")))
             part = self.data[base : self.end[j - 1]]
-            up, down = _powers(len(part) + 1)
+            up, down = powers(len(part) + 1)
             sums = np.zeros(len(part) + 1, _U64)
             np.cumsum(_BYTE[part] * up[:-1], out=sums[1:])
             a, b = self.start[i:j] - base, self.end[i:j] - base
@@ -126,7 +126,7 @@ def windows(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     while i < n:
         j = min(n, i + _BLOCK - width)
         part = hashes[i : j + width - 1]
-        up, down = _powers(len(part) + 1)
+        up, down = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, _U64)
         np.cumsum(mix(part + seed) * up[:-1], out=sums[1:])
         out[i:j] = (sums[width : width + j - i] - sums[: j - i]) * down[: j - i]
