@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.sources.scratch import saved
+from loamgrid.sources.scratch import discard, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,11 +22,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     practice).  A node's neighbours are never gathered: minima are
     pre-aggregated, and the joins that follow can be split by Spark where a
     node is hot.  Each round is written to the shared folder, which cuts the
-    lineage.  Self-edges give single-node components; null ends are dropped.
+    lineage, and the one before is deleted.  Self-edges give single-node components; null ends are dropped.
     """
     pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
     start = saved(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    now, state = start.where("u > v"), None
+    now, state, last = start.where("u > v"), None, None
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
@@ -34,6 +34,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         low = far.groupBy("u").agg(F.min("v").alias("low"))
         near = far.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u > v")
         now = saved(near.union(low).distinct(), "stars")
+        if last is not None:
+            discard(last)
+        last = now
         old, state = state, _state(now)
         if state == old:
             break

@@ -4,33 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes an execution's shuffle files when it is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and named there.
+    Where the session names none, a local master (one machine, as in tests) gets a temporary folder; on a
+    cluster that is an error, since executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="loamgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: it survives lost executors and is computed once.
+@contextmanager
+def _own_shuffles_only(spark: SparkSession) -> Iterator[None]:
+    """Within this, what an execution has shuffled is deleted when it is over: nothing reads it again."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
-    Spark deletes the shuffle files of a finished job when the driver's JVM has
-    collected its garbage; asking for that here keeps a chain of saved tables
-    from holding the shuffles of all of them at once.
-    """
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: it survives lost executors and is computed once."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    with _own_shuffles_only(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
