@@ -9,8 +9,8 @@ exact histogram, so that the same corpus always gives the same verdicts.  Log ra
 don't depend on the order of rows.
 
 Both counts and the threshold cover all documents.  Raw counts need no shuffle of texts; the trusted ones are
-taken in a second pass over the documents that meet a trusted id, so that at most
-the texts are shuffled, and none where Spark finds the ids small enough to broadcast.  The
+taken in a second pass over the documents that meet a trusted id, in a merge join that shuffles
+the texts once, at every size alike.  The
 counts tables are bounded by ``buckets`` rows and the histogram by the range of
 the scores; only these reach the driver.
 """
@@ -150,7 +150,7 @@ def quality_rules(
         total[found["bucket"]] += found["n"]
         return total
 
-    raw, good = counts(docs), counts(docs.join(trusted, "doc_id", "left_semi"))
+    raw, good = counts(docs), counts(docs.join(trusted.hint("merge"), "doc_id", "left_semi"))
     ratio = np.rint((np.log(good / good.sum()) - np.log(raw / raw.sum())) * _SCALE).astype(np.int64)
     scored = saved(docs.mapInArrow(_score(orders, ratio), ", ".join(f"{n} long" for n in _SCORED.names)), "scores")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

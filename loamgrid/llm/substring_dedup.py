@@ -10,8 +10,8 @@ Rounds.  In each round Spark lists the runs of equal names, or the pairs whose l
 round's coin, counts the documents of each, and gives those of two or more a new global name by
 a join; the segments take the names over.  Whether two neighbours merge depends on their two names and the corpus alone, so
 equal substrings get equal interior symbols.  Which neighbours had a say in a symbol is kept as its *context*, in words.
-Rounds go on until nothing gets a name or symbols are an eighth of a window long, beyond which
-their contexts no longer fit into a window.
+Rounds go on until hardly anything gets a name (an eighth of the symbols or less) or symbols are an eighth of a window
+long, beyond which their contexts no longer fit into a window; the result is the same after any number of rounds.
 
 Verifying.  Each window takes the longest symbol whose context lies in it (else the longest local one): equal windows
 take equal symbols.  A *stretch* is a run of windows around one symbol.  Two stretches are equal if
@@ -325,23 +325,21 @@ def _renamed(number: int, wide: int):
 
 def rename(parse: DataFrame, wide: int) -> DataFrame:
     """Segments' symbols after all rounds: seg, doc_id, name, start, end, left, right."""
-    number, given = 0, parse
+    number, given, before = 0, parse, None
     while True:
         found = saved(parse.mapInArrow(_occurring(number, wide), "a long, b long, doc_id long"), "pairs")
         held = found.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies")).where("low < high")
         new = F.shiftleft(F.lit(number + 1).cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
         names = saved(held.select("a", "b", "copies", new.alias("new")), "names")
-        some = bool(names.head(1))
-        if some:
-            lists = join_copies(found, names, ["a", "b"]).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("a", "b", "new")))
-            old, parse = parse, saved(parse.join(lists, "doc_id", "left").mapInArrow(_renamed(number, wide), f"seg long, doc_id long, {_PARSE}"), "parse")
-            if old is not given:
-                discard(old)
+        lists = join_copies(found, names, ["a", "b"]).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("a", "b", "new")))
+        old, parse = parse, saved(parse.join(lists, "doc_id", "left").mapInArrow(_renamed(number, wide), f"seg long, doc_id long, {_PARSE}"), "parse")
+        if old is not given:
+            discard(old)
         discard(found, names)
-        long = parse.agg(F.sum(F.get("end", F.size("end") - 1) - F.get("start", F.lit(0))), F.sum(F.size("name"))).first()
-        if number and (not some or 8 * long[0] >= wide * long[1]):
+        words, symbols = parse.agg(F.sum(F.get("end", F.size("end") - 1) - F.get("start", F.lit(0))), F.sum(F.size("name"))).first()
+        if number and (not symbols or 8 * words >= wide * symbols or 8 * symbols > 7 * before):
             return parse
-        number += 1
+        number, before = number + 1, symbols
 
 
 # ---- verifying ----
