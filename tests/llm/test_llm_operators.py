@@ -71,6 +71,24 @@ def test_quality_counts_equal_brute_force(spark, odd):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdicts_equal_brute_force(spark):
+    """Log ratios and threshold from plain counts; with so many buckets hardly any n-grams share one."""
+    texts = {i: prose(i % 20, 24 + i) for i in range(30)} | {100 + i: " ".join(f"{w}{i}" for w in prose(i, 25).split()) for i in range(8)} | {200: None, 201: "few words"}
+    trusted = {i for i in texts if i % 3 == 0 and i < 30} | {105, 201}
+    found = by_id(quality_rules.quality_rules(documents(spark, list(texts.items())), documents(spark, [(i, None) for i in trusted] + [(None, None), (3, "")]), buckets=1 << 23, quantile=0.1))
+    grams = {i: [g for n in (1, 2) for g in zip(*(WORD.findall(t or "")[k:] for k in range(n)), strict=False)] for i, t in texts.items()}
+    raw, good = Counter(g for x in grams.values() for g in x), Counter(g for i in trusted for g in grams[i])
+    total = {id(c): sum(c.values()) + (1 << 23) for c in (raw, good)}
+    ratio = lambda g: np.log((good[g] + 1) / total[id(good)]) - np.log((raw[g] + 1) / total[id(raw)])
+    score = {i: np.mean([ratio(g) for g in x]) if x else 0.0 for i, x in grams.items()}
+    assert all(abs(found[i].llr - score[i]) < 1e-5 for i in texts)
+    bins = sorted(np.floor(found[i].llr * 1000) for i in trusted if not found[i].base_failed)
+    at = lambda q: max(b for b in bins if sum(x < b for x in bins) <= q * len(bins))
+    edge = (2 * at(0.1) - at(0.5)) / 1000
+    assert {i: r.kept for i, r in found.items()} == {i: not base_rules(t)[5] and found[i].llr >= edge for i, t in texts.items()}
+    assert 0 < sum(r.kept for r in found.values()) < sum(not r.base_failed for r in found.values())
+
+
 def test_quality_rejects_what_the_trusted_never_hold(spark):
     vocabulary = sorted(set(prose(0, 60).split()))[:30]
     good = [(i, " ".join(np.random.default_rng(i).choice(vocabulary, 200))) for i in range(60)]
