@@ -39,6 +39,37 @@ def test_pipeline_stages(spark, sf_dir):
     assert pieces.groupBy("sequence_id").sum("length").where("`sum(length)` < 2048").count() <= 1
 
 
+def run_stages(spark, docs):
+    """Rows of ``docs`` after each stage, and the packed pieces."""
+    found = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found.append(stage(spark, docs, "").collect())
+        docs = spark.createDataFrame(found[-1], SCHEMA)
+    return found, corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_pipeline_bears_odd_rows(spark, odd):
+    """Nulls, empty and long texts, ties, repeated rows, shared and missing ids, clashing columns."""
+    (lang, dedup, pii, mixed), pieces = run_stages(spark, odd)
+    lettered = [r for r in odd.collect() if any(map(str.isalpha, r.text or ""))]
+    assert sorted(str((r.doc_id, r.text)) for r in lang) == sorted(str((r.doc_id, r.text)) for r in lettered)
+    texts = [r.text for r in dedup]
+    assert len(set(texts)) == len(texts) and set(texts) == {r.text for r in lettered}
+    assert {r.doc_id for r in dedup if r.text == prose(1, 120)} == {100} and None in {r.doc_id for r in dedup}
+    assert sorted(map(str, pii)) == sorted(map(str, mixed)) and len(pii) == len(dedup)
+    assert sum(r.start == 0 for r in pieces) == len(mixed)
+
+
+def test_pipeline_of_no_rows(spark):
+    assert run_stages(spark, spark.createDataFrame([], SCHEMA)) == ([[]] * 4, [])
+
+
+def test_near_dedup_judges_rows_that_share_an_id_by_their_texts(spark):
+    rows = [(1, prose(1, 60)), (1, prose(2, 60)), (1, prose(2, 60)), (2, prose(1, 60)), (None, prose(3, 60)), (None, prose(3, 60) + " x"), (None, prose(2, 60))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA), "").collect()
+    assert sorted((str(r.doc_id), r.text[:9]) for r in kept) == sorted([("1", prose(1, 60)[:9]), ("1", prose(2, 60)[:9]), ("None", prose(3, 60)[:9])])
+
+
 @pytest.mark.parametrize("split", ["128m", "16k"])
 def test_sequences_follow_the_mix(spark, tmp_path, split):
     rows = [(i, prose(i % 50, 40 + i % 7), "en", "hot" if i % 10 else "rare", 0) for i in range(4000)]
