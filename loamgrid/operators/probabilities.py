@@ -92,8 +92,8 @@ def blend_tiles(tiles: DataFrame, keys: Sequence[str], size: int = 8, overlap: i
     return sums.select(*keys, "x", "y", "covering", A.normalized(as_array()).alias("probs"))
 
 
-def blend_windows(tiles: DataFrame, windows: DataFrame, size: int = 8, overlap: int = 2) -> DataFrame:
-    """Blend of only the tiles that meet each window (unit_id, x0, y0, x1, y1), cropped to it.
+def blend_windows(tiles: DataFrame, windows: DataFrame, size: int = 8, overlap: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Blend of only the tiles that meet each window (unit_id, x0, y0, x1, y1), cropped to it, for each value of ``keys``.
 
     Tiles and windows meet on a coarse grid of tile steps: an equality join instead of a range join.
     """
@@ -101,8 +101,8 @@ def blend_windows(tiles: DataFrame, windows: DataFrame, size: int = 8, overlap:
     cells = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - size) / stride), F.floor((F.col(b) - 1) / stride)))
     wanted = windows.withColumn("tile_x", cells("x0", "x1")).withColumn("tile_y", cells("y0", "y1"))
     met = tiles.drop("x", "y").join(wanted, ["tile_x", "tile_y"])
-    blended = blend_tiles(met, ["unit_id", "x0", "y0", "x1", "y1"], size, overlap)
-    return blended.where("x >= x0 and x < x1 and y >= y0 and y < y1").select("unit_id", "x", "y", "covering", "probs")
+    blended = blend_tiles(met, [*keys, "unit_id", "x0", "y0", "x1", "y1"], size, overlap)
+    return blended.where("x >= x0 and x < x1 and y >= y0 and y < y1").select(*keys, "unit_id", "x", "y", "covering", "probs")
 
 
 def one_hot(labels: DataFrame) -> DataFrame:

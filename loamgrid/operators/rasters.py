@@ -146,12 +146,13 @@ def fragments(table: DataFrame, limits: list[int]) -> DataFrame:
     return rows.withColumn("__class", F.col("class_index")).groupBy("limit", F.col("__class")).agg(F.count_if(F.col("pixel_count") < F.col("limit")).alias("n")).rollup("limit", "__class").agg(F.sum("n").alias("fragments")).where("limit is not null").select(F.col("__class").alias("class_index"), "limit", "fragments")
 
 
-def cell_mixture(labels: DataFrame, side: int) -> DataFrame:
-    """cell_x, cell_y, pixels, classes and entropy of the class mixture in square cells."""
+def cell_mixture(labels: DataFrame, side: int, protected: Column | None = None) -> DataFrame:
+    """cell_x, cell_y, pixels, classes, entropy of the class mixture, coverage and the share of ``protected`` classes in square cells."""
     counts = labels.groupBy(F.floor(F.col("x") / side).alias("cell_x"), F.floor(F.col("y") / side).alias("cell_y"), "class_index").agg(F.count("*").alias("n"))
     whole = W.partitionBy("cell_x", "cell_y")
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(whole))
-    return share.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("pixels"), F.count("*").alias("classes"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
+    extra = [] if protected is None else [F.sum(F.when(protected, F.col("p")).otherwise(0.0)).alias("protected_share")]
+    return share.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("pixels"), F.count("*").alias("classes"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), (F.sum("n") / side**2).alias("coverage"), *extra)
 
 
 def boundary_cells(labels: DataFrame) -> DataFrame:
@@ -181,27 +182,48 @@ def nearest(cells: DataFrame, others: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def sample_cells(cells: DataFrame, run: str, size: int, apart: int) -> DataFrame:
-    """Cells of each run: the best under each of three rankings, then by entropy, at least ``apart`` cells from each other.
+    """Cells of each run: for each of three rankings its first cell that is ``apart`` cells or more from those taken, then by entropy.
 
-    ``cells``: run, cell_x, cell_y, classes, pixels, entropy. Only the short list of the best 20 * size meets in a group.
+    ``cells``: run, cell_x, cell_y, classes, pixels, entropy. A cell rules out (2 * apart - 1)**2 cells, itself included, so the
+    first ``size`` times as many of each ranking hold all that a walk over the whole run could take; only these meet in a group.
     """
     import pandas as pd
-    from pyspark.sql import Window
 
     order = {"entropy": F.desc("entropy"), "classes": F.desc("classes"), "pixels": F.asc("pixels")}
-    ranked = cells
+    enough, names, short = size * (2 * apart - 1) ** 2, list(order), None
     for name, by in order.items():
-        ranked = ranked.withColumn(f"by_{name}", F.row_number().over(Window.partitionBy(run).orderBy(by, "cell_y", "cell_x")))
-    columns = [f"by_{n}" for n in order]
-    short = ranked.where((F.col("by_entropy") <= 20 * size) | (F.col("by_classes") == 1) | (F.col("by_pixels") == 1))
+        place = F.row_number().over(W.partitionBy(run).orderBy(by, "cell_y", "cell_x"))
+        first = cells.withColumn("place", place).where(F.col("place") <= enough).select(run, "cell_x", "cell_y", F.lit(name).alias("ranking"), "place")
+        short = first if short is None else short.unionByName(first)
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         taken: list[tuple[int, int]] = []
-        firsts = [rows.loc[rows[c].idxmin()] for c in columns]
-        for r in [*firsts, *(r for _, r in rows.sort_values("by_entropy").iterrows())]:
-            at = (int(r["cell_x"]), int(r["cell_y"]))
-            if len(taken) < size and all(max(abs(at[0] - x), abs(at[1] - y)) >= apart for x, y in taken):
-                taken.append(at)
+
+        def walk(name: str, most: int) -> None:
+            for r in rows[rows["ranking"] == name].sort_values("place").itertuples():
+                if most and len(taken) < size and all(max(abs(r.cell_x - x), abs(r.cell_y - y)) >= apart for x, y in taken):
+                    taken.append((int(r.cell_x), int(r.cell_y)))
+                    most -= 1
+
+        for name in names:
+            walk(name, 1)
+        walk("entropy", size)
         return pd.DataFrame({run: [rows[run].iloc[0]] * len(taken), "place": range(1, len(taken) + 1), "cell_x": [x for x, _ in taken], "cell_y": [y for _, y in taken]})
 
     return short.groupBy(run).applyInPandas(pick, f"{run} long, place int, cell_x long, cell_y long")
+
+
+def semantic_safety(before: DataFrame, after: DataFrame, truth: DataFrame, protected: Column, percent: float, drop: float) -> DataFrame:
+    """class_index, before, after (pixels), area_changed, protected_changed, accuracy_dropped for every class of either raster."""
+    count = lambda df, name: df.groupBy("class_index").agg(F.count("*").alias(name))
+    rows = count(before, "before").join(count(after, "after"), "class_index", "full").fillna(0, ["before", "after"])
+    right = truth.select("x", "y", "class_index")
+    for name, df in (("was", before), ("now", after)):
+        right = right.join(df.select("x", "y", F.col("class_index").alias(name)), ["x", "y"], "left")
+    hit = lambda c: F.avg(F.when(F.col(c) == F.col("class_index"), 1.0).otherwise(0.0))
+    accuracy = right.groupBy("class_index").agg((hit("was") - hit("now")).alias("lost"))
+    rows = rows.join(accuracy, "class_index", "left")
+    return rows.select(
+        "class_index", "before", "after", (F.abs(F.col("after") - F.col("before")) * 100 > percent * F.col("before")).alias("area_changed"), (protected & (F.col("before") != F.col("after"))).alias("protected_changed"),
+        F.coalesce(F.round("lost", 6) > drop, F.lit(False)).alias("accuracy_dropped"),
+    )

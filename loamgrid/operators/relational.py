@@ -63,10 +63,19 @@ def status_counts(df: DataFrame, by: Sequence[str], statuses: Sequence[str]) ->
     return df.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses])
 
 
-def runnable(jobs: DataFrame, dependencies: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Queued or interrupted jobs with attempts left whose artifacts are all ready."""
-    unready = dependencies.join(artifacts.where("status <> 'ready'").select("artifact_id"), "artifact_id").select("job_id").distinct()
-    return jobs.where("status in ('queued', 'interrupted') and attempt < max_attempts").join(unready, "job_id", "left_anti")
+def runnable(jobs: DataFrame, dependencies: DataFrame, artifacts: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """Queued or interrupted jobs with attempts left whose dependencies all have a ready artifact.
+
+    With ``required`` (job_type, kind), the ready artifacts must also hold every kind that the job's type asks for.
+    """
+    ready = artifacts.where("status = 'ready'").select("artifact_id", "kind")
+    unready = dependencies.join(ready, "artifact_id", "left_anti").select("job_id").distinct()
+    open_ = jobs.where("status in ('queued', 'interrupted') and attempt < max_attempts").join(unready, "job_id", "left_anti")
+    if required is None:
+        return open_
+    held = dependencies.join(ready, "artifact_id").select("job_id", "kind").distinct()
+    missing = open_.select("job_id", "job_type").join(required, "job_type").join(held, ["job_id", "kind"], "left_anti").select("job_id").distinct()
+    return open_.join(missing, "job_id", "left_anti")
 
 
 def bounded_utf8(text: Column, size: int) -> Column:

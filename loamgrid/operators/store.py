@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgrid.operators.graph import connected_components
+from loamgrid.sources.scratch import discard, saved
 
 
 def audit(store: DataFrame, classes: DataFrame) -> DataFrame:
@@ -70,8 +72,26 @@ def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def match_revisions(pairs: DataFrame) -> DataFrame:
-    """batch, old_id, new_id, area of a greedy one-to-one matching within each batch."""
-    return pairs.select("batch", "old_id", "new_id", "area").groupBy("batch").applyInPandas(_greedy, "batch long, old_id long, new_id long, area long")
+    """batch, old_id, new_id, area: one-to-one matches as if pairs were taken by falling area, then ids, each end once.
+
+    In rounds: pairs that are the first choice of both their ends are taken, all other pairs of these ends go. The first
+    pair of the whole order is such a pair in every round, so the rounds end, and they give the same matches as the loop.
+    """
+    ends = {"old": ["batch", "old_id"], "new": ["batch", "new_id"]}
+    left = saved(pairs.select("batch", "old_id", "new_id", "area"), "pairs")
+    taken = []
+    while left.head(1):
+        rank = F.struct((-F.col("area")).alias("less"), "old_id", "new_id")
+        best = {e: left.groupBy(*keys).agg(F.min(rank).alias("best")).select(*[k for k in keys], F.col("best.old_id").alias(f"{e}_old"), F.col("best.new_id").alias(f"{e}_new")) for e, keys in ends.items()}
+        both = left.join(best["old"], ends["old"]).where("new_id = old_new").join(best["new"], ends["new"]).where("old_id = new_old")
+        now = saved(both.select("batch", "old_id", "new_id", "area"), "matches")
+        taken.append(now)
+        rest = left
+        for keys in ends.values():
+            rest = rest.join(now.select(*keys), keys, "left_anti")
+        old, left = left, saved(rest, "pairs")
+        discard(old)
+    return reduce(DataFrame.unionByName, taken) if taken else left
 
 
 def staircase(vertices: DataFrame) -> DataFrame:
@@ -96,3 +116,17 @@ def relation_permission(asks: DataFrame, rules: DataFrame) -> DataFrame:
     top = met.withColumn("__best", F.max(rank).over(W.partitionBy(*keys)))
     best = top.where((rank == F.col("__best")) | F.col("r.effect").isNull())
     return best.groupBy(*keys).agg(F.coalesce(F.bool_and(F.col("r.effect") == "allow"), F.lit(False)).alias("allowed"))
+
+
+def numbered_parts(parts: DataFrame, band: int) -> DataFrame:
+    """component_id, class_index, pixels and part_id, which numbers a class's parts in the order of their ids (three digits or more).
+
+    Parts are numbered within bands of ``band`` ids, and bands by a running count, so that no class meets in one task.
+    """
+    parts = parts.select("component_id", "class_index", "pixels", F.floor(F.col("component_id") / band).alias("band"))
+    counts = parts.groupBy("class_index", "band").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("class_index").orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.join(counts.select("class_index", "band", before.alias("before")), ["class_index", "band"])
+    number = F.col("before") + F.row_number().over(W.partitionBy("class_index", "band").orderBy("component_id"))
+    text = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
+    return placed.select("component_id", "class_index", "pixels", F.concat("class_index", F.lit(":d"), text).alias("part_id"))

@@ -34,6 +34,7 @@ TABLES = {
     "classes": f"SELECT class_index, class_code FROM (VALUES {_CODES}) AS v(class_index, class_code)",
     "labels_a": _labels(17),
     "labels_b": _labels(23),
+    "labels_c": _labels(11),
     "jobs": """
     SELECT o_orderkey AS job_id, o_custkey % 5 AS run_id, o_custkey AS object_id, o_orderkey % 50 AS stream_id,
       CASE o_orderkey % 4 WHEN 0 THEN 'score' WHEN 1 THEN 'fuse' WHEN 2 THEN 'fit' ELSE 'assemble' END AS job_type,
@@ -68,7 +69,7 @@ TABLES = {
     SELECT CAST(floor(o_orderkey / 20) AS BIGINT) AS row_no, o_orderkey % 20 AS col_no, o_orderkey AS tile_id,
       o_orderkey % 20 * 320 AS x0, CAST(floor(o_orderkey / 20) AS BIGINT) * 320 AS y0, o_orderkey % 20 * 320 + 512 AS x1, CAST(floor(o_orderkey / 20) AS BIGINT) * 320 + 512 AS y1,
       o_custkey % 5 AS run_id, CASE WHEN o_custkey % 9 = 0 THEN 'failed' ELSE 'ready' END AS status
-    FROM {{orders}} WHERE o_orderkey % 10 < 4""",
+    FROM {{orders}}""",
 }
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

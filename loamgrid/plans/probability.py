@@ -139,14 +139,14 @@ def mosaic_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("partition_blend", oracle("scores", f"""
 WITH {_TILES}
-SELECT CAST(floor(y / 10) AS BIGINT) * 3 + CAST(floor(x / 10) AS BIGINT) AS unit_id, x, y, covering, class_index, round(s / sum(s) OVER (PARTITION BY x, y), {R}) AS p FROM mixed WHERE model_id = 0"""))
+SELECT model_id, CAST(floor(y / 10) AS BIGINT) * 3 + CAST(floor(x / 10) AS BIGINT) AS unit_id, x, y, covering, class_index, round(s / sum(s) OVER (PARTITION BY model_id, x, y), {R}) AS p FROM mixed"""))
 def partition_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blend window by window, from the tiles that meet each window: equal to the whole blend."""
-    tiles = _tiled(spark, sf_dir).where("model_id = 0").drop("model_id")
+    tiles = _tiled(spark, sf_dir)
     at = lambda c: F.floor(F.col(c) / 10) * 10
     windows = Tables(spark, sf_dir).embeddings.select((F.col("vec_id") % 25).alias("x"), F.floor(F.col("vec_id") / 25).alias("y")).select(at("x").alias("x0"), at("y").alias("y0")).distinct()
     windows = windows.select((F.col("y0") / 10 * 3 + F.col("x0") / 10).cast("long").alias("unit_id"), "x0", "y0", (F.col("x0") + 10).alias("x1"), (F.col("y0") + 10).alias("y1"))
-    return long(P.blend_windows(tiles, windows), "unit_id", "x", "y", "covering")
+    return long(P.blend_windows(tiles, windows, keys=("model_id",)), "model_id", "unit_id", "x", "y", "covering")
 
 
 @query("accepted_onehot", oracle("labels_a", "SELECT class_index AS accepted, CAST(c AS INT) AS class_index, CAST(sum(CASE WHEN c = class_index THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS p, count(*) AS pixels FROM labels_a, range(14) AS t(c) GROUP BY 1, 2"))

@@ -90,11 +90,15 @@ def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("runnable_jobs", oracle("jobs artifacts artifact_dependencies", """
-SELECT job_id, job_type, attempt FROM jobs WHERE status IN ('queued', 'interrupted') AND attempt < max_attempts
-  AND job_id NOT IN (SELECT job_id FROM artifact_dependencies JOIN artifacts USING (artifact_id) WHERE status <> 'ready')"""))
+SELECT job_id, job_type, attempt FROM jobs AS j WHERE status IN ('queued', 'interrupted') AND attempt < max_attempts
+  AND NOT EXISTS (SELECT 1 FROM artifact_dependencies AS d WHERE d.job_id = j.job_id AND d.artifact_id NOT IN (SELECT artifact_id FROM artifacts WHERE status = 'ready'))
+  AND NOT EXISTS (SELECT 1 FROM (VALUES ('fuse', 'mask'), ('assemble', 'shard')) AS r(job_type, kind) WHERE r.job_type = j.job_type
+    AND NOT EXISTS (SELECT 1 FROM artifact_dependencies AS d JOIN artifacts AS a USING (artifact_id) WHERE d.job_id = j.job_id AND a.status = 'ready' AND a.kind = r.kind))"""))
 def runnable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion needs a mask, assembly a shard, beside what each job depends on."""
     t = Tables(spark, sf_dir)
-    return R.runnable(t.jobs, t.artifact_dependencies, t.artifacts).select("job_id", "job_type", "attempt")
+    required = spark.createDataFrame([("fuse", "mask"), ("assemble", "shard")], "job_type string, kind string")
+    return R.runnable(t.jobs, t.artifact_dependencies, t.artifacts, required).select("job_id", "job_type", "attempt")
 
 
 @query("reset_closure", oracle("jobs artifact_dependencies", """
@@ -113,12 +117,14 @@ def reset_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("open_frontier", oracle("jobs artifacts artifact_dependencies", """
-SELECT job_id, count(*) AS needed, count(*) FILTER (status = 'ready') AS ready FROM artifact_dependencies JOIN artifacts USING (artifact_id)
-GROUP BY job_id HAVING count(*) FILTER (status = 'ready') BETWEEN 1 AND count(*) - 1"""))
+SELECT job_id, count(*) AS needed, count(*) FILTER (status = 'ready') AS ready, list_sort(list(artifact_id) FILTER (status IS DISTINCT FROM 'ready')) AS run_next
+FROM artifact_dependencies LEFT JOIN artifacts USING (artifact_id) GROUP BY job_id HAVING count(*) FILTER (status = 'ready') BETWEEN 1 AND count(*) - 1"""))
 def open_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of which some dependencies are ready, but not all."""
+    """Units of which some dependencies are ready, but not all, and those to run next to complete them."""
     t = Tables(spark, sf_dir)
-    counts = t.artifact_dependencies.join(t.artifacts, "artifact_id").groupBy("job_id").agg(F.count("*").alias("needed"), F.count_if(F.col("status") == "ready").alias("ready"))
+    ready = F.coalesce(F.col("status") == "ready", F.lit(False))
+    both = t.artifact_dependencies.join(t.artifacts, "artifact_id", "left").groupBy("job_id")
+    counts = both.agg(F.count("*").alias("needed"), F.count_if(ready).alias("ready"), F.sort_array(F.collect_list(F.when(~ready, F.col("artifact_id")))).alias("run_next"))
     return counts.where("ready > 0 and ready < needed")
 
 

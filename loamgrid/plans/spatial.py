@@ -12,7 +12,7 @@ from loamgrid.registry import query
 #: Tiles of a partition's side, tile size, overlap, halo, seam.
 PER, SIZE, OVERLAP, HALO, SEAM = 4, 64, 24, 24, 8
 _STEP = SIZE - OVERLAP
-_GRIDS = "grids AS (SELECT c_custkey AS grid_id, CAST(1 + c_custkey % 13 AS BIGINT) AS tile_rows, CAST(1 + c_nationkey % 11 AS BIGINT) AS tile_cols FROM customer WHERE c_nationkey < 3)"
+_GRIDS = "grids AS (SELECT c_custkey AS grid_id, CAST(1 + c_custkey % 13 AS BIGINT) AS tile_rows, CAST(1 + c_nationkey % 11 AS BIGINT) AS tile_cols FROM customer)"
 _EDGE = f"CAST(CASE WHEN {{i}} = 0 THEN 0 WHEN {{i}} = ceil({{n}} / {PER}) THEN ({{n}} - 1) * {_STEP} + {SIZE} ELSE floor(({{i}} * {PER} - 1) * {_STEP} / 2 + {{i}} * {PER} * {_STEP} / 2 + {SIZE} / 2 + 0.5) END AS BIGINT)"
 _E = lambda i, n: _EDGE.format(i=i, n=n)
 _PARTS = f"""{_GRIDS},
@@ -22,8 +22,8 @@ parts AS (SELECT grid_id, row_no, col_no, {_E('col_no', 'tile_cols')} AS x0, {_E
 
 
 def _grids(t: Tables) -> DataFrame:
-    """One planned grid for each customer of three nations."""
-    return t.customer.where("c_nationkey < 3").select(F.col("c_custkey").alias("grid_id"), (1 + F.col("c_custkey") % 13).alias("tile_rows"), (1 + F.col("c_nationkey") % 11).cast("long").alias("tile_cols"))
+    """One planned grid for each customer."""
+    return t.customer.select(F.col("c_custkey").alias("grid_id"), (1 + F.col("c_custkey") % 13).alias("tile_rows"), (1 + F.col("c_nationkey") % 11).cast("long").alias("tile_cols"))
 
 
 def _parts(t: Tables) -> DataFrame:
@@ -114,11 +114,11 @@ def output_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tile_grid", oracle("", """
-WITH e AS (SELECT c_custkey, 200 + c_custkey % 300 AS width, 150 + c_nationkey * 10 AS height FROM customer WHERE c_nationkey < 5)
+WITH e AS (SELECT c_custkey, 200 + c_custkey % 300 AS width, 150 + c_nationkey * 10 AS height FROM customer)
 SELECT c_custkey, row_no, col_no, greatest(0, least(col_no * 96, width - 128)) AS x0, greatest(0, least(row_no * 96, height - 128)) AS y0, least(greatest(0, least(col_no * 96, width - 128)) + 128, width) AS x1, least(greatest(0, least(row_no * 96, height - 128)) + 128, height) AS y1
 FROM e, LATERAL (SELECT unnest(range(greatest(1, CAST(ceil((height - 32) / 96) AS BIGINT)))) AS row_no) AS r, LATERAL (SELECT unnest(range(greatest(1, CAST(ceil((width - 32) / 96) AS BIGINT)))) AS col_no) AS c"""))
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extents = Tables(spark, sf_dir).customer.where("c_nationkey < 5").select("c_custkey", (200 + F.col("c_custkey") % 300).alias("width"), (150 + F.col("c_nationkey") * 10).alias("height"))
+    extents = Tables(spark, sf_dir).customer.select("c_custkey", (200 + F.col("c_custkey") % 300).alias("width"), (150 + F.col("c_nationkey") * 10).alias("height"))
     return S.tile_grid(extents, 128, 32).drop("width", "height")
 
 

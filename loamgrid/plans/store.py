@@ -133,15 +133,14 @@ def boundary_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("accepted_difference", oracle("labels_a", f"""WITH RECURSIVE open_ AS (SELECT * FROM labels_a WHERE NOT (x % 9 < 2 AND class_index % 2 = 0)), {components_sql(0, 'open_')}
-SELECT component_id, class_index, count(*) AS pixels, class_index || ':d' || lpad(CAST(row_number() OVER (PARTITION BY class_index ORDER BY component_id) AS VARCHAR), 3, '0') AS part_id FROM px GROUP BY component_id, class_index"""))
+SELECT component_id, class_index, pixels, class_index || ':d' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS part_id
+FROM (SELECT component_id, class_index, count(*) AS pixels, row_number() OVER (PARTITION BY class_index ORDER BY component_id) AS n FROM px GROUP BY component_id, class_index) AS p"""))
 def accepted_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the objects without the accepted cells, its parts numbered anew within their class."""
     labels = Tables(spark, sf_dir).labels_a
     accepted = labels.where("x % 9 < 2 and class_index % 2 = 0").select("x", "y")
     parts = R.with_components(labels.join(accepted, ["x", "y"], "left_anti")).groupBy("component_id", "class_index").agg(F.count("*").alias("pixels"))
-    number = F.row_number().over(W.partitionBy("class_index").orderBy("component_id")).cast("string")
-    wide = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(F.substring(number, 1, 3))
-    return parts.select("component_id", "class_index", "pixels", F.concat("class_index", F.lit(":d"), wide).alias("part_id"))
+    return S.numbered_parts(parts, 64 * R.WIDE)
 
 
 _VERTEX = "SELECT vec_id AS ring, i AS seq, sum(CASE WHEN i % 2 = 1 THEN 1 + floor(abs(CAST(embedding[i] AS DOUBLE)) * 10) ELSE 0 END) OVER w AS x, sum(CASE WHEN i % 2 = 0 THEN 1 + floor(abs(CAST(embedding[i] AS DOUBLE)) * 10) ELSE 0 END) OVER w AS y FROM embeddings, range(1, 65) AS t(i) WINDOW w AS (PARTITION BY vec_id ORDER BY i)"

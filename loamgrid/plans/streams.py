@@ -11,7 +11,8 @@ from loamgrid.registry import query
 from loamgrid.sources.shards import new_folder
 from loamgrid.streaming import events as E
 
-DELAY = "3650 days"
+#: Events with one key of a day lie within it.
+DELAY = "2 days"
 
 
 @query("stream_dedupe", oracle("", "SELECT user_id, event_type, count(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY user_id, event_type"))
@@ -61,16 +62,18 @@ def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_lease_expiry", oracle("", """
-SELECT user_id, CAST(epoch_us(before) + 43200000000 AS BIGINT) AS expired_us FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) AS e WHERE epoch_us(ts) - epoch_us(before) > 43200000000"""))
+SELECT user_id, CAST(epoch_us(before) + 43200000000 AS BIGINT) AS expired_us FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) AS e WHERE epoch_us(ts) - epoch_us(before) > 43200000000
+UNION ALL SELECT user_id, CAST(epoch_us(max(ts)) + 43200000000 AS BIGINT) FROM events GROUP BY user_id"""))
 def stream_lease_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.drained(E.expired(E.feed(spark, sf_dir), 43_200_000_000), "leases")
+    """Expired leases, the last one of each user among them: a late mark moves the watermark past all."""
+    return _flushed(spark, sf_dir, lambda rows: E.expired(rows, 43_200_000_000)).where("user_id >= 0")
 
 
 @query("stream_recovery", oracle("", """
 SELECT event_id, recovered_by FROM (SELECT event_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS recovered_by FROM events) AS e
 WHERE event_type = 'error' AND recovered_by IS NOT NULL"""))
 def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.drained(E.recovered(E.feed(spark, sf_dir)), "recovery")
+    return _flushed(spark, sf_dir, E.recovered)
 
 
 @query("stream_fusion", oracle("scores", "SELECT x, y, class_index, round(avg(p), 6) AS p FROM scores GROUP BY x, y, class_index"))

@@ -54,57 +54,106 @@ def sessions(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the latest event of a key; warnings and errors pass at once."""
-    best = state.get if state.exists else (pd.Timestamp(0).value, -1, "")
-    for rows in batches:
-        urgent = rows[rows["event_type"] == "error"]
-        if len(urgent):
-            yield pd.DataFrame({"user_id": key[0], "event_id": urgent["event_id"], "event_type": urgent["event_type"]})
-        for t, i, kind in zip(rows["us"], rows["event_id"], rows["event_type"], strict=True):
-            best = max(best, (int(t), int(i), kind))
-    state.update(best)
-    yield pd.DataFrame({"user_id": [key[0]], "event_id": [best[1]], "event_type": [best[2]]})
+def _stateful(events: DataFrame, columns: list[str], run, output: str, state: str, delay: str) -> DataFrame:
+    """``run`` for each user, on its events and on its timers in event time."""
+    rows = events.withWatermark("time", delay).select("user_id", "time", F.unix_micros("time").alias("us"), *columns)
+    return rows.groupBy("user_id").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def coalesced(events: DataFrame) -> DataFrame:
-    """Each micro-batch the latest event of every user seen in it, and every error."""
-    rows = events.select("user_id", "event_id", "event_type", F.unix_micros("time").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(_latest, "user_id long, event_id long, event_type string", "us long, event_id long, event_type string", "append", GroupStateTimeout.NoTimeout)
+def _wake(state: GroupState, us: int) -> None:
+    """A timer at ``us``, after the present watermark in any case."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), us // 1000) + 1)
 
 
-def _expire(idle_us: int):
+def _latest(forget_us: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get if state.exists else (pd.Timestamp(0).value, -1, "")
         for rows in batches:
-            for t in sorted(rows["us"]):
-                if last is not None and t - last > idle_us:
-                    yield pd.DataFrame({"user_id": [key[0]], "expired_us": [last + idle_us]})
-                last = int(t) if last is None else max(last, int(t))
-        state.update((last,))
+            urgent = rows[rows["event_type"] == "error"]
+            if len(urgent):
+                yield pd.DataFrame({"user_id": key[0], "event_id": urgent["event_id"], "event_type": urgent["event_type"]})
+            for t, i, kind in zip(rows["us"], rows["event_id"], rows["event_type"], strict=True):
+                best = max(best, (int(t), int(i), kind))
+        state.update(best)
+        _wake(state, best[0] + forget_us)
+        yield pd.DataFrame({"user_id": [key[0]], "event_id": [best[1]], "event_type": [best[2]]})
+
+    return run
+
+
+def coalesced(events: DataFrame, delay: str = "1 day", forget_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """Each micro-batch the latest event of every user seen in it, and every error; a user is forgotten ``forget_us`` after the last event."""
+    return _stateful(events, ["event_id", "event_type"], _latest(forget_us), "user_id long, event_id long, event_type string", "us long, event_id long, event_type string", delay)
+
+
+def _expire(idle_us: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, pending = (state.get[0], list(state.get[1])) if state.exists else (-1, [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                pending += [int(t) for t in rows["us"]]
+        mark, over = state.getCurrentWatermarkMs() * 1000, []
+        for t in sorted(p for p in pending if p <= mark):
+            if last >= 0 and t - last > idle_us:
+                over.append(last + idle_us)
+            last = max(last, t)
+        pending = [p for p in pending if p > mark]
+        if last >= 0 and last + idle_us < mark:
+            over.append(last + idle_us)
+            last = -1
+        if last < 0 and not pending:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, pending))
+            _wake(state, min([*pending, *([last + idle_us] if last >= 0 else [])]))
+        if over:
+            yield pd.DataFrame({"user_id": [key[0]] * len(over), "expired_us": over})
 
     return run
 
 
-def expired(events: DataFrame, idle_us: int) -> DataFrame:
-    """user_id, expired_us: times at which a user's lease ran out, as the next heartbeat shows. Events must arrive in order within a user."""
-    rows = events.select("user_id", F.unix_micros("time").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(_expire(idle_us), "user_id long, expired_us long", "last long", "append", GroupStateTimeout.NoTimeout)
+def expired(events: DataFrame, idle_us: int, delay: str = "1 day") -> DataFrame:
+    """user_id, expired_us: times at which a user's lease ran out, by a timer in event time: a user who never comes back is seen as well.
+
+    Heartbeats wait in the state until the watermark has passed them, so they may come in any order within ``delay``.
+    """
+    return _stateful(events, [], _expire(idle_us), "user_id long, expired_us long", "last long, pending array<long>", delay)
+
 
+def _recover(forget_us: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, pending = ([], []) if not state.exists else (list(zip(state.get[0], state.get[1], strict=True)), list(zip(*state.get[2:], strict=True)))
+        if not state.hasTimedOut:
+            for rows in batches:
+                pending += [(int(t), int(i), kind == "error") for t, i, kind in zip(rows["us"], rows["event_id"], rows["event_type"], strict=True) if kind in ("error", "purchase")]
+        mark, found = state.getCurrentWatermarkMs() * 1000, []
+        for us, event, failed in sorted(p for p in pending if p[0] <= mark):
+            if failed:
+                opened.append((us, event))
+            else:
+                found += [(e, event) for t, e in opened if us - t <= forget_us]
+                opened = []
+        opened = [o for o in opened if o[0] + forget_us > mark]
+        pending = [p for p in pending if p[0] > mark]
+        if opened or pending:
+            columns = lambda rows, n: [list(c) for c in zip(*rows, strict=True)] or [[]] * n
+            state.update((*columns(opened, 2), *columns(pending, 3)))
+            _wake(state, min([p[0] for p in pending] + [o[0] + forget_us for o in opened]))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame({"event_id": [e for e, _ in found], "recovered_by": [e for _, e in found]})
+
+    return run
 
-def _recover(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    open_ = list(state.get[0]) if state.exists else []
-    for rows in batches:
-        for row in rows.sort_values(["us", "event_id"]).itertuples(index=False):
-            if row.event_type == "error":
-                open_.append(int(row.event_id))
-            elif row.event_type == "purchase" and open_:
-                yield pd.DataFrame({"event_id": open_, "recovered_by": int(row.event_id)})
-                open_ = []
-    state.update((open_,))
 
+def recovered(events: DataFrame, delay: str = "1 day", forget_us: int = 365 * 86_400_000_000) -> DataFrame:
+    """event_id, recovered_by: errors closed by the user's next purchase in event time, at most ``forget_us`` later.
 
-def recovered(events: DataFrame) -> DataFrame:
-    """event_id, recovered_by: errors closed by the user's next purchase."""
-    rows = events.select("user_id", "event_id", "event_type", F.unix_micros("time").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(_recover, "event_id long, recovered_by long", "open array<long>", "append", GroupStateTimeout.NoTimeout)
+    Events wait in the state until the watermark has passed them; errors leave it when they are closed or ``forget_us`` old.
+    """
+    return _stateful(events, ["event_id", "event_type"], _recover(forget_us), "event_id long, recovered_by long", "opened_us array<long>, opened array<long>, us array<long>, event array<long>, failed array<boolean>", delay)

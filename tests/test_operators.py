@@ -139,3 +139,84 @@ def test_sampled_cells_keep_their_distance(spark):
     at = [(r.cell_x, r.cell_y) for r in sorted(found, key=lambda r: r.place)]
     assert len(at) == 8 and all(max(abs(a - c), abs(b - d)) >= 3 for i, (a, b) in enumerate(at) for c, d in at[:i])
     assert at[0] == min(((c[1], c[2]) for c in cells if c[5] == 16.0), key=lambda p: (p[1], p[0]))
+
+
+def test_a_class_of_over_999_parts_has_distinct_ids(spark):
+    from loamgrid.operators.store import numbered_parts
+
+    parts = spark.range(2500).selectExpr("id * 7919 AS component_id", "id % 2 AS class_index", "1L AS pixels")
+    rows = sorted(numbered_parts(parts, 100_000).collect(), key=lambda r: r.component_id)
+    for c in (0, 1):
+        assert [r.part_id for r in rows if r.class_index == c] == [f"{c}:d{k:03d}" for k in range(1, 1251)]
+
+
+def test_matching_in_rounds_equals_the_loop(spark):
+    import random
+
+    from loamgrid.operators.store import match_revisions
+
+    r = random.Random(2)
+    pairs = list({(b, r.randrange(15), 100 + r.randrange(15)): r.randrange(6) for b in range(6) for _ in range(60)}.items())
+    rows = [(*k, area) for k, area in pairs]
+    want, used = set(), set()
+    for b, old, new, area in sorted(rows, key=lambda p: (p[0], -p[3], p[1], p[2])):
+        if not {(b, "o", old), (b, "n", new)} & used:
+            used |= {(b, "o", old), (b, "n", new)}
+            want.add((b, old, new, area))
+    found = match_revisions(spark.createDataFrame(rows, "batch long, old_id long, new_id long, area long"))
+    assert {tuple(x) for x in found.collect()} == want
+
+
+def test_a_dependency_without_an_artifact_blocks(spark):
+    from loamgrid.operators.relational import runnable
+
+    jobs = spark.createDataFrame([(i, "fuse", "queued", 0, 4) for i in range(1, 6)], "job_id long, job_type string, status string, attempt int, max_attempts int")
+    needs = spark.createDataFrame([(1, 10), (2, 99), (3, 11), (4, 12)], "job_id long, artifact_id long")
+    there = spark.createDataFrame([(10, "ready", "mask"), (11, "building", "mask"), (12, "ready", "report")], "artifact_id long, status string, kind string")
+    ids = lambda df: sorted(r.job_id for r in df.collect())
+    assert ids(runnable(jobs, needs, there)) == [1, 4, 5]
+    assert ids(runnable(jobs, needs, there, spark.createDataFrame([("fuse", "mask")], "job_type string, kind string"))) == [1]
+
+
+def test_samples_equal_the_greedy_walk(spark):
+    from loamgrid.operators.rasters import sample_cells
+
+    cells = [(0, x, y, 9 - (x // 5 + y // 5) % 7, 10 + (x * y) % 13, 5.0 - ((x % 10 - 5) ** 2 + (y % 10 - 5) ** 2) / 50) for x in range(40) for y in range(40)]
+    df = spark.createDataFrame(cells, "run long, cell_x long, cell_y long, classes long, pixels long, entropy double")
+    for size, apart in ((10, 3), (10, 8), (40, 2)):
+        taken = []
+
+        def walk(order, most):
+            for c in order:
+                if most and len(taken) < size and all(max(abs(c[1] - x), abs(c[2] - y)) >= apart for x, y in taken):
+                    taken.append((c[1], c[2]))
+                    most -= 1
+
+        entropy = sorted(cells, key=lambda c: (-c[5], c[2], c[1]))
+        for order in (entropy, sorted(cells, key=lambda c: (-c[3], c[2], c[1])), sorted(cells, key=lambda c: (c[4], c[2], c[1]))):
+            walk(order, 1)
+        walk(entropy, size)
+        found = sorted(sample_cells(df, "run", size, apart).collect(), key=lambda r: r.place)
+        assert [(r.cell_x, r.cell_y) for r in found] == taken
+
+
+def test_streams_take_events_out_of_order(spark, tmp_path):
+    """Two files of a user's events in the wrong order, then a mark: the order of event times decides, and a dead lease expires by its timer."""
+    from pyspark.sql import functions as F
+
+    from loamgrid.streaming import events as E
+
+    day = 86_400
+    rows = [[(4, 30, "purchase"), (1, 10, "error"), (6, 100, "view")], [(2, 20, "purchase"), (3, 25, "error"), (5, 40, "error")], [(9, 100 * day, "view")]]
+    outputs = {}
+    for name, make in (("leases", lambda s: E.expired(s, 30_000_000, "1 hour")), ("recovery", lambda s: E.recovered(s, "1 hour"))):
+        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        schema = "event_id long, time timestamp, user_id long, event_type string"
+        for part in rows:
+            made = spark.createDataFrame([(i, t, 8 if i == 9 else 7, kind) for i, t, kind in part], "event_id long, s long, user_id long, event_type string")
+            made.select("event_id", F.timestamp_seconds("s").alias("time"), "user_id", "event_type").coalesce(1).write.mode("append").parquet(source)
+            stream = make(spark.readStream.schema(schema).parquet(source))
+            stream.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
+        outputs[name] = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert outputs["recovery"] == [(1, 2), (3, 4)]
+    assert outputs["leases"] == [(7, 70_000_000), (7, 130_000_000)]
