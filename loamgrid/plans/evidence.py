@@ -11,7 +11,7 @@ from loamgrid.operators import probabilities as P
 from loamgrid.operators import rasters as R
 from loamgrid.plans.fixtures import Tables, oracle
 from loamgrid.plans.probability import long
-from loamgrid.plans.store import _C8, _judged
+from loamgrid.plans.store import _C8, _candidates, _judged, _targets
 from loamgrid.registry import query
 
 _HALO = """halo AS (SELECT x, y, (hx + 3 * hy) % 3 AS model_id FROM (SELECT DISTINCT x, y FROM scores) AS s,
@@ -43,7 +43,7 @@ def unit_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chosen(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     pixels, judged = _judged(t)
-    return pixels, judged, C.targets(C.candidates(judged, R.adjacency(pixels, diagonal=True)))
+    return pixels, judged, _targets(t, pixels, judged)
 
 
 @query("absorb_budgeted")
@@ -52,7 +52,7 @@ def absorb_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, _, chosen = _chosen(Tables(spark, sf_dir))
     owner = pixels.groupBy("component_id").agg(F.min("partition_id").alias("owner"))
     totals = pixels.groupBy(F.col("partition_id").alias("owner"), "class_index").agg(F.count("*").alias("pixels"))
-    return C.budgeted(chosen.join(owner, "component_id"), totals, 0.2, 0.1)
+    return C.budgeted(chosen.join(owner, "component_id"), totals, 0.2, 0.1, 5)
 
 
 @query("boundary_delta", oracle("labels_a classes", f"""{_C8}, c4 AS (SELECT a.component_id, b.class_index AS other_class_index, count(*) AS n FROM px AS a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy), px AS b WHERE b.x = a.x + dx AND b.y = a.y + dy AND a.component_id <> b.component_id GROUP BY 1, 2)
@@ -63,12 +63,13 @@ def boundary_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.boundary_delta(chosen, R.adjacency(pixels))
 
 
-@query("explain_decisions", oracle("labels_a classes", f"""{_C8}, f AS (SELECT j.component_id, coalesce(reason, CASE WHEN t.component_id IS NULL THEN 'no_larger_neighbor' END) AS failed FROM judged AS j LEFT JOIN target AS t USING (component_id)),
-g AS (SELECT CAST(place AS INT) AS place, gate FROM (VALUES (1, 'outside_threshold'), (2, 'protected_class'), (3, 'touches_processing_border'), (4, 'elongated_component'), (5, 'no_larger_neighbor')) AS v(place, gate))
-SELECT component_id, g.place, g.gate, g.gate IS DISTINCT FROM failed AS passed FROM f, g WHERE g.place <= coalesce((SELECT place FROM g AS h WHERE h.gate = failed), 5)"""))
+@query("explain_decisions", oracle("labels_a classes", f"""{_C8}, f AS (SELECT j.component_id, coalesce(reason, CASE WHEN c.component_id IS NULL THEN 'no_larger_neighbor' WHEN t.component_id IS NULL THEN 'probability_drop' END) AS failed FROM judged AS j LEFT JOIN target AS t USING (component_id) LEFT JOIN (SELECT DISTINCT component_id FROM cand) AS c USING (component_id)),
+g AS (SELECT CAST(place AS INT) AS place, gate FROM (VALUES (1, 'outside_threshold'), (2, 'protected_class'), (3, 'touches_processing_border'), (4, 'elongated_component'), (5, 'no_larger_neighbor'), (6, 'probability_drop')) AS v(place, gate))
+SELECT component_id, g.place, g.gate, g.gate IS DISTINCT FROM failed AS passed FROM f, g WHERE g.place <= coalesce((SELECT place FROM g AS h WHERE h.gate = failed), 6)"""))
 def explain_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, judged, chosen = _chosen(Tables(spark, sf_dir))
-    return C.explain(judged, chosen)
+    t = Tables(spark, sf_dir)
+    pixels, judged, chosen = _chosen(t)
+    return C.explain(judged, _candidates(t, pixels, judged), chosen)
 
 
 _EDGE = "SELECT DISTINCT a.x, a.y FROM {0} AS a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy), {0} AS b WHERE b.x = a.x + dx AND b.y = a.y + dy AND a.class_index <> b.class_index"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +17,14 @@ _RUNS = f"""
 runs AS (SELECT y, class_index, min(x) AS x0, max(x) AS x1, count(*) AS pixels, y * {WIDE} + min(x) AS run_id FROM (SELECT *, x - row_number() OVER (PARTITION BY y, class_index ORDER BY x) AS island FROM {{0}}) AS i GROUP BY y, class_index, island)"""
 
 
-def components_sql(reach: int, labels: str = "labels_a") -> str:
-    """CTEs runs, px (pixels with component_id): reachable runs by recursion."""
-    return f"""{_RUNS.format(labels)},
+def components_sql(reach: int, labels: str = "labels_a", prefix: str = "") -> str:
+    """CTEs runs, px (pixels with component_id), each with ``prefix``: reachable runs by recursion."""
+    text = f"""{_RUNS.format(labels)},
 edges AS (SELECT a.run_id AS a, b.run_id AS b FROM runs AS a JOIN runs AS b ON b.y IN (a.y - 1, a.y + 1) AND a.class_index = b.class_index AND a.x0 <= b.x1 + {reach} AND b.x0 <= a.x1 + {reach}),
 reached AS (SELECT run_id AS a, run_id AS b FROM runs UNION SELECT reached.a, edges.b FROM reached JOIN edges ON reached.b = edges.a),
 roots AS (SELECT a AS run_id, min(b) AS component_id FROM reached GROUP BY a),
 px AS (SELECT l.*, component_id FROM {labels} AS l JOIN runs AS r ON l.y = r.y AND l.class_index = r.class_index AND l.x BETWEEN r.x0 AND r.x1 JOIN roots USING (run_id))"""
+    return re.sub(r"\b(runs|edges|reached|roots|px)\b", prefix + r"\1", text) if prefix else text
 
 
 C4, C8 = f"WITH RECURSIVE {components_sql(0)}", f"WITH RECURSIVE {components_sql(1)}"

@@ -200,8 +200,13 @@ def rank_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(by).alias("place"))
 
 
+#: Weights of contact share and mean probability; the drop of probability allowed from HARD pixels on; pixels below which any target is compatible.
+SHARE_WEIGHT, P_WEIGHT, DROP, HARD, BYPASS = 0.6, 0.4, 0.75, 3, 4
+#: Probability of class k at a pixel: the confidence for its label, a share of the rest for others.
+_P = "CASE WHEN {k} = px.class_index THEN px.confidence ELSE (1 - px.confidence) * (1 + (px.x + 3 * px.y + 5 * {k}) % 7) / 8 END"
+_RULES = "SELECT class_index, CAST(o AS INT) AS other_class_index, (class_index + o) % 4 <> 0 AS compatible, o = 4 AS disallowed FROM classes, range(14) AS t(o)"
 _POLICY = "SELECT class_index, 6 + class_index % 5 AS threshold, class_index % 6 = 5 AS protected FROM {classes} WHERE class_index <> 9"
-_JUDGED = f"""policy AS ({_POLICY.replace('{', '').replace('}', '')}),
+_JUDGED = f"""rules AS ({_RULES}), policy AS ({_POLICY.replace('{', '').replace('}', '')}),
 shape AS (SELECT component_id, class_index, count(*) AS pixel_count, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px GROUP BY component_id, class_index),
 judged AS (SELECT s.*, p.protected, CASE WHEN threshold IS NULL OR pixel_count >= threshold THEN 'outside_threshold' WHEN protected THEN 'protected_class'
   WHEN x0 = (SELECT min(x) FROM px) OR x1 = (SELECT max(x) FROM px) OR y0 = (SELECT min(y) FROM px) OR y1 = (SELECT max(y) FROM px) THEN 'touches_processing_border'
@@ -210,10 +215,14 @@ d8 AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (
 ring AS (SELECT DISTINCT a.component_id, a.class_index, b.component_id AS other_component_id, b.class_index AS other_class_index, b.x, b.y FROM px AS a, d8, px AS b WHERE b.x = a.x + dx AND b.y = a.y + dy AND a.component_id <> b.component_id),
 contact AS (SELECT component_id, class_index, other_component_id, other_class_index, count(*) AS contact FROM ring GROUP BY 1, 2, 3, 4),
 cand AS (SELECT c.*, j.pixel_count, o.pixel_count AS other_pixels FROM contact AS c JOIN judged AS j USING (component_id) JOIN judged AS o ON o.component_id = c.other_component_id
-  WHERE j.reason IS NULL AND c.class_index <> c.other_class_index AND NOT coalesce(o.protected, false) AND (o.pixel_count > j.pixel_count OR (o.pixel_count = j.pixel_count AND o.component_id < j.component_id))),
-target AS (SELECT component_id, class_index, pixel_count, other_class_index AS target_class, other_component_id AS target_id, cc / total AS share FROM (
-  SELECT *, sum(contact) OVER (PARTITION BY component_id) AS total FROM (SELECT *, sum(contact) OVER (PARTITION BY component_id, other_class_index) AS cc FROM cand) AS s) AS q
-  QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY cc DESC, other_class_index, contact DESC, other_pixels DESC, other_component_id) = 1)"""
+  JOIN rules AS r ON r.class_index = c.class_index AND r.other_class_index = c.other_class_index
+  WHERE j.reason IS NULL AND c.class_index <> c.other_class_index AND NOT coalesce(o.protected, false) AND NOT r.disallowed AND (r.compatible OR j.pixel_count < {BYPASS}) AND (o.pixel_count > j.pixel_count OR (o.pixel_count = j.pixel_count AND o.component_id < j.component_id))),
+mean AS (SELECT component_id, k AS class_index, avg({_P.format(k='k')}) AS p FROM px JOIN (SELECT DISTINCT component_id FROM cand) AS c USING (component_id), range(14) AS t(k) GROUP BY 1, 2),
+best AS (SELECT component_id, class_index, pixel_count, other_class_index AS target_class, other_component_id AS target_id, cc / total AS share, q.p, own.p AS own_p FROM (
+  SELECT s.*, mean.p, sum(contact) OVER (PARTITION BY s.component_id) AS total FROM (SELECT *, sum(contact) OVER (PARTITION BY component_id, other_class_index) AS cc FROM cand) AS s JOIN mean ON mean.component_id = s.component_id AND mean.class_index = s.other_class_index) AS q
+  JOIN mean AS own USING (component_id, class_index)
+  QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY round({SHARE_WEIGHT} * cc / total + {P_WEIGHT} * q.p, 9) DESC, cc DESC, other_class_index, contact DESC, other_pixels DESC, other_component_id) = 1),
+target AS (SELECT * FROM best WHERE pixel_count < {HARD} OR round(p, 9) >= round(own_p - {DROP}, 9))"""
 _C8 = f"WITH RECURSIVE {components_sql(1)}, {_JUDGED}"
 
 
@@ -225,6 +234,22 @@ def _judged(t: Tables) -> tuple[DataFrame, DataFrame]:
     return pixels, C.reasons(R.components(pixels), t.spark.sql(_POLICY, classes=t.classes))
 
 
+def _rules(t: Tables) -> DataFrame:
+    """Whether a class may go to another, for all pairs of classes."""
+    pairs = t.classes.select("class_index", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("other_class_index"))
+    return pairs.withColumns({"compatible": (F.col("class_index") + F.col("other_class_index")) % 4 != 0, "disallowed": F.col("other_class_index") == 4})
+
+
+def _candidates(t: Tables, pixels: DataFrame, judged: DataFrame) -> DataFrame:
+    return C.candidates(judged, R.adjacency(pixels, diagonal=True), _rules(t), BYPASS)
+
+
+def _targets(t: Tables, pixels: DataFrame, judged: DataFrame) -> DataFrame:
+    """Chosen targets by contact share and mean probability."""
+    shares = F.array(*[F.when(F.col("class_index") == k, F.col("confidence")).otherwise((1 - F.col("confidence")) * (1 + (F.col("x") + 3 * F.col("y") + 5 * k) % 7) / 8) for k in range(14)])
+    return C.targets(_candidates(t, pixels, judged), C.mean_probabilities(pixels.withColumn("probs", shares), 14), SHARE_WEIGHT, P_WEIGHT, DROP, HARD)
+
+
 @query("small_component_reasons", oracle("labels_a classes", f"{_C8} SELECT class_index, reason, count(*) AS n FROM judged GROUP BY 1, 2"))
 def small_component_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(Tables(spark, sf_dir))[1].groupBy("class_index", "reason").agg(F.count("*").alias("n"))
@@ -232,14 +257,15 @@ def small_component_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("absorb_candidates", oracle("labels_a classes", f"{_C8} SELECT component_id, other_component_id, contact, pixel_count, other_pixels FROM cand"))
 def absorb_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, judged = _judged(Tables(spark, sf_dir))
-    return C.candidates(judged, R.adjacency(pixels, diagonal=True)).select("component_id", "other_component_id", "contact", "pixel_count", "other_pixels")
+    t = Tables(spark, sf_dir)
+    return _candidates(t, *_judged(t)).select("component_id", "other_component_id", "contact", "pixel_count", "other_pixels")
 
 
-@query("absorb_targets", oracle("labels_a classes", f"{_C8} SELECT component_id, class_index, pixel_count, target_class, target_id, round(share, 6) AS share FROM target"))
+@query("absorb_targets", oracle("labels_a classes", f"{_C8} SELECT component_id, class_index, pixel_count, target_class, target_id, round(share, 6) AS share, round(p, 6) AS p, round(own_p, 6) AS own_p FROM target"))
 def absorb_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, judged = _judged(Tables(spark, sf_dir))
-    return C.targets(C.candidates(judged, R.adjacency(pixels, diagonal=True))).withColumn("share", F.round("share", 6))
+    t = Tables(spark, sf_dir)
+    rows = _targets(t, *_judged(t))
+    return rows.select("component_id", "class_index", "pixel_count", "target_class", "target_id", *(F.round(c, 6).alias(c) for c in ("share", "p", "own_p")))
 
 
 @query("absorb_apply", oracle("labels_a classes", f"""{_C8}, walk AS (SELECT component_id, target_id FROM target UNION SELECT w.component_id, t.target_id FROM walk AS w JOIN target AS t ON t.component_id = w.target_id),
@@ -247,22 +273,34 @@ ends AS (SELECT component_id, target_id FROM walk WHERE target_id NOT IN (SELECT
 SELECT p.class_index AS source_class, s.class_index AS target_class, count(*) AS pixels FROM px AS p JOIN ends USING (component_id) JOIN shape AS s ON s.component_id = ends.target_id GROUP BY 1, 2"""))
 def absorb_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels that change class when every decision chain is followed to its end."""
-    pixels, judged = _judged(Tables(spark, sf_dir))
-    ends = C.roots(C.targets(C.candidates(judged, R.adjacency(pixels, diagonal=True))))
+    t = Tables(spark, sf_dir)
+    pixels, judged = _judged(t)
+    ends = C.roots(_targets(t, pixels, judged))
     new = C.apply(pixels.withColumn("source_class", F.col("class_index")), ends, judged).join(ends.select("component_id"), "component_id", "left_semi")
     return new.groupBy("source_class", F.col("class_index").alias("target_class")).agg(F.count("*").alias("pixels"))
 
 
-@query("cleanup_audit", oracle("labels_a classes", f"""{_C8}, walk AS (SELECT component_id, target_id FROM target UNION SELECT w.component_id, t.target_id FROM walk AS w JOIN target AS t ON t.component_id = w.target_id),
-ends AS (SELECT component_id, target_id FROM walk WHERE target_id NOT IN (SELECT component_id FROM target)), after AS (SELECT coalesce(s.class_index, p.class_index) AS class_index FROM px AS p LEFT JOIN ends USING (component_id) LEFT JOIN shape AS s ON s.component_id = ends.target_id)
-SELECT class_index, b.n AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - b.n AS drift FROM (SELECT class_index, count(*) AS n FROM px GROUP BY 1) AS b LEFT JOIN (SELECT class_index, count(*) AS n FROM after GROUP BY 1) AS a USING (class_index)"""))
+_AFTER = """walk AS (SELECT component_id, target_id FROM target UNION SELECT w.component_id, t.target_id FROM walk AS w JOIN target AS t ON t.component_id = w.target_id),
+ends AS (SELECT component_id, target_id FROM walk WHERE target_id NOT IN (SELECT component_id FROM target)),
+after AS (SELECT p.x, p.y, p.class_index AS was, coalesce(s.class_index, p.class_index) AS class_index FROM px AS p LEFT JOIN ends USING (component_id) LEFT JOIN shape AS s ON s.component_id = ends.target_id)"""
+_SIDES = "(SELECT a.class_index, count(*) AS n FROM {0} AS a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy), {0} AS b WHERE b.x = a.x + dx AND b.y = a.y + dy AND a.class_index <> b.class_index GROUP BY 1)"
+
+
+@query("cleanup_audit", oracle("labels_a classes", f"""{_C8}, {_AFTER}, {components_sql(1, 'after', 'a_')},
+b1 AS (SELECT class_index, count(*) AS parts, count(*) FILTER (pixel_count < 6) AS small FROM shape GROUP BY 1),
+a1 AS (SELECT class_index, count(*) AS parts, count(*) FILTER (n < 6) AS small FROM (SELECT component_id, class_index, count(*) AS n FROM a_px GROUP BY 1, 2) AS s GROUP BY 1),
+flow AS (SELECT class_index, sum(b) AS before, sum(a) AS after, sum(o) AS loss, sum(i) AS gain FROM (SELECT was AS class_index, 1 AS b, 0 AS a, CASE WHEN was <> class_index THEN 1 ELSE 0 END AS o, 0 AS i FROM after UNION ALL SELECT class_index, 0, 1, 0, CASE WHEN was <> class_index THEN 1 ELSE 0 END FROM after) AS f GROUP BY 1),
+rows_ AS (SELECT class_index, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, CAST(after - before AS BIGINT) AS drift, CAST(loss AS BIGINT) AS loss, CAST(gain AS BIGINT) AS gain,
+  coalesce(b1.parts, 0) AS components_before, coalesce(a1.parts, 0) AS components_after, coalesce(b1.small, 0) AS fragments_before, coalesce(a1.small, 0) AS fragments_after, coalesce(sb.n, 0) AS boundary_before, coalesce(sa.n, 0) AS boundary_after,
+  CAST(CASE WHEN class_index % 6 = 5 THEN loss ELSE 0 END AS BIGINT) AS protected_loss
+  FROM flow LEFT JOIN b1 USING (class_index) LEFT JOIN a1 USING (class_index) LEFT JOIN {_SIDES.format('labels_a')} AS sb USING (class_index) LEFT JOIN {_SIDES.format('after')} AS sa USING (class_index))
+SELECT *, sum(components_after) OVER () <= sum(components_before) OVER () AND sum(fragments_after) OVER () <= sum(fragments_before) OVER () AND sum(boundary_after) OVER () <= sum(boundary_before) OVER () AND sum(protected_loss) OVER () = 0 AS passed FROM rows_"""))
 def cleanup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class areas before and after the clean-up, and their drift."""
-    pixels, judged = _judged(Tables(spark, sf_dir))
-    after = C.apply(pixels, C.roots(C.targets(C.candidates(judged, R.adjacency(pixels, diagonal=True)))), judged)
-    n = lambda df, name: df.groupBy("class_index").agg(F.count("*").alias(name))
-    both = n(pixels, "before").join(n(after, "after"), "class_index", "left").fillna(0, ["after"])
-    return both.withColumn("drift", F.col("after") - F.col("before"))
+    """For each class: areas and their flows, components, fragments and boundary before and after the clean-up; passed if none of the totals grew and no protected class lost."""
+    t = Tables(spark, sf_dir)
+    pixels, judged = _judged(t)
+    after = C.apply(pixels.withColumn("was", F.col("class_index")), C.roots(_targets(t, pixels, judged)), judged).select("x", "y", "was", "class_index")
+    return C.audit(pixels, after, 6, F.col("class_index") % 6 == 5)
 
 
 @query("rarest_target", oracle("labels_a", """
