@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("probability", "runs", "raster", "spatial", "store", "files", "streams", "evidence")
+MODULES: tuple[str, ...] = ("probability", "runs", "raster", "spatial", "store", "files", "streams", "evidence", "proposals")
 
 
 def load() -> None:
