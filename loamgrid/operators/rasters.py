@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgrid.operators.graph import connected_components
+from loamgrid.sources.scratch import saved
 
 WIDE = 1 << 31
 _STEPS_4 = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -51,9 +52,56 @@ def run_components(labels: DataFrame, diagonal: bool = False) -> DataFrame:
     return connected_components(edges.union(alone)).select(F.col("id").alias("run_id"), F.col("component").alias("component_id"))
 
 
-def with_components(labels: DataFrame, diagonal: bool = False) -> DataFrame:
-    """Adds component_id to every pixel."""
-    return with_runs(labels).join(run_components(labels, diagonal), "run_id").drop("run_id")
+#: Side of the tiles within which components are labelled first.
+TILE = 256
+
+
+def _label_tile(diagonal: bool):
+    """Pixels of one tile with local_id: the smallest cell of each component within the tile."""
+    import numpy as np
+
+    ahead = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+
+    def run(rows):
+        x, y, kind = (rows[c].to_numpy() for c in ("x", "y", "class_index"))
+        at = y.astype(np.int64) * WIDE + x
+        order = np.argsort(at)
+        at, kind, x = at[order], kind[order], x[order]
+        u, v = [], []
+        for dy, dx in ahead:
+            to = np.minimum(np.searchsorted(at, at + dy * WIDE + dx), len(at) - 1)
+            met = np.flatnonzero((at[to] == at + dy * WIDE + dx) & (kind[to] == kind))
+            u.append(met)
+            v.append(to[met])
+        u, v = np.concatenate(u), np.concatenate(v)
+        root = np.arange(len(at))
+        while (root[u] != root[v]).any():
+            low = np.minimum(root[u], root[v])
+            np.minimum.at(root, root[u], low)
+            np.minimum.at(root, root[v], low)
+            while (root[root] != root).any():
+                root = root[root]
+        ids = np.empty(len(at), np.int64)
+        ids[order] = at[root]
+        return rows.assign(local_id=ids)
+
+    return run
+
+
+def with_components(labels: DataFrame, diagonal: bool = False, side: int = TILE) -> DataFrame:
+    """Adds component_id (the component's smallest cell) to every pixel.
+
+    Components are labelled within tiles of ``side`` pixels, one group a tile; then only contacts across the tiles' edges are
+    joined, so that the graph has as many edges as the seams have contacts, not as the raster has pixels.
+    """
+    tiles = labels.withColumns({"__tx": F.floor(F.col("x") / side), "__ty": F.floor(F.col("y") / side)})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema.fields) + ", local_id long"
+    local = saved(tiles.groupBy("__tx", "__ty").applyInPandas(_label_tile(diagonal), schema).drop("__tx", "__ty"), "local")
+    rim = F.least(F.col("x") % side, F.col("y") % side, side - 1 - F.col("x") % side, side - 1 - F.col("y") % side) == 0
+    met = neighbours(local.where(rim).select("x", "y", "class_index", "local_id"), ["class_index", "local_id"], diagonal)
+    links = met.where("class_index = other_class_index and local_id > other_local_id").select(F.col("local_id").alias("u"), F.col("other_local_id").alias("v")).distinct()
+    joined = connected_components(links).select(F.col("id").alias("local_id"), F.col("component").alias("component_id"))
+    return local.join(joined, "local_id", "left").withColumn("component_id", F.coalesce("component_id", "local_id")).drop("local_id")
 
 
 def components(pixels: DataFrame) -> DataFrame:
@@ -82,10 +130,15 @@ def adjacency(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
     return ring.groupBy(F.col("other_component_id").alias("component_id"), F.col("other_class_index").alias("class_index"), F.col("component_id").alias("other_component_id"), F.col("class_index").alias("other_class_index")).agg(F.countDistinct("x", "y").alias("contact"))
 
 
-def boundary_lengths(labels: DataFrame) -> DataFrame:
-    """For each class the sides to another class, and to no row."""
-    inner = neighbours(labels, ["class_index"]).groupBy("class_index").agg(F.count_if(F.col("class_index") != F.col("other_class_index")).alias("internal"), F.count("*").alias("met"))
-    return labels.groupBy("class_index").agg((4 * F.count("*")).alias("sides")).join(inner, "class_index", "left").select("class_index", F.coalesce("internal", F.lit(0)).alias("internal"), (F.col("sides") - F.coalesce("met", F.lit(0))).alias("outer"))
+def boundary_lengths(labels: DataFrame, width_m: float = 1.0, height_m: float = 1.0) -> DataFrame:
+    """For each class the sides to another class, and to no row, and their lengths in metres of pixels of that width and height."""
+    met = neighbours(labels.select("x", "y", "class_index"), ["x", "class_index"])
+    upright = F.col("x") != F.col("other_x")  # a side between left and right is as long as a pixel is high
+    inner = F.col("class_index") != F.col("other_class_index")
+    counts = met.groupBy("class_index").agg(F.count_if(inner & upright).alias("iu"), F.count_if(inner & ~upright).alias("il"), F.count_if(upright).alias("mu"), F.count_if(~upright).alias("ml"))
+    rows = labels.groupBy("class_index").agg((2 * F.count("*")).alias("sides")).join(counts, "class_index", "left").fillna(0, ["iu", "il", "mu", "ml"])
+    up, flat = F.col("sides") - F.col("mu"), F.col("sides") - F.col("ml")
+    return rows.select("class_index", (F.col("iu") + F.col("il")).alias("internal"), (up + flat).alias("outer"), (F.col("iu") * height_m + F.col("il") * width_m).alias("internal_m"), (up * height_m + flat * width_m).alias("outer_m"))
 
 
 def confusion(reference: DataFrame, prediction: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -162,8 +215,6 @@ def boundary_cells(labels: DataFrame) -> DataFrame:
 
 def nearest(cells: DataFrame, others: DataFrame, radius: int = 2) -> DataFrame:
     """x, y, distance to the nearest of ``others``; cells meet on a grid as wide as the radius, which doubles for what is left."""
-    from loamgrid.sources.scratch import saved
-
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     left, found = cells, None
     if not others.head(1):

@@ -124,3 +124,12 @@ def package_buckets(needs: DataFrame, limit: int) -> DataFrame:
     every = needs.select("grid_id", "sequence_no").distinct().join(fresh, ["grid_id", "sequence_no"], "left").fillna(0, ["new_tiles"])
     before = F.coalesce(F.sum("new_tiles").over(W.partitionBy("grid_id").orderBy("sequence_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return every.withColumn("package_no", F.floor(before / limit))
+
+
+def package_neighbours(parts: DataFrame) -> DataFrame:
+    """grid_id, package_no, neighbours: other packages with a partition beside one of the package's (grid_id, row_no, col_no, package_no)."""
+    steps = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    own = parts.select("grid_id", "row_no", "col_no", "package_no")
+    asked = own.withColumn("s", F.explode(steps)).select("grid_id", "package_no", (F.col("row_no") + F.col("s.r")).alias("row_no"), (F.col("col_no") + F.col("s.c")).alias("col_no"))
+    met = asked.join(own.withColumnRenamed("package_no", "other"), ["grid_id", "row_no", "col_no"]).where("other <> package_no")
+    return met.groupBy("grid_id", "package_no").agg(F.sort_array(F.collect_set("other")).alias("neighbours"))

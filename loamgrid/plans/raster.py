@@ -52,17 +52,8 @@ def components_8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("global_components", oracle("labels_a", f"{C4} SELECT component_id, class_index, count(*) AS pixels, count(DISTINCT partition_id) AS partitions FROM px GROUP BY component_id, class_index"))
 def global_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over all partitions, from components within each partition joined at the seams."""
-    labels = Tables(spark, sf_dir).labels_a
-    wide = labels.withColumn("gx", F.col("x")).withColumn("x", F.col("x") + F.floor(F.col("x") / SIDE)).withColumn("gy", F.col("y")).withColumn("y", F.col("y") + F.floor(F.col("y") / SIDE))
-    # a gap column or row after each partition keeps the local components apart
-    local = R.with_components(wide).drop("x", "y").withColumnsRenamed({"gx": "x", "gy": "y", "component_id": "local_id"})
-    seam = ((F.col("x") % SIDE).isin(0, SIDE - 1)) | ((F.col("y") % SIDE).isin(0, SIDE - 1))
-    links = R.neighbours(local.where(seam), ["class_index", "local_id"]).where("class_index = other_class_index and local_id <> other_local_id")
-    from loamgrid.operators.graph import connected_components
-
-    joined = connected_components(links.select(F.col("local_id").alias("u"), F.col("other_local_id").alias("v"))).withColumnsRenamed({"id": "local_id", "component": "root"})
-    rows = local.join(joined, "local_id", "left").withColumn("root", F.coalesce("root", "local_id"))
-    return rows.groupBy("root", "class_index").agg(F.min(R.cell()).alias("component_id"), F.count("*").alias("pixels"), F.countDistinct("partition_id").alias("partitions")).drop("root")
+    pixels = R.with_components(Tables(spark, sf_dir).labels_a, side=SIDE)
+    return pixels.groupBy("component_id", "class_index").agg(F.count("*").alias("pixels"), F.countDistinct("partition_id").alias("partitions"))
 
 
 @query("component_audit", oracle("labels_a", f"{C4}, {_SHAPE} SELECT class_index, count(*) AS components, CAST(sum(pixel_count) AS BIGINT) AS pixels, count(*) FILTER (pixel_count < {LIMIT}) AS fragments FROM shape GROUP BY class_index"))
@@ -114,11 +105,12 @@ def component_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("boundary_length", oracle("labels_a", f"""
-WITH met AS (SELECT a.class_index, b.class_index AS other FROM labels_a AS a, {_STEP4}, labels_a AS b WHERE b.x = a.x + dx AND b.y = a.y + dy)
-SELECT l.class_index, (SELECT count(*) FROM met WHERE met.class_index = l.class_index AND other <> met.class_index) AS internal, 4 * count(*) - (SELECT count(*) FROM met WHERE met.class_index = l.class_index) AS outer
-FROM labels_a AS l GROUP BY l.class_index""".replace("AS outer", 'AS "outer"')))
+WITH met AS (SELECT a.class_index, b.class_index AS other, dx <> 0 AS upright FROM labels_a AS a, {_STEP4}, labels_a AS b WHERE b.x = a.x + dx AND b.y = a.y + dy),
+n AS (SELECT class_index, count(*) FILTER (other <> class_index AND upright) AS iu, count(*) FILTER (other <> class_index AND NOT upright) AS il, count(*) FILTER (upright) AS mu, count(*) FILTER (NOT upright) AS ml FROM met GROUP BY 1),
+s AS (SELECT class_index, 2 * count(*) AS sides FROM labels_a GROUP BY 1)
+SELECT class_index, coalesce(iu + il, 0) AS internal, 2 * sides - coalesce(mu + ml, 0) AS "outer", coalesce(iu * 0.5 + il * 0.25, 0)::DOUBLE AS internal_m, ((sides - coalesce(mu, 0)) * 0.5 + (sides - coalesce(ml, 0)) * 0.25)::DOUBLE AS outer_m FROM s LEFT JOIN n USING (class_index)"""))
 def boundary_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.boundary_lengths(Tables(spark, sf_dir).labels_a)
+    return R.boundary_lengths(Tables(spark, sf_dir).labels_a, 0.25, 0.5)
 
 
 @query("unit_complexity", oracle("labels_a", f"""{C4}

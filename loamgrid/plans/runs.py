@@ -180,17 +180,43 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("acceptance_gates", oracle("jobs", """
-WITH facts AS (SELECT run_id, count(*) FILTER (status = 'failed') = 0 AS no_failures, count(*) FILTER (status = 'ready') * 4 >= count(*) AS quarter_ready, max(attempt) <= 5 AS attempts_bounded FROM jobs GROUP BY run_id),
-gates AS (UNPIVOT facts ON no_failures, quarter_ready, attempts_bounded INTO NAME gate VALUE passed)
+_KINDS = ("score", "fuse", "fit", "assemble")
+_GATES = ["all_jobs_ready", *(f"all_{k}_jobs_ready" for k in _KINDS), "all_jobs_present", "all_streams_present", "all_streams_ready", "attempts_bounded", "all_caches_cleaned", "no_artifact_integrity_errors", "peak_cache_within_budget", "no_error_events"]
+_BUDGET = 50_000_000
+
+
+@query("acceptance_gates", oracle("jobs artifacts monitor_events", f"""
+WITH want AS (SELECT o_custkey % 5 AS run_id, count(DISTINCT o_orderkey) AS jobs, count(DISTINCT o_orderkey % 50) AS streams FROM orders GROUP BY 1),
+j AS (SELECT run_id, count(*) AS jobs, count(*) FILTER (status = 'ready') AS ready, max(attempt) AS most, {", ".join(f"count(*) FILTER (job_type = '{k}') AS n_{k}, count(*) FILTER (job_type = '{k}' AND status = 'ready') AS r_{k}" for k in _KINDS)} FROM jobs GROUP BY 1),
+s AS (SELECT run_id, count(*) AS streams, count(*) FILTER (ready) AS ready_streams FROM (SELECT run_id, stream_id, bool_and(status = 'ready') AS ready FROM jobs GROUP BY 1, 2) AS x GROUP BY 1),
+a AS (SELECT run_id, count(*) FILTER (kind = 'cache') AS caches, count(*) FILTER (kind = 'cache' AND status = 'cleaned') AS cleaned, count(*) FILTER (status = 'ready' AND byte_count <= 0) AS broken, sum(CASE WHEN kind = 'cache' AND status <> 'cleaned' THEN byte_count ELSE 0 END) AS cache_bytes FROM artifacts GROUP BY 1),
+e AS (SELECT run_id, count(*) FILTER (level = 'error') AS errors FROM monitor_events GROUP BY 1),
+facts AS (SELECT w.run_id, coalesce(j.ready = w.jobs, FALSE) AS all_jobs_ready, {", ".join(f"coalesce(n_{k} > 0 AND r_{k} = n_{k}, FALSE) AS all_{k}_jobs_ready" for k in _KINDS)}, coalesce(j.jobs = w.jobs, FALSE) AS all_jobs_present, coalesce(s.streams = w.streams, FALSE) AS all_streams_present,
+  coalesce(s.ready_streams = w.streams, FALSE) AS all_streams_ready, coalesce(most <= 5, FALSE) AS attempts_bounded, coalesce(cleaned = caches, FALSE) AS all_caches_cleaned, coalesce(broken, 0) = 0 AS no_artifact_integrity_errors, coalesce(cache_bytes, 0) <= {_BUDGET} AS peak_cache_within_budget, coalesce(errors, 0) = 0 AS no_error_events
+  FROM want AS w LEFT JOIN j USING (run_id) LEFT JOIN s USING (run_id) LEFT JOIN a USING (run_id) LEFT JOIN e USING (run_id)),
+gates AS (UNPIVOT facts ON {", ".join(_GATES)} INTO NAME gate VALUE passed)
 SELECT run_id, gate, passed, bool_and(passed) OVER (PARTITION BY run_id) AS accepted FROM gates"""))
 def acceptance_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each gate of a run as a row, with the overall verdict."""
-    facts = Tables(spark, sf_dir).jobs.groupBy("run_id").agg(
-        (F.count_if(F.col("status") == "failed") == 0).alias("no_failures"), (F.count_if(F.col("status") == "ready") * 4 >= F.count("*")).alias("quarter_ready"), (F.max("attempt") <= 5).alias("attempts_bounded")
-    )
-    gates = facts.unpivot("run_id", ["no_failures", "quarter_ready", "attempts_bounded"], "gate", "passed")
-    return gates.withColumn("accepted", F.bool_and("passed").over(W.partitionBy("run_id")))
+    """Expected against actual jobs, streams, artifacts and events of each run: every gate as a row, with the overall verdict."""
+    t = Tables(spark, sf_dir)
+    want = t.orders.groupBy((F.col("o_custkey") % 5).alias("run_id")).agg(F.countDistinct("o_orderkey").alias("want_jobs"), F.countDistinct(F.col("o_orderkey") % 50).alias("want_streams"))
+    ready, kind = F.col("status") == "ready", lambda k: F.col("job_type") == k
+    counts = [c for k in _KINDS for c in (F.count_if(kind(k)).alias(f"n_{k}"), F.count_if(kind(k) & ready).alias(f"r_{k}"))]
+    jobs = t.jobs.groupBy("run_id").agg(F.count("*").alias("jobs"), F.count_if(ready).alias("ready"), F.max("attempt").alias("most"), *counts)
+    streams = t.jobs.groupBy("run_id", "stream_id").agg(F.bool_and(ready).alias("whole")).groupBy("run_id").agg(F.count("*").alias("streams"), F.count_if("whole").alias("ready_streams"))
+    cache, cleaned = F.col("kind") == "cache", F.col("status") == "cleaned"
+    artifacts = t.artifacts.groupBy("run_id").agg(F.count_if(cache).alias("caches"), F.count_if(cache & cleaned).alias("cleaned"), F.count_if(ready & (F.col("byte_count") <= 0)).alias("broken"), F.sum(F.when(cache & ~cleaned, F.col("byte_count")).otherwise(0)).alias("cache_bytes"))
+    events = t.monitor_events.groupBy("run_id").agg(F.count_if(F.col("level") == "error").alias("errors"))
+    both = want
+    for part in (jobs, streams, artifacts, events):
+        both = both.join(part, "run_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    gates = {"all_jobs_ready": F.col("ready") == F.col("want_jobs"), **{f"all_{k}_jobs_ready": (F.col(f"n_{k}") > 0) & (F.col(f"r_{k}") == F.col(f"n_{k}")) for k in _KINDS}}
+    gates |= {"all_jobs_present": F.col("jobs") == F.col("want_jobs"), "all_streams_present": F.col("streams") == F.col("want_streams"), "all_streams_ready": F.col("ready_streams") == F.col("want_streams"), "attempts_bounded": F.col("most") <= 5}
+    gates |= {"all_caches_cleaned": F.col("cleaned") == F.col("caches"), "no_artifact_integrity_errors": zero("broken") == 0, "peak_cache_within_budget": zero("cache_bytes") <= _BUDGET, "no_error_events": zero("errors") == 0}
+    facts = both.select("run_id", *(F.coalesce(gates[g], F.lit(False)).alias(g) for g in _GATES))
+    rows = facts.unpivot("run_id", _GATES, "gate", "passed")
+    return rows.withColumn("accepted", F.bool_and("passed").over(W.partitionBy("run_id")))
 
 
 @query("log_gap", oracle("monitor_events", """

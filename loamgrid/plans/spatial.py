@@ -99,11 +99,15 @@ def package_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.package_buckets(_needs(Tables(spark, sf_dir)), 30)
 
 
-@query("package_facts", oracle("", f"""WITH {_PARTS}, {_NEEDS} SELECT grid_id, CAST(floor(sequence_no / 2) AS BIGINT) AS package_no, count(DISTINCT tile_id) AS tiles, count(DISTINCT tile_id) * {SIZE * SIZE * 28} AS bytes FROM needs GROUP BY 1, 2"""))
+@query("package_facts", oracle("", f"""WITH {_PARTS}, {_NEEDS}, own AS (SELECT grid_id, row_no, col_no, CAST(floor(sequence_no / 2) AS BIGINT) AS package_no FROM seq),
+near AS (SELECT a.grid_id, a.package_no, list_sort(list(DISTINCT b.package_no)) AS neighbours FROM own AS a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dr, dc), own AS b WHERE b.grid_id = a.grid_id AND b.row_no = a.row_no + dr AND b.col_no = a.col_no + dc AND b.package_no <> a.package_no GROUP BY 1, 2)
+SELECT f.*, coalesce(neighbours, []) AS neighbours FROM (SELECT grid_id, CAST(floor(sequence_no / 2) AS BIGINT) AS package_no, count(DISTINCT tile_id) AS tiles, count(DISTINCT tile_id) * {SIZE * SIZE * 28} AS bytes FROM needs GROUP BY 1, 2) AS f LEFT JOIN near USING (grid_id, package_no)"""))
 def package_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tiles and bytes of packages of two partitions along the snake."""
-    rows = _needs(Tables(spark, sf_dir)).groupBy("grid_id", F.floor(F.col("sequence_no") / 2).alias("package_no"))
-    return rows.agg(F.countDistinct("tile_id").alias("tiles")).withColumn("bytes", F.col("tiles") * SIZE * SIZE * 28)
+    """Distinct tiles, bytes and neighbour packages of packages of two partitions along the snake."""
+    t = Tables(spark, sf_dir)
+    rows = _needs(t).groupBy("grid_id", F.floor(F.col("sequence_no") / 2).alias("package_no"))
+    facts = rows.agg(F.countDistinct("tile_id").alias("tiles")).withColumn("bytes", F.col("tiles") * SIZE * SIZE * 28)
+    return facts.join(S.package_neighbours(S.snake(_parts(t)).withColumn("package_no", F.floor(F.col("sequence_no") / 2))), ["grid_id", "package_no"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<long>")))
 
 
 @query("output_reserve", oracle("", f"WITH {_PARTS} SELECT grid_id, CAST(greatest(1000000, sum((x1 - x0) * (y1 - y0)) * 4 * 5) AS BIGINT) AS reserve FROM parts GROUP BY grid_id"))
@@ -169,11 +173,14 @@ def tiles_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("unit_labels", oracle("labels_a labels_b", """
-WITH owned AS (SELECT x, y, class_index FROM labels_a WHERE x < 55 UNION ALL SELECT x, y, class_index FROM labels_b WHERE x >= 50)
-SELECT CAST(floor(x / 20) AS BIGINT) AS unit_x, CAST(floor(y / 20) AS BIGINT) AS unit_y, count(*) AS cells, count(*) FILTER (kinds > 1) AS disagreeing FROM (SELECT x, y, count(DISTINCT class_index) AS kinds FROM owned GROUP BY x, y) AS o GROUP BY 1, 2"""))
+WITH owned AS (SELECT x, y, class_index FROM labels_a WHERE x < 55 UNION ALL SELECT x, y, class_index FROM labels_b WHERE x >= 50 AND y % 23 <> 4), cells AS (SELECT x, y, count(DISTINCT class_index) AS kinds FROM owned GROUP BY x, y),
+wanted AS (SELECT o_orderkey % 100 AS x, CAST(floor(o_orderkey / 100) AS BIGINT) AS y FROM orders)
+SELECT CAST(floor(x / 20) AS BIGINT) AS unit_x, CAST(floor(y / 20) AS BIGINT) AS unit_y, count(kinds) AS cells, count(*) FILTER (kinds > 1) AS disagreeing, count(*) FILTER (kinds IS NULL) AS uncovered FROM wanted LEFT JOIN cells USING (x, y) GROUP BY 1, 2"""))
 def unit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of each unit that their owners label differently."""
+    """Cells of each unit that their owners label differently, and those that no owner labels."""
     t = Tables(spark, sf_dir)
-    owned = t.labels_a.where("x < 55").select("x", "y", "class_index").unionAll(t.labels_b.where("x >= 50").select("x", "y", "class_index"))
+    owned = t.labels_a.where("x < 55").select("x", "y", "class_index").unionAll(t.labels_b.where("x >= 50 and y % 23 <> 4").select("x", "y", "class_index"))
     cells = owned.groupBy("x", "y").agg(F.countDistinct("class_index").alias("kinds"))
-    return cells.groupBy(F.floor(F.col("x") / 20).alias("unit_x"), F.floor(F.col("y") / 20).alias("unit_y")).agg(F.count("*").alias("cells"), F.count_if(F.col("kinds") > 1).alias("disagreeing"))
+    wanted = t.orders.select((F.col("o_orderkey") % 100).alias("x"), F.floor(F.col("o_orderkey") / 100).alias("y"))
+    units = wanted.join(cells, ["x", "y"], "left").groupBy(F.floor(F.col("x") / 20).alias("unit_x"), F.floor(F.col("y") / 20).alias("unit_y"))
+    return units.agg(F.count("kinds").alias("cells"), F.count_if(F.col("kinds") > 1).alias("disagreeing"), F.count_if(F.col("kinds").isNull()).alias("uncovered"))

@@ -302,3 +302,26 @@ def test_adjudication_equals_recounting():
         assert got == want, seed
         outcomes |= {o for _, o in want}
     assert outcomes >= {"selected", "outside_core_owner", "footprint_conflict", "source_budget", "target_budget", "target_attachment"}, outcomes
+
+
+def test_components_of_tiles_equal_those_of_the_whole(spark):
+    import random
+
+    r = random.Random(3)
+    cells = {(x, y): 0 if r.random() < 0.6 else r.randrange(3) for x in range(23) for y in range(19) if r.random() < 0.95}
+    df = spark.createDataFrame([(x, y, k) for (x, y), k in cells.items()], "x long, y long, class_index long")
+    for diagonal in (False, True):
+        steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+        want = {}
+        for c in sorted(cells, key=lambda c: (c[1], c[0])):
+            if c not in want:
+                queue, want[c] = [c], c[1] * rasters.WIDE + c[0]
+                while queue:
+                    x, y = queue.pop()
+                    for a, b in steps:
+                        d = (x + a, y + b)
+                        if d in cells and d not in want and cells[d] == cells[c]:
+                            want[d] = want[c]
+                            queue.append(d)
+        for side in (1, 4, 256):
+            assert {(p.x, p.y): p.component_id for p in rasters.with_components(df, diagonal, side).collect()} == want
