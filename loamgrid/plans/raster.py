@@ -199,16 +199,24 @@ def ab_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.groupBy("partition_id").agg(F.bool_and("ok").alias("passed"), F.count("*").alias("gates"))
 
 
-@query("candidate_ranking", oracle("labels_a labels_b", """
-WITH g AS (SELECT a.partition_id, count(*) FILTER (a.class_index <> b.class_index) AS changed, avg(a.confidence) AS c, min(a.class_index) AS low FROM labels_a AS a JOIN labels_b AS b USING (x, y) GROUP BY 1)
-SELECT partition_id, CAST(rank() OVER (ORDER BY changed > 90, round(changed - 10 * c, 6) DESC, partition_id) AS INT) AS place FROM g"""))
+_OF = f"CAST(floor(floor(component_id / {WIDE}) / {SIDE}) * 4 + floor(component_id % {WIDE} / {SIDE}) AS BIGINT)"
+
+
+@query("candidate_ranking", oracle("labels_a labels_b labels_c", f"""WITH RECURSIVE {components_sql(0)}, {components_sql(0, 'labels_b', 'b_')},
+f AS (SELECT partition_id, CAST(sum(k) AS BIGINT) AS fewer FROM (SELECT {_OF} AS partition_id, 1 AS k FROM px GROUP BY component_id, class_index HAVING count(*) < {LIMIT} UNION ALL SELECT {_OF}, -1 FROM b_px GROUP BY component_id, class_index HAVING count(*) < {LIMIT}) AS u GROUP BY 1),
+g AS (SELECT a.partition_id, avg(CASE WHEN a.class_index = c.class_index THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN b.class_index = c.class_index THEN 1.0 ELSE 0.0 END) AS drop_, count(*) FILTER (a.class_index % 5 = 0 AND b.class_index <> a.class_index) > 8 AS unsafe FROM labels_a AS a JOIN labels_b AS b USING (x, y) JOIN labels_c AS c USING (x, y) GROUP BY 1)
+SELECT partition_id, coalesce(fewer, 0) AS fewer, unsafe, CAST(rank() OVER (ORDER BY unsafe, round(coalesce(fewer, 0) - 10 * drop_, 6) DESC, partition_id) AS INT) AS place FROM g LEFT JOIN f USING (partition_id)"""))
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by gain less ten times the loss; unsafe ones last."""
+    """Candidates by the fragments they remove less ten times the accuracy they lose; those that change many protected pixels last."""
     t = Tables(spark, sf_dir)
-    both = t.labels_a.join(t.labels_b.select("x", "y", F.col("class_index").alias("other")), ["x", "y"])
-    g = both.groupBy("partition_id").agg(F.count_if(F.col("class_index") != F.col("other")).alias("changed"), F.avg("confidence").alias("c"))
-    order = W.partitionBy().orderBy(F.col("changed") > 90, F.round(F.col("changed") - 10 * F.col("c"), 6).desc(), "partition_id")  # a row for each candidate
-    return g.select("partition_id", F.rank().over(order).alias("place"))
+    small = lambda labels, k: R.with_components(labels).groupBy("component_id", "class_index").agg(F.count("*").alias("n")).where(f"n < {LIMIT}").select(F.expr(_OF).alias("partition_id"), F.lit(k).alias("k"))
+    fewer = small(t.labels_a, 1).unionByName(small(t.labels_b, -1)).groupBy("partition_id").agg(F.sum("k").alias("fewer"))
+    both = t.labels_a.join(t.labels_b.select("x", "y", F.col("class_index").alias("new")), ["x", "y"]).join(t.labels_c.select("x", "y", F.col("class_index").alias("truth")), ["x", "y"])
+    right = lambda c: F.avg((F.col(c) == F.col("truth")).cast("double"))
+    g = both.groupBy("partition_id").agg((right("class_index") - right("new")).alias("drop"), (F.count_if((F.col("class_index") % 5 == 0) & (F.col("new") != F.col("class_index"))) > 8).alias("unsafe"))
+    g = g.join(fewer, "partition_id", "left").fillna(0, ["fewer"])
+    order = W.partitionBy().orderBy("unsafe", F.round(F.col("fewer") - 10 * F.col("drop"), 6).desc(), "partition_id")  # a row for each candidate
+    return g.select("partition_id", "fewer", "unsafe", F.rank().over(order).alias("place"))
 
 
 @query("cell_entropy", oracle("labels_a", """
