@@ -44,11 +44,17 @@ def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return both.select(key, change.alias("change"), F.when(change == "modified", F.col("revision") + 1).otherwise(F.coalesce("revision", F.lit(1))).alias("revision")).where("change is not null")
 
 
-def interval_links(intervals: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """left, right: parts of one class whose boundary intervals lie on one line and overlap by more than ``tolerance``."""
-    a, b = intervals.alias("a"), intervals.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("class_code", "axis", "fixed")]
-    on = same[0] & same[1] & same[2] & (F.col("a.unit_id") < F.col("b.unit_id")) & (F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo") > tolerance)
+def interval_links(intervals: DataFrame, tolerance: float = 0.0, width: float = 64.0) -> DataFrame:
+    """left, right: parts of one class whose boundary intervals lie on one line and overlap by more than ``tolerance``.
+
+    Intervals meet in bins of ``width`` along their line; a pair is taken in the bin where its overlap begins.
+    """
+    bin_ = lambda c: F.floor(c / width)
+    binned = intervals.withColumn("bin", F.explode(F.sequence(bin_(F.col("lo")), bin_(F.col("hi")))))
+    a, b = binned.alias("a"), binned.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("class_code", "axis", "fixed", "bin")]
+    opens = F.greatest("a.lo", "b.lo")
+    on = same[0] & same[1] & same[2] & same[3] & (bin_(opens) == F.col("a.bin")) & (F.col("a.unit_id") < F.col("b.unit_id")) & (F.least("a.hi", "b.hi") - opens > tolerance)
     return a.join(b, on).select(F.col("a.part_id").alias("left"), F.col("b.part_id").alias("right")).distinct()
 
 
@@ -59,18 +65,6 @@ def object_identity(links: DataFrame, parts: DataFrame, prefix: str) -> DataFram
     return rows.select("part_id", F.concat(F.lit("obj_"), F.left(F.sha1(F.concat(F.lit(prefix), F.col("root"))), F.lit(24))).alias("object_id"))
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs of one edit batch by falling overlap; an edit batch is a user's commit, so it is small."""
-    pairs = pairs.sort_values(["area", "old_id", "new_id"], ascending=[False, True, True])
-    old, new, keep = set(), set(), []
-    for row in pairs.itertuples(index=False):
-        keep.append(row.old_id not in old and row.new_id not in new)
-        if keep[-1]:
-            old.add(row.old_id)
-            new.add(row.new_id)
-    return pairs[keep]
-
-
 def match_revisions(pairs: DataFrame) -> DataFrame:
     """batch, old_id, new_id, area: one-to-one matches as if pairs were taken by falling area, then ids, each end once.
 
