@@ -219,9 +219,9 @@ def rank_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARE_WEIGHT, P_WEIGHT, DROP, HARD, BYPASS = 0.6, 0.4, 0.75, 3, 4
 #: Probability of class k at a pixel: the confidence for its label, a share of the rest for others.
 _P = "CASE WHEN {k} = px.class_index THEN px.confidence ELSE (1 - px.confidence) * (1 + (px.x + 3 * px.y + 5 * {k}) % 7) / 8 END"
-_RULES = "SELECT class_index, CAST(o AS INT) AS other_class_index, (class_index + o) % 4 <> 0 AS compatible, o = 4 AS disallowed FROM classes, range(14) AS t(o)"
+_PAIR_RULES = "SELECT class_index, CAST(o AS INT) AS other_class_index, (class_index + o) % 4 <> 0 AS compatible, o = 4 AS disallowed FROM classes, range(14) AS t(o)"
 _POLICY = "SELECT class_index, 6 + class_index % 5 AS threshold, class_index % 6 = 5 AS protected FROM {classes} WHERE class_index <> 9"
-_JUDGED = f"""rules AS ({_RULES}), policy AS ({_POLICY.replace('{', '').replace('}', '')}),
+_JUDGED = f"""rules AS ({_PAIR_RULES}), policy AS ({_POLICY.replace('{', '').replace('}', '')}),
 shape AS (SELECT component_id, class_index, count(*) AS pixel_count, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px GROUP BY component_id, class_index),
 judged AS (SELECT s.*, p.protected, CASE WHEN threshold IS NULL OR pixel_count >= threshold THEN 'outside_threshold' WHEN protected THEN 'protected_class'
   WHEN x0 = (SELECT min(x) FROM px) OR x1 = (SELECT max(x) FROM px) OR y0 = (SELECT min(y) FROM px) OR y1 = (SELECT max(y) FROM px) THEN 'touches_processing_border'

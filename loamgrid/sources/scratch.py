@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,22 +26,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
-@contextmanager
-def _own_shuffles_only(spark: SparkSession) -> Iterator[None]:
-    """Within this, what an execution has shuffled is deleted when it is over: nothing reads it again."""
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: it survives lost executors and is computed once."""
+    """Write ``df`` to the shared folder and read it again: it survives lost executors and is computed once.
+
+    From the first saved table on, the session deletes the shuffle files of an execution at its end; what is read again is saved.
+    """
+    df.sparkSession.conf.set(_CLEANUP, "true")
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with _own_shuffles_only(df.sparkSession):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
