@@ -5,6 +5,7 @@ from __future__ import annotations
 from loamgrid.llm.language_id import op2_language_id
 from loamgrid.llm.line_crf import op7_line_crf
 from loamgrid.llm.media_sniff import op6_media_sniff
+from loamgrid.llm.merkle import OP11_SQL, op11_merkle_manifest
 from loamgrid.llm.packing import op9_packing
 from loamgrid.llm.pii import op10_pii
 from loamgrid.llm.quality_rules import op1_quality_rules
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op5_url_filter": OP5_SQL,
     "op8_source_mixing": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
