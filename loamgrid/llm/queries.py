@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loamgrid.llm.centroids import OP12_SQL, op12_centroid_clustering
+from loamgrid.llm.exact_topk import OP13_SQL, op13_exact_topk
 from loamgrid.llm.language_id import op2_language_id
 from loamgrid.llm.line_crf import op7_line_crf
 from loamgrid.llm.media_sniff import op6_media_sniff
@@ -26,10 +28,14 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLE_SQL = {
     "op5_url_filter": OP5_SQL,
     "op8_source_mixing": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+    "op13_exact_topk": OP13_SQL,
 }
