@@ -1,12 +1,12 @@
-"""Proposals of the clean-up: routing of small components to scenarios, their bridges and gains, adjudication in rank order, and a check of the result.
+"""Proposals of the clean-up: routing of small components to scenarios, their bridges, corridors and gains, and a check of the result.
 
-Components touch at sides. A proposal gives all pixels of its source component to one class; its targets are the components of
-that class that the source touches.
+Components touch at sides. A proposal gives the pixels of its source component, or of a corridor through it, to one class; its
+targets are the components of that class that it touches.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,12 +96,7 @@ def bridge_path(pixels: DataFrame, targets: DataFrame) -> DataFrame:
 
     A group holds the pixels of one small source.
     """
-    sources = targets.select("component_id").distinct()
-    own = pixels.select("component_id", "x", "y").join(sources, "component_id", "left_semi")
-    met = R.neighbours(pixels.select("component_id", "x", "y"), ["component_id"]).select("component_id", "x", "y", F.col("other_component_id").alias("target_id"))
-    met = met.join(targets.select("component_id", "target_class", "target_id"), ["component_id", "target_id"])
-    rows = own.join(met, ["component_id", "x", "y"], "left")
-    return rows.groupBy("component_id").applyInPandas(_longest, "component_id long, target_class long, path long")
+    return _contacts(pixels, targets).groupBy("component_id").applyInPandas(_longest, "component_id long, target_class long, path long")
 
 
 def topology_delta(targets: DataFrame, parts: DataFrame, limits: DataFrame) -> DataFrame:
@@ -151,109 +146,48 @@ def route(parts: DataFrame, contacts: DataFrame, open_sides: DataFrame, targets:
     return found.select("component_id", "outcome", F.col("target_class").cast("long").alias("target_class"))
 
 
-def judge(proposals: list[dict], label: dict, part: dict, core: set, sizes: dict, limits: dict, loss: float, gain: float) -> list[tuple[int, str]]:
-    """Outcome of one owner's proposals (id, target_class, cells, target_ids) in their order.
+def _narrowest(rows):
+    """The shortest way through one source between two of its targets of a class: x, y of its cells, and the two."""
+    import pandas as pd
 
-    ``label``, ``part``: class and component of the cells of the owner's window; ``core``: cells that it owns; ``sizes``: pixels of
-    the components; ``limits``: fragment limits by class. A proposal must lie in the core, meet no accepted one, keep the budgets of loss and gain against the
-    core's class totals, leave boundary and fragment area no larger than at first, touch all of its targets as they then are, and
-    not take away a target of an accepted one.
-    """
-    total: dict = defaultdict(int)
-    for c in core:
-        total[label[c]] += 1
-    now, lost, won, taken, out = dict(label), defaultdict(int), defaultdict(int), set(), []
-    size, of, anchors = dict(sizes), {}, set()
-    boundary = area = 0
-
-    def root(i):
-        while i in of:
-            i = of[i]
-        return i
+    cells, found = set(zip(rows["x"].tolist(), rows["y"].tolist(), strict=True)), []
+    for target_class, part in rows.dropna(subset=["target_id"]).groupby("target_class"):
+        contact = {int(t): set(zip(p["x"].tolist(), p["y"].tolist(), strict=True)) for t, p in part.groupby("target_id")}
+        best = None
+        for start in sorted(contact):
+            before, queue = dict.fromkeys(sorted(contact[start], key=lambda c: (c[1], c[0]))), deque(sorted(contact[start], key=lambda c: (c[1], c[0])))
+            ends = {c: t for t in sorted(contact, reverse=True) if t > start for c in contact[t]}
+            while queue and not (at := queue.popleft()) in ends:
+                for a, b in _STEPS:
+                    near = (at[0] + a, at[1] + b)
+                    if near in cells and near not in before:
+                        before[near] = at
+                        queue.append(near)
+            if at in ends:
+                path = [at]
+                while before[path[-1]] is not None:
+                    path.append(before[path[-1]])
+                best = min(filter(None, (best, (len(path), start, ends[at], path))))
+        if best:
+            found += [(int(rows["component_id"].iloc[0]), int(target_class), [best[1], best[2]], x, y) for x, y in best[3]]
+    return pd.DataFrame(found, columns=["component_id", "target_class", "target_ids", "x", "y"])
+
+
+def _contacts(pixels: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pixels of the sources; a row for each target of theirs that a pixel touches, with target_id and target_class."""
+    sources = targets.select("component_id").distinct()
+    own = pixels.select("component_id", "x", "y").join(sources, "component_id", "left_semi")
+    met = R.neighbours(pixels.select("component_id", "x", "y"), ["component_id"]).select("component_id", "x", "y", F.col("other_component_id").alias("target_id"))
+    met = met.join(targets.select("component_id", "target_class", "target_id"), ["component_id", "target_id"])
+    return own.join(met, ["component_id", "x", "y"], "left")
 
-    small = lambda n, c: n if n < limits[c] else 0
-    around = lambda c: ((c[0] + a, c[1] + b) for a, b in _STEPS)
-    for p in proposals:
-        cells, target = p["cells"], p["target_class"]
-        source = {label[c] for c in cells if c in label}
-        if not all(c in core for c in cells):
-            out.append((p["id"], "outside_core_owner"))
-            continue
-        if any(c in taken for c in cells):
-            out.append((p["id"], "footprint_conflict"))
-            continue
-        one = source.pop()
-        if lost[one] + len(cells) > total[one] * loss + 1e-12:
-            out.append((p["id"], "source_budget"))
-            continue
-        if won[target] + len(cells) > total[target] * gain + 1e-12:
-            out.append((p["id"], "target_budget"))
-            continue
-        inside = set(cells)
-        change = sum((now[d] != target) - (now[d] != now[c]) for c in cells for d in around(c) if d in now and d not in inside)
-        if boundary + change > 0:
-            out.append((p["id"], "boundary_increase"))
-            continue
-        own = part[cells[0]]
-        beside = [d for c in cells for d in around(c) if d in now and d not in inside and now[d] == target]
-        roots = {root(t) for t in p["target_ids"]} | {root(part[d]) for d in beside}
-        grown = sum(size[r] for r in roots) + len(cells)
-        delta = small(grown, target) - sum(small(size[r], target) for r in roots) - small(size[own], one)
-        if area + delta > 0:
-            out.append((p["id"], "dynamic_fragment_area_increase"))
-            continue
-        if own in anchors or not set(p["target_ids"]) <= {part[d] for d in beside if d not in taken}:
-            out.append((p["id"], "target_attachment"))
-            continue
-        for c in cells:
-            now[c] = target
-        taken |= inside
-        anchors |= set(p["target_ids"])
-        lost[one] += len(cells)
-        won[target] += len(cells)
-        boundary, area = boundary + change, area + delta
-        head = min(roots)
-        for r in roots - {head}:
-            of[r] = head
-        of[own] = head
-        size[head] = grown
-        out.append((p["id"], "selected"))
-    return out
-
-
-def adjudicate(proposals: DataFrame, pixels: DataFrame, parts: DataFrame, limits: dict[int, int], side: int, loss: float, gain: float) -> DataFrame:
-    """owner, component_id, target_class, outcome of proposals (component_id, target_class, rank, target_ids) in rank order under their owner's budgets.
-
-    The owner is the partition of the source's first cell. A group holds one partition with a rim of one pixel and its
-    proposals: bounded by the partition's size.
-    """
-    import pandas as pd
 
-    side_count = (F.max("x") / side).alias("last")
-    columns = pixels.agg(F.floor(side_count).alias("last"))
-    halo = R.partition_halo(pixels.select("x", "y", "class_index", "component_id"), side, 1)
-    known = parts.select("component_id", "pixel_count")
-    halo = halo.join(known, "component_id").join(F.broadcast(columns)).withColumn("owner", F.col("halo_y") * (F.col("last") + 1) + F.col("halo_x"))
-    cells = pixels.join(proposals.select("component_id").distinct(), "component_id", "left_semi").groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("cells"))
-    owned = proposals.join(cells, "component_id").join(F.broadcast(columns))
-    first = F.get("cells", F.lit(0))
-    owned = owned.withColumn("owner", F.floor(first["y"] / side) * (F.col("last") + 1) + F.floor(first["x"] / side))
-    window = halo.groupBy("owner").agg(F.collect_list(F.struct("x", "y", "class_index", "component_id", "pixel_count", ((F.floor(F.col("x") / side) == F.col("halo_x")) & (F.floor(F.col("y") / side) == F.col("halo_y"))).alias("core"))).alias("window"))
-    asked = owned.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("rank", "component_id", "target_class", "cells", "target_ids"))).alias("asked"))
-
-    def run(batches):
-        for rows in batches:
-            found = []
-            for owner, cells_, asks in zip(rows["owner"], rows["window"], rows["asked"], strict=True):
-                at = {(c["x"], c["y"]): c for c in cells_}
-                label, part = {k: c["class_index"] for k, c in at.items()}, {k: c["component_id"] for k, c in at.items()}
-                sizes = defaultdict(int, {c["component_id"]: c["pixel_count"] for c in cells_})
-                listed = [{"id": (a["component_id"], a["target_class"]), "target_class": a["target_class"], "cells": [(c["x"], c["y"]) for c in a["cells"]], "target_ids": [int(t) for t in a["target_ids"]]} for a in asks]
-                for (i, target), outcome in judge(listed, label, part, {k for k, c in at.items() if c["core"]}, sizes, limits, loss, gain):
-                    found.append((owner, i, target, outcome))
-            yield pd.DataFrame(found, columns=["owner", "component_id", "target_class", "outcome"])
-
-    return asked.join(window, "owner").select("owner", "window", "asked").mapInPandas(run, "owner long, component_id long, target_class long, outcome string")
+def corridors(pixels: DataFrame, targets: DataFrame) -> DataFrame:
+    """component_id, target_class, target_ids, x, y: for each source and class the cells of the shortest way through it between two of its targets.
+
+    Equal ways: the targets' smaller ids, then the first found row by row. A group holds the pixels of one small source.
+    """
+    return _contacts(pixels, targets).groupBy("component_id").applyInPandas(_narrowest, "component_id long, target_class long, target_ids array<long>, x long, y long")
 
 
 def topology_check(pixels: DataFrame, changes: DataFrame) -> DataFrame:

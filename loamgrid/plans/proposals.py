@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgrid.operators import adjudication
 from loamgrid.operators import cleanup as C
 from loamgrid.operators import proposals as O
 from loamgrid.operators import rasters as R
+from loamgrid.operators.adjudication import Rules
 from loamgrid.plans.fixtures import SIDE, Tables, oracle
 from loamgrid.plans.raster import components_sql
 from loamgrid.plans.store import _P
@@ -66,14 +68,16 @@ class _Work:
     def deltas(self) -> DataFrame:
         return O.topology_delta(self.targets, self.parts, self.limits)
 
+    def means(self) -> DataFrame:
+        probs = F.array(*[F.when(F.col("class_index") == k, F.col("confidence")).otherwise((1 - F.col("confidence")) * (1 + (F.col("x") + 3 * F.col("y") + 5 * k) % 7) / 8) for k in range(14)])
+        return C.mean_probabilities(self.pixels.withColumn("probs", probs), 14)
+
     def routed(self) -> DataFrame:
         share = self.pixels.groupBy("class_index").agg(F.count("*").alias("share"))
         policy = self.limits.join(share, "class_index").withColumns({"protected": F.col("class_index") % 6 == 5, "grows": F.col("class_index") % 7 != 3})
         pairs = self.limits.select("class_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))).alias("target_class"))
         relations = pairs.select("*", *(O.allowed(F.col("class_index"), F.col("target_class"), i).alias(s) for i, s in enumerate(("unique_enclosure", "same_class_bridge", "multi_neighbour"))))
-        probs = F.array(*[F.when(F.col("class_index") == k, F.col("confidence")).otherwise((1 - F.col("confidence")) * (1 + (F.col("x") + 3 * F.col("y") + 5 * k) % 7) / 8) for k in range(14)])
-        means = C.mean_probabilities(self.pixels.withColumn("probs", probs), 14)
-        return O.route(self.parts, self.contacts, self.open, self.targets, means, self.bottlenecks(), self.deltas(), policy, relations, LARGEST, REACH)
+        return O.route(self.parts, self.contacts, self.open, self.targets, self.means(), self.bottlenecks(), self.deltas(), policy, relations, LARGEST, REACH)
 
 
 @query("bridge_bottleneck", oracle("labels_a", f"{_BASE} SELECT component_id, target_class, round(bottleneck, 6) AS bottleneck FROM neck"))
@@ -100,12 +104,32 @@ def route_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Work(spark, sf_dir).routed()
 
 
-def _proposals(work: _Work) -> DataFrame:
-    """Routed proposals with their targets; those that remove most fragments, then components, come first."""
-    chosen = work.routed().where("target_class is not null")
+def _proposals(work: _Work) -> tuple[DataFrame, DataFrame]:
+    """Routed proposals over whole components, and corridors beside the bridges; with them their cells.
+
+    Rank: fragments and components removed, the target's rarity, its probability, the area, the class, the footprint's digest.
+    """
+    from loamgrid.sources.scratch import saved
+
+    chosen = saved(work.routed().where("target_class is not null"), "chosen")
     ids = work.targets.groupBy("component_id", "target_class").agg(F.sort_array(F.collect_set("target_id")).alias("target_ids"))
-    rank = F.struct((-F.col("fragments_removed")).alias("f"), (-F.col("components_removed")).alias("c"), "component_id", "target_class").alias("rank")
-    return chosen.join(work.deltas(), ["component_id", "target_class"]).join(ids, ["component_id", "target_class"]).select("component_id", "target_class", rank, "target_ids")
+    gains = work.deltas()
+    key = F.concat_ws(":", "component_id", "target_class")
+    whole = chosen.join(gains, ["component_id", "target_class"]).join(ids, ["component_id", "target_class"]).withColumn("proposal_id", F.concat(key, F.lit(":whole")))
+    whole_cells = work.pixels.select("component_id", "x", "y").join(whole.select("component_id", "proposal_id"), "component_id").select("proposal_id", "x", "y")
+    bridges = chosen.where("outcome = 'same_class_bridge'")
+    ways = O.corridors(work.pixels, work.targets.join(bridges.select("component_id", "target_class"), ["component_id", "target_class"], "left_semi"))
+    ways = saved(ways.withColumn("proposal_id", F.concat(key, F.lit(":corridor"))), "corridors")
+    cells = saved(whole_cells.unionByName(ways.select("proposal_id", "x", "y")), "footprints")
+    area = cells.groupBy("proposal_id").agg(F.count("*").alias("area"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "y", "x"))), ","), 256).alias("digest"))
+    narrow = ways.groupBy("proposal_id", "component_id", "target_class").agg(F.first("target_ids").alias("target_ids"))
+    sizes = work.parts.select(F.col("component_id").alias("target_id"), (F.col("pixel_count") < F.expr(_LIMIT)).cast("int").alias("small"))
+    small = narrow.select("proposal_id", F.explode("target_ids").alias("target_id")).join(sizes, "target_id").groupBy("proposal_id").agg((F.sum("small") - F.min("small")).alias("fragments_removed"))
+    narrow = narrow.join(small, "proposal_id").withColumns({"components_removed": F.lit(1).cast("long"), "outcome": F.lit("same_class_bridge")})
+    share = work.pixels.groupBy(F.col("class_index").alias("target_class")).agg(F.count("*").alias("share"))  # a row a class
+    both = whole.select(*(c for c in narrow.columns)).unionByName(narrow).join(area, "proposal_id").join(F.broadcast(share), "target_class").join(work.means(), "component_id")
+    rank = F.struct((-F.col("fragments_removed")).alias("f"), (-F.col("components_removed")).alias("c"), F.col("share").alias("s"), (-F.round(F.get("means", F.col("target_class").cast("int")), 9)).alias("p"), F.col("area").alias("a"), F.col("target_class").alias("t"), F.col("digest").alias("d"))
+    return both.select("proposal_id", F.col("outcome").alias("kind"), "target_class", "target_ids", rank.alias("rank")), cells
 
 
 @query("adjudicate")
@@ -114,7 +138,9 @@ def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamgrid.sources.scratch import saved
 
     work = _Work(spark, sf_dir)
-    return O.adjudicate(saved(_proposals(work), "proposals"), work.pixels, work.parts, {c: 6 + c % 5 for c in range(14)}, SIDE, 0.2, 0.2)
+    proposals, cells = _proposals(work)
+    rules = Rules({c: 6 + c % 5 for c in range(14)}, loss=0.2, gain=0.2, bridge_gain=0.01, protected=frozenset(c for c in range(14) if c % 6 == 5))
+    return adjudication.adjudicate(saved(proposals, "proposals"), cells, work.pixels, work.parts, rules, SIDE)
 
 
 _CHANGED = "(x + y) % 4 <> 0"

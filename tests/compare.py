@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections import Counter
 from pathlib import Path
 
@@ -12,8 +13,9 @@ import pyarrow as pa
 from loamgrid.plans.fixtures import GIVEN
 
 
-def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    db = duckdb.connect()
+def database(sf_dir: str, spill: str | None = None) -> duckdb.DuckDBPyConnection:
+    """A database of its own over the given tables, within bounds, so that one that fails takes no other with it."""
+    db = duckdb.connect(config={"memory_limit": "4GB", "threads": 4, "temp_directory": spill or tempfile.mkdtemp(prefix="duckdb-")})
     for t in GIVEN:
         path = Path(f"{sf_dir}/{t}.parquet")
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")

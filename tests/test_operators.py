@@ -222,88 +222,6 @@ def test_streams_take_events_out_of_order(spark, tmp_path):
     assert outputs["leases"] == [(7, 70_000_000), (7, 130_000_000)]
 
 
-def test_adjudication_equals_recounting():
-    """After each step everything is counted anew on the whole raster: labels, boundary, fragments, attachment."""
-    import random
-
-    from loamgrid.operators.proposals import judge
-
-    steps = ((1, 0), (-1, 0), (0, 1), (0, -1))
-
-    def label_parts(raster):
-        part = {}
-        for c in sorted(raster, key=lambda c: (c[1], c[0])):
-            if c not in part:
-                queue, part[c] = [c], c[1] * 100 + c[0]
-                while queue:
-                    x, y = queue.pop()
-                    for a, b in steps:
-                        d = (x + a, y + b)
-                        if d in raster and d not in part and raster[d] == raster[c]:
-                            part[d] = part[c]
-                            queue.append(d)
-        return part
-
-    def counts(raster, limits):
-        part = label_parts(raster)
-        cells = {}
-        for c, i in part.items():
-            cells.setdefault(i, []).append(c)
-        small = sum(len(v) for v in cells.values() if len(v) < limits[raster[v[0]]])
-        edges = sum(raster[c] != raster[x] for c in raster for x in ((c[0] + 1, c[1]), (c[0], c[1] + 1)) if x in raster)
-        return part, cells, small, edges
-
-    outcomes = set()
-    for seed in range(60):
-        r = random.Random(seed)
-        raster = {(x, y): 0 if r.random() < 0.7 else r.randrange(4) for x in range(12) for y in range(12)}
-        core, limits = {c for c in raster if 0 < c[0] < 11}, {k: 5 + k for k in range(4)}
-        part, cells, first_small, first_edges = counts(raster, limits)
-        asked = []
-        for i in sorted(cells, key=lambda i: r.random()):
-            if len(cells[i]) <= 6:
-                beside = {}
-                for x, y in cells[i]:
-                    for a, b in steps:
-                        d = (x + a, y + b)
-                        if d in raster and part[d] != i:
-                            beside.setdefault(raster[d], set()).add(part[d])
-                asked += [{"id": (i, t), "target_class": t, "cells": sorted(cells[i]), "target_ids": sorted(ids)} for t, ids in beside.items()]
-        now, taken, lost, won, accepted, want = dict(raster), set(), [0] * 4, [0] * 4, [], []
-        total = [sum(raster[c] == k for c in core) for k in range(4)]
-        for p in asked:
-            size, source, target = len(p["cells"]), raster[p["cells"][0]], p["target_class"]
-            if not set(p["cells"]) <= core:
-                outcome = "outside_core_owner"
-            elif set(p["cells"]) & taken:
-                outcome = "footprint_conflict"
-            elif lost[source] + size > 0.4 * total[source]:
-                outcome = "source_budget"
-            elif won[target] + size > 0.3 * total[target]:
-                outcome = "target_budget"
-            else:
-                then = now | dict.fromkeys(p["cells"], target)
-                new_part, _, small, edges = counts(then, limits)
-                held = lambda q, ids: all(any(then[c] == q["target_class"] and new_part[c] == new_part[q["cells"][0]] for c in cells[t] if c not in taken) for t in ids)  # noqa: B023, E731
-                if edges > first_edges:
-                    outcome = "boundary_increase"
-                elif small > first_small:
-                    outcome = "dynamic_fragment_area_increase"
-                elif not all(held(q, q["target_ids"]) for q in [*accepted, p]):
-                    outcome = "target_attachment"
-                else:
-                    outcome = "selected"
-                    now, lost[source], won[target] = then, lost[source] + size, won[target] + size
-                    taken |= set(p["cells"])
-                    accepted.append(p)
-            want.append((p["id"], outcome))
-        sizes = {i: len(v) for i, v in cells.items()}
-        got = judge(asked, raster, part, core, sizes, limits, 0.4, 0.3)
-        assert got == want, seed
-        outcomes |= {o for _, o in want}
-    assert outcomes >= {"selected", "outside_core_owner", "footprint_conflict", "source_budget", "target_budget", "target_attachment"}, outcomes
-
-
 def test_components_of_tiles_equal_those_of_the_whole(spark):
     import random
 

@@ -10,14 +10,10 @@ from tests.compare import database, differences
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def db(sf_dir):
-    return database(sf_dir)
-
-
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_its_sql(name, spark, sf_dir, db):
-    assert not differences(QUERIES[name], SQL[name], spark, sf_dir, db)
+def test_query_equals_its_sql(name, spark, sf_dir, tmp_path):
+    with database(sf_dir, str(tmp_path)) as db:
+        assert not differences(QUERIES[name], SQL[name], spark, sf_dir, db)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
