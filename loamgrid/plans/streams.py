@@ -10,6 +10,7 @@ from loamgrid.plans.fixtures import Tables, oracle
 from loamgrid.registry import query
 from loamgrid.sources.shards import new_folder
 from loamgrid.streaming import events as E
+from loamgrid.streaming.stateful import rocks
 
 #: Events with one key of a day lie within it.
 DELAY = "2 days"
@@ -37,8 +38,9 @@ def _flushed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     out = new_folder(spark, "windows")
 
     def run() -> None:
-        stream = spark.readStream.schema(rows.schema).parquet(source)
-        job = make(stream).writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").start(f"{out}/out")
+        stream = make(spark.readStream.schema(rows.schema).parquet(source))
+        with rocks(spark):
+            job = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").start(f"{out}/out")
         job.awaitTermination()
 
     run()
@@ -78,30 +80,24 @@ def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_fusion", oracle("scores", "SELECT x, y, class_index, round(avg(p), 6) AS p FROM scores GROUP BY x, y, class_index"))
 def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running sums of the models' probabilities for each pixel, decided where all three have arrived."""
-    source, out = new_folder(spark, "scores"), new_folder(spark, "fused")
-    Tables(spark, sf_dir).scores.write.partitionBy("model_id").parquet(source)
-    stream = spark.readStream.schema("vec_id LONG, x LONG, y LONG, probs ARRAY<DOUBLE>, model_id INT").parquet(source)
-    sums = stream.groupBy("x", "y").agg(*[F.sum(F.get("probs", i)).alias(f"s{i}") for i in range(CLASSES)], F.count("*").alias("models"))
-    job = sums.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-    job.foreachBatch(lambda batch, n: batch.where("models = 3").write.mode("overwrite").parquet(f"{out}/out/batch={n}")).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/out")
-    fused = rows.select("x", "y", F.posexplode(F.array(*[F.col(f"s{i}") / 3 for i in range(CLASSES)])).alias("class_index", "p"))
-    return fused.withColumn("p", F.round("p", 6))
+    """The models' mean probabilities of each pixel as its last model arrives; every row of the first model comes twice."""
+    source = new_folder(spark, "scores")
+    scores = Tables(spark, sf_dir).scores.select("x", "y", F.col("model_id").cast("int"), "probs")
+    scores.unionByName(scores.where("model_id = 0")).write.partitionBy("model_id").parquet(source)
+    stream = spark.readStream.schema("x LONG, y LONG, probs ARRAY<DOUBLE>, model_id INT").parquet(source)
+    rows = E.drained(E.fused(stream, [0, 1, 2], CLASSES), "fused")
+    means = rows.select("x", "y", F.posexplode("sums").alias("class_index", "p"))
+    return means.withColumn("p", F.round(F.col("p") / 3, 6))
 
 
 @query("stream_ready_units", oracle("artifacts artifact_dependencies", """
 SELECT job_id AS unit_id, count(*) AS needed FROM artifact_dependencies JOIN artifacts USING (artifact_id) GROUP BY job_id HAVING count(*) = count(*) FILTER (status = 'ready')"""))
 def stream_ready_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units all of whose dependencies have reported, as reports stream in."""
+    """Units all of whose dependencies have reported, as reports stream in; every third artifact reports twice."""
     t = Tables(spark, sf_dir)
-    source, out = new_folder(spark, "reports"), new_folder(spark, "ready")
-    t.artifacts.where("status = 'ready'").select("artifact_id").write.parquet(source)
-    need = t.artifact_dependencies
-    needed = need.groupBy(F.col("job_id").alias("unit_id")).agg(F.count("*").alias("needed"))
-    stream = spark.readStream.schema("artifact_id LONG").parquet(source)
-    arrived = stream.join(need, "artifact_id").groupBy(F.col("job_id").alias("unit_id")).agg(F.count("*").alias("arrived"))
-    job = arrived.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-    job.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/out/batch={n}")).start().awaitTermination()
-    last = spark.read.parquet(f"{out}/out").groupBy("unit_id").agg(F.max("arrived").alias("arrived"))
-    return last.join(needed, "unit_id").where("arrived = needed").select("unit_id", "needed")
+    source = new_folder(spark, "reports")
+    ready = t.artifacts.where("status = 'ready'").select("artifact_id")
+    ready.unionByName(ready.where("artifact_id % 3 = 0")).write.parquet(source)
+    need = t.artifact_dependencies.select(F.col("job_id").alias("unit_id"), "artifact_id")
+    units = E.drained(E.ready_units(spark.readStream.schema("artifact_id LONG").parquet(source), need), "ready")
+    return units.join(need.groupBy("unit_id").agg(F.count("*").alias("needed")), "unit_id")

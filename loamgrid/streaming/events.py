@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamgrid.sources.shards import new_folder
+from loamgrid.streaming import stateful as S
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
@@ -25,17 +21,12 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into files, and return what it wrote."""
     spark = stream.sparkSession
     path = new_folder(spark, name)
-    job = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out")
+    with S.rocks(spark):
+        job = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out")
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def drained_batches(stream: DataFrame, name: str, write: Callable[[DataFrame, int], Any]) -> None:
-    """Run a stream over all that is there through ``write`` for each micro-batch."""
-    path = new_folder(stream.sparkSession, name)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-
-
 def once(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Of the events with one key only the first within the watermark."""
     return events.withWatermark("time", delay).dropDuplicatesWithinWatermark(keys)
@@ -54,66 +45,15 @@ def sessions(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _stateful(events: DataFrame, columns: list[str], run, output: str, state: str, delay: str) -> DataFrame:
-    """``run`` for each user, on its events and on its timers in event time."""
+def _by_user(events: DataFrame, columns: list[str], processor: S.Keyed, output: str, delay: str) -> DataFrame:
+    """Each user's events through a processor. Start the stream within ``stateful.rocks``."""
     rows = events.withWatermark("time", delay).select("user_id", "time", F.unix_micros("time").alias("us"), *columns)
-    return rows.groupBy("user_id").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _wake(state: GroupState, us: int) -> None:
-    """A timer at ``us``, after the present watermark in any case."""
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), us // 1000) + 1)
-
-
-def _latest(forget_us: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get if state.exists else (pd.Timestamp(0).value, -1, "")
-        for rows in batches:
-            urgent = rows[rows["event_type"] == "error"]
-            if len(urgent):
-                yield pd.DataFrame({"user_id": key[0], "event_id": urgent["event_id"], "event_type": urgent["event_type"]})
-            for t, i, kind in zip(rows["us"], rows["event_id"], rows["event_type"], strict=True):
-                best = max(best, (int(t), int(i), kind))
-        state.update(best)
-        _wake(state, best[0] + forget_us)
-        yield pd.DataFrame({"user_id": [key[0]], "event_id": [best[1]], "event_type": [best[2]]})
-
-    return run
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
 def coalesced(events: DataFrame, delay: str = "1 day", forget_us: int = 30 * 86_400_000_000) -> DataFrame:
     """Each micro-batch the latest event of every user seen in it, and every error; a user is forgotten ``forget_us`` after the last event."""
-    return _stateful(events, ["event_id", "event_type"], _latest(forget_us), "user_id long, event_id long, event_type string", "us long, event_id long, event_type string", delay)
-
-
-def _expire(idle_us: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, pending = (state.get[0], list(state.get[1])) if state.exists else (-1, [])
-        if not state.hasTimedOut:
-            for rows in batches:
-                pending += [int(t) for t in rows["us"]]
-        mark, over = state.getCurrentWatermarkMs() * 1000, []
-        for t in sorted(p for p in pending if p <= mark):
-            if last >= 0 and t - last > idle_us:
-                over.append(last + idle_us)
-            last = max(last, t)
-        pending = [p for p in pending if p > mark]
-        if last >= 0 and last + idle_us < mark:
-            over.append(last + idle_us)
-            last = -1
-        if last < 0 and not pending:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last, pending))
-            _wake(state, min([*pending, *([last + idle_us] if last >= 0 else [])]))
-        if over:
-            yield pd.DataFrame({"user_id": [key[0]] * len(over), "expired_us": over})
-
-    return run
+    return _by_user(events, ["event_id", "event_type"], S.Latest(forget_us, "error"), "user_id long, event_id long, event_type string", delay)
 
 
 def expired(events: DataFrame, idle_us: int, delay: str = "1 day") -> DataFrame:
@@ -121,34 +61,7 @@ def expired(events: DataFrame, idle_us: int, delay: str = "1 day") -> DataFrame:
 
     Heartbeats wait in the state until the watermark has passed them, so they may come in any order within ``delay``.
     """
-    return _stateful(events, [], _expire(idle_us), "user_id long, expired_us long", "last long, pending array<long>", delay)
-
-
-def _recover(forget_us: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, pending = ([], []) if not state.exists else (list(zip(state.get[0], state.get[1], strict=True)), list(zip(*state.get[2:], strict=True)))
-        if not state.hasTimedOut:
-            for rows in batches:
-                pending += [(int(t), int(i), kind == "error") for t, i, kind in zip(rows["us"], rows["event_id"], rows["event_type"], strict=True) if kind in ("error", "purchase")]
-        mark, found = state.getCurrentWatermarkMs() * 1000, []
-        for us, event, failed in sorted(p for p in pending if p[0] <= mark):
-            if failed:
-                opened.append((us, event))
-            else:
-                found += [(e, event) for t, e in opened if us - t <= forget_us]
-                opened = []
-        opened = [o for o in opened if o[0] + forget_us > mark]
-        pending = [p for p in pending if p[0] > mark]
-        if opened or pending:
-            columns = lambda rows, n: [list(c) for c in zip(*rows, strict=True)] or [[]] * n
-            state.update((*columns(opened, 2), *columns(pending, 3)))
-            _wake(state, min([p[0] for p in pending] + [o[0] + forget_us for o in opened]))
-        elif state.exists:
-            state.remove()
-        if found:
-            yield pd.DataFrame({"event_id": [e for e, _ in found], "recovered_by": [e for _, e in found]})
-
-    return run
+    return _by_user(events, [], S.Leases(idle_us), "user_id long, expired_us long", delay)
 
 
 def recovered(events: DataFrame, delay: str = "1 day", forget_us: int = 365 * 86_400_000_000) -> DataFrame:
@@ -156,4 +69,25 @@ def recovered(events: DataFrame, delay: str = "1 day", forget_us: int = 365 * 86
 
     Events wait in the state until the watermark has passed them; errors leave it when they are closed or ``forget_us`` old.
     """
-    return _stateful(events, ["event_id", "event_type"], _recover(forget_us), "event_id long, recovered_by long", "opened_us array<long>, opened array<long>, us array<long>, event array<long>, failed array<boolean>", delay)
+    return _by_user(events, ["event_id", "event_type"], S.Recoveries("error", "purchase", forget_us), "event_id long, recovered_by long", delay)
+
+
+def fused(scores: DataFrame, models: list[int], classes: int, side: int = 16) -> DataFrame:
+    """x, y, sums (of the models' probabilities by class) of every pixel, once when the last model's row has come.
+
+    ``scores``: x, y, model_id, probs. State is kept by block of ``side`` times ``side`` pixels. A repeated row changes nothing, whichever
+    model it is of, and however late. Models not listed are ignored. Start the stream within ``stateful.rocks``.
+    """
+    rows = scores.select(F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"), "x", "y", "model_id", "probs")
+    return rows.groupBy("bx", "by").transformWithStateInPandas(S.Fusion(models, side, classes), "x long, y long, sums array<double>", "Append", "None")
+
+
+def ready_units(reports: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """unit_id of every unit, once when all artifacts that it needs have reported.
+
+    ``reports``: artifact_id, as a stream; ``dependencies``: unit_id, artifact_id. Repeated reports and dependencies change
+    nothing. Units without dependencies are never reported. Start the stream within ``stateful.rocks``.
+    """
+    pairs = dependencies.select("unit_id", "artifact_id").distinct()
+    needs = pairs.join(pairs.groupBy("unit_id").agg(F.collect_list("artifact_id").alias("needs")), "unit_id")  # one unit's dependencies
+    return reports.select("artifact_id").join(needs, "artifact_id").groupBy("unit_id").transformWithStateInPandas(S.Readiness(), "unit_id long", "Append", "None")

@@ -200,28 +200,6 @@ def test_samples_equal_the_greedy_walk(spark):
         assert [(r.cell_x, r.cell_y) for r in found] == taken
 
 
-def test_streams_take_events_out_of_order(spark, tmp_path):
-    """Two files of a user's events in the wrong order, then a mark: the order of event times decides, and a dead lease expires by its timer."""
-    from pyspark.sql import functions as F
-
-    from loamgrid.streaming import events as E
-
-    day = 86_400
-    rows = [[(4, 30, "purchase"), (1, 10, "error"), (6, 100, "view")], [(2, 20, "purchase"), (3, 25, "error"), (5, 40, "error")], [(9, 100 * day, "view")]]
-    outputs = {}
-    for name, make in (("leases", lambda s: E.expired(s, 30_000_000, "1 hour")), ("recovery", lambda s: E.recovered(s, "1 hour"))):
-        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
-        schema = "event_id long, time timestamp, user_id long, event_type string"
-        for part in rows:
-            made = spark.createDataFrame([(i, t, 8 if i == 9 else 7, kind) for i, t, kind in part], "event_id long, s long, user_id long, event_type string")
-            made.select("event_id", F.timestamp_seconds("s").alias("time"), "user_id", "event_type").coalesce(1).write.mode("append").parquet(source)
-            stream = make(spark.readStream.schema(schema).parquet(source))
-            stream.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
-        outputs[name] = sorted(tuple(r) for r in spark.read.parquet(out).collect())
-    assert outputs["recovery"] == [(1, 2), (3, 4)]
-    assert outputs["leases"] == [(7, 70_000_000), (7, 130_000_000)]
-
-
 def test_components_of_tiles_equal_those_of_the_whole(spark):
     import random
 
