@@ -65,6 +65,7 @@ def targets(found: DataFrame, means: DataFrame | None = None, share_weight: floa
 
 def audit(before: DataFrame, after: DataFrame, limit: int, protected: Column) -> DataFrame:
     """What a clean-up changed, for each class. ``after``: x, y, was, class_index; components touch at sides or corners, fragments have under ``limit`` pixels."""
+    from loamgrid.operators import contacts
     from loamgrid.operators import rasters as R
     from loamgrid.sources.scratch import saved
 
@@ -80,7 +81,7 @@ def audit(before: DataFrame, after: DataFrame, limit: int, protected: Column) ->
     rows = flow.withColumn("drift", F.col("after") - F.col("before"))
     for name, pixels, labels in (("before", before, before), ("after", R.with_components(after.drop("was"), diagonal=True), after)):
         rows = rows.join(shapes(pixels, name), "class_index", "left")
-        rows = rows.join(R.boundary_lengths(labels.select("x", "y", "class_index")).select("class_index", F.col("internal").alias(f"boundary_{name}")), "class_index", "left")
+        rows = rows.join(contacts.boundary_lengths(labels.select("x", "y", "class_index")).select("class_index", F.col("internal").alias(f"boundary_{name}")), "class_index", "left")
     counts = [f"{c}_{n}" for c in ("components", "fragments", "boundary") for n in ("before", "after")]
     rows = rows.fillna(0, counts).withColumn("protected_loss", F.when(protected, F.col("loss")).otherwise(0))
     total = lambda c: F.sum(c).over(W.partitionBy())  # noqa: E731  a row for each class

@@ -177,7 +177,7 @@ def _contacts(pixels: DataFrame, targets: DataFrame) -> DataFrame:
     """Pixels of the sources; a row for each target of theirs that a pixel touches, with target_id and target_class."""
     sources = targets.select("component_id").distinct()
     own = pixels.select("component_id", "x", "y").join(sources, "component_id", "left_semi")
-    met = R.neighbours(pixels.select("component_id", "x", "y"), ["component_id"]).select("component_id", "x", "y", F.col("other_component_id").alias("target_id"))
+    met = R.neighbours(own, ["component_id"], among=pixels).select("component_id", "x", "y", F.col("other_component_id").alias("target_id"))
     met = met.join(targets.select("component_id", "target_class", "target_id"), ["component_id", "target_id"])
     return own.join(met, ["component_id", "x", "y"], "left")
 
@@ -211,12 +211,6 @@ def topology_check(pixels: DataFrame, changes: DataFrame) -> DataFrame:
     return sources.unionByName(proposals.select(F.lit("proposal").alias("kind"), F.col("proposal").alias("id"), "pieces", ((F.col("pieces") == 1) & (F.col("kept") > 0)).alias("safe")))
 
 
-def open_sides(pixels: DataFrame) -> DataFrame:
-    """component_id, open: sides of a component to no pixel."""
-    met = R.neighbours(pixels.select("x", "y", "component_id"), []).groupBy("component_id").agg(F.count("*").alias("met"))
-    return pixels.groupBy("component_id").agg((4 * F.count("*")).alias("sides")).join(met, "component_id", "left").select("component_id", (F.col("sides") - F.coalesce("met", F.lit(0))).alias("open"))
-
-
 def allowed(source: Column, target: Column, scenario: int) -> Column:
     """A relation table by rule, for derived data."""
     return (source + target + scenario) % 5 != 0

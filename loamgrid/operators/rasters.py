@@ -112,35 +112,17 @@ def components(pixels: DataFrame) -> DataFrame:
     return shape.join(F.broadcast(edge)).withColumn("touches_border", border).drop("left", "right", "top", "bottom")
 
 
-def neighbours(pixels: DataFrame, keep: list[str], diagonal: bool = False) -> DataFrame:
-    """Each pixel with each neighbour that has a row: own columns, and ``keep`` of the neighbour as other_*."""
+def neighbours(pixels: DataFrame, keep: list[str], diagonal: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """Each pixel with each neighbour in ``among`` (else itself): own columns, and ``keep`` of the neighbour as other_*.
+
+    Every pixel is copied for each direction: for few pixels; ``contacts`` is for whole rasters.
+    """
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in (_STEPS_8 if diagonal else _STEPS_4)])
     asked = pixels.withColumn("__s", F.explode(steps)).withColumn("__x", F.col("x") + F.col("__s.dx")).withColumn("__y", F.col("y") + F.col("__s.dy")).drop("__s")
-    other = pixels.select(F.col("x").alias("__x"), F.col("y").alias("__y"), *[F.col(c).alias(f"other_{c}") for c in keep])
+    other = (pixels if among is None else among).select(F.col("x").alias("__x"), F.col("y").alias("__y"), *[F.col(c).alias(f"other_{c}") for c in keep])
     return asked.join(other, ["__x", "__y"]).drop("__x", "__y")
 
 
-def adjacency(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
-    """component_id, other_component_id, their classes, contact: sides (4) or distinct outside pixels (8) in contact."""
-    met = neighbours(pixels, ["component_id", "class_index"], diagonal).where("component_id <> other_component_id")
-    keys = ["component_id", "class_index", "other_component_id", "other_class_index"]
-    if not diagonal:
-        return met.groupBy(*keys).agg(F.count("*").alias("contact"))
-    ring = neighbours(pixels, ["component_id", "class_index"], True).where("component_id <> other_component_id")
-    return ring.groupBy(F.col("other_component_id").alias("component_id"), F.col("other_class_index").alias("class_index"), F.col("component_id").alias("other_component_id"), F.col("class_index").alias("other_class_index")).agg(F.countDistinct("x", "y").alias("contact"))
-
-
-def boundary_lengths(labels: DataFrame, width_m: float = 1.0, height_m: float = 1.0) -> DataFrame:
-    """For each class the sides to another class, and to no row, and their lengths in metres of pixels of that width and height."""
-    met = neighbours(labels.select("x", "y", "class_index"), ["x", "class_index"])
-    upright = F.col("x") != F.col("other_x")  # a side between left and right is as long as a pixel is high
-    inner = F.col("class_index") != F.col("other_class_index")
-    counts = met.groupBy("class_index").agg(F.count_if(inner & upright).alias("iu"), F.count_if(inner & ~upright).alias("il"), F.count_if(upright).alias("mu"), F.count_if(~upright).alias("ml"))
-    rows = labels.groupBy("class_index").agg((2 * F.count("*")).alias("sides")).join(counts, "class_index", "left").fillna(0, ["iu", "il", "mu", "ml"])
-    up, flat = F.col("sides") - F.col("mu"), F.col("sides") - F.col("ml")
-    return rows.select("class_index", (F.col("iu") + F.col("il")).alias("internal"), (up + flat).alias("outer"), (F.col("iu") * height_m + F.col("il") * width_m).alias("internal_m"), (up * height_m + flat * width_m).alias("outer_m"))
-
-
 def confusion(reference: DataFrame, prediction: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ref, pred, pixels over the pixels that both have."""
     by = by or []
@@ -208,11 +190,6 @@ def cell_mixture(labels: DataFrame, side: int, protected: Column | None = None)
     return share.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("pixels"), F.count("*").alias("classes"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), (F.sum("n") / side**2).alias("coverage"), *extra)
 
 
-def boundary_cells(labels: DataFrame) -> DataFrame:
-    """x, y of pixels with a 4-neighbour of another class."""
-    return neighbours(labels.select("x", "y", "class_index"), ["class_index"]).where("class_index <> other_class_index").select("x", "y").distinct()
-
-
 def nearest(cells: DataFrame, others: DataFrame, radius: int = 2) -> DataFrame:
     """x, y, distance to the nearest of ``others``; cells meet on a grid as wide as the radius, which doubles for what is left."""
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import arrays as A
 from loamgrid.operators import cleanup as C
+from loamgrid.operators import contacts
 from loamgrid.operators import probabilities as P
 from loamgrid.operators import rasters as R
 from loamgrid.plans.fixtures import Tables, oracle
@@ -60,7 +61,7 @@ SELECT component_id, -coalesce(n, 0) AS delta FROM target LEFT JOIN c4 USING (co
 UNION ALL SELECT component_id, 0 FROM target WHERE NOT EXISTS (SELECT 1 FROM c4 WHERE c4.component_id = target.component_id AND c4.other_class_index = target_class)"""))
 def boundary_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, _, chosen = _chosen(Tables(spark, sf_dir))
-    return C.boundary_delta(chosen, R.adjacency(pixels))
+    return C.boundary_delta(chosen, contacts.adjacency(pixels))
 
 
 @query("explain_decisions", oracle("labels_a classes", f"""{_C8}, f AS (SELECT j.component_id, coalesce(reason, CASE WHEN c.component_id IS NULL THEN 'no_larger_neighbor' WHEN t.component_id IS NULL THEN 'probability_drop' END) AS failed FROM judged AS j LEFT JOIN target AS t USING (component_id) LEFT JOIN (SELECT DISTINCT component_id FROM cand) AS c USING (component_id)),
@@ -83,7 +84,7 @@ def boundary_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamgrid.sources.scratch import saved
 
     t = Tables(spark, sf_dir)
-    a, b = saved(R.boundary_cells(t.labels_a), "edge"), saved(R.boundary_cells(t.labels_b), "edge")
+    a, b = saved(contacts.boundary_cells(t.labels_a), "edge"), saved(contacts.boundary_cells(t.labels_b), "edge")
     both = R.nearest(a, b).withColumn("way", F.lit("a_to_b")).unionByName(R.nearest(b, a).withColumn("way", F.lit("b_to_a")))
     p = lambda q: F.round(F.percentile("distance", q), 6)
     return both.groupBy("way").agg(F.count("*").alias("cells"), p(0.5).alias("median"), p(0.95).alias("p95"), F.round(F.max("distance"), 6).alias("most"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.operators import adjudication
 from loamgrid.operators import cleanup as C
+from loamgrid.operators import contacts
 from loamgrid.operators import proposals as O
 from loamgrid.operators import rasters as R
 from loamgrid.operators.adjudication import Rules
@@ -54,8 +55,8 @@ class _Work:
 
         self.pixels = saved(R.with_components(Tables(spark, sf_dir).labels_a), "pixels")
         self.parts = saved(R.components(self.pixels), "parts")
-        self.open = O.open_sides(self.pixels)
-        self.contacts = saved(R.adjacency(self.pixels), "contacts")
+        self.open = contacts.component_open_sides(self.pixels)
+        self.contacts = saved(contacts.adjacency(self.pixels), "contacts")
         limit = F.expr(_LIMIT)
         small = self.parts.join(self.open, "component_id").where((F.col("pixel_count") < limit) & (F.col("class_index") % 6 != 5) & ~F.col("touches_border") & (F.col("open") == 0))
         self.targets = saved(O.touched(self.contacts, small), "targets")

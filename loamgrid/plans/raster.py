@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamgrid.operators import contacts
 from loamgrid.operators import rasters as R
 from loamgrid.plans.fixtures import SIDE, Tables, oracle
 from loamgrid.registry import query
@@ -75,10 +76,11 @@ _STEP4 = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)"
 
 
 @query("component_adjacency", oracle("labels_a", f"""{C4}
-SELECT a.component_id, a.class_index, b.component_id AS other_component_id, b.class_index AS other_class_index, count(*) AS contact
-FROM px AS a, {_STEP4}, px AS b WHERE b.x = a.x + dx AND b.y = a.y + dy AND a.component_id <> b.component_id GROUP BY 1, 2, 3, 4"""))
+, met AS (SELECT a.component_id, a.class_index, b.component_id AS other_component_id, b.class_index AS other_class_index, dx FROM px AS a, {_STEP4}, px AS b WHERE b.x = a.x + dx AND b.y = a.y + dy),
+whole AS (SELECT component_id, 4 * count(*) = (SELECT count(*) FROM met WHERE met.component_id = px.component_id) AS closed FROM px GROUP BY 1)
+SELECT m.component_id, class_index, other_component_id, other_class_index, count(*) AS contact, sum(CASE WHEN dx = 0 THEN 0.25 ELSE 0.5 END)::DOUBLE AS contact_m, closed FROM met AS m JOIN whole USING (component_id) WHERE m.component_id <> other_component_id GROUP BY 1, 2, 3, 4, 7"""))
 def component_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.adjacency(R.with_components(Tables(spark, sf_dir).labels_a))
+    return contacts.adjacency(R.with_components(Tables(spark, sf_dir).labels_a), 0.25, 0.5)
 
 
 @query("fragment_histogram", oracle("labels_a", f"""{C4}, {_SHAPE}
@@ -110,7 +112,7 @@ n AS (SELECT class_index, count(*) FILTER (other <> class_index AND upright) AS
 s AS (SELECT class_index, 2 * count(*) AS sides FROM labels_a GROUP BY 1)
 SELECT class_index, coalesce(iu + il, 0) AS internal, 2 * sides - coalesce(mu + ml, 0) AS "outer", coalesce(iu * 0.5 + il * 0.25, 0)::DOUBLE AS internal_m, ((sides - coalesce(mu, 0)) * 0.5 + (sides - coalesce(ml, 0)) * 0.25)::DOUBLE AS outer_m FROM s LEFT JOIN n USING (class_index)"""))
 def boundary_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.boundary_lengths(Tables(spark, sf_dir).labels_a, 0.25, 0.5)
+    return contacts.boundary_lengths(Tables(spark, sf_dir).labels_a, 0.25, 0.5)
 
 
 @query("unit_complexity", oracle("labels_a", f"""{C4}
@@ -119,8 +121,7 @@ FROM px AS p GROUP BY p.partition_id"""))
 def unit_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = R.with_components(Tables(spark, sf_dir).labels_a)
     parts = pixels.groupBy("partition_id").agg(F.countDistinct("component_id").alias("components"))
-    met = R.neighbours(pixels.select("x", "y", "class_index", "partition_id"), ["x", "y", "class_index"]).where("class_index <> other_class_index and (other_x > x or other_y > y)")
-    return parts.join(met.groupBy("partition_id").agg(F.count("*").alias("segments")), "partition_id", "left").fillna(0, ["segments"])
+    return parts.join(contacts.segments(pixels, "partition_id"), "partition_id", "left").fillna(0, ["segments"])
 
 
 @query("confusion_matrix", oracle("labels_a labels_b", "SELECT a.class_index AS ref, b.class_index AS pred, count(*) AS pixels FROM labels_a AS a JOIN labels_b AS b USING (x, y) GROUP BY 1, 2"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgrid.operators import cleanup as C
+from loamgrid.operators import contacts
 from loamgrid.operators import rasters as R
 from loamgrid.operators import spatial as P
 from loamgrid.operators import store as S
@@ -256,7 +257,7 @@ def _rules(t: Tables) -> DataFrame:
 
 
 def _candidates(t: Tables, pixels: DataFrame, judged: DataFrame) -> DataFrame:
-    return C.candidates(judged, R.adjacency(pixels, diagonal=True), _rules(t), BYPASS)
+    return C.candidates(judged, contacts.ring(pixels, judged.where("reason is null")), _rules(t), BYPASS)
 
 
 def _targets(t: Tables, pixels: DataFrame, judged: DataFrame) -> DataFrame:

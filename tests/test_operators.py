@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.functions import arrays as A
-from loamgrid.operators import cleanup, rasters, relational, spatial, store
+from loamgrid.operators import cleanup, contacts, rasters, relational, spatial, store
 from loamgrid.operators import probabilities as P
 from loamgrid.operators.graph import connected_components
 
@@ -45,7 +45,7 @@ def test_a_pixel_in_a_large_component_is_absorbed_and_a_block_stays(spark):
     parts = rasters.components(pixels)
     policy = spark.createDataFrame([(0, 4, False), (1, 4, False)], "class_index long, threshold int, protected boolean")
     judged = cleanup.reasons(parts, policy)
-    chosen = cleanup.targets(cleanup.candidates(judged, rasters.adjacency(pixels, diagonal=True)))
+    chosen = cleanup.targets(cleanup.candidates(judged, contacts.ring(pixels)))
     after = cleanup.apply(pixels, cleanup.roots(chosen), judged)
     assert after.where("class_index = 1").count() == 9
 

@@ -14,6 +14,15 @@ DAY = 86_400
 def fed(spark, folder, batches, schema, make):
     """What a stream writes when each batch of rows arrives as a file while it is stopped."""
     source, out = f"{folder}/in", f"{folder}/out"
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a worker for each costs seconds
+    try:
+        return _fed(spark, folder, batches, schema, make, source, out)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def _fed(spark, folder, batches, schema, make, source, out):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = make(spark.readStream.schema(schema).parquet(source))
