@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 import pytest
 
@@ -116,6 +118,24 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert len(kept) < len(texts) - 30
 
 
+def test_recall_by_similarity(spark):
+    """Pairs of texts with more and more words changed, 120 for each number: those of similarity 0.8 or more are found, however similar."""
+    r, rows, bands = random.Random(4), [], {}
+    for changed in range(1, 7):
+        for _ in range(120):
+            base = [f"w{r.randrange(10**6)}" for _ in range(160)]
+            other = list(base)
+            for k in r.sample(range(0, 160, 5), changed):
+                other[k] = f"e{r.randrange(10**6)}"
+            a, b = ({tuple(t[k : k + 5]) for k in range(156)} for t in (base, other))
+            rows += [(2 * len(rows), " ".join(base)), (2 * len(rows) + 1, " ".join(other))]
+            share = len(a & b) / len(a | b)
+            bands.setdefault("below" if share < 0.8 else "0.8" if share < 0.85 else "0.85" if share < 0.9 else "0.9", []).append(rows[-2:])
+    part = {x.doc_id: x.component_id for x in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: sum(part[a] == part[b] for (a, _), (b, _) in v) / len(v) for k, v in bands.items()}
+    assert {k: round(f, 3) for k, f in found.items()} == {"below": 0.0, "0.8": 1.0, "0.85": 1.0, "0.9": 1.0} and min(map(len, bands.values())) >= 120
+
+
 def test_near_dedup_of_no_rows(spark):
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
