@@ -2,9 +2,9 @@
 
 Rules come first: the longest one that fits decides.  For all other URLs one
 Aho-Corasick automaton over the vocabulary scans the lower-cased URL once.  A term counts where no letter or digit
-touches it, and only the longest term of those that overlap: hits are taken leftmost, then longest, so that
-one place counts once.  One strict term blocks, as do two or more different soft terms whose weights reach
-``soft_limit``; a soft term alone never does.
+touches it.  One strict term blocks, whatever it overlaps.  Of soft terms that overlap only the leftmost, then longest counts, so
+that one place counts once; two or more different ones block if their weights reach ``soft_limit``: two of the weighty kind or
+one and a mild one, but three of the mild kind.  A soft term alone never does.
 
 The vocabulary is data: a DataFrame of term, kind (strict or soft) and weight, of at most ``MAX_TERMS`` rows, which
 travels with the tasks.  ``DEFAULT_TERMS`` is only where to start from.
@@ -24,10 +24,10 @@ from loamgrid.llm.shared import table
 #: (term, kind, weight): common words of adult, gambling, pharmacy, piracy and spam sites.
 DEFAULT_TERMS = (
     *((t, "strict", 0) for t in "adult-x casino-win cheap-pills hardcore hentai milf porn pornhub pornstar sexcam spam-farm viagra xvideos xxx".split()),
-    *((t, "soft", 2) for t in "adult casino cialis escort gambling jackpot keygen nude nudes poker sex sexy torrent warez webcam".split()),
-    *((t, "soft", 1) for t in "ads ads-track bet bets betting bonus cheap click coupon crack dating deal download free free-bets girls hot loan loans lottery online-pharmacy pharmacy pills prize promo rx slots spam spin stream track win winner".split()),
+    *((t, "soft", 2) for t in "ads-track adult casino cialis escort free-bets gambling jackpot keygen nude nudes online-pharmacy poker sex sexy torrent warez webcam".split()),
+    *((t, "soft", 1) for t in "ads bet bets betting bonus cheap click coupon crack dating deal download free girls hot loan loans lottery pharmacy pills prize promo rx slots spam spin stream track win winner".split()),
 )
-SOFT_LIMIT = 2
+SOFT_LIMIT = 3
 #: Different soft terms that it takes to block.
 SOFT_TERMS = 2
 MAX_TERMS = 1_000_000
@@ -68,14 +68,16 @@ def _automaton(terms: Sequence[str]) -> ahocorasick.Automaton:
     return found
 
 
-def _hits(find: ahocorasick.Automaton, text: str) -> set[str]:
-    """Different terms that stand in ``text`` between boundaries, the leftmost, then longest first, without overlaps."""
-    spans = []
+def _hits(find: ahocorasick.Automaton, text: str, strict: frozenset[str]) -> set[str]:
+    """Different terms that stand in ``text`` between boundaries: all strict ones, and soft ones leftmost, then longest first, without overlaps."""
+    spans, found, free = [], set(), 0
     for end, term in find.iter(text):
         start = end - len(term) + 1
         if (not start or text[start - 1] not in _ALNUM) and (end + 1 == len(text) or text[end + 1] not in _ALNUM):
-            spans.append((start, -end, term))
-    found, free = set(), 0
+            if term in strict:
+                found.add(term)
+            else:
+                spans.append((start, -end, term))
     for start, end, term in sorted(spans):
         if start >= free:
             found.add(term)
@@ -89,7 +91,7 @@ def _judge(strict: frozenset[str], soft: Mapping[str, int], soft_limit: int, sof
         for batch in batches:
             hits, softs, weights, verdicts = [], [], [], []
             for url, by_rule in zip(batch.column("url").to_pylist(), batch.column("verdict").to_pylist(), strict=True):
-                terms = _hits(find, (url or "").translate(_FOLD)) if len(find) else set()
+                terms = _hits(find, (url or "").translate(_FOLD), strict) if len(find) else set()
                 mild = terms - strict
                 hits.append(len(terms & strict))
                 softs.append(len(mild))
@@ -150,8 +152,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
-#: Longer terms first: where one matches, what it holds is not matched again.
-_ANY = "|".join(sorted({t for t, *_ in DEFAULT_TERMS}, key=lambda t: (-len(t), t)))
+#: Longer soft terms first: where one matches, what it holds is not matched again.
+_ANY = "|".join(sorted({t for t, kind, _ in DEFAULT_TERMS if kind == "soft"}, key=lambda t: (-len(t), t)))
+_STRICT = " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::BIGINT" for t, kind, _ in DEFAULT_TERMS if kind == "strict")
 _TERMS = ", ".join(f"('{t}', '{kind}', {w})" for t, kind, w in DEFAULT_TERMS)
 OP5_SQL = f"""
 WITH terms(term, kind, weight) AS (VALUES {_TERMS}),
@@ -162,13 +165,13 @@ parts AS (
   FROM pages),
 -- every run of characters other than letters and digits is doubled, so that two terms may share a boundary
 found AS (SELECT DISTINCT low, unnest(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g'), '(?:^|[^a-z0-9])({_ANY.replace('-', '--')})(?:[^a-z0-9]|$)', 1)) AS hit FROM (SELECT DISTINCT low FROM parts) AS p),
-hits AS (SELECT low, count(*) FILTER (kind = 'strict') AS strict_hits, count(*) FILTER (kind = 'soft') AS soft_hits, sum(weight) FILTER (kind = 'soft') AS soft_weight
+hits AS (SELECT low, count(*) AS soft_hits, sum(weight) AS soft_weight
   FROM found JOIN terms ON replace(hit, '--', '-') = term GROUP BY low),
 judged AS (
   SELECT page_id, host, path,
     CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)} END AS rule,
     CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} END AS ruled,
-    CAST(coalesce(strict_hits, 0) AS BIGINT) AS strict_hits, CAST(coalesce(soft_hits, 0) AS BIGINT) AS soft_hits, CAST(coalesce(soft_weight, 0) AS BIGINT) AS soft_weight
+    CAST({_STRICT} AS BIGINT) AS strict_hits, CAST(coalesce(soft_hits, 0) AS BIGINT) AS soft_hits, CAST(coalesce(soft_weight, 0) AS BIGINT) AS soft_weight
   FROM parts LEFT JOIN hits USING (low))
 SELECT page_id, host, path, rule,
   coalesce(ruled, CASE WHEN strict_hits > 0 OR (soft_hits >= {SOFT_TERMS} AND soft_weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,

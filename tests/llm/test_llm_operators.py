@@ -282,7 +282,11 @@ def test_urls(spark):
         "http://casino.io/Casino": ("casino.io", "/Casino", None, "allow"),
         "http://ads-track.io/free-bets": ("ads-track.io", "/free-bets", None, "block"),
         "http://xads.io/FREEbets-9": ("xads.io", "/FREEbets-9", None, "allow"),
-        "http://xads-track.io/FREE-bets9": ("xads-track.io", "/FREE-bets9", None, "block"),
+        "http://xads-track.io/FREE-bets9": ("xads-track.io", "/FREE-bets9", None, "allow"),
+        "http://xads-track.io/FREE-bets9/hot": ("xads-track.io", "/FREE-bets9/hot", None, "block"),
+        "http://stream.io/download": ("stream.io", "/download", None, "allow"),
+        "http://stream.io/download/casino": ("stream.io", "/download/casino", None, "block"),
+        "http://free-adult-x.com/": ("free-adult-x.com", "/", None, "block"),
         "no scheme/en/7": ("", "", None, "allow"),
         "http://h?x://y/z": ("h", "", None, "allow"),
         "": ("", "", None, "allow"),
@@ -294,12 +298,29 @@ def test_urls(spark):
     assert got[None] == ("", "", None, "allow")
 
 
+def test_odd_pages_all_come_back(spark):
+    """Nulls, repeated rows and ids, a very long URL, clashing columns."""
+    long = "http://h.io/" + "a-" * 200_000 + "casino-win"
+    rows = [(1, None), (1, ""), (None, "x://h/casino-win"), (None, "x://h/casino-win"), (2, long), (2, long + "s"), (3, "x://h/\n casino-win \u0130")] * 3
+    pages = spark.createDataFrame([(*r, "h", "v", 1, 2) for r in rows], "page_id long, url string, host string, verdict string, strict_hits int, term int")
+    out = url_filter.filter_urls(pages)
+    assert sorted(str((r.page_id, r.verdict)) for r in out.collect()) == sorted(["(1, 'allow')", "(1, 'allow')", "(None, 'block')", "(None, 'block')", "(2, 'block')", "(2, 'allow')", "(3, 'block')"] * 3)
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_strict_terms_are_never_hidden(spark):
+    terms = [("adult-x", "strict", 0), ("free-adult", "soft", 1), ("x", "soft", 2)]
+    pages = spark.createDataFrame([(0, "x0://free-adult-x.com"), (1, "x0://free-adult.com"), (2, "x0://free-adult/x")], "page_id long, url string")
+    got = {r.page_id: (r.strict_hits, r.soft_hits, r.soft_weight, r.verdict) for r in url_filter.filter_urls(pages, terms).collect()}
+    assert got == {0: (1, 2, 3, "block"), 1: (0, 1, 1, "allow"), 2: (0, 2, 3, "block")}
+
+
 def test_a_vocabulary_is_data(spark):
     terms = spark.createDataFrame([("Alpha", "strict", None), ("b", "soft", 1), ("b-c", "soft", 5), ("c", "soft", None), ("alpha", "soft", 1), ("", "soft", 9)], "term string, kind string, weight int")
     urls = ["x://h/alpha", "x://h/b-c", "x://h/b.c", "x://h/b-c/b", "x://h/b/b", None, "", "b c b-c " * 20_000, "alphabet"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: (r.strict_hits, r.soft_hits, r.soft_weight, r.verdict) for r in url_filter.filter_urls(pages, terms).collect()}
-    assert got == {0: (1, 0, 0, "block"), 1: (0, 1, 5, "allow"), 2: (0, 2, 2, "block"), 3: (0, 2, 6, "block"), 4: (0, 1, 1, "allow"), 5: (0, 0, 0, "allow"), 6: (0, 0, 0, "allow"), 7: (0, 3, 7, "block"), 8: (0, 0, 0, "allow")}
+    assert got == {0: (1, 0, 0, "block"), 1: (0, 1, 5, "allow"), 2: (0, 2, 2, "allow"), 3: (0, 2, 6, "block"), 4: (0, 1, 1, "allow"), 5: (0, 0, 0, "allow"), 6: (0, 0, 0, "allow"), 7: (0, 3, 7, "block"), 8: (0, 0, 0, "allow")}
     assert url_filter.filter_urls(pages.limit(0), terms).count() == 0
     assert url_filter.filter_urls(pages, terms.limit(0)).where("verdict = 'block'").count() == 0
 
