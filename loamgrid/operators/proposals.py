@@ -7,6 +7,7 @@ targets are the components of that class that it touches.
 from __future__ import annotations
 
 from collections import deque
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,17 +18,18 @@ from loamgrid.operators import rasters as R
 _STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1))
 
 
-def component_distances(pixels: DataFrame, reach: int) -> DataFrame:
-    """component_id, other_component_id (larger), distance between the cells' edges, for components of one class within ``reach``.
+def component_distances(pixels: DataFrame, reach: float, width_m: float = 1.0, height_m: float = 1.0) -> DataFrame:
+    """component_id, other_component_id (larger), distance in metres between the cells' edges, for components of one class within ``reach`` metres.
 
-    Pixels meet on a grid of cells wider than the reach: an equality join.
+    Pixels are that wide and high; they meet on a grid of cells wider than the reach: an equality join.
     """
-    side = reach + 1
-    grid = lambda df: df.select("component_id", "class_index", "x", "y", F.floor(F.col("x") / side).alias("gx"), F.floor(F.col("y") / side).alias("gy"))
+    size = {"x": width_m, "y": height_m}
+    side = {c: int(reach / m) + 2 for c, m in size.items()}
+    grid = lambda df: df.select("component_id", "class_index", "x", "y", *[F.floor(F.col(c) / n).alias("g" + c) for c, n in side.items()])
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     a = grid(pixels).withColumn("s", F.explode(around)).select("component_id", "class_index", "x", "y", (F.col("gx") + F.col("s.a")).alias("gx"), (F.col("gy") + F.col("s.b")).alias("gy")).alias("a")
     b = grid(pixels).alias("b")
-    gap = lambda c: F.greatest(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) - 1, F.lit(0))
+    gap = lambda c: F.greatest(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) - 1, F.lit(0)) * size[c]
     met = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.class_index") == F.col("b.class_index")) & (F.col("a.component_id") < F.col("b.component_id")))
     pairs = met.groupBy(F.col("a.component_id"), F.col("b.component_id").alias("other_component_id")).agg(F.min(F.hypot(gap("x"), gap("y"))).alias("distance"))
     return pairs.where(F.col("distance") <= reach)
@@ -38,24 +40,24 @@ def touched(contacts: DataFrame, sources: DataFrame) -> DataFrame:
     return contacts.join(sources.select("component_id"), "component_id", "left_semi").select("component_id", F.col("other_class_index").alias("target_class"), F.col("other_component_id").alias("target_id"), "contact")
 
 
-def _kruskal(rows):
+def _bottleneck(rows):
+    """The longest edge by which a tree grows that always takes the nearest component outside it."""
     import pandas as pd
 
-    parent = {int(i): int(i) for i in rows["nodes"].iloc[0]}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    worst, joined = 0.0, 0
-    for r in rows.dropna(subset=["distance"]).sort_values(["distance", "u", "v"]).itertuples():
-        a, b = find(int(r.u)), find(int(r.v))
-        if a != b:
-            parent[b] = a
-            worst, joined = max(worst, r.distance), joined + 1
-    whole = joined == len(parent) - 1
-    return pd.DataFrame({"component_id": [rows["component_id"].iloc[0]], "target_class": [rows["target_class"].iloc[0]], "bottleneck": [worst if whole else None]})
+    nodes, edges = [int(i) for i in rows["nodes"].iloc[0]], {}
+    for u, v, d in rows.dropna(subset=["distance"])[["u", "v", "distance"]].itertuples(index=False):
+        edges.setdefault(int(u), []).append((d, int(v)))
+        edges.setdefault(int(v), []).append((d, int(u)))
+    inside, worst, queue = {nodes[0]}, 0.0, list(edges.get(nodes[0], ()))
+    heapify(queue)
+    while queue and len(inside) < len(nodes):
+        d, node = heappop(queue)
+        if node not in inside:
+            inside.add(node)
+            worst = max(worst, d)
+            for edge in edges[node]:
+                heappush(queue, edge)
+    return pd.DataFrame({"component_id": [rows["component_id"].iloc[0]], "target_class": [rows["target_class"].iloc[0]], "bottleneck": [worst if len(inside) == len(nodes) else None]})
 
 
 def bridge_bottleneck(targets: DataFrame, distances: DataFrame) -> DataFrame:
@@ -67,36 +69,47 @@ def bridge_bottleneck(targets: DataFrame, distances: DataFrame) -> DataFrame:
     one = nodes.select("component_id", "target_class", "nodes", F.explode("nodes").alias("u"))
     pairs = one.select("*", F.explode(F.filter("nodes", lambda v: v > F.col("u"))).alias("v"))
     edges = pairs.join(distances.select(F.col("component_id").alias("u"), F.col("other_component_id").alias("v"), "distance"), ["u", "v"], "left")
-    return edges.groupBy("component_id", "target_class").applyInPandas(_kruskal, "component_id long, target_class long, bottleneck double")
+    return edges.groupBy("component_id", "target_class").applyInPandas(_bottleneck, "component_id long, target_class long, bottleneck double")
+
+
+def _ways(cells: set, start: set, width_m: float, height_m: float) -> dict:
+    """The length of the shortest way from ``start`` to each cell, from side to side."""
+    known, queue = {}, [(0.0, c) for c in sorted(start)]
+    while queue:
+        far, at = heappop(queue)
+        if at in known:
+            continue
+        known[at] = far
+        for a, b in _STEPS:
+            near = (at[0] + a, at[1] + b)
+            if near in cells and near not in known:
+                heappush(queue, (far + (width_m if a else height_m), near))
+    return known
 
 
-def _longest(rows):
+def _longest(width_m: float, height_m: float):
     import pandas as pd
 
-    cells = {(int(x), int(y)) for x, y in zip(rows["x"], rows["y"], strict=True)}
-    found = []
-    for target_class, part in rows.dropna(subset=["target_id"]).groupby("target_class"):
-        contact = {t: {(int(x), int(y)) for x, y in zip(p["x"], p["y"], strict=True)} for t, p in part.groupby("target_id")}
-        longest = 0
-        for start in contact:
-            steps, queue = dict.fromkeys(contact[start], 0), deque(sorted(contact[start]))
-            while queue:
-                x, y = queue.popleft()
-                for a, b in _STEPS:
-                    if (x + a, y + b) in cells and (x + a, y + b) not in steps:
-                        steps[x + a, y + b] = steps[x, y] + 1
-                        queue.append((x + a, y + b))
-            longest = max([longest, *(min(steps[c] for c in contact[t]) for t in contact if t != start)])
-        found.append((int(rows["component_id"].iloc[0]), int(target_class), longest))
-    return pd.DataFrame(found, columns=["component_id", "target_class", "path"])
+    def run(rows):
+        cells, found = set(zip(rows["x"].tolist(), rows["y"].tolist(), strict=True)), []
+        for target_class, part in rows.dropna(subset=["target_id"]).groupby("target_class"):
+            contact = {t: set(zip(p["x"].tolist(), p["y"].tolist(), strict=True)) for t, p in part.groupby("target_id")}
+            longest = 0.0
+            for start in contact:
+                far = _ways(cells, contact[start], width_m, height_m)
+                longest = max([longest, *(min(far[c] for c in contact[t]) for t in contact if t != start)])
+            found.append((int(rows["component_id"].iloc[0]), int(target_class), longest))
+        return pd.DataFrame(found, columns=["component_id", "target_class", "path"])
+
+    return run
 
 
-def bridge_path(pixels: DataFrame, targets: DataFrame) -> DataFrame:
-    """component_id, target_class, path: the longest of the shortest ways through the source between two of its targets of a class, in steps to a side.
+def bridge_path(pixels: DataFrame, targets: DataFrame, width_m: float = 1.0, height_m: float = 1.0) -> DataFrame:
+    """component_id, target_class, path: the longest of the shortest ways through the source between two of its targets of a class, in metres.
 
-    A group holds the pixels of one small source.
+    A way leads from side to side between centres of pixels of that width and height. A group holds the pixels of one small source.
     """
-    return _contacts(pixels, targets).groupBy("component_id").applyInPandas(_longest, "component_id long, target_class long, path long")
+    return _contacts(pixels, targets).groupBy("component_id").applyInPandas(_longest(width_m, height_m), "component_id long, target_class long, path double")
 
 
 def topology_delta(targets: DataFrame, parts: DataFrame, limits: DataFrame) -> DataFrame:

@@ -190,25 +190,6 @@ def cell_mixture(labels: DataFrame, side: int, protected: Column | None = None)
     return share.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("pixels"), F.count("*").alias("classes"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), (F.sum("n") / side**2).alias("coverage"), *extra)
 
 
-def nearest(cells: DataFrame, others: DataFrame, radius: int = 2) -> DataFrame:
-    """x, y, distance to the nearest of ``others``; cells meet on a grid as wide as the radius, which doubles for what is left."""
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left, found = cells, None
-    if not others.head(1):
-        return cells.withColumn("distance", F.lit(None).cast("double"))
-    while True:
-        at = lambda c, r=radius: F.floor(F.col(c) / r)
-        grid = others.select(F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("gx"), at("y").alias("gy"))
-        asked = left.withColumn("s", F.explode(around)).select("x", "y", (at("x") + F.col("s.a")).alias("gx"), (at("y") + F.col("s.b")).alias("gy"))
-        gap = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-        near = saved(asked.join(grid, ["gx", "gy"]).groupBy("x", "y").agg(F.min(gap).alias("distance")).where(F.col("distance") <= radius), "nearest")
-        found = near if found is None else found.unionByName(near)
-        left = saved(left.join(near, ["x", "y"], "left_anti"), "left")
-        if not left.head(1):
-            return found
-        radius *= 2
-
-
 def sample_cells(cells: DataFrame, run: str, size: int, apart: int) -> DataFrame:
     """Cells of each run: for each of three rankings its first cell that is ``apart`` cells or more from those taken, then by entropy.
 

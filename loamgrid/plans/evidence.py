@@ -10,6 +10,7 @@ from loamgrid.operators import cleanup as C
 from loamgrid.operators import contacts
 from loamgrid.operators import probabilities as P
 from loamgrid.operators import rasters as R
+from loamgrid.operators.distance import nearest
 from loamgrid.plans.fixtures import Tables, oracle
 from loamgrid.plans.probability import long
 from loamgrid.plans.store import _C8, _candidates, _judged, _targets
@@ -77,15 +78,15 @@ _EDGE = "SELECT DISTINCT a.x, a.y FROM {0} AS a, (VALUES (1, 0), (-1, 0), (0, 1)
 
 
 @query("boundary_distance", oracle("labels_a labels_b", f"""WITH a AS ({_EDGE.format('labels_a')}), b AS ({_EDGE.format('labels_b')}),
-d AS (SELECT 'a_to_b' AS way, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS m FROM a, b GROUP BY a.x, a.y UNION ALL SELECT 'b_to_a', min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) FROM b, a GROUP BY b.x, b.y)
+d AS (SELECT 'a_to_b' AS way, min(sqrt(pow((a.x - b.x) * 0.25, 2) + pow((a.y - b.y) * 0.5, 2))) AS m FROM a, b GROUP BY a.x, a.y UNION ALL SELECT 'b_to_a', min(sqrt(pow((a.x - b.x) * 0.25, 2) + pow((a.y - b.y) * 0.5, 2))) FROM b, a GROUP BY b.x, b.y)
 SELECT way, count(*) AS cells, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.95), 6) AS p95, round(max(m), 6) AS most FROM d GROUP BY way"""))
 def boundary_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances from each boundary to the other, both ways."""
+    """Distances in metres from each boundary to the other, both ways, for pixels of 0.25 by 0.5 m."""
     from loamgrid.sources.scratch import saved
 
     t = Tables(spark, sf_dir)
     a, b = saved(contacts.boundary_cells(t.labels_a), "edge"), saved(contacts.boundary_cells(t.labels_b), "edge")
-    both = R.nearest(a, b).withColumn("way", F.lit("a_to_b")).unionByName(R.nearest(b, a).withColumn("way", F.lit("b_to_a")))
+    both = nearest(a, b, 0.25, 0.5).withColumn("way", F.lit("a_to_b")).unionByName(nearest(b, a, 0.25, 0.5).withColumn("way", F.lit("b_to_a")))
     p = lambda q: F.round(F.percentile("distance", q), 6)
     return both.groupBy("way").agg(F.count("*").alias("cells"), p(0.5).alias("median"), p(0.95).alias("p95"), F.round(F.max("distance"), 6).alias("most"))
 

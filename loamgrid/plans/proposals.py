@@ -86,13 +86,13 @@ def bridge_bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Work(spark, sf_dir).bottlenecks().withColumn("bottleneck", F.round("bottleneck", 6))
 
 
-@query("bridge_path", oracle("labels_a", f"""{_BASE}, go AS (SELECT DISTINCT m.component_id, m.target_class, m.target_id AS start, m.x, m.y, 0 AS steps FROM met AS m JOIN src USING (component_id) WHERE m.target_id <> m.component_id
-UNION SELECT g.component_id, g.target_class, g.start, p.x, p.y, steps + 1 FROM go AS g, step, px AS p, src AS s WHERE p.x = g.x + dx AND p.y = g.y + dy AND p.component_id = g.component_id AND s.component_id = g.component_id AND steps + 1 < s.n),
-far AS (SELECT g.component_id, g.target_class, g.start, m.target_id, min(g.steps) AS steps FROM go AS g JOIN met AS m ON m.component_id = g.component_id AND m.target_class = g.target_class AND m.x = g.x AND m.y = g.y AND m.target_id <> g.start GROUP BY 1, 2, 3, 4)
-SELECT t.component_id, t.target_class, CAST(coalesce(max(f.steps), 0) AS BIGINT) AS path FROM (SELECT DISTINCT component_id, target_class FROM tgt) AS t LEFT JOIN far AS f USING (component_id, target_class) GROUP BY 1, 2"""))
+@query("bridge_path", oracle("labels_a", f"""{_BASE}, go AS (SELECT DISTINCT m.component_id, m.target_class, m.target_id AS start, m.x, m.y, 0 AS steps, CAST(0 AS DOUBLE) AS len FROM met AS m JOIN src USING (component_id) WHERE m.target_id <> m.component_id
+UNION SELECT g.component_id, g.target_class, g.start, p.x, p.y, steps + 1, len + CASE WHEN dx = 0 THEN 0.5 ELSE 0.25 END FROM go AS g, step, px AS p, src AS s WHERE p.x = g.x + dx AND p.y = g.y + dy AND p.component_id = g.component_id AND s.component_id = g.component_id AND steps + 1 < s.n),
+far AS (SELECT g.component_id, g.target_class, g.start, m.target_id, min(g.len) AS len FROM go AS g JOIN met AS m ON m.component_id = g.component_id AND m.target_class = g.target_class AND m.x = g.x AND m.y = g.y AND m.target_id <> g.start GROUP BY 1, 2, 3, 4)
+SELECT t.component_id, t.target_class, coalesce(max(f.len), 0)::DOUBLE AS path FROM (SELECT DISTINCT component_id, target_class FROM tgt) AS t LEFT JOIN far AS f USING (component_id, target_class) GROUP BY 1, 2"""))
 def bridge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _Work(spark, sf_dir)
-    return O.bridge_path(work.pixels, work.targets)
+    return O.bridge_path(work.pixels, work.targets, 0.25, 0.5)
 
 
 @query("topology_delta", oracle("labels_a", f"{_BASE} SELECT component_id, target_class, k AS components_removed, gain AS fragments_removed FROM delta"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgrid.operators import contacts
+from loamgrid.operators import proposals as O
 from loamgrid.operators import rasters as R
 from loamgrid.plans.fixtures import SIDE, Tables, oracle
 from loamgrid.registry import query
@@ -90,20 +91,13 @@ def fragment_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("component_distance", oracle("labels_a", f"""{C4}, {_SHAPE}, small AS (SELECT px.* FROM px JOIN shape USING (component_id) WHERE pixel_count BETWEEN 2 AND 20)
-SELECT a.component_id, b.component_id AS other_component_id, round(min(sqrt(pow(greatest(abs(a.x - b.x) - 1, 0), 2) + pow(greatest(abs(a.y - b.y) - 1, 0), 2))), 6) AS distance
-FROM small AS a JOIN small AS b ON a.class_index = b.class_index AND a.component_id < b.component_id AND abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 GROUP BY 1, 2"""))
+SELECT * FROM (SELECT a.component_id, b.component_id AS other_component_id, round(min(sqrt(pow(greatest(abs(a.x - b.x) - 1, 0) * 0.25, 2) + pow(greatest(abs(a.y - b.y) - 1, 0) * 0.5, 2))), 6) AS distance
+FROM small AS a JOIN small AS b ON a.class_index = b.class_index AND a.component_id < b.component_id AND abs(a.x - b.x) <= 9 AND abs(a.y - b.y) <= 9 GROUP BY 1, 2) AS d WHERE distance <= 1.5"""))
 def component_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance between the edges of small components of one class within four pixels; met on a grid of cells that wide."""
+    """Distance between the edges of small components of one class within 1.5 m, for pixels of 0.25 by 0.5 m."""
     pixels = R.with_components(Tables(spark, sf_dir).labels_a)
     small = pixels.join(R.components(pixels).where("pixel_count between 2 and 20").select("component_id"), "component_id")
-    grid = lambda df: df.withColumn("gx", F.floor(F.col("x") / 4)).withColumn("gy", F.floor(F.col("y") / 4))
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    a = grid(small).withColumn("s", F.explode(around)).select("component_id", "class_index", "x", "y", (F.col("gx") + F.col("s.a")).alias("gx"), (F.col("gy") + F.col("s.b")).alias("gy")).alias("a")
-    b = grid(small).alias("b")
-    gap = lambda c: F.greatest(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) - 1, F.lit(0))
-    near = (F.col("a.component_id") < F.col("b.component_id")) & (F.abs(F.col("a.x") - F.col("b.x")) <= 4) & (F.abs(F.col("a.y") - F.col("b.y")) <= 4)
-    met = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.class_index") == F.col("b.class_index")) & near)
-    return met.groupBy(F.col("a.component_id"), F.col("b.component_id").alias("other_component_id")).agg(F.round(F.min(F.hypot(gap("x"), gap("y"))), 6).alias("distance"))
+    return O.component_distances(small, 1.5, 0.25, 0.5).withColumn("distance", F.round("distance", 6))
 
 
 @query("boundary_length", oracle("labels_a", f"""

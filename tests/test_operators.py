@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions import arrays as A
 from loamgrid.operators import cleanup, contacts, rasters, relational, spatial, store
 from loamgrid.operators import probabilities as P
+from loamgrid.operators.distance import nearest
 from loamgrid.operators.graph import connected_components
 
 
@@ -127,9 +128,25 @@ def test_budgets_skip_what_breaks_them_and_go_on(spark):
     assert found == {12: "accepted", 11: "accepted", 10: "source_class_loss_budget", 13: "target_class_gain_budget", 20: "target_class_gain_budget"}
 
 
+@pytest.mark.parametrize("block", [1, 4, 32])
+def test_nearest_equals_all_pairs(spark, block):
+    """Crowds, far-off cells, negative places, repeated rows, and pixels that are not square."""
+    import math
+    import random
+
+    r = random.Random(block)
+    place = lambda: (r.randrange(-20, 60), r.randrange(30)) if r.random() < 0.8 else (r.randrange(-900, 900), r.randrange(-300, 300))
+    cells, others = [place() for _ in range(150)] + [(5, 5)] * 3, [place() for _ in range(90)]
+    found = nearest(*(spark.createDataFrame(v, "x long, y long") for v in (cells, others)), 0.25, 2.0, block)
+    want = {c: round(min(math.hypot((c[0] - a) * 0.25, (c[1] - b) * 2.0) for a, b in others), 9) for c in cells}
+    assert sorted((x, y, round(d, 9)) for x, y, d in rows(found)) == sorted((*c, d) for c, d in want.items())
+    assert nearest(spark.createDataFrame([], "x long, y long"), found).count() == 0
+    assert rows(nearest(spark.createDataFrame([(1, 1)], "x long, y long"), found.limit(0))) == [(1, 1, None)]
+
+
 def test_nearest_looks_as_far_as_it_must(spark):
     cells = spark.createDataFrame([(0, 0), (3, 0), (90, 0)], "x long, y long")
-    found = rows(rasters.nearest(cells, spark.createDataFrame([(0, 1), (7, 3)], "x long, y long")))
+    found = rows(nearest(cells, spark.createDataFrame([(0, 1), (7, 3)], "x long, y long")))
     assert [(x, round(d, 6)) for x, _, d in found] == [(0, 1.0), (3, round(10**0.5, 6)), (90, round((83**2 + 9) ** 0.5, 6))]
 
 
