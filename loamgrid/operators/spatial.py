@@ -7,22 +7,54 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def gridded(boxes: DataFrame, size: int) -> DataFrame:
-    """Each box once for every grid cell it touches: gx, gy."""
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size)))
+#: Copies of the larger boxes of a cell, among which the smaller ones are dealt.
+_SPLIT = 8
+
+
+def _level(boxes: DataFrame) -> DataFrame:
+    """Boxes with an area, and ``level``: cells of 2 ** level are at least as long as their longer side, so they touch four at most."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return boxes.where("x1 > x0 and y1 > y0").withColumn("level", F.ceil(F.log2(size.cast("double"))).cast("int"))
+
+
+def _cells(boxes: DataFrame) -> DataFrame:
+    """Each box once for every cell of its column ``at`` (a level) that it touches: gx, gy."""
+    side = F.pow(F.lit(2.0), F.col("at"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / side), F.floor((F.col(b) - 1) / side)))
     return boxes.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, size: int, extra: Column | None = None) -> DataFrame:
-    """Pairs of boxes (aliases a and b) that share area; an equality join on grid cells, then the exact test.
+def overlap_join(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Pairs of boxes (aliases a and b) that share area; an equality join on cells of a grid of levels, then the exact test.
 
-    A pair is taken in the cell that holds the corner of its intersection, so that it appears once.
+    Every box lies in the cells of its own level, four at most, and in those of the larger levels that the other side has; a
+    pair meets at the level of its larger box.  Where a level has few boxes for the other side's many, each has ``_SPLIT`` copies
+    there, among which the smaller ones are dealt, so that a box over everything isn't one key.  A pair is taken in the cell that holds
+    the corner of its intersection, so that it appears once.
     """
-    a, b = gridded(left, size).alias("a"), gridded(right, size).alias("b")
-    x, y = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
-    share = (F.least("a.x1", "b.x1") > x) & (F.least("a.y1", "b.y1") > y) & (F.floor(x / size) == F.col("a.gx")) & (F.floor(y / size) == F.col("a.gy"))
-    on = (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & share
-    return a.join(b, on if extra is None else on & extra)
+    l, r = _level(left), _level(right)
+    count = [{x.level: x["count"] for x in df.groupBy("level").count().collect()} for df in (l, r)]  # under 64 each
+
+    def split(side: int) -> Column:
+        """Copies of this side's boxes at level ``at``."""
+        many = [n for n, k in count[side].items() if k * _SPLIT <= sum(count[1 - side].values())]
+        return F.when(F.col("at").isin(many), _SPLIT).otherwise(1) if many else F.lit(1)
+
+    def lift(df: DataFrame, side: int, larger: bool) -> DataFrame:
+        """Boxes at the other side's levels from their own on, or beyond it."""
+        others = F.array(*map(F.lit, sorted(count[1 - side]))).cast("array<int>")
+        rows = _cells(df.withColumn("at", F.explode(F.filter(others, lambda n: (n > F.col("level")) if larger else (n >= F.col("level"))))))
+        return rows.withColumn("deal", F.pmod(F.xxhash64("x0", "y0", "x1", "y1"), split(1 - side)).cast("int"))
+
+    own = lambda df, side: _cells(df.withColumn("at", F.col("level"))).withColumn("deal", F.explode(F.sequence(F.lit(0), split(side) - 1)))
+    x, y, side = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0"), F.pow(F.lit(2.0), F.col("a.at"))
+    on = (F.col("a.at") == F.col("b.at")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.deal") == F.col("b.deal"))
+    on = on & (F.least("a.x1", "b.x1") > x) & (F.least("a.y1", "b.y1") > y) & (F.floor(x / side) == F.col("a.gx")) & (F.floor(y / side) == F.col("a.gy"))
+    on = on if extra is None else on & extra
+    names = [[F.col(f"{s}.{c}") for c in df.columns] for s, df in (("a", left), ("b", right))]
+    # the left box is the larger one or as large; then the right one is
+    found = own(l, 0).alias("a").join(lift(r, 1, False).alias("b"), on).select(F.struct(*names[0]).alias("a"), F.struct(*names[1]).alias("b"))
+    return found.unionByName(lift(l, 0, True).alias("a").join(own(r, 1).alias("b"), on).select(F.struct(*names[0]).alias("a"), F.struct(*names[1]).alias("b")))
 
 
 def shared_area() -> Column:

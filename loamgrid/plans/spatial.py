@@ -85,7 +85,7 @@ def _needs(t: Tables) -> DataFrame:
     tiles = grids.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("tile_rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("tile_cols") - 1)))
     tiles = tiles.select("grid_id", (F.col("r") * 100 + F.col("c")).alias("tile_id"), (F.col("c") * _STEP).alias("x0"), (F.col("r") * _STEP).alias("y0"), (F.col("c") * _STEP + SIZE).alias("x1"), (F.col("r") * _STEP + SIZE).alias("y1"))
     halos = S.snake(_parts(t)).select("grid_id", "sequence_no", F.col("hx0").alias("x0"), F.col("hy0").alias("y0"), F.col("hx1").alias("x1"), F.col("hy1").alias("y1"))
-    return S.overlap_join(halos, tiles, 2 * SIZE, F.col("a.grid_id") == F.col("b.grid_id")).select("a.grid_id", "a.sequence_no", "b.tile_id")
+    return S.overlap_join(halos, tiles, F.col("a.grid_id") == F.col("b.grid_id")).select("a.grid_id", "a.sequence_no", "b.tile_id")
 
 
 @query("tile_window_join", oracle("", f"WITH {_PARTS}, {_NEEDS} SELECT grid_id, CAST(sequence_no AS INT) AS sequence_no, CAST(tile_id AS BIGINT) AS tile_id FROM needs"))
@@ -131,17 +131,17 @@ SELECT a.box_id, b.box_id AS other_id, a.class_index = b.class_index AS same_cla
 FROM boxes AS a JOIN boxes AS b ON a.box_id < b.box_id AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)"""))
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = Tables(spark, sf_dir).boxes
-    pairs = S.overlap_join(boxes, boxes, 16, F.col("a.box_id") < F.col("b.box_id"))
+    pairs = S.overlap_join(boxes, boxes, F.col("a.box_id") < F.col("b.box_id"))
     return pairs.select("a.box_id", F.col("b.box_id").alias("other_id"), (F.col("a.class_index") == F.col("b.class_index")).alias("same_class"), S.shared_area().alias("area"))
 
 
 @query("candidate_store_overlap", oracle("boxes", """
 SELECT a.box_id, count(*) AS hits, CAST(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS BIGINT) AS area
-FROM boxes AS a JOIN boxes AS b ON a.box_id % 2 = 1 AND b.box_id % 2 = 0 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY a.box_id"""))
+FROM boxes AS a JOIN boxes AS b ON a.box_id % 3 = 1 AND b.box_id % 3 <> 1 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY a.box_id"""))
 def candidate_store_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that meet objects of the store."""
     boxes = Tables(spark, sf_dir).boxes
-    pairs = S.overlap_join(boxes.where("box_id % 2 = 1"), boxes.where("box_id % 2 = 0"), 16)
+    pairs = S.overlap_join(boxes.where("box_id % 3 = 1"), boxes.where("box_id % 3 <> 1"))
     return pairs.groupBy("a.box_id").agg(F.count("*").alias("hits"), F.sum(S.shared_area()).alias("area"))
 
 
@@ -152,14 +152,14 @@ _IN = "EXISTS (SELECT 1 FROM boxes AS b WHERE t.x0 < b.x1 AND b.x0 < t.x1 AND t.
 def tiles_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles that meet any object."""
     t = Tables(spark, sf_dir)
-    return S.overlap_join(t.tiles, t.boxes, 512).select("a.tile_id").distinct()
+    return S.overlap_join(t.tiles, t.boxes).select("a.tile_id").distinct()
 
 
 @query("releasable_tiles", oracle("tiles boxes", f"SELECT tile_id FROM tiles AS t WHERE NOT {_IN} OR status = 'failed'"))
 def releasable_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles in no unfinished window, and failed ones."""
     t = Tables(spark, sf_dir)
-    held = S.overlap_join(t.tiles.where("status <> 'failed'"), t.boxes, 512).select("a.tile_id").distinct()
+    held = S.overlap_join(t.tiles.where("status <> 'failed'"), t.boxes).select("a.tile_id").distinct()
     return t.tiles.select("tile_id").join(held, "tile_id", "left_anti")
 
 

@@ -59,7 +59,7 @@ def topology_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds of issues in one schema, counted: empty, invalid and thin shapes, overlaps within and across classes and with accepted shapes, cells of the range that no shape covers."""
     shapes = spark.sql(_SHAPES.format("{boxes}"), boxes=Tables(spark, sf_dir).boxes)
     ok = shapes.where("x1 > x0 and y1 > y0")
-    pairs = P.overlap_join(ok, ok, 16, F.col("a.box_id") < F.col("b.box_id"))
+    pairs = P.overlap_join(ok, ok, F.col("a.box_id") < F.col("b.box_id"))
     met = pairs.select(F.when(F.col("a.class_index") == F.col("b.class_index"), "same_class_overlap").otherwise("cross_class_overlap").alias("issue"), ((F.col("a.box_id") % 10 == 0) != (F.col("b.box_id") % 10 == 0)).alias("accepted"))
     overlaps = met.select(F.explode(F.array_compact(F.array("issue", F.when(F.col("accepted"), "accepted_overlap")))).alias("issue"))
     kinds = F.array_compact(F.array(F.when(F.expr("x1 = x0 or y1 = y0"), "empty"), F.when(F.expr("x1 < x0 or y1 < y0"), "invalid"), F.when(F.expr("x1 > x0 and y1 > y0 and (x1 - x0 < 2 or y1 - y0 < 2)"), "thin")))
@@ -113,7 +113,7 @@ def match_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = Tables(spark, sf_dir).boxes
     old = boxes.select("box_id", "x0", "y0", "x1", "y1")
     new = boxes.select((F.col("box_id") + 100000).alias("box_id"), *[(F.col(c) + F.col("box_id") % 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    pairs = P.overlap_join(old, new, 16).select((F.col("a.box_id") % 50).alias("batch"), F.col("a.box_id").alias("old_id"), F.col("b.box_id").alias("new_id"), P.shared_area().alias("area"))
+    pairs = P.overlap_join(old, new).select((F.col("a.box_id") % 50).alias("batch"), F.col("a.box_id").alias("old_id"), F.col("b.box_id").alias("new_id"), P.shared_area().alias("area"))
     return S.match_revisions(pairs)
 
 

@@ -66,6 +66,33 @@ def test_units_own_every_cell_once(spark, tile_rows, tile_cols):
     assert not rows(spatial.ownership(units))
 
 
+def test_boxes_of_every_size_meet_once(spark):
+    """Boxes from a pixel to the whole plane, empty ones, equal ones, negative corners, against all pairs."""
+    import random
+
+    r = random.Random(9)
+    boxes = []
+    for i in range(260):
+        x, y, w, h = r.randrange(-50, 900), r.randrange(-50, 900), r.choice([0, 1, 2, 7, 16, 64, 300]), r.choice([1, 2, 5, 33, 128])
+        boxes.append((i, x, y, x + w, y + h))
+    boxes += [(900, -100, -100, 1500, 1500), (901, -100, -100, 1500, 1500)]
+    want = {(a[0], b[0], (min(a[3], b[3]) - max(a[1], b[1])) * (min(a[4], b[4]) - max(a[2], b[2]))) for a in boxes for b in boxes if min(a[3], b[3]) > max(a[1], b[1]) and min(a[4], b[4]) > max(a[2], b[2]) and a[0] < b[0]}
+    df = spark.createDataFrame(boxes, "box_id long, x0 long, y0 long, x1 long, y1 long")
+    pairs = spatial.overlap_join(df, df, F.col("a.box_id") < F.col("b.box_id")).select("a.box_id", F.col("b.box_id").alias("other"), spatial.shared_area())
+    found = rows(pairs)
+    assert set(found) == want and len(found) == len(want)
+    assert spatial.overlap_join(df.limit(0), df).count() == spatial.overlap_join(df, df.limit(0)).count() == 0
+
+
+def test_a_box_over_the_plane_meets_many(spark):
+    small = spark.range(100_000).select("id", ((F.col("id") % 400) * 10).alias("x0"), (F.floor(F.col("id") / 400) * 10).alias("y0")).withColumns({"x1": F.col("x0") + 3, "y1": F.col("y0") + 2})
+    large = spark.createDataFrame([(-1, 0, 0, 4000, 2500)], "id long, x0 long, y0 long, x1 long, y1 long")
+    found = spatial.overlap_join(large, small.unionByName(large))
+    assert found.groupBy("a.id").agg(F.count("*"), F.sum(spatial.shared_area())).collect() == [(-1, 100_001, 600_000 + 10_000_000)]
+    cells = spatial._cells(spatial._level(small.unionByName(large)).withColumn("at", F.col("level")))
+    assert cells.count() <= 4 * 100_001
+
+
 def test_overlap_tile_weights_sum_to_one(spark):
     at = spark.range(2).select((F.col("id") + 6).alias("a"), F.col("id").alias("b"))
     sums = at.select(A.cosine_weight(F.col("a"), 8, 2) + A.cosine_weight(F.col("b"), 8, 2)).collect()
