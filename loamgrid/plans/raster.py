@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamgrid.operators import contacts
 from loamgrid.operators import proposals as O
 from loamgrid.operators import rasters as R
+from loamgrid.operators.coverage import coverage
 from loamgrid.plans.fixtures import SIDE, Tables, oracle
 from loamgrid.registry import query
 
@@ -276,11 +277,10 @@ SELECT count(*) FILTER (n.x IS NULL) AS gap, CAST(coalesce(sum(n - 1) FILTER (w.
 def coverage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the range without a claim, claimed again, and claimed outside, each held against a tolerance of 60 pixels."""
     t = Tables(spark, sf_dir)
-    claims = t.labels_a.where("x < 60").select("x", "y").unionAll(t.labels_b.where("x >= 55").select("x", "y")).groupBy("x", "y").agg(F.count("*").alias("n"))
-    wanted = t.orders.select((F.col("o_orderkey") % 100).alias("x"), F.floor(F.col("o_orderkey") / 100).alias("y"), F.lit(True).alias("w")).where("x < 95")
-    both = claims.join(wanted, ["x", "y"], "full")
-    areas = both.agg(F.count_if(F.col("n").isNull()).alias("gap"), F.coalesce(F.sum(F.when(F.col("w"), F.col("n") - 1)), F.lit(0)).alias("overlap"), F.count_if(F.col("w").isNull()).alias("outside"))
-    return areas.withColumn("passed", F.greatest("gap", "overlap", "outside") <= 60)
+    boxes = lambda cells: contacts.runs(cells.select("x", "y"), []).select("x0", F.col("y").alias("y0"), (F.col("x1") + 1).alias("x1"), (F.col("y") + 1).alias("y1"))
+    claims = boxes(t.labels_a.where("x < 60")).unionAll(boxes(t.labels_b.where("x >= 55")))
+    wanted = boxes(t.orders.select((F.col("o_orderkey") % 100).alias("x"), F.floor(F.col("o_orderkey") / 100).alias("y")).where("x < 95"))
+    return coverage(claims, wanted).withColumn("passed", F.greatest("gap", "overlap", "outside") <= 60)
 
 
 @query("finalize_streams", oracle("labels_a labels_b", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.operators import cleanup as C
 from loamgrid.operators import contacts
+from loamgrid.operators.coverage import coverage
 from loamgrid.operators import rasters as R
 from loamgrid.operators import spatial as P
 from loamgrid.operators import store as S
@@ -45,18 +46,18 @@ def final_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHAPES = "SELECT box_id, class_index, x0, y0, CASE WHEN box_id % 97 = 0 THEN x0 WHEN box_id % 89 = 0 THEN x0 - 2 ELSE x1 END AS x1, y1 FROM {0}"
-#: Side of the range that must be covered.
-_RANGE = 300
+#: Side of the range that must be covered: the whole plane of the boxes.
+_RANGE = 1000
 
 
 @query("topology_issues", oracle("boxes", f"""
 WITH s AS ({_SHAPES.format('boxes')}), ok AS (SELECT * FROM s WHERE x1 > x0 AND y1 > y0),
 p AS (SELECT a.class_index = b.class_index AS same, (a.box_id % 10 = 0) <> (b.box_id % 10 = 0) AS accepted FROM ok AS a JOIN ok AS b ON a.box_id < b.box_id AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)),
-covered AS (SELECT DISTINCT x, y FROM ok, LATERAL (SELECT unnest(range(x0, least(x1, {_RANGE}))) AS x) AS h, LATERAL (SELECT unnest(range(y0, least(y1, {_RANGE}))) AS y) AS v WHERE x0 < {_RANGE} AND y0 < {_RANGE})
+covered AS (SELECT DISTINCT x, y FROM ok, LATERAL (SELECT unnest(range(x0, x1)) AS x) AS h, LATERAL (SELECT unnest(range(y0, y1)) AS y) AS v)
 SELECT CASE WHEN same THEN 'same_class_overlap' ELSE 'cross_class_overlap' END AS issue, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT 'accepted_overlap', count(*) FROM p WHERE accepted UNION ALL SELECT 'thin', count(*) FROM ok WHERE x1 - x0 < 2 OR y1 - y0 < 2
-UNION ALL SELECT 'empty', count(*) FROM s WHERE x1 = x0 OR y1 = y0 UNION ALL SELECT 'invalid', count(*) FROM s WHERE x1 < x0 OR y1 < y0 UNION ALL SELECT 'gap', {_RANGE * _RANGE} - count(*) FROM covered"""))
+UNION ALL SELECT 'empty', count(*) FROM s WHERE x1 = x0 OR y1 = y0 UNION ALL SELECT 'invalid', count(*) FROM s WHERE x1 < x0 OR y1 < y0 UNION ALL SELECT 'gap', {_RANGE * _RANGE} - count(*) FILTER (x BETWEEN 0 AND {_RANGE - 1} AND y BETWEEN 0 AND {_RANGE - 1}) FROM covered UNION ALL SELECT 'outside', count(*) FILTER (x NOT BETWEEN 0 AND {_RANGE - 1} OR y NOT BETWEEN 0 AND {_RANGE - 1}) FROM covered"""))
 def topology_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kinds of issues in one schema, counted: empty, invalid and thin shapes, overlaps within and across classes and with accepted shapes, cells of the range that no shape covers."""
+    """All kinds of issues in one schema, counted: empty, invalid and thin shapes, overlaps within and across classes and with accepted shapes, area of the plane that no shape covers, and area beyond it."""
     shapes = spark.sql(_SHAPES.format("{boxes}"), boxes=Tables(spark, sf_dir).boxes)
     ok = shapes.where("x1 > x0 and y1 > y0")
     pairs = P.overlap_join(ok, ok, F.col("a.box_id") < F.col("b.box_id"))
@@ -64,9 +65,9 @@ def topology_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlaps = met.select(F.explode(F.array_compact(F.array("issue", F.when(F.col("accepted"), "accepted_overlap")))).alias("issue"))
     kinds = F.array_compact(F.array(F.when(F.expr("x1 = x0 or y1 = y0"), "empty"), F.when(F.expr("x1 < x0 or y1 < y0"), "invalid"), F.when(F.expr("x1 > x0 and y1 > y0 and (x1 - x0 < 2 or y1 - y0 < 2)"), "thin")))
     counts = overlaps.unionAll(shapes.select(F.explode(kinds))).groupBy("issue").agg(F.count("*").alias("n"))
-    inside = ok.where(f"x0 < {_RANGE} and y0 < {_RANGE}")
-    cells = inside.select(F.explode(F.sequence("x0", F.least("x1", F.lit(_RANGE)) - 1)).alias("x"), "y0", "y1").select("x", F.explode(F.sequence("y0", F.least("y1", F.lit(_RANGE)) - 1)).alias("y")).distinct()
-    gap = cells.agg((F.lit(_RANGE * _RANGE) - F.count("*")).alias("n")).select(F.lit("gap").alias("issue"), "n")
+    plane = spark.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", _RANGE), ("y1", _RANGE))])
+    found = coverage(ok, plane)
+    gap = found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("issue"), F.col(c).alias("n")) for c in ("gap", "outside")])).alias("s")).select("s.*")
     names = spark.createDataFrame([(x,) for x in ("accepted_overlap", "thin", "empty", "invalid")], "issue string").select("issue", F.lit(0).cast("long").alias("n"))
     return counts.unionByName(gap).unionByName(names).groupBy("issue").agg(F.sum("n").alias("n"))
 
