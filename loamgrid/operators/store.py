@@ -65,27 +65,57 @@ def object_identity(links: DataFrame, parts: DataFrame, prefix: str) -> DataFram
     return rows.select("part_id", F.concat(F.lit("obj_"), F.left(F.sha1(F.concat(F.lit(prefix), F.col("root"))), F.lit(24))).alias("object_id"))
 
 
-def match_revisions(pairs: DataFrame) -> DataFrame:
+def _in_order(pairs):
+    """Matches of one component of pairs by the loop over its order."""
+    import pandas as pd
+
+    held, found = set(), []
+    for r in pairs.sort_values(["area", "old_id", "new_id"], ascending=[False, True, True])[["batch", "old_id", "new_id", "area"]].itertuples(index=False):
+        ends = {(0, r.old_id), (1, r.new_id)}
+        if not ends & held:
+            held |= ends
+            found.append(tuple(r))
+    return pd.DataFrame(found, columns=["batch", "old_id", "new_id", "area"])
+
+
+def match_revisions(pairs: DataFrame, rounds: int = 4, most: int = 500_000) -> DataFrame:
     """batch, old_id, new_id, area: one-to-one matches as if pairs were taken by falling area, then ids, each end once.
 
-    In rounds: pairs that are the first choice of both their ends are taken, all other pairs of these ends go. The first
-    pair of the whole order is such a pair in every round, so the rounds end, and they give the same matches as the loop.
+    In each of a few rounds pairs that are the first choice of both their ends are taken, and all other pairs of these ends go; the
+    first pair of the whole order is such a pair, so every round gives matches of the loop. What is left falls into components of pairs
+    that share ends, which don't touch one another: those of at most ``most`` pairs go through the loop, a group each, and
+    larger ones through more rounds. So a chain in which each pair waits for the next one takes no round for each pair.
     """
     ends = {"old": ["batch", "old_id"], "new": ["batch", "new_id"]}
     left = saved(pairs.select("batch", "old_id", "new_id", "area"), "pairs")
-    taken = []
+    taken, turn = [left.limit(0)], 0
+
+    def replace(rest: DataFrame) -> DataFrame:
+        new = saved(rest, "pairs")
+        discard(left)
+        return new
+
     while left.head(1):
+        if turn and turn % rounds == 0:
+            node = lambda e: F.xxhash64(F.lit(e), *ends[e])
+            parts = connected_components(left.select(node("old").alias("u"), node("new").alias("v")))
+            placed = left.withColumn("id", node("old")).join(parts, "id").drop("id")
+            size = placed.groupBy("component").agg(F.count("*").alias("n"))
+            placed = saved(placed.join(size, "component"), "placed")
+            taken.append(saved(placed.where(F.col("n") <= most).groupBy("component").applyInPandas(_in_order, left.schema), "matches"))
+            left = replace(placed.where(F.col("n") > most).select(*left.columns))
+            discard(placed)
+        turn += 1
         rank = F.struct((-F.col("area")).alias("less"), "old_id", "new_id")
-        best = {e: left.groupBy(*keys).agg(F.min(rank).alias("best")).select(*[k for k in keys], F.col("best.old_id").alias(f"{e}_old"), F.col("best.new_id").alias(f"{e}_new")) for e, keys in ends.items()}
+        best = {e: left.groupBy(*keys).agg(F.min(rank).alias("best")).select(*keys, F.col("best.old_id").alias(f"{e}_old"), F.col("best.new_id").alias(f"{e}_new")) for e, keys in ends.items()}
         both = left.join(best["old"], ends["old"]).where("new_id = old_new").join(best["new"], ends["new"]).where("old_id = new_old")
         now = saved(both.select("batch", "old_id", "new_id", "area"), "matches")
         taken.append(now)
         rest = left
         for keys in ends.values():
             rest = rest.join(now.select(*keys), keys, "left_anti")
-        old, left = left, saved(rest, "pairs")
-        discard(old)
-    return reduce(DataFrame.unionByName, taken) if taken else left
+        left = replace(rest)
+    return reduce(DataFrame.unionByName, taken)
 
 
 def staircase(vertices: DataFrame) -> DataFrame:

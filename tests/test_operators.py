@@ -211,6 +211,15 @@ def test_matching_in_rounds_equals_the_loop(spark):
     assert {tuple(x) for x in found.collect()} == want
 
 
+@pytest.mark.parametrize("most", [500_000, 9])
+def test_a_falling_chain_takes_few_rounds(spark, most):
+    """Each pair waits for a better one: 10,000 pairs, or 24 where components that large go on in rounds."""
+    n = 10_000 if most > 9 else 24
+    chain = spark.range(n).selectExpr("1L as batch", "id as old_id", "cast(id % 2 as long) as odd", "id").selectExpr("batch", "(old_id + 1) div 2 as old_id", "old_id div 2 as new_id", "id as area")
+    found = store.match_revisions(chain, 2, most).select("area").collect()
+    assert sorted(r.area for r in found) == list(range(n - 1, -1, -2))[::-1]
+
+
 def test_a_dependency_without_an_artifact_blocks(spark):
     from loamgrid.operators.relational import runnable
 
