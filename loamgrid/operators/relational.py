@@ -86,3 +86,35 @@ def bounded_utf8(text: Column, size: int) -> Column:
     tries = F.transform(most, lambda n: F.substr(cut, F.lit(1), F.length(cut) - n))
     whole = F.filter(tries, lambda b: F.is_valid_utf8(b.cast("string")))
     return F.when(F.octet_length(text) <= size, text).otherwise(F.get(whole, 0).cast("string"))
+
+
+def lineage(spans: DataFrame, span: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """``span``, root, depth, path (ids from the root on), cyclic of every different span.
+
+    A span without parent, or whose parent has no row, is a root. Pointers jump: each round joins a span's stretch of ancestors with
+    that of the last one, so rounds grow with the logarithm of the depth. Spans that lead into a cycle have no root (null, with depth
+    and path null). A path is as long as its span is deep.
+    """
+    from loamgrid.sources.scratch import discard, saved
+
+    ids = spans.select(F.col(span).alias("id"), F.col(parent).alias("up")).where("id is not null").groupBy("id").agg(F.min("up").alias("up"))
+    known = ids.select(F.col("id").alias("up"), F.lit(True).alias("there"))
+    now = ids.join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"), F.array("id").alias("path"))
+    now, open_ = saved(now, "spans"), None
+    while True:
+        waiting = now.where("up is not null").count()
+        if not waiting or waiting == open_:  # after a round that closed none, only cycles are open
+            break
+        open_ = waiting
+        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.lit(True).alias("met"))
+        step = now.join(ahead, "up", "left").select("id", F.when(F.col("met"), F.col("next")).otherwise(F.col("up")).alias("up"), F.when(F.col("met"), F.concat("above", "path")).otherwise(F.col("path")).alias("path"))
+        before, now = now, saved(step, "spans")
+        discard(before)
+    cyclic = F.col("up").isNotNull()
+    return now.select(F.col("id").alias(span), F.when(~cyclic, F.get("path", F.lit(0))).alias("root"), F.when(~cyclic, F.size("path") - 1).alias("depth"), F.when(~cyclic, F.col("path")).alias("path"), cyclic.alias("cyclic"))
+
+
+def budget_attempts(spans: DataFrame, keys: Sequence[str], counts: Column, order: Sequence[str]) -> DataFrame:
+    """``spans`` with attempt_no within ``keys``, and budget_attempt: the attempts so far that count against the budget."""
+    by = W.partitionBy(*keys).orderBy(*order)
+    return spans.withColumns({"attempt_no": F.row_number().over(by), "budget_attempt": F.sum(F.when(counts, 1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")})

@@ -15,18 +15,19 @@ def write_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as shards and read back in their schema."""
     records = Tables(spark, sf_dir).store.select("class_index", "doc_id", "part_id", "area", F.sha2("source", 256).alias("source_sha256"))
     path = S.new_folder(spark, "shards")
-    S.write_shards(records, path, "part_id", "class_index")
-    return S.read_shards(spark, path, records.schema)
+    S.write_shards(records, path, "part_id", "class_index", source="store")
+    return S.read_shards(spark, path, records.schema, "class_index")
 
 
 @query("scan_shards_checked", oracle("store", "SELECT class_index, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (doc_id % 10 <> 0) AS BIGINT) AS found FROM store GROUP BY class_index HAVING count(*) <> count(*) FILTER (doc_id % 10 <> 0)"))
 def scan_shards_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of which rows were lost after the manifest was written."""
+    """Shards of which rows are lost after the commit: their files are written anew without some."""
     records = Tables(spark, sf_dir).store
     path = S.new_folder(spark, "shards")
-    records.groupBy("class_index").agg(F.count("*").alias("rows")).write.parquet(f"{path}/manifest")
-    records.where("doc_id % 10 <> 0").write.parquet(f"{path}/records")
-    return S.manifest_violations(spark, path, "class_index")
+    name = S.write_shards(records, path, "doc_id", "class_index")
+    records.where("doc_id % 10 <> 0").write.mode("overwrite").parquet(f"{path}/records/{name}")
+    wrong = S.manifest_violations(spark, path, "class_index").groupBy(F.col("shard").cast("long").alias("class_index"))
+    return wrong.agg(F.sum("rows").alias("rows"), F.sum("found").alias("found")).where("rows <> found")
 
 
 @query("log_scan", oracle("log_lines", "SELECT CASE WHEN (conv_id + turn) % 6 = 0 THEN NULL ELSE level END AS level, (conv_id + turn) % 6 = 0 AS damaged, count(*) AS lines FROM log_lines WHERE message IS NOT NULL GROUP BY 1, 2"))
@@ -40,6 +41,20 @@ def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("level", "damaged").agg(F.count("*").alias("lines"))
 
 
+@query("log_stream", oracle("log_lines", "SELECT CASE WHEN (conv_id + turn) % 6 = 0 THEN NULL ELSE level END AS level, (conv_id + turn) % 6 = 0 AS damaged, count(*) AS lines FROM log_lines WHERE message IS NOT NULL GROUP BY 1, 2"))
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream: lines of even conversations, then those of odd ones, damaged lines in a table of their own."""
+    lines = Tables(spark, sf_dir).log_lines.where("message is not null")
+    text = F.to_json(F.struct("level", "message"))
+    lines = lines.select("conv_id", F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, F.left(text, F.lit(12))).otherwise(text).alias("value"))
+    path, out = S.new_folder(spark, "growing"), S.new_folder(spark, "drained")
+    for odd in (0, 1):
+        lines.where(F.col("conv_id") % 2 == odd).select("value").write.mode("append").text(path)
+        good, damaged = S.drain_log(spark, path, out)
+    rows = good.select("level", F.lit(False).alias("damaged")).unionByName(damaged.select(F.lit(None).cast("string").alias("level"), F.lit(True).alias("damaged")))
+    return rows.groupBy("level", "damaged").agg(F.count("*").alias("lines"))
+
+
 @query("report_scan", oracle("unit_reports", "SELECT stream_id, count(*) AS reports, CAST(sum(chain_count) AS BIGINT) AS chains FROM unit_reports GROUP BY stream_id"))
 def report_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = Tables(spark, sf_dir).unit_reports.select("stream_id", "unit_id", "chain_count")
@@ -88,4 +103,5 @@ def assemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = store.where("doc_id % 3 <> 0").withColumn("kind", F.lit("raw")).unionByName(store.where("reviewed = 1").withColumn("kind", F.lit("formal")))
     path = S.new_folder(spark, "stream")
     S.write_shards(both.join(ids, "part_id", "left"), path, "doc_id", "kind")
-    return spark.read.parquet(f"{path}/records").groupBy("kind", "class_index").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("objects"))
+    rows = spark.read.parquet(f"{path}/records/{S.last_commit(spark, path).name}")
+    return rows.groupBy("kind", "class_index").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("objects"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import arrays as A
 from loamgrid.operators import probabilities as P
+from loamgrid.operators import scoring
 from loamgrid.plans.fixtures import Tables, oracle
 from loamgrid.registry import query
 
@@ -192,3 +193,34 @@ def pixel_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.when(kind == 0, "metre").when(kind == 1, "mercator").otherwise("degree")
     area = A.pixel_area_m2(family, size, size, F.when(kind == 1, F.col("c_acctbal") * 500).otherwise(F.col("c_acctbal") / 200))
     return rows.select("c_custkey", F.when(kind == 2, F.round(area, 3)).otherwise(F.round(area, R)).alias("area_m2"))
+
+
+class Prototypes:
+    """A plain model: softmax of minus the squared distances to a row of fixed points on a circle."""
+
+    def __init__(self, classes: int) -> None:
+        import numpy as np
+
+        turn = 2 * np.pi * np.arange(classes) / classes
+        self.points = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+
+    def __call__(self, rows):
+        import numpy as np
+
+        far = ((rows[:, None, :] - self.points[None, :, :]) ** 2).sum(axis=2)
+        e = np.exp(far.min(axis=1, keepdims=True) - far)
+        return e / e.sum(axis=1, keepdims=True)
+
+
+def _load() -> Prototypes:
+    return Prototypes(14)
+
+
+@query("score_pixels", oracle("", """
+WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), e AS (SELECT vec_id, c, exp(-(pow(a - cos(2 * pi() * c / 14), 2) + pow(b - sin(2 * pi() * c / 14), 2))) AS e FROM p, range(14) AS t(c))
+SELECT vec_id, CAST(c AS INT) AS class_index, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e"""))
+def score_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of scores as a user's model gives it, from two features."""
+    rows = Tables(spark, sf_dir).embeddings.select("vec_id", F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"))
+    scores = scoring.score(rows, "prototypes", _load, ["a", "b"], 14, ["vec_id"])
+    return scores.select("vec_id", F.posexplode("probs").alias("class_index", "p")).withColumn("p", F.round("p", 6))

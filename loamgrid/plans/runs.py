@@ -334,6 +334,23 @@ def attempt_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).jobs.select("job_id", "object_id", F.row_number().over(W.partitionBy("run_id", "object_id").orderBy("updated_at", "job_id")).alias("attempt_no"))
 
 
+#: Spans by rule: each hangs below one of about half or a quarter of its number; some have no parent, a few form cycles of two.
+_SPANS = "SELECT o_orderkey AS span_id, CASE WHEN o_orderkey % 1013 = 7 THEN o_orderkey + 1 WHEN o_orderkey % 1013 = 8 THEN o_orderkey - 1 WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(o_orderkey / (2 + o_orderkey % 3)) AS BIGINT) END AS parent_id, o_custkey AS object_id, o_orderdate AS began, o_orderstatus AS status FROM {0}"
+
+
+@query("span_lineage", oracle("", f"""
+WITH RECURSIVE spans AS ({_SPANS.format('orders')}), up AS (SELECT s.span_id, p.span_id AS parent_id FROM spans AS s LEFT JOIN spans AS p ON p.span_id = s.parent_id),
+walk AS (SELECT span_id, span_id AS root, 0 AS depth, CAST(span_id AS VARCHAR) AS path FROM up WHERE parent_id IS NULL UNION ALL SELECT u.span_id, w.root, depth + 1, path || '/' || u.span_id FROM walk AS w JOIN up AS u ON u.parent_id = w.span_id)
+SELECT u.span_id, root, CAST(depth AS INT) AS depth, path, root IS NULL AS cyclic, CAST(row_number() OVER (PARTITION BY object_id ORDER BY began, u.span_id) AS INT) AS attempt_no,
+  CAST(count(*) FILTER (status <> 'P') OVER (PARTITION BY object_id ORDER BY began, u.span_id ROWS UNBOUNDED PRECEDING) AS INT) AS budget_attempt FROM up AS u JOIN spans USING (span_id) LEFT JOIN walk AS w ON w.span_id = u.span_id"""))
+def span_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, depth and path of every span, cycles among them reported, and its attempts within its object, all and those that count."""
+    spans = spark.sql(_SPANS.format("{orders}"), orders=Tables(spark, sf_dir).orders)
+    found = R.lineage(spans).withColumn("path", F.array_join("path", "/"))
+    attempts = R.budget_attempts(spans, ["object_id"], F.col("status") != "P", ["began", "span_id"])
+    return found.join(attempts.select("span_id", "attempt_no", "budget_attempt"), "span_id")
+
+
 @query("page_keyset", oracle("monitor_events", "SELECT event_id, event_type FROM monitor_events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 50"))
 def page_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyset_page(Tables(spark, sf_dir).monitor_events.select("event_id", "event_type"), ["event_id"], [900], 50)
