@@ -42,13 +42,22 @@ def mean_probabilities(pixels: DataFrame, classes: int) -> DataFrame:
     return sums.select("component_id", F.array(*[f"p{k}" for k in range(classes)]).alias("means"))
 
 
-def targets(found: DataFrame, means: DataFrame | None = None, share_weight: float = 1.0, p_weight: float = 0.0, drop: float | None = None, hard: int = 0) -> DataFrame:
+def confident(found: DataFrame, confidence: DataFrame, hard: int, sure: float) -> DataFrame:
+    """component_id of components that have a candidate, ``hard`` pixels or more, and a mean confidence over ``sure``."""
+    held = found.where(F.col("pixel_count") >= hard).select("component_id").distinct()
+    return held.join(confidence.where(F.round("confidence", 9) > sure), "component_id", "left_semi")
+
+
+def targets(found: DataFrame, means: DataFrame | None = None, share_weight: float = 1.0, p_weight: float = 0.0, drop: float | None = None, hard: int = 0, confidence: DataFrame | None = None, sure: float = 1.0) -> DataFrame:
     """component_id, class_index, pixel_count, target_class, target_id, share, p, own_p of each component's target.
 
     The class with the best weighted sum of contact share and mean probability (ties: larger contact, then the lower class), in it the
     component with the largest contact, then size, then lower id. With ``drop``, a component of ``hard`` pixels or more whose target is
-    less probable than its own class by more than that stays. Without ``means`` probabilities count as zero.
+    less probable than its own class by more than that stays. Without ``means`` probabilities count as zero; then ``confidence``
+    (component_id, confidence: the mean over its pixels) may keep a component of ``hard`` pixels or more whose mean is over ``sure``.
     """
+    if means is None and confidence is not None:
+        found = found.join(confident(found, confidence, hard, sure), "component_id", "left_anti")
     whole, cls = W.partitionBy("component_id"), W.partitionBy("component_id", "other_class_index")
     scored = found.withColumn("class_contact", F.sum("contact").over(cls)).withColumn("share", F.col("class_contact") / F.sum("contact").over(whole))
     if means is None:

@@ -236,3 +236,38 @@ def semantic_safety(before: DataFrame, after: DataFrame, truth: DataFrame, prote
         "class_index", "before", "after", (F.abs(F.col("after") - F.col("before")) * 100 > percent * F.col("before")).alias("area_changed"), (protected & (F.col("before") != F.col("after"))).alias("protected_changed"),
         F.coalesce(F.round("lost", 6) > drop, F.lit(False)).alias("accuracy_dropped"),
     )
+
+
+def boundary_signatures(pixels: DataFrame, side: int) -> DataFrame:
+    """partition_id, component_id, class_index, edge (west, east, north, south), fixed, lo, hi: where an object lies along the edges of its partition's window.
+
+    ``fixed`` is the edge's line, lo and hi (exclusive) the stretch along it. A pixel in a corner counts for both edges. ``pixels``: x, y,
+    class_index, component_id, partition_id, with windows of ``side`` pixels.
+    """
+    edge = lambda name, c, along, last: F.when(F.col(c) % side == (side - 1 if last else 0), F.struct(F.lit(name).alias("edge"), (F.col(c) + int(last)).alias("fixed"), F.col(along).alias("at")))
+    sides = F.array_compact(F.array(edge("west", "x", "y", False), edge("east", "x", "y", True), edge("north", "y", "x", False), edge("south", "y", "x", True)))
+    keys = ["partition_id", "component_id", "class_index", "edge", "fixed"]
+    rows = pixels.select("partition_id", "component_id", "class_index", F.explode(sides).alias("s")).select("partition_id", "component_id", "class_index", "s.*")
+    island = F.col("at") - F.row_number().over(W.partitionBy(*keys).orderBy("at"))
+    return rows.withColumn("island", island).groupBy(*keys, "island").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi")).drop("island")
+
+
+def class_iou(matrix: DataFrame) -> DataFrame:
+    """class_index, reference, predicted, hits (pixels) and iou of every class that either side has, from a confusion matrix."""
+    side = lambda c, name: matrix.groupBy(F.col(c).alias("class_index")).agg(F.sum("pixels").alias(name))
+    hits = matrix.where("ref = pred").select(F.col("ref").alias("class_index"), F.col("pixels").alias("hits"))
+    rows = side("ref", "reference").join(side("pred", "predicted"), "class_index", "full").join(hits, "class_index", "left").fillna(0, ["reference", "predicted", "hits"])
+    return rows.withColumn("iou", F.col("hits") / (F.col("reference") + F.col("predicted") - F.col("hits")))
+
+
+def finalize(labels: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pixels of a run whose streams all hold every planned partition once, and what is wrong if they don't.
+
+    ``labels``: stream_id, partition_id, x, y and what is carried; ``plan``: stream_id, partition_id. The second table has stream_id,
+    partition_id, problem: missing, unplanned, or repeated (a pixel more than once). With any row in it the run is refused: no pixels.
+    """
+    held = labels.groupBy("stream_id", "partition_id", "x", "y").agg(F.count("*").alias("n")).groupBy("stream_id", "partition_id").agg(F.max("n").alias("n"))
+    both = plan.select("stream_id", "partition_id", F.lit(True).alias("planned")).distinct().join(held, ["stream_id", "partition_id"], "full")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("planned").isNull(), "unplanned").when(F.col("n") > 1, "repeated")
+    wrong = saved(both.select("stream_id", "partition_id", problem.alias("problem")).where("problem is not null"), "problems")
+    return (labels.limit(0) if wrong.head(1) else labels), wrong

@@ -283,13 +283,57 @@ def coverage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(claims, wanted).withColumn("passed", F.greatest("gap", "overlap", "outside") <= 60)
 
 
-@query("finalize_streams", oracle("labels_a labels_b", """
-WITH s AS (SELECT 'a' AS stream_id, * FROM labels_a UNION ALL SELECT 'b', * FROM labels_b WHERE partition_id <> 3), parts AS (SELECT stream_id, count(DISTINCT partition_id) AS n FROM s GROUP BY stream_id)
-SELECT stream_id, x, y, class_index FROM s WHERE stream_id IN (SELECT stream_id FROM parts WHERE n = (SELECT max(n) FROM parts))"""))
+_RUN = "SELECT 'a' AS stream_id, * FROM labels_a UNION ALL SELECT 'b', * FROM labels_b"
+
+
+@query("finalize_streams", oracle("labels_a labels_b", f"WITH s AS ({_RUN}) SELECT stream_id, x, y, class_index, confidence FROM s"))
 def finalize_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of the partitions of each stream that has every partition of any stream; others are refused."""
+    """Labels and confidence of all streams of a run in which each has every partition of the plan."""
+    run, plan = _run(Tables(spark, sf_dir))
+    return R.finalize(run, plan)[0].select("stream_id", "x", "y", "class_index", "confidence")
+
+
+def _run(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The labels of both streams, and a plan of every partition for each of them."""
+    run = t.labels_a.withColumn("stream_id", F.lit("a")).unionByName(t.labels_b.withColumn("stream_id", F.lit("b")))
+    cells = t.orders.select((F.floor(F.floor(F.col("o_orderkey") / 100) / SIDE) * (100 // SIDE) + F.floor(F.col("o_orderkey") % 100 / SIDE)).alias("partition_id")).distinct()
+    return run, cells.withColumn("stream_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
+@query("finalize_refused", oracle("labels_a labels_b", f"""
+WITH s AS (SELECT * FROM ({_RUN}) AS r WHERE NOT (stream_id = 'b' AND partition_id % 5 = 3) UNION ALL SELECT 'a', * FROM labels_a WHERE partition_id = 2),
+held AS (SELECT stream_id, partition_id, max(n) AS n FROM (SELECT stream_id, partition_id, count(*) AS n FROM s GROUP BY stream_id, partition_id, x, y) AS c GROUP BY 1, 2),
+plan AS (SELECT DISTINCT stream_id, CAST(floor(floor(o_orderkey / 100) / {SIDE}) * {100 // SIDE} + floor(o_orderkey % 100 / {SIDE}) AS BIGINT) AS partition_id FROM orders, (VALUES ('a'), ('b')) AS v(stream_id) WHERE o_orderkey >= 0)
+SELECT * FROM (SELECT stream_id, partition_id, CASE WHEN held.n IS NULL THEN 'missing' WHEN plan.stream_id IS NULL THEN 'unplanned' WHEN held.n > 1 THEN 'repeated' END AS problem FROM plan FULL JOIN held USING (stream_id, partition_id)) AS p WHERE problem IS NOT NULL"""))
+def finalize_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a run is refused: partitions that a stream lacks, and one that it brings twice."""
+    t = Tables(spark, sf_dir)
+    run, plan = _run(t)
+    broken = run.where("not (stream_id = 'b' and partition_id % 5 = 3)").unionByName(t.labels_a.where("partition_id = 2").withColumn("stream_id", F.lit("a")))
+    return R.finalize(broken, plan)[1]
+
+
+@query("class_iou", oracle("labels_a labels_b", """
+WITH m AS (SELECT a.class_index AS ref, b.class_index AS pred FROM labels_a AS a JOIN labels_b AS b USING (x, y))
+SELECT c AS class_index, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(h) AS BIGINT) AS hits, round(sum(h) / (sum(r) + sum(p) - sum(h)), 6) AS iou
+FROM (SELECT ref AS c, 1 AS r, 0 AS p, CASE WHEN ref = pred THEN 1 ELSE 0 END AS h FROM m UNION ALL SELECT pred, 0, 1, 0 FROM m) AS s GROUP BY c"""))
+def class_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    s = t.labels_a.withColumn("stream_id", F.lit("a")).unionByName(t.labels_b.where("partition_id <> 3").withColumn("stream_id", F.lit("b")))
-    parts = s.groupBy("stream_id").agg(F.countDistinct("partition_id").alias("partitions"))
-    complete = parts.withColumn("most", F.max("partitions").over(W.partitionBy())).where("partitions = most").select("stream_id")  # a row a stream
-    return s.join(complete, "stream_id", "left_semi").select("stream_id", "x", "y", "class_index")
+    return R.class_iou(R.confusion(t.labels_a, t.labels_b)).withColumn("iou", F.round("iou", 6))
+
+
+@query("seam_gap", oracle("labels_a labels_b", f"""
+WITH m AS (SELECT a.class_index = b.class_index AS hit, {_BAND} AS seam FROM labels_a AS a JOIN labels_b AS b USING (x, y)),
+t AS (SELECT avg(r) AS rate FROM (SELECT avg(CASE WHEN a.class_index <> b.class_index THEN 1.0 ELSE 0.0 END) AS r FROM labels_a AS a JOIN labels_a AS b ON a.x = b.x - 1 AND a.y = b.y WHERE b.x % {SIDE} = 0 GROUP BY b.x
+  UNION ALL SELECT avg(CASE WHEN a.class_index <> b.class_index THEN 1.0 ELSE 0.0 END) FROM labels_a AS a JOIN labels_a AS b ON a.y = b.y - 1 AND a.x = b.x WHERE b.y % {SIDE} = 0 GROUP BY b.y) AS l)
+SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (seam), 6) AS seam_accuracy, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (NOT seam), 6) AS other_accuracy,
+  round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (NOT seam) - avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (seam), 6) AS accuracy_gap, round(any_value(rate), 6) AS transition_rate FROM m, t"""))
+def seam_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy within and outside the bands along the seams, what the seams cost, and the mean over all lines of their rates of change."""
+    t = Tables(spark, sf_dir)
+    ref = t.labels_a.withColumn("seam", R.seam_band(F.col("x"), F.col("y"), SIDE, 2))
+    by = R.confusion(ref, t.labels_b, ["seam"])
+    hit = lambda seam: F.sum(F.when((F.col("seam") == seam) & (F.col("ref") == F.col("pred")), F.col("pixels")).otherwise(0)) / F.sum(F.when(F.col("seam") == seam, F.col("pixels")))
+    rate = R.seam_transitions(t.labels_a, SIDE).agg(F.round(F.avg("rate"), 6).alias("transition_rate"))
+    return by.agg(F.round(hit(True), 6).alias("seam_accuracy"), F.round(hit(False), 6).alias("other_accuracy"), F.round(hit(False) - hit(True), 6).alias("accuracy_gap")).join(F.broadcast(rate))
+

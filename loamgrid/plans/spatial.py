@@ -99,15 +99,21 @@ def package_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.package_buckets(_needs(Tables(spark, sf_dir)), 30)
 
 
-@query("package_facts", oracle("", f"""WITH {_PARTS}, {_NEEDS}, own AS (SELECT grid_id, row_no, col_no, CAST(floor(sequence_no / 2) AS BIGINT) AS package_no FROM seq),
+@query("package_facts", oracle("", f"""WITH {_PARTS}, {_NEEDS}, f AS (SELECT grid_id, tile_id, min(sequence_no) AS s FROM needs GROUP BY 1, 2), n AS (SELECT grid_id, sequence_no, (SELECT count(*) FROM f WHERE f.grid_id = d.grid_id AND f.s = d.sequence_no) AS new_tiles FROM (SELECT DISTINCT grid_id, sequence_no FROM needs) AS d),
+pk AS (SELECT grid_id, sequence_no, CAST(floor(coalesce(sum(new_tiles) OVER (PARTITION BY grid_id ORDER BY sequence_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 30) AS BIGINT) AS package_no FROM n),
+own AS (SELECT seq.grid_id, row_no, col_no, package_no FROM seq JOIN pk USING (grid_id, sequence_no)),
 near AS (SELECT a.grid_id, a.package_no, list_sort(list(DISTINCT b.package_no)) AS neighbours FROM own AS a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dr, dc), own AS b WHERE b.grid_id = a.grid_id AND b.row_no = a.row_no + dr AND b.col_no = a.col_no + dc AND b.package_no <> a.package_no GROUP BY 1, 2)
-SELECT f.*, coalesce(neighbours, []) AS neighbours FROM (SELECT grid_id, CAST(floor(sequence_no / 2) AS BIGINT) AS package_no, count(DISTINCT tile_id) AS tiles, count(DISTINCT tile_id) * {SIZE * SIZE * 28} AS bytes FROM needs GROUP BY 1, 2) AS f LEFT JOIN near USING (grid_id, package_no)"""))
+SELECT f.*, coalesce(neighbours, []) AS neighbours FROM (SELECT grid_id, package_no, count(DISTINCT tile_id) AS tiles, count(DISTINCT tile_id) * {SIZE * SIZE * 28} AS bytes FROM needs JOIN pk USING (grid_id, sequence_no) GROUP BY 1, 2) AS f LEFT JOIN near USING (grid_id, package_no)"""))
 def package_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tiles, bytes and neighbour packages of packages of two partitions along the snake."""
+    """Distinct tiles, bytes and neighbour packages of the budgeted packages along the snake."""
+    from loamgrid.sources.scratch import saved
+
     t = Tables(spark, sf_dir)
-    rows = _needs(t).groupBy("grid_id", F.floor(F.col("sequence_no") / 2).alias("package_no"))
-    facts = rows.agg(F.countDistinct("tile_id").alias("tiles")).withColumn("bytes", F.col("tiles") * SIZE * SIZE * 28)
-    return facts.join(S.package_neighbours(S.snake(_parts(t)).withColumn("package_no", F.floor(F.col("sequence_no") / 2))), ["grid_id", "package_no"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<long>")))
+    needs = saved(_needs(t), "needs")
+    packages = saved(S.package_buckets(needs, 30).select("grid_id", "sequence_no", "package_no"), "packages")
+    facts = needs.join(packages, ["grid_id", "sequence_no"]).groupBy("grid_id", "package_no").agg(F.countDistinct("tile_id").alias("tiles")).withColumn("bytes", F.col("tiles") * SIZE * SIZE * 28)
+    near = S.package_neighbours(S.snake(_parts(t)).join(packages, ["grid_id", "sequence_no"]))
+    return facts.join(near, ["grid_id", "package_no"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<long>")))
 
 
 @query("output_reserve", oracle("", f"WITH {_PARTS} SELECT grid_id, CAST(greatest(1000000, sum((x1 - x0) * (y1 - y0)) * 4 * 5) AS BIGINT) AS reserve FROM parts GROUP BY grid_id"))

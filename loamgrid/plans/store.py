@@ -12,7 +12,7 @@ from loamgrid.operators.coverage import coverage
 from loamgrid.operators import rasters as R
 from loamgrid.operators import spatial as P
 from loamgrid.operators import store as S
-from loamgrid.plans.fixtures import Tables, oracle
+from loamgrid.plans.fixtures import SIDE, Tables, oracle
 from loamgrid.plans.raster import components_sql
 from loamgrid.registry import query
 
@@ -138,15 +138,13 @@ def object_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.object_identity(S.interval_links(parts, 0.5), parts.select("part_id"), "run-1|model:a|")
 
 
-@query("boundary_signatures", oracle("labels_a", """
-WITH edge AS (SELECT partition_id, class_index, y, x FROM labels_a WHERE x % 25 = 0)
-SELECT partition_id, class_index, x AS fixed, min(y) AS lo, max(y) + 1 AS hi FROM (SELECT *, y - row_number() OVER (PARTITION BY partition_id, class_index, x ORDER BY y) AS island FROM edge) AS i GROUP BY partition_id, class_index, x, island"""))
+@query("boundary_signatures", oracle("labels_a", f"""WITH RECURSIVE {components_sql(0)},
+edge AS (SELECT partition_id, component_id, class_index, 'west' AS edge, x AS fixed, y AS p FROM px WHERE x % {SIDE} = 0 UNION ALL SELECT partition_id, component_id, class_index, 'east', x + 1, y FROM px WHERE x % {SIDE} = {SIDE - 1}
+  UNION ALL SELECT partition_id, component_id, class_index, 'north', y, x FROM px WHERE y % {SIDE} = 0 UNION ALL SELECT partition_id, component_id, class_index, 'south', y + 1, x FROM px WHERE y % {SIDE} = {SIDE - 1})
+SELECT partition_id, component_id, class_index, edge, fixed, min(p) AS lo, max(p) + 1 AS hi FROM (SELECT *, p - row_number() OVER (PARTITION BY partition_id, component_id, edge, fixed ORDER BY p) AS island FROM edge) AS i GROUP BY partition_id, component_id, class_index, edge, fixed, island"""))
 def boundary_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of equal class along the left edge of each partition's window."""
-    edge = Tables(spark, sf_dir).labels_a.where("x % 25 = 0")
-    island = F.col("y") - F.row_number().over(W.partitionBy("partition_id", "class_index", "x").orderBy("y"))
-    rows = edge.withColumn("island", island).groupBy("partition_id", "class_index", "x", "island").agg(F.min("y").alias("lo"), (F.max("y") + 1).alias("hi"))
-    return rows.select("partition_id", "class_index", F.col("x").alias("fixed"), "lo", "hi")
+    """Where every object lies along the four edges of each partition's window."""
+    return R.boundary_signatures(R.with_components(Tables(spark, sf_dir).labels_a), SIDE)
 
 
 @query("accepted_difference", oracle("labels_a", f"""WITH RECURSIVE open_ AS (SELECT * FROM labels_a WHERE NOT (x % 9 < 2 AND class_index % 2 = 0)), {components_sql(0, 'open_')}
@@ -285,6 +283,27 @@ def absorb_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("component_id", "class_index", "pixel_count", "target_class", "target_id", *(F.round(c, 6).alias(c) for c in ("share", "p", "own_p")))
 
 
+#: Mean confidence over which a component of HARD pixels stays where no probabilities are at hand.
+SURE = 0.76
+
+
+@query("absorb_by_confidence", oracle("labels_a classes", f"""{_C8}, conf AS (SELECT component_id, avg(confidence) AS c FROM px GROUP BY 1),
+pick AS (SELECT s.*, coalesce(s.pixel_count >= {HARD} AND round(conf.c, 9) > {SURE}, false) AS high_confidence FROM (SELECT *, sum(contact) OVER (PARTITION BY component_id, other_class_index) AS cc, sum(contact) OVER (PARTITION BY component_id) AS total FROM cand) AS s JOIN conf USING (component_id)
+  QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY round(1.0 * cc / total, 9) DESC, cc DESC, other_class_index, contact DESC, other_pixels DESC, other_component_id) = 1)
+SELECT component_id, high_confidence, CASE WHEN NOT high_confidence THEN other_class_index END AS target_class, CASE WHEN NOT high_confidence THEN other_component_id END AS target_id FROM pick"""))
+def absorb_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets by contact share alone; components whose labels are sure stay."""
+    from loamgrid.sources.scratch import saved
+
+    t = Tables(spark, sf_dir)
+    pixels, judged = _judged(t)
+    found = saved(_candidates(t, pixels, judged), "candidates")
+    mean = pixels.groupBy("component_id").agg(F.avg("confidence").alias("confidence"))
+    chosen = C.targets(found, hard=HARD, confidence=mean, sure=SURE).select("component_id", F.lit(False).alias("high_confidence"), "target_class", "target_id")
+    kept = C.confident(found, mean, HARD, SURE).select("component_id", F.lit(True).alias("high_confidence"), F.lit(None).cast("long").alias("target_class"), F.lit(None).cast("long").alias("target_id"))
+    return chosen.select("component_id", "high_confidence", F.col("target_class").cast("long").alias("target_class"), "target_id").unionByName(kept)
+
+
 @query("absorb_apply", oracle("labels_a classes", f"""{_C8}, walk AS (SELECT component_id, target_id FROM target UNION SELECT w.component_id, t.target_id FROM walk AS w JOIN target AS t ON t.component_id = w.target_id),
 ends AS (SELECT component_id, target_id FROM walk WHERE target_id NOT IN (SELECT component_id FROM target))
 SELECT p.class_index AS source_class, s.class_index AS target_class, count(*) AS pixels FROM px AS p JOIN ends USING (component_id) JOIN shape AS s ON s.component_id = ends.target_id GROUP BY 1, 2"""))
