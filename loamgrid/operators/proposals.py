@@ -40,6 +40,14 @@ def touched(contacts: DataFrame, sources: DataFrame) -> DataFrame:
     return contacts.join(sources.select("component_id"), "component_id", "left_semi").select("component_id", F.col("other_class_index").alias("target_class"), F.col("other_component_id").alias("target_id"), "contact")
 
 
+def rarest(targets: DataFrame, share: DataFrame, means: DataFrame) -> DataFrame:
+    """component_id, target_class: of the classes that a component touches the one with the least ``share`` (target_class, share; a row a class), then
+    the largest mean probability (component_id, means by class), then the lowest."""
+    rows = targets.select("component_id", "target_class").distinct().join(F.broadcast(share), "target_class").join(means, "component_id")
+    by = W.partitionBy("component_id").orderBy("share", F.round(F.get("means", F.col("target_class").cast("int")), 9).desc(), "target_class")
+    return rows.withColumn("n", F.row_number().over(by)).where("n = 1").select("component_id", "target_class")
+
+
 def _bottleneck(rows):
     """The longest edge by which a tree grows that always takes the nearest component outside it."""
     import pandas as pd

@@ -100,6 +100,16 @@ def topology_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Work(spark, sf_dir).deltas()
 
 
+@query("rarest_target", oracle("labels_a", f"""{_BASE}, s AS (SELECT class_index, count(*) AS share FROM px GROUP BY 1),
+o AS (SELECT DISTINCT t.component_id, t.target_class, share, (SELECT round(avg({_P.format(k='t.target_class')}), 9) FROM px WHERE px.component_id = t.component_id) AS p FROM tgt AS t JOIN s ON s.class_index = t.target_class)
+SELECT component_id, target_class FROM o QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY share, p DESC, target_class) = 1"""))
+def rarest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the classes that a small component touches the rarest, then the likeliest, then the lowest."""
+    work = _Work(spark, sf_dir)
+    share = work.pixels.groupBy(F.col("class_index").alias("target_class")).agg(F.count("*").alias("share"))
+    return O.rarest(work.targets, share, work.means())
+
+
 @query("route_fragments", oracle("labels_a", f"{_BASE}{_ROUTED} SELECT * FROM routed"))
 def route_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Work(spark, sf_dir).routed()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamgrid.operators import acceptance
 from loamgrid.operators import relational as R
 from loamgrid.plans.fixtures import Tables, oracle
 from loamgrid.registry import query
@@ -219,6 +220,45 @@ def acceptance_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("accepted", F.bool_and("passed").over(W.partitionBy("run_id")))
 
 
+#: A run's parts by rule, over slots of its orders: 4 packages, 12 units of streams, 6 and 6 jobs of the two further kinds.
+_PARTS_OF_A_RUN = {
+    "slots": "SELECT o_custkey % 40 AS run_id, o_orderkey % 28 AS slot, max(o_orderkey) AS k FROM {orders} GROUP BY 1, 2",
+    "plan": "SELECT DISTINCT run_id, 2 AS streams, 6 AS units, 4 AS packages, 5 AS partitions, run_id % 2 = 0 AS v33, run_id % 3 = 0 AS confidence, 1 + run_id % 2 AS storage_schema, 1070 AS cache_budget, 2170 AS managed_budget FROM {slots}",
+    "run_jobs": "SELECT run_id, CASE WHEN slot < 4 THEN 'work_package' WHEN slot < 16 THEN 'unit_fit' WHEN slot < 22 THEN 'fragmentation_v33' ELSE 'unit_confidence' END AS job_type, CASE WHEN k % 101 = 0 THEN 'failed' ELSE 'ready' END AS status FROM {slots} WHERE slot < 16 OR (slot < 22 AND run_id % 2 = 0) OR (slot >= 22 AND run_id % 3 = 0)",
+    "run_streams": "SELECT run_id, slot AS stream_id, CASE WHEN k % 23 = 0 THEN 'running' ELSE 'ready' END AS status FROM {slots} WHERE slot < 2",
+    "run_packages": "SELECT run_id, slot AS package_id, CASE WHEN k % 31 = 0 THEN 'running' ELSE 'ready' END AS status FROM {slots} WHERE slot < 4",
+    "run_units": "SELECT run_id, slot % 2 AS stream_id, CASE WHEN k % 89 = 0 THEN 'failed' ELSE 'ready' END AS status FROM {slots} WHERE slot BETWEEN 4 AND 15",
+    "run_reports": "SELECT run_id, slot, k % 3 AS fitted_edges, k % 97 <> 0 AS passed FROM {slots} WHERE slot BETWEEN 4 AND 15 AND k % 83 <> 0",
+    "run_storage": "SELECT run_id, 1000 + k % 75 AS peak_cache, 2000 + k % 180 AS managed, k % 61 <> 0 AS complete FROM {slots} WHERE slot < 4 AND k % 59 <> 0",
+    "run_files": "SELECT run_id, kind, CASE WHEN (slot * 7 + run_id) % 71 = 0 THEN 'ready' ELSE 'cleaned' END AS status, (slot * 3 + run_id) % 37 = 0 AS broken FROM {run_reports} CROSS JOIN (VALUES ('unit_raw_geoparquet'), ('unit_formal_geoparquet'), ('unit_boundary_report'), ('unit_fitted_edges_geoparquet'), ('unit_boundary_signatures')) AS v(kind) WHERE kind <> 'unit_fitted_edges_geoparquet' OR fitted_edges > 0",
+}
+_COUNTED = {k: f"n_{k} = {n} AND r_{k} = {n}" for k, n in (("work_package", "packages"), ("fragmentation_v33", "v33_jobs"), ("unit_confidence", "confidence_jobs"), ("unit_fit", "reports"))}
+
+
+@query("scale_acceptance", oracle("", f"""WITH {", ".join(f"{n} AS MATERIALIZED ({q.replace('{', '').replace('}', '')})" for n, q in _PARTS_OF_A_RUN.items())},
+p AS (SELECT *, units * streams AS reports, CASE WHEN v33 THEN partitions + 1 ELSE 0 END AS v33_jobs, CASE WHEN confidence THEN units ELSE 0 END AS confidence_jobs FROM plan),
+j AS (SELECT run_id, count(*) AS n_jobs, count(*) FILTER (status = 'ready') AS r_jobs, {", ".join(f"count(*) FILTER (job_type = '{k}') AS n_{k}, count(*) FILTER (job_type = '{k}' AND status = 'ready') AS r_{k}" for k in _COUNTED)} FROM run_jobs GROUP BY 1),
+f AS (SELECT p.*, j.* EXCLUDE (run_id), (SELECT count(*) FROM run_streams AS x WHERE x.run_id = p.run_id) AS n_streams, (SELECT count(*) FROM run_streams AS x WHERE x.run_id = p.run_id AND status = 'ready') AS r_streams,
+  (SELECT count(*) FROM run_packages AS x WHERE x.run_id = p.run_id) AS n_packages, (SELECT count(*) FROM run_packages AS x WHERE x.run_id = p.run_id AND status = 'ready') AS r_packages,
+  (SELECT count(*) FROM (SELECT stream_id FROM run_units AS x WHERE x.run_id = p.run_id GROUP BY stream_id HAVING count(*) = 6 AND count(*) FILTER (status = 'ready') = 6) AS y) AS whole_streams, (SELECT count(DISTINCT stream_id) FROM run_units AS x WHERE x.run_id = p.run_id) AS unit_streams,
+  (SELECT count(*) FROM run_reports AS x WHERE x.run_id = p.run_id) AS n_reports, (SELECT count(*) FROM run_reports AS x WHERE x.run_id = p.run_id AND fitted_edges > 0) AS n_fitted, (SELECT count(*) FROM run_reports AS x WHERE x.run_id = p.run_id AND NOT passed) AS n_failed,
+  (SELECT count(*) FROM run_storage AS x WHERE x.run_id = p.run_id) AS n_storage, (SELECT count(*) FROM run_storage AS x WHERE x.run_id = p.run_id AND NOT complete) AS n_incomplete, (SELECT max(peak_cache) FROM run_storage AS x WHERE x.run_id = p.run_id) AS peak_cache, (SELECT max(managed) FROM run_storage AS x WHERE x.run_id = p.run_id) AS managed,
+  (SELECT count(*) FROM run_files AS x WHERE x.run_id = p.run_id) AS n_files, (SELECT count(*) FROM run_files AS x WHERE x.run_id = p.run_id AND status = 'cleaned') AS n_cleaned, (SELECT count(*) FROM run_files AS x WHERE x.run_id = p.run_id AND broken) AS n_broken FROM p JOIN j USING (run_id)),
+facts AS (SELECT run_id, n_storage = packages AS all_package_reports_present, n_reports = reports AS all_unit_reports_present, n_files = 4 * reports + n_fitted AND n_cleaned = n_files AS all_unit_intermediates_cleaned, n_packages = packages AND r_packages = packages AS all_work_packages_ready,
+  {_COUNTED['work_package']} AS all_work_package_jobs_ready, {_COUNTED['fragmentation_v33']} AS all_v33_jobs_ready, {_COUNTED['unit_confidence']} AS all_unit_confidence_jobs_ready, {_COUNTED['unit_fit']} AS all_unit_jobs_ready,
+  n_jobs = packages + reports + v33_jobs + confidence_jobs AND r_jobs = n_jobs AS all_jobs_ready, n_streams = streams AND r_streams = streams AS all_streams_ready, whole_streams = streams AND unit_streams = streams AS all_stream_units_ready, n_broken = 0 AS no_artifact_integrity_errors, n_failed = 0 AS all_boundary_units_passed,
+  storage_schema < 2 OR (n_storage = packages AND n_incomplete = 0 AND peak_cache <= cache_budget) AS peak_cache_within_frozen_budget, storage_schema < 2 OR (n_storage = packages AND n_incomplete = 0) AS all_package_storage_metrics_present,
+  storage_schema < 2 OR (n_storage = packages AND n_incomplete = 0 AND managed <= managed_budget) AS peak_package_managed_within_frozen_budget FROM f),
+gates AS (UNPIVOT facts ON {", ".join(acceptance.GATES)} INTO NAME gate VALUE passed)
+SELECT run_id, gate, passed, bool_and(passed) OVER (PARTITION BY run_id) AS accepted FROM gates"""))
+def scale_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates of every run: reports, intermediates, packages, jobs of each kind, streams, units, integrity, and the storage budgets."""
+    known = {"orders": Tables(spark, sf_dir).orders}
+    for name, text in _PARTS_OF_A_RUN.items():
+        known[name] = spark.sql(text, **{k: v for k, v in known.items() if "{" + k + "}" in text})
+    return acceptance.gates(*(known[n] for n in ("plan", "run_jobs", "run_streams", "run_packages", "run_units", "run_reports", "run_storage", "run_files")))
+
+
 @query("log_gap", oracle("monitor_events", """
 SELECT run_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS elapsed_us, CAST(max(gap) AS BIGINT) AS longest_gap_us
 FROM (SELECT run_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id)) AS gap FROM monitor_events) AS g GROUP BY run_id"""))

@@ -337,15 +337,3 @@ def cleanup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, judged = _judged(t)
     after = C.apply(pixels.withColumn("was", F.col("class_index")), C.roots(_targets(t, pixels, judged)), judged).select("x", "y", "was", "class_index")
     return C.audit(pixels, after, 6, F.col("class_index") % 6 == 5)
-
-
-@query("rarest_target", oracle("labels_a", """
-WITH share AS (SELECT class_index, count(*) AS n FROM labels_a GROUP BY 1), local AS (SELECT partition_id, class_index, count(*) AS here, avg(confidence) AS c FROM labels_a GROUP BY 1, 2)
-SELECT partition_id, class_index FROM local JOIN share USING (class_index) QUALIFY row_number() OVER (PARTITION BY partition_id ORDER BY n, round(c, 9) DESC, class_index) = 1"""))
-def rarest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a fragment's neighbour classes the rarest, then the likeliest, then the lowest."""
-    labels = Tables(spark, sf_dir).labels_a
-    share = labels.groupBy("class_index").agg(F.count("*").alias("n"))
-    local = labels.groupBy("partition_id", "class_index").agg(F.avg("confidence").alias("c")).join(F.broadcast(share), "class_index")
-    by = W.partitionBy("partition_id").orderBy("n", F.round("c", 9).desc(), "class_index")
-    return local.withColumn("k", F.row_number().over(by)).where("k = 1").select("partition_id", "class_index")
