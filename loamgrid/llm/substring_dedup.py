@@ -244,13 +244,17 @@ class Parse:
     def coins(self, number: int) -> np.ndarray:
         return (mix(self.name + _U64(number + 1)) & _U64(1)).astype(bool)
 
+    def heads(self) -> np.ndarray:
+        """Whether a symbol is the first of a run of equal names, maybe its only one."""
+        new = np.ones(len(self.name), bool)
+        new[1:] = ~(self.joined[:-1] & (self.name[1:] == self.name[:-1]))
+        return new
+
     def groups(self, number: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols that may merge in this round: first symbol, count, and what stands beside its name in the dictionary."""
         n = len(self.name)
         if not number:
-            new = np.ones(n, bool)
-            new[1:] = ~(self.joined[:-1] & (self.name[1:] == self.name[:-1]))
-            head = np.flatnonzero(new)
+            head = np.flatnonzero(self.heads())
             count = np.diff(np.append(head, n))
             keep = (count > 1) & (self.end[head + count - 1] - self.start[head] <= wide)
             return head[keep], count[keep], count[keep].astype(_U64)
@@ -265,14 +269,20 @@ class Parse:
         before, after = np.full(n, -_OPEN), np.full(n, 2 * _OPEN + self.end.max(initial=0))
         at = np.flatnonzero(self.joined)
         before[at + 1], after[at] = begin[at], end[at + 1]
-        # a run's ends, and that a symbol stands in no run, depend on both neighbours; a symbol without its pair on the one its coin looks to
-        looks_left, looks_right = (np.ones(n, bool), np.ones(n, bool)) if not number else (self.coins(number), ~self.coins(number))
         taken = np.zeros(n, bool)
         taken[np.repeat(head, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = True
         low, high = begin.copy(), end.copy()
-        alone = ~taken | (number == 0)
-        low[alone & looks_left] = np.minimum(begin, before)[alone & looks_left]
-        high[alone & looks_right] = np.maximum(end, after)[alone & looks_right]
+        if not number and n:
+            # whether a run gets a name depends on the whole of it and on both neighbours, for each of its symbols and also where it gets none
+            first = np.flatnonzero(self.heads())
+            size = np.diff(np.append(first, n))
+            low = np.repeat(np.minimum.reduceat(np.minimum(begin, before), first), size)
+            high = np.repeat(np.maximum.reduceat(np.maximum(end, after), first), size)
+        elif number:
+            # a symbol without its pair depends on the one its coin looks to
+            coin = self.coins(number)
+            low = np.where(~taken & coin, np.minimum(begin, before), low)
+            high = np.where(~taken & ~coin, np.maximum(end, after), high)
         keep = ~taken
         keep[head] = True
         last = np.arange(n)
