@@ -36,7 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id (null last), then by hashes of its text and of the row.
 
-    Near copies share 0.8 or more of their five-word shingles; op 3's four bits of a SimHash miss most of those. Rows that
+    Near copies share 0.8 or more of their five-word shingles: op 3's SimHash gives the first links, minimum hashes those that four bits miss,
+    and each is checked on the shingles. Rows that
     share a doc_id are judged by their own texts; a repeated row stays once.
     """
     rows = _columns(docs).withColumns({"__text": F.xxhash64("text"), "__row": F.xxhash64(*COLUMNS), "__id": F.coalesce("doc_id", F.lit(-1))})

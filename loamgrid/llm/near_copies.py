@@ -1,8 +1,9 @@
 """Groups of near copies by word-shingle similarity, for the pipeline.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-SimHash can't tell that from 64 bits: texts of similarity 0.8 differ in about ten of them, some
-unrelated ones too.  So candidates share one of ``BANDS`` keys of ``ROWS`` minimum hashes each (two texts of
+The first links are op 3's: SimHash fingerprints, here of five-word shingles, that pigeonring chains find within four bits.
+These join copies and closest texts; texts of similarity 0.8 differ in about ten bits, which no ring lookup reaches, some
+unrelated ones too.  So further candidates share one of ``BANDS`` keys of ``ROWS`` minimum hashes each (two texts of
 similarity 0.8 share one with probability 0.9998, more similar ones with more), of whose ``HASHES`` sketched
 minima ``AGREE`` agree (missed by one in 100,000 at 0.8; pairs after the rounds agree in ``BITS_AGREE`` of ``BITS``
 one-bit minima instead), and every link is then checked on the shingle sets themselves, held as 32-bit hashes; these are made anew, and only for texts in such pairs.
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import discard, join_copies, saved
+from loamgrid.llm.shared import clip_long, discard, join_copies, saved
+from loamgrid.llm.simhash import Ring, fingerprint, links
 from loamgrid.llm.words import Words, mix, slices, text_bytes, windows
 from loamgrid.operators.graph import connected_components
 
@@ -35,7 +37,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=_U64)).reshape(2, HASHES) | _U64(1)
 _BIT_SEEDS = mix(np.arange(1001, 2 * BITS + 1001, dtype=_U64)).reshape(2, BITS) | _U64(1)
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+#: Op 3's settings: differing bits of a link, segments of the ring, segments of a key.
+RING = (4, 5, 2)
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +90,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nibbles = (least & _U64(15)).reshape(HASHES // 16, 16, n) << (_U64(4) * np.arange(16, dtype=_U64))[None, :, None]
             sketch = np.bitwise_or.reduce(nibbles, axis=1).T
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), pa.array(node.view(np.int64)), lists(keys), lists(sketch)], schema=_SKETCHED)
+            fps = pa.array([clip_long(fingerprint(x.as_py(), SHINGLE)) for x in part.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), fps, pa.array(node.view(np.int64)), lists(keys), lists(sketch)], schema=_SKETCHED)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +159,8 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     are no one's smallest.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    each = saved(docs.select(F.xxhash64("text").alias("doc_id"), "text", F.col("doc_id").alias("id")).mapInArrow(_sketch, "doc_id long, id long, node long, keys array<long>, sketch array<long>").withColumnsRenamed({"doc_id": "body", "id": "doc_id"}), "sketches")
-    nodes = saved(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("body").alias("body"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    each = saved(docs.select(F.xxhash64("text").alias("doc_id"), "text", F.col("doc_id").alias("id")).mapInArrow(_sketch, "doc_id long, id long, fp long, node long, keys array<long>, sketch array<long>").withColumnsRenamed({"doc_id": "body", "id": "doc_id"}), "sketches")
+    nodes = saved(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("body").alias("body"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     owners = saved(each.select("doc_id", "node"), "owners")
     discard(each)
     sketches = nodes.select("node", "sketch")
@@ -199,6 +204,15 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     crowded = join_copies(each_key, crowds, "key").groupBy("node").agg(F.sum("crowd").alias("crowd"))
     parts = saved(nodes.select("node", F.col("node").alias("part"), "keys").join(crowded, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0))), "parts")
     discard(crowds)
+
+    # fingerprints within the ring's bits; nodes of one fingerprint meet its first
+    marks = saved(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("copies")), "marks")
+    end = lambda c: marks.select(F.col("fp").alias(c), F.col("first").alias("node_" + c))
+    close = links(marks.select("fp"), Ring(*RING)).join(end("u"), "u").join(end("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    equal = join_copies(nodes.select("fp", "node"), marks.where("copies > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    parts = joined(parts, links_of(close.union(equal), "simhash"))
+    discard(marks)
+
     for turn, (first, last) in enumerate(_STEPS):
         # two centres for each key that still holds several parts, its most crowded node and any other; only nodes of other parts meet them
         listed = keyed(parts, first, last)
