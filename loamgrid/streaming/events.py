@@ -82,12 +82,13 @@ def fused(scores: DataFrame, models: list[int], classes: int, side: int = 16) ->
     return rows.groupBy("bx", "by").transformWithStateInPandas(S.Fusion(models, side, classes), "x long, y long, sums array<double>", "Append", "None")
 
 
-def ready_units(reports: DataFrame, dependencies: DataFrame) -> DataFrame:
+def ready_units(reports: DataFrame, dependencies: DataFrame, block: int = 256) -> DataFrame:
     """unit_id of every unit, once when all artifacts that it needs have reported.
 
     ``reports``: artifact_id, as a stream; ``dependencies``: unit_id, artifact_id. Repeated reports and dependencies change
-    nothing. Units without dependencies are never reported. Start the stream within ``stateful.rocks``.
+    nothing. Units without dependencies are never reported. State is kept by ``block`` numbers of units. Start the stream within ``stateful.rocks``.
     """
     pairs = dependencies.select("unit_id", "artifact_id").distinct()
     needs = pairs.join(pairs.groupBy("unit_id").agg(F.collect_list("artifact_id").alias("needs")), "unit_id")  # one unit's dependencies
-    return reports.select("artifact_id").join(needs, "artifact_id").groupBy("unit_id").transformWithStateInPandas(S.Readiness(), "unit_id long", "Append", "None")
+    rows = reports.select("artifact_id").join(needs, "artifact_id").withColumn("block", F.floor(F.col("unit_id") / block))
+    return rows.groupBy("block").transformWithStateInPandas(S.Readiness(), "unit_id long", "Append", "None")
