@@ -112,10 +112,9 @@ def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old and new shapes of each edit batch matched one to one by falling overlap; held against brute force in the tests."""
     boxes = Tables(spark, sf_dir).boxes
-    old = boxes.select("box_id", "x0", "y0", "x1", "y1")
-    new = boxes.select((F.col("box_id") + 100000).alias("box_id"), *[(F.col(c) + F.col("box_id") % 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    pairs = P.overlap_join(old, new).select((F.col("a.box_id") % 50).alias("batch"), F.col("a.box_id").alias("old_id"), F.col("b.box_id").alias("new_id"), P.shared_area().alias("area"))
-    return S.match_revisions(pairs)
+    old = boxes.select((F.col("box_id") % 50).alias("batch"), F.col("box_id").alias("old_id"), "x0", "y0", "x1", "y1")
+    new = boxes.select((F.col("box_id") + 100000).alias("new_id"), *[(F.col(c) + F.col("box_id") % 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return S.match_boxes(old, new)
 
 
 _IV = "SELECT c_custkey AS part_id, c_custkey % 40 AS unit_id, CAST(c_nationkey % 3 AS BIGINT) AS class_code, c_custkey % 2 AS axis, c_nationkey * 10 AS fixed, CAST(c_custkey * 7 % 500 AS DOUBLE) AS lo, CAST(c_custkey * 7 % 500 + 1 + c_custkey % 4 AS DOUBLE) AS hi FROM customer"

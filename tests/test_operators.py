@@ -211,6 +211,32 @@ def test_matching_in_rounds_equals_the_loop(spark):
     assert {tuple(x) for x in found.collect()} == want
 
 
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_matching_boxes_equals_matching_their_pairs(spark, most):
+    """Copies, boxes that share one area with several, and components that go pair by pair."""
+    import random
+
+    r = random.Random(5)
+    box = lambda: (x := r.randrange(3) * 2 + r.randrange(2) * 40, y := r.randrange(3), x + r.choice((2, 3, 4)), y + r.choice((0, 1, 2, 3)))
+    old = spark.createDataFrame([(i % 3, i, *box()) for i in range(150)], "batch long, old_id long, x0 long, y0 long, x1 long, y1 long")
+    new = spark.createDataFrame([(1000 + i, *box()) for i in range(120)], "new_id long, x0 long, y0 long, x1 long, y1 long")
+    pairs = spatial.overlap_join(old, new).select("a.batch", "a.old_id", "b.new_id", spatial.shared_area().alias("area")).collect()
+    want, used = [], set()
+    for batch, i, j, area in sorted(map(tuple, pairs), key=lambda p: (p[0], -p[3], p[1], p[2])):
+        if not {(batch, 0, i), (batch, 1, j)} & used:
+            used |= {(batch, 0, i), (batch, 1, j)}
+            want.append((batch, i, j, area))
+    assert len(want) > 100 and rows(store.match_boxes(old, new, most)) == sorted(want, key=str)
+
+
+def test_copies_are_matched_without_their_pairs(spark):
+    """20,000 copies on either side, 400 million pairs."""
+    old = spark.range(20_000).selectExpr("1L as batch", "id as old_id", "0L as x0", "0L as y0", "3L as x1", "3L as y1")
+    new = spark.range(20_000).selectExpr("id + 7 as new_id", "1L as x0", "1L as y0", "4L as x1", "4L as y1")
+    found = store.match_boxes(old, new)
+    assert found.count() == 20_000 and found.where("new_id <> old_id + 7 or area <> 4").count() == 0
+
+
 @pytest.mark.parametrize("most", [500_000, 9])
 def test_a_falling_chain_takes_few_rounds(spark, most):
     """Each pair waits for a better one: 10,000 pairs, or 24 where components that large go on in rounds."""
