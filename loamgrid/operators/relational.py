@@ -95,21 +95,29 @@ def lineage(spans: DataFrame, span: str = "span_id", parent: str = "parent_id")
     that of the last one, so rounds grow with the logarithm of the depth. Spans that lead into a cycle have no root (null, with depth
     and path null). A path is as long as its span is deep.
     """
-    from loamgrid.sources.scratch import discard, saved
+    from loamgrid.sources.scratch import saved
 
     ids = spans.select(F.col(span).alias("id"), F.col(parent).alias("up")).where("id is not null").groupBy("id").agg(F.min("up").alias("up"))
     known = ids.select(F.col("id").alias("up"), F.lit(True).alias("there"))
-    now = ids.join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"), F.array("id").alias("path"))
-    now, open_ = saved(now, "spans"), None
+    path = F.array("id").alias("path")
+    # rows without a pointer take no part in the joins: their nulls would all be one key
+    tops = ids.where("up is null").select("id", "up", path)
+    now = ids.where("up is not null").join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"), path)
+    now, done, open_ = saved(tops.unionByName(now), "spans"), None, None
+    parts = [now]
     while True:
-        waiting = now.where("up is not null").count()
+        waiting = parts[-1].where("up is not null").count()
         if not waiting or waiting == open_:  # after a round that closed none, only cycles are open
             break
         open_ = waiting
-        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.lit(True).alias("met"))
-        step = now.join(ahead, "up", "left").select("id", F.when(F.col("met"), F.col("next")).otherwise(F.col("up")).alias("up"), F.when(F.col("met"), F.concat("above", "path")).otherwise(F.col("path")).alias("path"))
-        before, now = now, saved(step, "spans")
-        discard(before)
+        now = parts[-1].where("up is not null")
+        closed = parts[-1].where("up is null")
+        done = closed if done is None else done.unionByName(closed)
+        ahead = now.unionByName(done).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        step = now.join(ahead, "up").select("id", F.col("next").alias("up"), F.concat("above", "path").alias("path"))
+        parts.append(saved(step, "spans"))
+    last = parts[-1]
+    now = last if done is None else last.unionByName(done)
     cyclic = F.col("up").isNotNull()
     return now.select(F.col("id").alias(span), F.when(~cyclic, F.get("path", F.lit(0))).alias("root"), F.when(~cyclic, F.size("path") - 1).alias("depth"), F.when(~cyclic, F.col("path")).alias("path"), cyclic.alias("cyclic"))
 

@@ -88,6 +88,18 @@ def test_lineage(spark):
     assert relational.lineage(spark.createDataFrame([], "span_id long, parent_id long")).count() == 0
 
 
+def test_lineage_joins_only_what_is_open(spark, monkeypatch):
+    """Roots have no pointer; as keys of the joins they would all be one, so they are written once and left alone."""
+    from loamgrid.sources import scratch
+
+    wrote, real = [], scratch.saved
+    monkeypatch.setattr(scratch, "saved", lambda df, name: wrote.append(real(df, name)) or wrote[-1])
+    rows = [(i, None) for i in range(200)] + [(1000 + i, 1000 + i - 1 if i else 7) for i in range(6)]
+    found = {r.span_id: r for r in relational.lineage(spark.createDataFrame(rows, "span_id long, parent_id long")).collect()}
+    assert len(found) == 206 and (found[1005].root, found[1005].depth) == (7, 6)
+    assert [df.count() for df in wrote] == [206, 6, 5, 3]
+
+
 def shares(rows):
     total = rows.sum(axis=1, keepdims=True)
     return rows / total
