@@ -45,31 +45,31 @@ def sessions(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _by_user(events: DataFrame, columns: list[str], processor: S.Keyed, output: str, delay: str) -> DataFrame:
-    """Each user's events through a processor. Start the stream within ``stateful.rocks``."""
-    rows = events.withWatermark("time", delay).select("user_id", "time", F.unix_micros("time").alias("us"), *columns)
-    return rows.groupBy("user_id").transformWithStateInPandas(processor, output, "Append", "EventTime")
+def _by_user(events: DataFrame, columns: list[str], processor: S.Keyed, output: str, delay: str, block: int) -> DataFrame:
+    """Users' events through a processor, ``block`` numbers of users in one state. Start the stream within ``stateful.rocks``."""
+    rows = events.withWatermark("time", delay).select(F.floor(F.col("user_id") / block).alias("block"), "user_id", "time", F.unix_micros("time").alias("us"), *columns)
+    return rows.groupBy("block").transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
-def coalesced(events: DataFrame, delay: str = "1 day", forget_us: int = 30 * 86_400_000_000) -> DataFrame:
+def coalesced(events: DataFrame, delay: str = "1 day", forget_us: int = 30 * 86_400_000_000, block: int = 256) -> DataFrame:
     """Each micro-batch the latest event of every user seen in it, and every error; a user is forgotten ``forget_us`` after the last event."""
-    return _by_user(events, ["event_id", "event_type"], S.Latest(forget_us, "error"), "user_id long, event_id long, event_type string", delay)
+    return _by_user(events, ["event_id", "event_type"], S.Latest(forget_us, "error"), "user_id long, event_id long, event_type string", delay, block)
 
 
-def expired(events: DataFrame, idle_us: int, delay: str = "1 day") -> DataFrame:
+def expired(events: DataFrame, idle_us: int, delay: str = "1 day", block: int = 256) -> DataFrame:
     """user_id, expired_us: times at which a user's lease ran out, by a timer in event time: a user who never comes back is seen as well.
 
     Heartbeats wait in the state until the watermark has passed them, so they may come in any order within ``delay``.
     """
-    return _by_user(events, [], S.Leases(idle_us), "user_id long, expired_us long", delay)
+    return _by_user(events, [], S.Leases(idle_us), "user_id long, expired_us long", delay, block)
 
 
-def recovered(events: DataFrame, delay: str = "1 day", forget_us: int = 365 * 86_400_000_000) -> DataFrame:
+def recovered(events: DataFrame, delay: str = "1 day", forget_us: int = 365 * 86_400_000_000, block: int = 256) -> DataFrame:
     """event_id, recovered_by: errors closed by the user's next purchase in event time, at most ``forget_us`` later.
 
     Events wait in the state until the watermark has passed them; errors leave it when they are closed or ``forget_us`` old.
     """
-    return _by_user(events, ["event_id", "event_type"], S.Recoveries("error", "purchase", forget_us), "event_id long, recovered_by long", delay)
+    return _by_user(events, ["event_id", "event_type"], S.Recoveries("error", "purchase", forget_us), "event_id long, recovered_by long", delay, block)
 
 
 def fused(scores: DataFrame, models: list[int], classes: int, side: int = 16) -> DataFrame:

@@ -63,6 +63,22 @@ def test_the_latest_event_is_forgotten_in_time(spark, tmp_path):
     assert found == [(7, 2, "error"), (7, 2, "error"), (7, 2, "error"), (7, 5, "click"), (8, 4, "view")]
 
 
+@pytest.mark.parametrize("what", ["recovered", "expired"])
+def test_users_of_one_block_keep_apart(spark, tmp_path, what):
+    """Nine users with negative and positive numbers in two or three blocks; their events cross from one run to the next."""
+    rows = [(10 * u + k, 100 + (u * 7 + k * 11) % 50 * 100, u, ("error", "purchase", "view")[(u + k) % 3]) for u in range(-2, 7) for k in range(6)]
+    batches = [rows[::2], rows[1::2], [(999, 90 * DAY, 1000, "view")]]
+    want, us = [], 1_000_000
+    for u in range(-2, 7):
+        mine = sorted((t, i, kind) for i, t, user, kind in rows if user == u)
+        if what == "recovered":
+            want += [(i, next(j for _, j, k in mine[at:] if k == "purchase")) for at, (_, i, kind) in enumerate(mine) if kind == "error" and any(k == "purchase" for *_, k in mine[at:])]
+        else:
+            want += [(u, (t + 500) * us) for at, (t, *_) in enumerate(mine) if at + 1 == len(mine) or mine[at + 1][0] - t > 500]
+    make = (lambda s: E.recovered(s, "1 day", block=4)) if what == "recovered" else (lambda s: E.expired(s, 500 * us, "1 day", block=4))
+    assert events(spark, tmp_path, batches, make) == sorted(want)
+
+
 SCORE = "x long, y long, model_id int, probs array<double>"
 
 
