@@ -300,3 +300,16 @@ def test_components_of_tiles_equal_those_of_the_whole(spark):
                             queue.append(d)
         for side in (1, 4, 256):
             assert {(p.x, p.y): p.component_id for p in rasters.with_components(df, diagonal, side).collect()} == want
+
+
+def test_small_sources_are_no_groups_in_python(spark):
+    """A way, a corridor and a bottleneck of one source between two targets; a second source has one target only."""
+    from loamgrid.operators import proposals as O
+
+    pixels = spark.createDataFrame([(0, 0, 1, 1), (1, 0, 2, 2), (2, 0, 2, 2), (3, 0, 2, 2), (4, 0, 3, 1), (5, 0, 4, 5)], "x long, y long, component_id long, class_index long")
+    targets = spark.createDataFrame([(2, 1, 1, 1), (2, 1, 3, 1), (4, 1, 3, 1)], "component_id long, target_class long, target_id long, contact long")
+    near = spark.createDataFrame([(1, 3, 3.0)], "component_id long, other_component_id long, distance double")
+    found = [O.bridge_path(pixels, targets, 0.5), O.corridors(pixels, targets), O.bridge_bottleneck(targets, near)]
+    assert [rows(df) for df in found] == [[(2, 1, 1.0), (4, 1, 0.0)], [(2, 1, [1, 3], x, 0) for x in (1, 2, 3)], [(2, 1, 3.0)]]
+    assert rows(O.bridge_bottleneck(targets, near.limit(0))) == [(2, 1, None)]
+    assert not any("FlatMapGroups" in df._jdf.queryExecution().toString() for df in found)
