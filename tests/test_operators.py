@@ -177,6 +177,39 @@ def test_nearest_looks_as_far_as_it_must(spark):
     assert [(x, round(d, 6)) for x, _, d in found] == [(0, 1.0), (3, round(10**0.5, 6)), (90, round((83**2 + 9) ** 0.5, 6))]
 
 
+def test_nearest_of_crowded_cells_meets_only_those_around(spark, monkeypatch):
+    """Boundaries as dense as those of noisy labels: no cell goes on to the blocks, and a site stands in few lots."""
+    from loamgrid.operators import distance
+
+    met, seen = distance._met, []
+    monkeypatch.setattr(distance, "_met", lambda asked, sites, *size: seen.append(sites.count()) or met(asked, sites, *size))
+    monkeypatch.setattr(distance, "_descent", lambda *_: pytest.fail("cells with a near site went on"))
+    at = spark.range(200).select(F.col("id").alias("x")).crossJoin(spark.range(200).select(F.col("id").alias("y")))
+    found = nearest(at, at.where("(x + y) % 2 = 0"), 0.25, 0.5)
+    assert rows(found.groupBy((F.col("x") + F.col("y")) % 2, "distance").count()) == [(0, 0.0, 20000), (1, 0.25, 20000)]
+    assert len(seen) == 1 and seen[0] <= 2 * 20000
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1 << 18])
+def test_lots_stay_whole_over_batches(monkeypatch, limit):
+    import numpy as np
+    import pyarrow as pa
+
+    from loamgrid.operators import distance
+
+    monkeypatch.setattr(distance, "_ROWS", limit)
+    r = np.random.default_rng(limit)
+    table = np.stack([r.integers(-2, 3, 400), r.integers(-1, 2, 400), r.integers(-40, 40, 400), r.integers(-9, 9, 400), r.integers(0, 4, 400) == 0], 1)
+    table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
+    names = ["bu", "bv", "u", "v", "site"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c.astype(bool) if n == "site" else c) for n, c in zip(names, table[i : i + 11].T)], names=names) for i in range(0, 400, 11)]
+    found = [tuple(row.values()) for b in distance._lots(0.25, 2.0)(iter(batches)) for row in b.to_pylist()]
+    sites = table[table[:, 4] == 1]
+    near = lambda q: min([np.hypot((q[2] - s[2]) * 0.25, (q[3] - s[3]) * 2.0) for s in sites if (s[:2] == q[:2]).all()], default=np.inf)
+    assert [f[:4] for f in found] == [tuple(q[:4]) for q in table if not q[4]]
+    assert np.allclose([f[4] for f in found], [near(q) for q in table if not q[4]])
+
+
 def test_sampled_cells_keep_their_distance(spark):
     cells = [(1, x, y, (x * 7 + y * 3) % 5, 10 + (x + y) % 3, float((x * 13 + y * 29) % 17)) for x in range(20) for y in range(20)]
     found = rasters.sample_cells(spark.createDataFrame(cells, "run_id long, cell_x long, cell_y long, classes long, pixels long, entropy double"), "run_id", 8, 3).collect()
