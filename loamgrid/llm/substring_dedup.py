@@ -22,6 +22,8 @@ stretches, the windows of one document for each stretch are compared in the same
 Shuffles: symbols of about one word in ten; the texts of documents with segments once, to cut these out;
 the segments' symbols once a round; all texts once, to meet what is to be removed from them.  Names that a
 thousandth of all rows hold are met by broadcast, never in one task.
+
+Symbols, words and windows stand in tables as packed bytes, a value a segment, so that the JVM copies them whole; only numpy looks into them.
 """
 
 from __future__ import annotations
@@ -122,17 +124,31 @@ def _long(a: np.ndarray) -> pa.Array:
 
 
 def _flat(part: pa.RecordBatch, name: str) -> np.ndarray:
-    """Items of a list column of longs or ints."""
-    items = part.column(name).flatten().to_numpy(zero_copy_only=False)
-    return items.view(_U64) if items.dtype == np.int64 else items.astype(np.int64)
+    """Items of a list column of longs."""
+    return part.column(name).flatten().to_numpy(zero_copy_only=False).view(_U64)
 
 
 def _sizes(part: pa.RecordBatch, name: str) -> np.ndarray:
-    return pc.fill_null(pc.list_value_length(part.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    """Items of each row of a list column, or of one of packed words."""
+    column = part.column(name)
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    size = pc.binary_length(column) if binary else pc.list_value_length(column)
+    return pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64) // (8 if binary else 1)
+
+
+def _unpacked(part: pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    """Items of all rows of a packed column (rows are never null)."""
+    column = part.column(name).cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(kind) if len(column) else np.zeros(0, kind)
 
 
-def _lists(sizes: np.ndarray, items: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
+def _packed(sizes: np.ndarray, items: np.ndarray) -> pa.Array:
+    """Rows of ``sizes`` items as bytes, which pass through the JVM as one value and not item by item."""
+    items = np.ascontiguousarray(items)
+    width = items.dtype.itemsize * (items.shape[1] if items.ndim > 1 else 1)
+    off = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(off), pa.py_buffer(items)]).cast(pa.binary())
 
 
 def _ints(a: np.ndarray) -> pa.Array:
@@ -140,7 +156,7 @@ def _ints(a: np.ndarray) -> pa.Array:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of batches with about ``_SLICE_WORDS`` items in a list column."""
+    """Pieces of batches with about ``_SLICE_WORDS`` items in a list or packed column."""
     for batch in batches:
         end, at = np.cumsum(_sizes(batch, column)), 0
         while at < batch.num_rows:
@@ -183,12 +199,19 @@ def _keys(wide: int):
     return run
 
 
-_PARSE = "name array<long>, start array<int>, end array<int>, left array<int>, right array<int>"
+#: A segment's symbols, which follow each other without a gap: the first one's place, their number, and packed their names (64 bits)
+#: and their lengths and contexts to the left and right (16 bits each).
+_PARSE = ("start", "n", "name", "shape")
+_PARSE_TYPES = "start int, n int, name binary, shape binary"
+
+
+def _shapes(length: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.stack([length, left, right], 1).astype(np.int16)
 
 
 def _segments(wide: int):
-    """Segments with their words' names and the local symbols that lie in them; ``at``: the first word's number."""
-    names = ["seg", "doc_id", "text_key", "at", "words", "name", "start", "end", "left", "right"]
+    """Segments with their words' names and the local symbols that lie in them; ``at``: the first word's number; ``span``: words in symbols."""
+    names = ["seg", "doc_id", "text_key", "at", "words", "span", *_PARSE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -208,7 +231,8 @@ def _segments(wide: int):
                 low, high = np.searchsorted(p.start, begin), np.searchsorted(p.start + p.length, end, "right")
                 inside = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
                 word = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-                shift, margin = np.repeat(begin, high - low), np.full(len(inside), _MARGIN)
+                size, margin = high - low, np.full(len(inside), _MARGIN)
+                last = np.maximum(high - 1, 0)
                 of_row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -216,9 +240,12 @@ def _segments(wide: int):
                         part.column("doc_id").take(of_row),
                         part.column("text_key").take(of_row),
                         _ints(begin - p.words.first[row]),
-                        _lists(end - begin, _long(p.names[word])),
-                        _lists(high - low, _long(p.name[inside])),
-                        *(_lists(high - low, _ints(x)) for x in (p.start[inside] - shift, p.start[inside] + p.length[inside] - shift, margin, margin)),
+                        _packed(end - begin, p.names[word]),
+                        _ints(p.start[last] + p.length[last] - p.start[low]),
+                        _ints(p.start[low] - begin),
+                        _ints(size),
+                        _packed(size, p.name[inside]),
+                        _packed(size, _shapes(p.length[inside], margin, margin)),
                     ],
                     names=names,
                 )
@@ -233,13 +260,18 @@ def _segments(wide: int):
 class Parse:
     """The symbols of some segments in one row after another."""
 
-    def __init__(self, part: pa.RecordBatch) -> None:
-        self.size = _sizes(part, "name")
+    def __init__(self, part: pa.RecordBatch, prefix: str = "") -> None:
+        self.size = _sizes(part, prefix + "name")
         self.row = np.repeat(np.arange(part.num_rows), self.size)
-        self.name, self.start, self.end, self.left, self.right = (_flat(part, c) for c in ("name", "start", "end", "left", "right"))
-        #: whether a symbol's right neighbour stands next to it in the segment
+        self.name = _unpacked(part, prefix + "name", _U64)
+        length, self.left, self.right = _unpacked(part, prefix + "shape", np.int16).reshape(-1, 3).astype(np.int64).T
+        before = np.concatenate([[0], np.cumsum(length)])
+        first = part.column(prefix + "start").to_numpy(zero_copy_only=False) - before[np.cumsum(self.size) - self.size]
+        self.start = before[:-1] + first[self.row]
+        self.end = self.start + length
+        #: whether a symbol has a right neighbour in the segment
         self.joined = np.zeros(len(self.name), bool)
-        self.joined[:-1] = (self.row[1:] == self.row[:-1]) & (self.start[1:] == self.end[:-1])
+        self.joined[:-1] = self.row[1:] == self.row[:-1]
 
     def coins(self, number: int) -> np.ndarray:
         return (mix(self.name + _U64(number + 1)) & _U64(1)).astype(bool)
@@ -314,39 +346,66 @@ def _occurring(number: int, wide: int):
     return run
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by doc_id, joined and cut so that each document's rows lie in one."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, 8 * _SLICE_WORDS
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < limit:
+            continue
+        rows = pa.concat_batches(held)
+        ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = [rows.slice(cut)]
+        size = held[0].nbytes
+        limit = max(8 * _SLICE_WORDS, 2 * size)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _renamed(number: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _pieces(batches, "name"):
+        for rows in _documents(batches):
+            segment = pc.is_valid(rows.column("seg"))
+            part, named = rows.filter(segment), rows.filter(pc.invert(segment))
             p = Parse(part)
             head, count, b = p.groups(number, wide)
-            of = np.repeat(np.arange(part.num_rows), _sizes(part, "a")).astype(_U64)
-            key = lambda a, b, row: mix(mix(mix(a) + b) + mix(row + _U64(1)))
-            known, new = key(_flat(part, "a"), _flat(part, "b"), of), _flat(part, "new")
+            doc = lambda of: of.column("doc_id").to_numpy(zero_copy_only=False).view(_U64)
+            key = lambda a, b, doc: mix(mix(mix(a) + b) + mix(doc + _U64(1)))
+            a_, b_, new = (named.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(_U64) for c in ("a", "b", "new"))
+            known = key(a_, b_, doc(named))
             order = np.argsort(known)
-            wanted = key(p.name[head], b, p.row[head].astype(_U64))
-            at = np.minimum(np.searchsorted(known[order], wanted), max(0, len(known) - 1))
-            found = known[order][at] == wanted if len(known) else np.zeros(len(head), bool)
-            p.merge(number, head[found], count[found], new[order][at[found]] if len(known) else np.zeros(0, _U64))
-            made = [_lists(p.size, x) for x in (_long(p.name), _ints(p.start), _ints(p.end), _ints(p.left), _ints(p.right))]
-            yield pa.RecordBatch.from_arrays([part.column("seg"), part.column("doc_id"), *made], names=["seg", "doc_id", "name", "start", "end", "left", "right"])
+            known, new = known[order], new[order]
+            wanted = key(p.name[head], b, doc(part)[p.row[head]])
+            at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+            found = known[at] == wanted if len(known) else np.zeros(len(head), bool)
+            p.merge(number, head[found], count[found], new[at[found]] if len(known) else np.zeros(0, _U64))
+            made = [part.column("start"), _ints(p.size), _packed(p.size, p.name), _packed(p.size, _shapes(p.end - p.start, p.left, p.right))]
+            yield pa.RecordBatch.from_arrays([part.column("seg"), part.column("doc_id"), *made], names=["seg", "doc_id", *_PARSE])
 
     return run
 
 
-def rename(parse: DataFrame, wide: int) -> DataFrame:
-    """Segments' symbols after all rounds: seg, doc_id, name, start, end, left, right."""
+def rename(parse: DataFrame, wide: int, words: int) -> DataFrame:
+    """Segments' symbols (seg, doc_id and ``_PARSE``) of ``words`` words in all after all rounds."""
     number, given, before = 0, parse, None
     while True:
-        found = saved(parse.mapInArrow(_occurring(number, wide), "a long, b long, doc_id long"), "pairs")
+        found = saved(parse.select("doc_id", *_PARSE).mapInArrow(_occurring(number, wide), "a long, b long, doc_id long"), "pairs")
         held = found.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies")).where("low < high")
         new = F.shiftleft(F.lit(number + 1).cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
         names = saved(held.select("a", "b", "copies", new.alias("new")), "names")
-        lists = join_copies(found, names, ["a", "b"]).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("a", "b", "new")))
-        old, parse = parse, saved(parse.join(lists, "doc_id", "left").mapInArrow(_renamed(number, wide), f"seg long, doc_id long, {_PARSE}"), "parse")
+        named = join_copies(found, names, ["a", "b"]).select("doc_id", "a", "b", "new")
+        # a document's segments and names come together in order, not as lists
+        rows = parse.unionByName(named, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id")
+        old, parse = parse, saved(rows.mapInArrow(_renamed(number, wide), f"seg long, doc_id long, {_PARSE_TYPES}"), "parse")
         if old is not given:
             discard(old)
         discard(found, names)
-        words, symbols = parse.agg(F.sum(F.get("end", F.size("end") - 1) - F.get("start", F.lit(0))), F.sum(F.size("name"))).first()
+        symbols = parse.agg(F.sum("n")).first()[0]
         if number and (not symbols or 8 * words >= wide * symbols or 8 * symbols > 7 * before):
             return parse
         number, before = number + 1, symbols
@@ -386,21 +445,19 @@ class Edges:
 
 
 def _stretches(wide: int):
-    schema = pa.schema([("symbol", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("windows", pa.list_(pa.int64()))])
+    schema = pa.schema([("symbol", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("n", pa.int32()), ("windows", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches, "words"):
             size = _sizes(part, "words")
             first = np.cumsum(size) - size
-            edges = Edges(_flat(part, "words"))
+            edges = Edges(_unpacked(part, "words", _U64))
             # symbols of the last round, then local ones, which every window holds
             name, start, end, left, right, row, level = ([] for _ in range(7))
             for k, prefix in enumerate(("top_", "")):
-                for into, c in ((name, "name"), (start, "start"), (end, "end"), (left, "left"), (right, "right")):
-                    into.append(_flat(part, prefix + c))
-                n = _sizes(part, prefix + "name")
-                row.append(np.repeat(np.arange(part.num_rows), n))
-                level.append(np.full(n.sum(), k))
+                p = Parse(part, prefix)
+                for into, of in ((name, p.name), (start, p.start), (end, p.end), (left, p.left), (right, p.right), (row, p.row), (level, np.full(len(p.row), k))):
+                    into.append(of)
             name, start, end, left, right, row, level = map(np.concatenate, (name, start, end, left, right, row, level))
             low, high = np.maximum(end + right - wide, 0), np.minimum(start - left, size[row] - wide)
             fits = np.flatnonzero(low <= high)
@@ -424,20 +481,32 @@ def _stretches(wide: int):
             of = row[symbol[head]]
             begin = at[head] - first[of] + part.column("at").to_numpy(zero_copy_only=False)[of]
             ids = [part.column(c).take(pa.array(of)) for c in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([_long(name[symbol[head]]), _long(stretch), *ids, _ints(begin), _lists(count, _long(window))], schema=schema)
+            yield pa.RecordBatch.from_arrays([_long(name[symbol[head]]), _long(stretch), *ids, _ints(begin), _ints(count), _packed(count, window)], schema=schema)
 
     return run
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the stretches, by its own first word."""
+    for part in _pieces(batches, "windows"):
+        size = _sizes(part, "windows")
+        row = np.repeat(np.arange(part.num_rows), size)
+        begin = part.column("begin").to_numpy(zero_copy_only=False)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        symbol, *ids = (part.column(c).take(pa.array(row)) for c in ("symbol", "doc_id", "text_key"))
+        yield pa.RecordBatch.from_arrays([symbol, _long(_unpacked(part, "windows", _U64)), *ids, _ints(begin)], names=["symbol", "window", "doc_id", "text_key", "begin"])
+
+
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string()), ("kept_sha256", pa.string())])
     for batch in batches:
         for part in slices(batch):
             total, kept = [], []
-            for text, begin, end in zip(part.column("text").to_pylist(), part.column("begin").to_pylist(), part.column("end").to_pylist(), strict=True):
+            gone, of = _flat(part, "gone").astype(np.int64), np.concatenate([[0], np.cumsum(_sizes(part, "gone"))])
+            for i, text in enumerate(part.column("text").to_pylist()):
                 words = (text or "").encode().split()
                 total.append(len(words))
-                if begin:
+                begin, end = (x[of[i] : of[i + 1]] for x in (gone >> 32, gone & 0xFFFFFFFF))
+                if len(begin):
                     edge = np.bincount(begin, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[: len(words)]) == 0)]
                 kept.append(words)
@@ -459,33 +528,39 @@ def remove_repeats(docs: DataFrame, wide: int = 50) -> DataFrame:
     only, and texts under ``wide`` words, stay.  Rows that share a doc_id count
     as one document: a window in several of them stays.  Rows without doc_id
     keep all words and remove none from others.  An empty table gives an empty
-    one.  ``wide`` must be 46 or more.
+    one.  ``wide`` must be 46 or more and less than 16,384.
     """
     if wide < (least := 2 * _MARGIN + (_GRAM + 1) * _PAIR_CAPS[-1]):
         raise ValueError(f"wide must be {least} or more, so that every window's inner part holds {_GRAM} whole symbols")
+    if wide >= _OPEN:
+        raise ValueError(f"wide must be less than {_OPEN}: lengths of symbols and contexts are held in 16 bits")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
     keys = saved(docs.where("doc_id is not null").mapInArrow(_keys(wide), "symbol long, doc_id long"), "keys")
     shared = saved(keys.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies")).where("low < high").select("symbol", "copies"), "shared")
-    listed = saved(join_copies(keys, shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("listed")), "listed")
+    listed = saved(join_copies(keys, shared, "symbol").groupBy("doc_id").agg(F.collect_list("symbol").alias("listed")), "listed")
     discard(keys, shared)
-    local = saved(docs.join(listed, "doc_id").mapInArrow(_segments(wide), f"seg long, doc_id long, text_key long, at int, words array<long>, {_PARSE}"), "segments")
-    parse = ["name", "start", "end", "left", "right"]
-    last = rename(local.select("seg", "doc_id", *parse), wide)
-    both = local.join(last.select("seg", *(F.col(c).alias("top_" + c) for c in parse)), "seg")
-    found = saved(both.mapInArrow(_stretches(wide), "symbol long, stretch long, doc_id long, text_key long, begin int, windows array<long>"), "stretches")
+    # the lists are the small side: texts are not sorted to meet them
+    met = docs.join(listed.hint("shuffle_hash"), "doc_id")
+    local = saved(met.mapInArrow(_segments(wide), f"seg long, doc_id long, text_key long, at int, words binary, span int, {_PARSE_TYPES}"), "segments")
+    last = rename(local.select("seg", "doc_id", *_PARSE), wide, local.agg(F.sum("span")).first()[0])
+    both = local.drop("span").join(last.select("seg", *(F.col(c).alias("top_" + c) for c in _PARSE)), "seg")
+    found = saved(both.mapInArrow(_stretches(wide), "symbol long, stretch long, doc_id long, text_key long, begin int, n int, windows binary"), "stretches")
     discard(listed, local)
 
     least = saved(found.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "least")
     varied = saved(least.groupBy("symbol").agg((F.count("*") > 1).alias("varied"), F.count("*").alias("copies")), "varied")
-    kinds = saved(join_copies(least, varied, "symbol"), "kinds")
-    open_ = saved(join_copies(found, kinds, ["symbol", "stretch"]).where("doc_id > least or varied"), "open")
+    # a stretch that stands once, with a symbol in no other, has nothing to meet
+    kinds = saved(join_copies(least, varied, "symbol").where("copies > 1 or varied"), "kinds")
+    open_ = join_copies(found, kinds, ["symbol", "stretch"]).where("doc_id > least or varied")
+    open_ = saved(open_.select("symbol", "doc_id", "text_key", "begin", "n", "least", F.expr("if(doc_id = least, windows, null)").alias("windows")), "open")
     discard(found, least, varied, kinds)
-    gone = open_.where("doc_id > least").select("doc_id", "text_key", "begin", (F.col("begin") + F.size("windows") - 1 + wide).alias("end"))
-    single = open_.where("doc_id = least").select("symbol", "doc_id", "text_key", "begin", F.posexplode("windows").alias("i", "window"))
-    first = saved(single.groupBy("symbol", "window").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "windows")
-    partly = join_copies(single, first, ["symbol", "window"]).where("doc_id > first").select("doc_id", "text_key", (F.col("begin") + F.col("i")).alias("begin"), (F.col("begin") + F.col("i") + wide).alias("end"))
-    removed = gone.union(partly).groupBy("doc_id", "text_key").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
-    return docs.join(removed, ["doc_id", "text_key"], "left").select("doc_id", "text", "begin", "end").mapInArrow(
+    gone = open_.where("doc_id > least").select("doc_id", "text_key", "begin", (F.col("begin") + F.col("n") - 1 + wide).alias("end"))
+    single = open_.where("doc_id = least").select("symbol", "doc_id", "text_key", "begin", "windows").mapInArrow(_windows, "symbol long, window long, doc_id long, text_key long, begin int")
+    first = saved(single.groupBy("symbol", "window").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "windows")
+    partly = join_copies(single, first, ["symbol", "window"]).where("doc_id > first").select("doc_id", "text_key", "begin", (F.col("begin") + wide).alias("end"))
+    span = F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
+    removed = gone.union(partly).groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("gone"))
+    return docs.join(removed.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "gone").mapInArrow(
         _removal, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     )
 
