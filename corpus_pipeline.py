@@ -42,10 +42,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _columns(docs).withColumns({"__text": F.xxhash64("text"), "__row": F.xxhash64(*COLUMNS), "__id": F.coalesce("doc_id", F.lit(-1))})
     groups = near_copies(rows.select(F.col("__text").alias("doc_id"), "text"))
-    groups = saved(groups.groupBy(F.col("doc_id").alias("__text"), "component_id").agg(F.count("*").alias("copies")), "text_groups")
+    groups = saved(groups.groupBy(F.col("doc_id").alias("__text"), "component_id").agg(F.count("*").alias("copies")), "text_groups", {"copies": F.sum("copies")})
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row", "__id")
-    first = join_copies(rows.select("doc_id", "__text", "__row", "__id"), groups, "__text").groupBy("component_id").agg(F.min(order).alias("first"))
-    return _columns(rows.join(first.select("first.__row", "first.__id"), ["__row", "__id"], "left_semi").dropDuplicates(["__row", "__id"]))
+    first = join_copies(rows.select("doc_id", "__text", "__row", "__id"), groups, "__text", groups.seen["copies"] or 0).groupBy("component_id").agg(F.min(order).alias("first"))
+    return _columns(rows.join(first.select("first.__row", "first.__id").hint("merge"), ["__row", "__id"], "left_semi").dropDuplicates(["__row", "__id"]))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

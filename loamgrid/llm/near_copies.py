@@ -11,6 +11,9 @@ one-bit minima instead), and every link is then checked on the shingle sets them
 Texts with equal sets are one node.  In a few rounds nodes meet two centres of each of their keys, of which only those still
 matter that hold several components: the node whose keys are most crowded, mostly the text that the others were made from, and any other; after that all pairs of nodes in a key that are not yet in one component are compared, so a
 large group of near copies doesn't meet pair by pair, and no link between components is left out.
+
+All these joins are merge joins: their sides grow with the corpus, and on a small one Spark would build and hold about a hundred
+of them in the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from loamgrid.llm.shared import clip_long, discard, join_copies, saved
 from loamgrid.llm.simhash import Ring, fingerprint, links
 from loamgrid.llm.words import Words, mix, slices, text_bytes, windows
-from loamgrid.operators.graph import connected_components
+from loamgrid.operators.graph import stars
 
 SHINGLE = 5
 BANDS, ROWS, HASHES, AGREE = 16, 4, 128, 84
@@ -163,53 +166,59 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = saved(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("body").alias("body"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     owners = saved(each.select("doc_id", "node"), "owners")
     discard(each)
-    sketches = nodes.select("node", "sketch")
+    sketches, many = nodes.select("node", "sketch"), {"rows": F.count("*")}
 
     def texts_of(some: DataFrame) -> DataFrame:
-        """One text a node."""
-        bodies = nodes.join(some, "node", "left_semi").select("body")
-        return docs.withColumn("body", F.xxhash64("text")).join(bodies, "body", "left_semi").dropDuplicates(["body"]).select("text")
+        """One text for each of these nodes, of which ``some`` may repeat some."""
+        bodies = nodes.join(some.hint("merge"), "node", "left_semi").select("body")
+        return docs.withColumn("body", F.xxhash64("text")).join(bodies.hint("merge"), "body", "left_semi").dropDuplicates(["body"]).select("text")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame | None:
-        """Those of the pairs (u, v) of nodes whose sets are similar; None without pairs."""
-        pairs = saved(pairs.select("u", "v").distinct(), "pairs_" + name)
-        if not pairs.head(1):
+        """Those of the pairs (u, v) of nodes whose sets are similar; None without any."""
+        pairs = saved(pairs.select("u", "v").distinct(), "pairs_" + name, many)
+        if not pairs.seen["rows"]:
             return None
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        sets = saved(texts_of(ends).mapInArrow(_sets, "node long, grams binary").dropDuplicates(["node"]), "sets_" + name)
-        met = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a_grams")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b_grams")), "v")
-        found = saved(met.select("u", "v", "a_grams", "b_grams").mapInArrow(_similar(percent), "u long, v long"), "links_" + name)
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+        sets = saved(texts_of(ends).mapInArrow(_sets, "node long, grams binary"), "sets_" + name)
+        grams = lambda end, name: sets.select(F.col("node").alias(end), F.col("grams").alias(name)).hint("merge")
+        met = pairs.join(grams("u", "a_grams"), "u").join(grams("v", "b_grams"), "v")
+        found = saved(met.select("u", "v", "a_grams", "b_grams").mapInArrow(_similar(percent), "u long, v long"), "links_" + name, many)
         discard(pairs, sets)
-        return found
+        return found if found.seen["rows"] else None
 
     def joined(parts: DataFrame, links: DataFrame | None) -> DataFrame:
-        """``parts`` (node, part, keys, crowd) after these links."""
+        """``parts`` (node, part, keys, crowd, sketch) after these links."""
         if links is None:
             return parts
-        across = links.join(parts.select(F.col("node").alias("u"), F.col("part").alias("from")), "u").join(parts.select(F.col("node").alias("v"), F.col("part").alias("to")), "v")
-        whole = connected_components(across.where("from <> to").select("from", "to"), "from", "to").select(F.col("id").alias("part"), "component")
-        out = saved(parts.join(whole, "part", "left").select("node", F.coalesce("component", "part").alias("part"), "keys", "crowd"), "parts")
-        discard(parts, links)
+        part = lambda end, name: parts.select(F.col("node").alias(end), F.col("part").alias(name)).hint("merge")
+        across = links.join(part("u", "from"), "u").join(part("v", "to"), "v")
+        edges, moved = stars(across.where("from <> to").select("from", "to"), "from", "to")
+        if moved is None:
+            discard(edges, links)
+            return parts
+        whole = moved.select(F.col("u").alias("part"), F.col("v").alias("component"))
+        out = saved(parts.join(whole.hint("merge"), "part", "left").select("node", F.coalesce("component", "part").alias("part"), "keys", "crowd", "sketch"), "parts")
+        discard(parts, links, edges, moved)
         return out
 
     def keyed(parts: DataFrame, first: int, last: int) -> DataFrame:
         return parts.select("node", "part", "crowd", F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
 
     def sketched(rows: DataFrame, node: str, name: str) -> DataFrame:
-        return rows.join(sketches.select(F.col("node").alias(node), F.col("sketch").alias(name)), node)
+        return rows.join(sketches.select(F.col("node").alias(node), F.col("sketch").alias(name)).hint("merge"), node)
 
     # how crowded a node's keys are: the text that a group's members were made from has kept all keys that most of them kept
-    each_key = nodes.select("node", F.explode("keys").alias("key"))
-    crowds = saved(each_key.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").withColumn("crowd", F.col("copies")), "crowds")
-    crowded = join_copies(each_key, crowds, "key").groupBy("node").agg(F.sum("crowd").alias("crowd"))
-    parts = saved(nodes.select("node", F.col("node").alias("part"), "keys").join(crowded, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0))), "parts")
+    each_key, copied = nodes.select("node", F.explode("keys").alias("key")), {"copies": F.sum(F.when(F.col("copies") > 1, F.col("copies")))}
+    crowds = saved(each_key.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").withColumn("crowd", F.col("copies")), "crowds", copied)
+    crowded = join_copies(each_key, crowds, "key", crowds.seen["copies"] or 0).groupBy("node").agg(F.sum("crowd").alias("crowd"))
+    parts = saved(nodes.select("node", F.col("node").alias("part"), "keys", "sketch").join(crowded.hint("merge"), "node", "left").select("node", "part", "keys", F.coalesce("crowd", F.lit(0)).alias("crowd"), "sketch"), "parts")
     discard(crowds)
 
     # fingerprints within the ring's bits; nodes of one fingerprint meet its first
-    marks = saved(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("copies")), "marks")
-    end = lambda c: marks.select(F.col("fp").alias(c), F.col("first").alias("node_" + c))
+    marks = saved(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("copies")), "marks", copied)
+    end = lambda c: marks.select(F.col("fp").alias(c), F.col("first").alias("node_" + c)).hint("merge")
     close = links(marks.select("fp"), Ring(*RING)).join(end("u"), "u").join(end("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-    equal = join_copies(nodes.select("fp", "node"), marks.where("copies > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    equal = join_copies(nodes.select("fp", "node"), marks.where("copies > 1"), "fp", marks.seen["copies"] or 0).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     parts = joined(parts, links_of(close.union(equal), "simhash"))
     discard(marks)
 
@@ -221,26 +230,26 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
         open_ = listed.groupBy("key").agg(c.alias("c"), d.alias("d"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         open_ = open_.select("key", *(F.col(f"{x}.{y}").alias(f"{x}{z}") for x in "cd" for y, z in (("node", ""), ("part", "_part"))))
         open_ = sketched(sketched(open_, "c", "c_sketch"), "d", "d_sketch")
-        # nodes take their sketches with them, so that only pairs whose sketches agree come out of the join
-        mine = parts.join(sketches, "node").select("node", "part", "sketch", F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
+        # nodes have their sketches with them, so that only pairs whose sketches agree come out of the join
+        mine = parts.select("node", "part", "sketch", F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
         by_c, by_d = ((F.col("part") != F.col(x + "_part")) & (_agree("sketch", x + "_sketch") >= AGREE) for x in "cd")
         l, o = mine.alias("l"), open_.alias("o")
-        met = l.join(o, (F.col("l.key") == F.col("o.key")) & (by_c | by_d))
+        met = l.join(o.hint("merge"), (F.col("l.key") == F.col("o.key")) & (by_c | by_d))
         us = F.array_compact(F.array(F.when(by_c, F.col("c")), F.when(by_d, F.col("d"))))
         parts = joined(parts, links_of(met.select(F.explode(us).alias("u"), F.col("node").alias("v")), f"centres{turn}"))
 
     # what is still open takes more bits along; a pair comes from the first key that both have
     listed = parts.select("node", "part", "keys", F.posexplode("keys").alias("i", "key"))
     open_ = listed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    still = saved(listed.join(open_, "key", "left_semi"), "still")
-    bits = texts_of(still.select("node").distinct()).mapInArrow(_bits, "node long, bits array<long>").dropDuplicates(["node"])
-    left = saved(still.join(bits, "node"), "open")
+    still = saved(listed.join(open_.hint("merge"), "key", "left_semi"), "still")
+    bits = texts_of(still.select("node").distinct()).mapInArrow(_bits, "node long, bits array<long>")
+    left = saved(still.join(bits.hint("merge"), "node"), "open")
     a, b = left.alias("a"), left.alias("b")
     earlier = F.arrays_overlap(F.slice("a.keys", F.lit(1), F.col("a.i")), F.slice("b.keys", F.lit(1), F.col("a.i")))
     close = _bits_agree("a.bits", "b.bits") >= BITS_AGREE
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & close & ~earlier)
+    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & close & ~earlier)
     parts = joined(parts, links_of(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "open"))
-    group = saved(parts.select("node", F.col("part").alias("group")).join(nodes.select("node", "doc_id", "copies"), "node"), "groups")
+    group = saved(parts.select("node", F.col("part").alias("group")).join(nodes.select("node", "doc_id", "copies").hint("merge"), "node"), "groups", {"copies": F.sum("copies")})
     least = group.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     discard(nodes, parts, still, left)
-    return join_copies(owners, group.join(least, "group").select("node", "copies", "component_id"), "node").select("doc_id", "component_id")
+    return join_copies(owners, group.join(least.hint("merge"), "group").select("node", "copies", "component_id"), "node", group.seen["copies"] or 0).select("doc_id", "component_id")

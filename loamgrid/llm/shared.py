@@ -19,13 +19,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def join_copies(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
+def join_copies(rows: DataFrame, groups: DataFrame, key: str | list[str], total: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``groups``, one row for each ``key`` (a column or several), whose column ``copies`` (dropped) counts the rows with that key.
 
+    ``total``: the sum of ``copies``, where the caller has it.
+
     Keys that hold over a thousandth of all rows, of which there are under 1,000, meet their rows by broadcast;
     all others by a shuffle in which no key is hot.
     """
-    total = groups.agg(F.sum("copies")).first()[0] or 0
+    total = total if total is not None else groups.agg(F.sum("copies")).first()[0] or 0
     large = F.col("copies") * 1000 > total
     hot = F.broadcast(groups.where(large).drop("copies"))  # under 1,000 rows
     rest = rows.join(hot.select(key if isinstance(key, str) else [*key]), key, "left_anti").join(groups.where(~large).drop("copies"), key)

@@ -174,10 +174,10 @@ def links(fps: DataFrame, ring: Ring, hot: int = 256, block: int = 512) -> DataF
     asked = fps.select(F.explode(F.concat(*[_lookups(ring, i) for i in range(ring.segments)])).alias("at"), "fp").select("at.*", "fp")
     # Spark's estimates don't see how many rows explode gives: by them it would broadcast the lookups of up to 10 MB of fingerprints
     listed, asked = listed.hint("merge"), asked.hint("merge")
-    crowd = lambda rows: saved(rows.groupBy(*at).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where(F.col("n") >= hot), "crowded")
+    crowd = lambda rows: saved(rows.groupBy(*at).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where(F.col("n") >= hot), "crowded", {"keys": F.count("*")})
     crowded = crowd(listed)
     found = _met(listed.join(crowded, at, "left_anti"), asked, ring, ring.chain)
-    if not crowded.head(1):
+    if not crowded.seen["keys"]:
         return found.distinct()
     listed, asked = listed.join(crowded.select(*at), at), asked.join(crowded.select(*at), at)
     stars = listed.join(crowded, at).select("fp", F.explode(F.array("low", "high")).alias("v")).where((F.col("fp") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= ring.bits))
@@ -186,8 +186,8 @@ def links(fps: DataFrame, ring: Ring, hot: int = 256, block: int = 512) -> DataF
     parts = saved(fps.join(parts.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "parts")
     for chain in range(ring.chain + 1, ring.segments + 1):
         members = listed.select(*at, "fp").union(asked.select(*at, "fp")).hint("merge").join(parts, "fp")
-        several = saved(members.groupBy(*at).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*at), "several")
-        if not several.head(1):
+        several = saved(members.groupBy(*at).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*at), "several", {"keys": F.count("*")})
+        if not several.seen["keys"]:
             break
         listed, asked = listed.join(several, at), asked.join(several, at)
         if chain == ring.segments:
