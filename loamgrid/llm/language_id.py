@@ -28,6 +28,8 @@ _LETTER = np.zeros(256, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _LETTER[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _LETTER[0x80:] = np.arange(27, 155)
+#: Bytes of text at once; its trigrams under all languages take some fifty times that.
+SLICE_BYTES = 1 << 19
 _COUNTED = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
 _MADE = ("doc_id", "held_out", "lang_pred", "score", "languages")
 
@@ -56,7 +58,7 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 langs = part.column("lang").to_pylist()
                 names = sorted(set(langs))
                 number = np.array([names.index(x) for x in langs], np.int64)
@@ -133,7 +135,7 @@ def _predict(names: list[str], logs: np.ndarray, penalty: float, tolerance: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 n = part.num_rows
                 pred, score, mixed = ["und"] * n, np.zeros(n), [""] * n
                 bucket, head, row = _trigrams(part.column("text"), buckets)
